@@ -1,0 +1,19 @@
+"""Join helpers: size-checked broadcast.
+
+A side is broadcast only after counting that it holds at most ``max_rows``
+rows (a bounded ``limit(max_rows + 1).count()``); above that the plain
+join stays, and Spark / AQE pick a shuffle join with skew splitting.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
