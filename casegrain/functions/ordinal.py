@@ -36,3 +36,32 @@ def exact_ordinal(df: DataFrame, order_cols: list, out: str = "ordinal",
     if total_out:
         res = res.withColumn(total_out, F.col("_total").cast("bigint"))
     return res.drop("_pid", "_mid", "_base", "_off", "_total")
+
+
+def running_total(df: DataFrame, order_col: str, value_cols: list[str], out_prefix: str = "cum_",
+                  num_partitions: int | None = None) -> DataFrame:
+    """Inclusive running sums (and running row count) in ``order_col`` order.
+
+    Same two-level scheme as :func:`exact_ordinal`: sums inside each range
+    partition, plus the totals of the partitions before it (a table with
+    one row per partition, broadcast).  ``order_col`` must be unique.
+    """
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tagged = (df.repartitionByRange(n, F.col(order_col))
+              .withColumn("_pid", F.spark_partition_id()))
+    inner = Window.partitionBy("_pid").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    local = tagged.select("*", F.count(F.lit(1)).over(inner).alias("_lc"),
+                          *[F.sum(c).over(inner).alias(f"_ls_{c}") for c in value_cols])
+    totals = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_tc"),
+                                        *[F.sum(c).alias(f"_ts_{c}") for c in value_cols])
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_pid", F.coalesce(F.sum("_tc").over(before), F.lit(0)).alias("_oc"),
+                            *[F.coalesce(F.sum(f"_ts_{c}").over(before), F.lit(0)).alias(f"_os_{c}")
+                              for c in value_cols])
+    res = local.join(F.broadcast(offsets), "_pid")
+    res = res.withColumn(f"{out_prefix}count", (F.col("_lc") + F.col("_oc")).cast("bigint"))
+    for c in value_cols:
+        res = res.withColumn(f"{out_prefix}{c}", F.col(f"_ls_{c}") + F.col(f"_os_{c}"))
+    drop = ["_pid", "_lc", "_oc"] + [f"_ls_{c}" for c in value_cols] + [f"_os_{c}" for c in value_cols]
+    return res.drop(*drop)

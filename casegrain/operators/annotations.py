@@ -185,12 +185,14 @@ def rationale_masks(experts: DataFrame, text: str = "text", keep=("doc_id",)) ->
     df = with_spans(df, text)
     df = with_span_positions(df, text)
     df = with_rationale_mask(df)
+    # Bind the mask once: it feeds both the positive count and the output.
+    packed = let(F.col("rationale_mask"), lambda m: F.struct(
+        F.aggregate(m, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_positive"), m.alias("rationale_mask")))
     return df.select(
         *keep,
         (F.least(token_count(text), F.lit(WINDOW_TOKENS)) + 2).cast("bigint").alias("n_active"),
-        F.aggregate("rationale_mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_positive"),
-        "rationale_mask",
-    )
+        packed.alias("_m"),
+    ).select(*keep, "n_active", "_m.n_positive", "_m.rationale_mask")
 
 
 def coverage(masks: DataFrame) -> DataFrame:

@@ -15,7 +15,12 @@ from casegrain.operators import sampling as S
 from casegrain.operators import tokens as TK
 from casegrain.plans import standins as SI
 from casegrain.session import table
+from casegrain.functions.text import WINDOW_TOKENS, let
 from casegrain.functions.text import tokens as tokens_of
+from casegrain.operators import losses as L
+from casegrain.operators import metrics as M
+from casegrain.operators.render import render_highlight
+from casegrain.plans import standins_vectors as SV
 
 
 def _docs(spark, d):
@@ -156,13 +161,107 @@ def q_mlm_mask(spark, d):
     m = S.mlm_mask(_encoded(spark, d))
     flags = F.transform(F.arrays_zip("input_ids", "masked_ids"), lambda z, i: F.struct(
         (~z["input_ids"].isin(0, 101, 102)).alias("cand"), (z["masked_ids"] != z["input_ids"]).alias("m"), i.alias("i")))
-    return m.select("doc_id", flags.alias("f")).select(
-        "doc_id",
-        F.size(F.filter("f", lambda x: x["cand"])).cast("bigint").alias("n_candidates"),
-        F.size(F.filter("f", lambda x: x["m"])).cast("bigint").alias("n_masked"),
-        F.array_join(F.transform(F.filter("f", lambda x: x["m"]), lambda x: x["i"].cast("string")), " ")
-        .alias("masked_positions"),
-    )
+    summary = let(flags, lambda f: F.struct(
+        F.size(F.filter(f, lambda x: x["cand"])).cast("bigint").alias("n_candidates"),
+        F.size(F.filter(f, lambda x: x["m"])).cast("bigint").alias("n_masked"),
+        F.array_join(F.transform(F.filter(f, lambda x: x["m"]), lambda x: x["i"].cast("string")), " ")
+        .alias("masked_positions")))
+    return m.select("doc_id", summary.alias("s")).select("doc_id", "s.*")
+
+
+# ---- losses over the embeddings stand-in ------------------------------------
+
+def _emb(spark, d):
+    return table(spark, d, "embeddings")
+
+
+def _batch_losses(spark, d):
+    return L.batch_losses(SV.distill_pairs(_emb(spark, d)))
+
+
+def q_kl_distill_loss(spark, d):
+    b = _batch_losses(spark, d)
+    return b.select("batch", F.col("n_rows").cast("bigint").alias("n_rows"), F.round("kl_loss", 6).alias("kl_loss"))
+
+
+def q_cosine_hidden_loss(spark, d):
+    b = _batch_losses(spark, d)
+    return b.select("batch", F.col("n_rows").cast("bigint").alias("n_rows"),
+                    F.round("cosine_loss", 6).alias("cosine_loss"))
+
+
+def q_mlm_loss(spark, d):
+    b = _batch_losses(spark, d)
+    return b.select("batch", F.col("n_rows").cast("bigint").alias("n_rows"), F.round("mlm_loss", 6).alias("mlm_loss"),
+                    F.round("mlm_loss_masked", 6).alias("mlm_loss_masked"))
+
+
+def q_combined_loss(spark, d):
+    b = _batch_losses(spark, d)
+    return b.select("batch", F.col("n_rows").cast("bigint").alias("n_rows"),
+                    *[F.round(c, 6).alias(c) for c in ("kl_loss", "mlm_loss", "cosine_loss", "combined_loss")])
+
+
+def q_batch_mean_loss(spark, d):
+    m = M.batch_mean(_batch_losses(spark, d), "combined_loss")
+    return m.select("n_batches", F.round("mean_of_batch_means", 6).alias("mean_of_batch_means"),
+                    F.round("row_weighted_mean", 6).alias("row_weighted_mean"))
+
+
+def q_running_loss(spark, d):
+    r = M.running_mean(_batch_losses(spark, d), "combined_loss")
+    return r.select("batch", F.round("combined_loss", 6).alias("combined_loss"), "batches_so_far",
+                    F.round("running_mean", 6).alias("running_mean"))
+
+
+def q_weighted_ce(spark, d):
+    rows = SV.token_logits(_emb(spark, d))
+    act = rows.filter("active")
+    # One-row class-weight aggregate → two scalars.
+    w = act.agg(F.count(F.lit(1)).alias("n"), F.sum("gold").alias("p")).first()
+    n, p = int(w["n"] or 0), int(w["p"] or 0)
+    weights = (1.0, 1.0) if p == 0 or p == n else (n / (2.0 * (n - p)), n / (2.0 * p))
+    r = L.weighted_ce(rows, weights=weights)
+    return r.select("batch", "n_active", F.round("weighted_ce", 6).alias("weighted_ce"))
+
+
+def q_attention_rationale(spark, d):
+    a = M.attention_rationale(_emb(spark, d), "label", "embedding")
+    return a.select(F.col("label").cast("bigint").alias("label"), "pos", F.round("avg_weight", 9).alias("avg_weight"),
+                    F.col("mask").cast("bigint").alias("mask"))
+
+
+# ---- metrics and selection ------------------------------------------------
+
+# fixed values: stand-in predictions, epoch e predicts 1 when n_chars > step·e
+EPOCH_RUNS = (("classifier", 3, 200), ("rationale", 10, 300))
+
+
+def _epoch_pairs(spark, d):
+    lab = _docs(spark, d).select("doc_id", "n_chars").join(
+        _labels(spark, d).select("doc_id", F.col("quality").alias("label")), "doc_id")
+    runs = F.array(*[F.struct(F.lit(r).alias("run"), F.lit(e).alias("epochs"), F.lit(s).alias("step"))
+                     for r, e, s in EPOCH_RUNS])
+    x = lab.select("doc_id", "n_chars", "label", F.explode(runs).alias("r"))
+    x = x.select("doc_id", "n_chars", "label", "r.run", "r.step",
+                 F.explode(F.sequence(F.lit(1), F.col("r.epochs"))).alias("epoch"))
+    return x.select("run", F.col("epoch").cast("bigint").alias("epoch"), "label",
+                    F.when(F.col("n_chars") > F.col("step") * F.col("epoch"), 1).otherwise(0).alias("pred"))
+
+
+def q_epoch_metrics(spark, d):
+    return M.binary_metrics(_epoch_pairs(spark, d))
+
+
+def q_best_epoch(spark, d):
+    return M.best_epoch(M.binary_metrics(_epoch_pairs(spark, d)))
+
+
+def q_highlight_render(spark, d):
+    ex = _experts(spark, d)
+    m = A.rationale_masks(ex, keep=("doc_id", "text"))
+    toks = F.slice(tokens_of(F.coalesce(F.col("text"), F.lit(""))), 1, WINDOW_TOKENS)
+    return m.select("doc_id", render_highlight(toks, "rationale_mask").alias("rationale_text"))
 
 
 QUERIES = {
@@ -183,4 +282,15 @@ QUERIES = {
     "class_weights": q_class_weights,
     "minibatch_assign": q_minibatch_assign,
     "mlm_mask": q_mlm_mask,
+    "kl_distill_loss": q_kl_distill_loss,
+    "cosine_hidden_loss": q_cosine_hidden_loss,
+    "mlm_loss": q_mlm_loss,
+    "combined_loss": q_combined_loss,
+    "batch_mean_loss": q_batch_mean_loss,
+    "running_loss": q_running_loss,
+    "weighted_ce": q_weighted_ce,
+    "attention_rationale": q_attention_rationale,
+    "epoch_metrics": q_epoch_metrics,
+    "best_epoch": q_best_epoch,
+    "highlight_render": q_highlight_render,
 }

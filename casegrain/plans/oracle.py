@@ -225,3 +225,130 @@ SELECT doc_id, count(*) FILTER (WHERE cand)::BIGINT AS n_candidates, count(*) FI
 FROM flag GROUP BY doc_id
 """,
 }
+
+# ---- losses over embeddings -------------------------------------------------
+PAIRS = """
+pairs AS (
+  SELECT t.vec_id, (t.vec_id // 8)::BIGINT AS batch, t.embedding::DOUBLE[] AS teacher,
+         s.embedding::DOUBLE[] AS student, t.label AS gold,
+         ('0x' || substr(md5('mlm:' || t.vec_id), 1, 8))::BIGINT % 100 < 15 AS masked
+  FROM embeddings t JOIN embeddings s ON s.vec_id = t.vec_id + 1
+),
+p1 AS (SELECT *, list_transform(teacher, lambda x: x / 2.0::DOUBLE) AS tz FROM pairs),
+p2 AS (SELECT *, list_max(tz) AS tm, list_max(student) AS sm FROM p1),
+p3 AS (SELECT *, ln(list_sum(list_transform(tz, lambda x: exp(x - tm)))) AS tl,
+              ln(list_sum(list_transform(student, lambda x: exp(x - sm)))) AS sl FROM p2),
+p4 AS (SELECT *, list_transform(tz, lambda x: x - tm - tl) AS lp,
+              list_transform(student, lambda x: x - sm - sl) AS lq FROM p3),
+lrows AS (
+  SELECT batch, masked,
+         list_sum(list_transform(lp, lambda x, i: exp(x) * (x - lq[i]))) AS kl,
+         -lq[gold + 1] AS nll,
+         1.0::DOUBLE - list_sum(list_transform(student, lambda x, i: x * teacher[i]))
+           / nullif(sqrt(list_sum(list_transform(student, lambda x: x * x)))
+                    * sqrt(list_sum(list_transform(teacher, lambda x: x * x))), 0) AS cos
+  FROM p4
+),
+bl AS (
+  SELECT batch, count(*)::BIGINT AS n_rows, sum(kl) / count(*) AS kl_loss, avg(nll) AS mlm_loss,
+         avg(nll) FILTER (WHERE masked) AS mlm_loss_masked, avg(cos) AS cosine_loss
+  FROM lrows GROUP BY batch
+),
+blc AS (SELECT *, 0.5::DOUBLE * kl_loss + 0.4::DOUBLE * mlm_loss + 0.1::DOUBLE * cosine_loss AS combined_loss FROM bl)"""
+
+EPOCHS = """
+lab AS (SELECT d.doc_id, d.n_chars, l.quality AS label FROM documents d JOIN labels l USING (doc_id)),
+runs AS (SELECT * FROM (VALUES ('classifier', 3, 200), ('rationale', 10, 300)) r(run, epochs, step)),
+eps AS (SELECT unnest(range(1, 11)) AS epoch),
+epairs AS (
+  SELECT r.run, e.epoch, lab.label, CASE WHEN lab.n_chars > r.step * e.epoch THEN 1 ELSE 0 END AS pred
+  FROM lab, runs r, eps e WHERE e.epoch <= r.epochs
+),
+mc AS (
+  SELECT run, epoch::BIGINT AS epoch, count(*)::BIGINT AS n,
+         sum(CASE WHEN pred = 1 AND label = 1 THEN 1 ELSE 0 END)::BIGINT AS tp,
+         sum(CASE WHEN pred = 1 AND label <> 1 THEN 1 ELSE 0 END)::BIGINT AS fp,
+         sum(CASE WHEN pred <> 1 AND label = 1 THEN 1 ELSE 0 END)::BIGINT AS fn,
+         sum(CASE WHEN pred <> 1 AND label <> 1 THEN 1 ELSE 0 END)::BIGINT AS tn
+  FROM epairs GROUP BY run, epoch
+),
+mm AS (
+  SELECT run, epoch, n, tp, fp, fn, tn,
+         round(coalesce((tp + tn)::DOUBLE / nullif(n, 0), 0), 9) AS accuracy,
+         round(coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0), 9) AS precision,
+         round(coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0), 9) AS recall,
+         round(coalesce(2 * tp::DOUBLE / nullif(2 * tp + fp + fn, 0), 0), 9) AS f1
+  FROM mc
+)"""
+
+ORACLE.update({
+    "kl_distill_loss": "WITH " + PAIRS + "\nSELECT batch, n_rows, round(kl_loss, 6) AS kl_loss FROM blc\n",
+    "cosine_hidden_loss": "WITH " + PAIRS + "\nSELECT batch, n_rows, round(cosine_loss, 6) AS cosine_loss FROM blc\n",
+    "mlm_loss": "WITH " + PAIRS + """
+SELECT batch, n_rows, round(mlm_loss, 6) AS mlm_loss, round(mlm_loss_masked, 6) AS mlm_loss_masked FROM blc
+""",
+    "combined_loss": "WITH " + PAIRS + """
+SELECT batch, n_rows, round(kl_loss, 6) AS kl_loss, round(mlm_loss, 6) AS mlm_loss,
+       round(cosine_loss, 6) AS cosine_loss, round(combined_loss, 6) AS combined_loss FROM blc
+""",
+    "batch_mean_loss": "WITH " + PAIRS + """
+SELECT count(*)::BIGINT AS n_batches, round(avg(combined_loss), 6) AS mean_of_batch_means,
+       round(sum(combined_loss * n_rows) / sum(n_rows), 6) AS row_weighted_mean FROM blc
+""",
+    "running_loss": "WITH " + PAIRS + """
+SELECT batch, round(combined_loss, 6) AS combined_loss,
+       count(*) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS batches_so_far,
+       round(avg(combined_loss) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS running_mean
+FROM blc
+""",
+    "weighted_ce": """
+WITH tl AS (
+  SELECT (vec_id // 8)::BIGINT AS batch, list_slice(embedding::DOUBLE[], 1, 2) AS z, label % 2 AS gold, label < 8 AS active
+  FROM embeddings
+),
+w AS (SELECT count(*) AS n, sum(gold) AS p FROM tl WHERE active),
+ww AS (
+  SELECT CASE WHEN p = 0 OR p = n THEN 1.0::DOUBLE ELSE n::DOUBLE / (2.0::DOUBLE * (n - p)) END AS wn,
+         CASE WHEN p = 0 OR p = n THEN 1.0::DOUBLE ELSE n::DOUBLE / (2.0::DOUBLE * p) END AS wp
+  FROM w
+),
+t2 AS (SELECT *, list_max(z) AS m FROM tl),
+t3 AS (SELECT *, ln(list_sum(list_transform(z, lambda x: exp(x - m)))) AS lse FROM t2),
+t4 AS (SELECT batch, active, -(z[gold + 1] - m - lse) AS nll, CASE WHEN gold = 1 THEN wp ELSE wn END AS wt FROM t3, ww)
+SELECT batch, sum(CASE WHEN active THEN 1 ELSE 0 END)::BIGINT AS n_active,
+       round(coalesce(sum(CASE WHEN active THEN wt * nll ELSE 0 END)
+                      / nullif(sum(CASE WHEN active THEN wt ELSE 0 END), 0), 0), 6) AS weighted_ce
+FROM t4 GROUP BY batch
+""",
+    "attention_rationale": """
+WITH x AS (SELECT label, unnest(embedding::DOUBLE[]) AS w, unnest(range(len(embedding))) AS pos FROM embeddings),
+pp AS (SELECT label, pos, avg(w) AS avg_w FROM x GROUP BY label, pos)
+SELECT label::BIGINT AS label, pos::BIGINT AS pos, round(round(avg_w, 12), 9) AS avg_weight,
+       CASE WHEN round(avg_w, 12) > round(avg(avg_w) OVER (PARTITION BY label), 12) THEN 1 ELSE 0 END::BIGINT AS mask
+FROM pp
+""",
+    "epoch_metrics": "WITH " + EPOCHS + "\nSELECT * FROM mm\n",
+    "best_epoch": "WITH " + EPOCHS + """,
+rk AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY f1 DESC, epoch) AS r FROM mm),
+best AS (SELECT run, epoch AS be, f1 AS bf FROM rk WHERE r = 1 AND f1 > 0),
+lst AS (SELECT run, max_by(epoch, epoch) AS le, max_by(f1, epoch) AS lf FROM mm GROUP BY run)
+SELECT lst.run, coalesce(be, le)::BIGINT AS best_epoch, coalesce(bf, lf) AS best_f1,
+       CASE WHEN be IS NOT NULL THEN 'best' ELSE 'last' END AS saved_by
+FROM lst LEFT JOIN best USING (run)
+""",
+    "highlight_render": "WITH " + SPANS + f""",
+hr AS (
+  SELECT m.doc_id, m.mask_bits,
+         list_slice(list_transform(regexp_extract_all(coalesce(d.text, ''), '{TOK}'), lambda t: lower(t)), 1, 510) AS toks
+  FROM masks m JOIN documents d USING (doc_id)
+)
+SELECT doc_id,
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+    array_to_string(list_transform(toks, lambda t, i:
+      CASE WHEN starts_with(t, '##') AND i > 1 THEN regexp_replace(t, '^##', '')
+           ELSE ' ' || CASE WHEN substr(mask_bits, i + 1, 1) = '1' THEN '[' || regexp_replace(t, '^##', '') || ']'
+                            ELSE regexp_replace(t, '^##', '') END END), ''),
+    '^ ', ''), '\\s+([.,;:!?])', '\\1', 'g'), '\\[\\s+', '[', 'g'), '\\s+\\]', ']', 'g') AS rationale_text
+FROM hr
+""",
+})
