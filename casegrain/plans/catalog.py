@@ -21,6 +21,9 @@ from casegrain.operators import losses as L
 from casegrain.operators import metrics as M
 from casegrain.operators.render import render_highlight
 from casegrain.plans import standins_vectors as SV
+from casegrain.operators import cleaning as CL
+from casegrain.operators import legal as LG
+from casegrain.operators import summarize as SU
 
 
 def _docs(spark, d):
@@ -264,6 +267,75 @@ def q_highlight_render(spark, d):
     return m.select("doc_id", render_highlight(toks, "rationale_mask").alias("rationale_text"))
 
 
+# ---- ingestion, cleaning, sections ------------------------------------------
+
+def q_html_to_text(spark, d):
+    p = table(spark, d, "pages")
+    return p.select("page_id", "url", CL.html_to_text("html").alias("text")).select(
+        "page_id", "url", F.length("text").cast("bigint").alias("text_len"), "text")
+
+
+def q_clean_text(spark, d):
+    c = _docs(spark, d).select("doc_id", "text", CL.clean_text("text").alias("clean"))
+    return c.select("doc_id",
+                    F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("bigint").alias("n_lines_in"),
+                    F.size(F.split("clean", "\n", -1)).cast("bigint").alias("n_lines_out"),
+                    F.length("clean").cast("bigint").alias("clean_len"), F.md5("clean").alias("clean_md5"))
+
+
+def _legal(spark, d):
+    return _docs(spark, d).select("doc_id", "source", SI.legal_text().alias("text"))
+
+
+def q_section_split(spark, d):
+    return CL.split_sections(_legal(spark, d))
+
+
+# ---- legal extraction -------------------------------------------------------
+
+def q_entity_extract(spark, d):
+    return LG.extract_entities(_legal(spark, d))
+
+
+def q_citation_extract(spark, d):
+    return LG.extract_citations(_legal(spark, d))
+
+
+def _aliases(spark):
+    return spark.createDataFrame(LG.CODE_ALIASES, "spelling string, code string")
+
+
+def _case_keys(spark, d):
+    return LG.canonical_keys(LG.extract_citations(_legal(spark, d)), _aliases(spark))
+
+
+def q_citation_normalize(spark, d):
+    k = _case_keys(spark, d)
+    return k.groupBy("canonical_key", "kind").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_mentions"),
+        F.countDistinct("doc_id").cast("bigint").alias("n_docs"))
+
+
+def q_extractive_summary(spark, d):
+    top = SU.top_sentences(SU.sentence_scores(_docs(spark, d)))
+    return top.select("doc_id", "rank", "sent_pos", "score")
+
+
+def q_clause_classify(spark, d):
+    return LG.classify_sentences(_legal(spark, d)).drop("sentence")
+
+
+def q_risk_report(spark, d):
+    docs = _legal(spark, d)
+    return LG.risk_report(LG.risk_scores(LG.classify_sentences(docs)), docs)
+
+
+def q_precedent_score(spark, d):
+    legal = _legal(spark, d)
+    keys = _case_keys(spark, d).filter(F.col("kind") == "case")
+    return LG.precedent_levels(keys, LG.holding_docs(legal))
+
+
 QUERIES = {
     "corpus_union": q_corpus_union,
     "sentence_split": q_sentence_split,
@@ -293,4 +365,14 @@ QUERIES = {
     "epoch_metrics": q_epoch_metrics,
     "best_epoch": q_best_epoch,
     "highlight_render": q_highlight_render,
+    "html_to_text": q_html_to_text,
+    "clean_text": q_clean_text,
+    "section_split": q_section_split,
+    "entity_extract": q_entity_extract,
+    "citation_extract": q_citation_extract,
+    "citation_normalize": q_citation_normalize,
+    "extractive_summary": q_extractive_summary,
+    "clause_classify": q_clause_classify,
+    "risk_report": q_risk_report,
+    "precedent_score": q_precedent_score,
 }

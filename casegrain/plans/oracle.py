@@ -352,3 +352,197 @@ SELECT doc_id,
 FROM hr
 """,
 })
+
+# ---- text jobs ----------------------------------------------------------------
+from casegrain.operators import cleaning as _CL  # noqa: E402
+from casegrain.operators import legal as _LG  # noqa: E402
+from casegrain.plans.standins import legal_text_sql  # noqa: E402
+
+LEGAL_DOCS = f"""
+legal AS (SELECT doc_id, source, {legal_text_sql()} AS text FROM documents)"""
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _spans_sql(src: str, pattern: str, label_col: str, label: str) -> str:
+    """Matches of a pattern with 0-based [start, end) offsets, DuckDB side."""
+    p = _q(pattern)
+    return f"""
+SELECT doc_id, {_q(label)} AS {label_col},
+       (coalesce(list_sum(list_transform(list_slice(parts, 1, i), lambda x: length(x))), 0)
+        + coalesce(list_sum(list_transform(list_slice(hits, 1, i - 1), lambda x: length(x))), 0))::BIGINT AS start,
+       h AS txt
+FROM (SELECT *, unnest(hits) AS h, unnest(range(1, len(hits) + 1)) AS i
+      FROM (SELECT doc_id, string_split_regex(text, {p}) AS parts, regexp_extract_all(text, {p}) AS hits FROM {src}))"""
+
+
+def _entities_sql() -> str:
+    parts = [_spans_sql("legal", p, "type", t) for t, p in _LG.ENTITY_PATTERNS]
+    body = " UNION ALL ".join(f"SELECT doc_id, type, start, start + length(txt) AS \"end\", txt AS text FROM ({x})"
+                              for x in parts)
+    case = _spans_sql("legal", _LG.CASE_PATTERN, "type", "PARTY")
+    party = f"""
+SELECT doc_id, 'PARTY' AS type, start, start + length(split_part(txt, ' v. ', 1)) AS "end",
+       split_part(txt, ' v. ', 1) AS text FROM ({case})
+UNION ALL
+SELECT doc_id, 'PARTY' AS type, start + length(txt) - length(substr(txt, strpos(txt, ' v. ') + 4)) AS start,
+       start + length(txt) AS "end", substr(txt, strpos(txt, ' v. ') + 4) AS text FROM ({case})"""
+    return "WITH " + LEGAL_DOCS + f"\nSELECT doc_id, type, start::BIGINT AS start, \"end\"::BIGINT AS \"end\", text FROM ({body} UNION ALL {party})\n"
+
+
+def _citations_cte() -> str:
+    parts = [_spans_sql("legal", p, "kind", k) for k, p in _LG.CITATION_PATTERNS]
+    body = " UNION ALL ".join(
+        f"SELECT doc_id, kind, start::BIGINT AS start, (start + length(txt))::BIGINT AS \"end\", txt AS citation FROM ({x})"
+        for x in parts)
+    aliases = " UNION ALL ".join(f"SELECT {_q(a)} AS spelling, {_q(b)} AS code" for a, b in _LG.CODE_ALIASES)
+    return LEGAL_DOCS + f""",
+cites AS ({body}),
+aliases AS ({aliases}),
+keyed AS (
+  SELECT c.*, CASE
+    WHEN kind = 'statute' THEN 'statute:' || coalesce(a.code, regexp_replace(regexp_extract(citation, ' of the (.*)$', 1), '([A-Z])[a-z]* ?', '\\1', 'g'))
+                               || ':' || regexp_extract(citation, 'Section ([0-9]+[A-Z]?)', 1)
+    WHEN kind = 'case' THEN 'case:' || lower(split_part(citation, ' v. ', 1)) || ' v ' || lower(substr(citation, strpos(citation, ' v. ') + 4))
+    ELSE 'reporter:' || regexp_extract(citation, '\\(([0-9]{{4}})\\) ([0-9]+) ([A-Z]{{2,5}}) ([0-9]+)', 3) || ':'
+         || regexp_extract(citation, '\\(([0-9]{{4}})\\) ([0-9]+) ([A-Z]{{2,5}}) ([0-9]+)', 1) || ':'
+         || regexp_extract(citation, '\\(([0-9]{{4}})\\) ([0-9]+) ([A-Z]{{2,5}}) ([0-9]+)', 2) || ':'
+         || regexp_extract(citation, '\\(([0-9]{{4}})\\) ([0-9]+) ([A-Z]{{2,5}}) ([0-9]+)', 4) END AS canonical_key
+  FROM cites c LEFT JOIN aliases a ON a.spelling = regexp_extract(c.citation, ' of the (.*)$', 1)
+)"""
+
+
+def _lexicon_sql() -> str:
+    rows = " UNION ALL ".join(f"SELECT {_q(t)} AS term, {_q(c)} AS cls, {w} AS w"
+                              for c, terms in sorted(_LG.CLAUSE_LEXICON.items()) for t, w in sorted(terms.items()))
+    return rows
+
+
+CLAUSES = LEGAL_DOCS + f""",
+ls_raw AS (
+  SELECT doc_id, unnest(l) AS raw, unnest(range(len(l))) AS sent_pos
+  FROM (SELECT doc_id, regexp_extract_all(text, '{SENT}') AS l FROM legal)
+),
+ls AS (SELECT doc_id, sent_pos, {_trim('raw')} AS sentence FROM ls_raw WHERE length({_trim('raw')}) > 0),
+lt AS (SELECT doc_id, sent_pos, unnest(list_transform(regexp_extract_all(sentence, '{TOK}'), lambda t: lower(t))) AS token FROM ls),
+lex AS ({_lexicon_sql()}),
+cls_scores AS (SELECT doc_id, sent_pos, cls, sum(w) AS score FROM lt JOIN lex ON lt.token = lex.term GROUP BY ALL),
+best AS (
+  SELECT doc_id, sent_pos, cls, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id, sent_pos ORDER BY score DESC, cls) AS r FROM cls_scores) WHERE r = 1
+),
+clauses AS (
+  SELECT ls.doc_id, ls.sent_pos::BIGINT AS sent_pos, CASE WHEN b.score > 0 THEN b.cls ELSE 'other' END AS clause_class,
+         coalesce(b.score, 0)::BIGINT AS score
+  FROM ls LEFT JOIN best b USING (doc_id, sent_pos)
+)"""
+
+ORACLE.update({
+    "html_to_text": f"""
+WITH t AS (
+  SELECT page_id, url,
+    regexp_replace(regexp_replace(
+      replace(replace(replace(replace(replace(replace(
+        regexp_replace(regexp_replace(html, {_q(_CL.SCRIPT_STYLE)}, ' ', 'g'), {_q(_CL.TAG)}, ' ', 'g'),
+        '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'),
+      '[\\t\\n\\x0B\\f\\r ]+', ' ', 'g'), '^ | $', '', 'g') AS text
+  FROM pages
+)
+SELECT page_id, url, length(text)::BIGINT AS text_len, text FROM t
+""",
+    "clean_text": f"""
+WITH a AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         regexp_replace(translate(coalesce(text, ''), {_q(_CL.CURLY_FROM)}, {_q(_CL.CURLY_TO)}), {_q(_CL.CONTROL)}, '', 'g') AS x
+  FROM documents
+),
+b AS (
+  SELECT doc_id, text, list_transform(string_split(x, chr(10)),
+           lambda l: regexp_replace(regexp_replace(l, '[\\t\\r ]+', ' ', 'g'), '^ | $', '', 'g')) AS ls
+  FROM a
+),
+c AS (
+  SELECT doc_id, text,
+    regexp_replace(regexp_replace(array_to_string(list_filter(ls, lambda ln, i:
+        length(ln) = 0 OR (length(regexp_replace(ln, '[^\\p{{L}}\\p{{N}}]', '', 'g')) * 2
+                           >= length(regexp_replace(ln, '[\\t\\n\\x0B\\f\\r ]', '', 'g'))
+                           AND list_position(ls, ln) = i)), chr(10)),
+      '\\n\\n+', chr(10) || chr(10), 'g'), '^\\n+|\\n+$', '', 'g') AS clean
+  FROM b
+)
+SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS n_lines_in, len(string_split(clean, chr(10)))::BIGINT AS n_lines_out,
+       length(clean)::BIGINT AS clean_len, md5(clean) AS clean_md5
+FROM c
+""",
+    "section_split": "WITH " + LEGAL_DOCS + f""",
+ln AS (SELECT doc_id, unnest(l) AS raw, unnest(range(len(l))) AS line_no FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM legal)),
+ln2 AS (SELECT *, regexp_replace(regexp_replace(raw, '[\\t\\r ]+', ' ', 'g'), '^ | $', '', 'g') AS line FROM ln),
+ln3 AS (
+  SELECT *, length(line) > 0 AND (regexp_matches(line, {_q(_CL.HEADING_NUMBERED)})
+            OR (upper(line) = line AND lower(line) <> line AND len(string_split_regex(trim(line), ' +')) <= {_CL.MAX_CAPS_HEADING_WORDS})) AS is_head
+  FROM ln2
+),
+ln4 AS (SELECT *, sum(is_head::INT) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section_no FROM ln3)
+SELECT doc_id, section_no::BIGINT AS section_no,
+       max(CASE WHEN is_head THEN lower(regexp_replace(line, {_q(_CL.HEADING_PREFIX)}, '')) END) AS heading_key,
+       sum(CASE WHEN NOT is_head THEN 1 ELSE 0 END)::BIGINT AS n_lines,
+       sum(CASE WHEN NOT is_head THEN length(line) ELSE 0 END)::BIGINT AS body_chars
+FROM ln4 GROUP BY doc_id, section_no
+""",
+    "entity_extract": _entities_sql(),
+    "citation_extract": "WITH " + _citations_cte() + "\nSELECT doc_id, kind, start, \"end\", citation FROM cites\n",
+    "citation_normalize": "WITH " + _citations_cte() + """
+SELECT canonical_key, kind, count(*)::BIGINT AS n_mentions, count(DISTINCT doc_id)::BIGINT AS n_docs
+FROM keyed GROUP BY canonical_key, kind
+""",
+    "extractive_summary": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+nd AS (SELECT count(*) AS n FROM d),
+dt AS (SELECT doc_id, unnest(list_transform(regexp_extract_all(t, '{TOK}'), lambda x: lower(x))) AS token FROM d),
+tf AS (SELECT doc_id, token, count(*) AS tf FROM dt GROUP BY doc_id, token),
+idf AS (SELECT token, ln((nd.n + 1)::DOUBLE / (count(*) + 1)) AS idf FROM tf, nd GROUP BY token, nd.n),
+s_raw AS (SELECT doc_id, unnest(l) AS raw, unnest(range(len(l))) AS sent_pos
+          FROM (SELECT doc_id, regexp_extract_all(t, '{SENT}') AS l FROM d)),
+s AS (SELECT doc_id, sent_pos, list_transform(regexp_extract_all({_trim('raw')}, '{TOK}'), lambda x: lower(x)) AS toks FROM s_raw),
+st AS (SELECT doc_id, sent_pos, unnest(toks) AS token FROM s WHERE len(toks) >= 3),
+sc AS (
+  SELECT st.doc_id, st.sent_pos, round(avg(tf.tf * idf.idf), 9) AS score
+  FROM st JOIN tf USING (doc_id, token) JOIN idf USING (token) GROUP BY st.doc_id, st.sent_pos
+),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, sent_pos) AS rank FROM sc)
+SELECT doc_id, rank::BIGINT AS rank, sent_pos::BIGINT AS sent_pos, score FROM r WHERE rank <= 3
+""",
+    "clause_classify": "WITH " + CLAUSES + "\nSELECT doc_id, sent_pos, clause_class, score FROM clauses\n",
+    "risk_report": "WITH " + CLAUSES + """,
+pts AS (
+  SELECT doc_id, sum(CASE clause_class WHEN 'indemnity' THEN 3 WHEN 'termination' THEN 2
+                                       WHEN 'confidentiality' THEN 1 ELSE 0 END) AS p, count(*) AS n
+  FROM clauses GROUP BY doc_id
+),
+rk AS (
+  SELECT doc_id, p::DOUBLE / greatest(n, 1) * 100.0 AS risk FROM pts
+),
+lv AS (
+  SELECT rk.doc_id, l.source, risk, CASE WHEN risk >= 20.0 THEN 'HIGH' WHEN risk >= 5.0 THEN 'MEDIUM' ELSE 'LOW' END AS level
+  FROM rk JOIN legal l USING (doc_id)
+)
+SELECT source, level, count(*)::BIGINT AS n_docs, round(avg(risk), 6) AS avg_risk FROM lv GROUP BY ROLLUP (source, level)
+""",
+    "precedent_score": "WITH " + _citations_cte() + f""",
+hs_raw AS (SELECT doc_id, unnest(regexp_extract_all(text, '{SENT}')) AS raw FROM legal),
+holders AS (SELECT DISTINCT doc_id FROM hs_raw
+            WHERE regexp_matches(lower({_trim('raw')}), {_q("|".join(_LG.HOLDING_CUES))})),
+ck AS (SELECT DISTINCT doc_id, canonical_key FROM keyed WHERE kind = 'case'),
+per AS (
+  SELECT canonical_key, count(*)::BIGINT AS cited_by, count(h.doc_id)::BIGINT AS cited_by_holdings
+  FROM ck LEFT JOIN holders h USING (doc_id) GROUP BY canonical_key
+),
+q AS (SELECT quantile_cont(cited_by, 0.99) AS q99, quantile_cont(cited_by, 0.90) AS q90 FROM per)
+SELECT canonical_key, cited_by, cited_by_holdings,
+       CASE WHEN cited_by = 0 THEN 'uncited' WHEN cited_by >= q99 THEN 'landmark'
+            WHEN cited_by >= q90 THEN 'leading' ELSE 'ordinary' END AS level
+FROM per, q
+""",
+})

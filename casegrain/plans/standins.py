@@ -78,3 +78,80 @@ def corpus_splits(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return (allsplits
             .withColumn("raw_text", F.col("text"))
             .withColumn("rationale_mask", F.when(F.col("split") != "test", zeros)))
+
+
+# ---- legal templates (fixed values) -----------------------------------------
+# The corpus has no legal wording, so the text jobs run over the document
+# followed by one of these templates, chosen by doc_id % 6.  Placeholders:
+# {n} = doc_id % 500, {a} = doc_id % 12 + 1, {b} = (doc_id * 7) % 900 + 100,
+# {m} = doc_id % 90 + 10, {d} = doc_id % 18 + 10.
+LEGAL_TEMPLATES = [
+    "ARTICLE 1. DEFINITIONS\nThe appellant was charged under Section {n}A of the Indian Penal Code. "
+    "In State v. Sharma the court held that the evidence was insufficient.\nSECTION 2) PAYMENT\n"
+    "The buyer shall pay Rs. {m},000 on 14 March 2019 to Tata Motors Ltd.",
+    "The accused relied on ({y}) {a} SCC {b} and on Section {n} of the I.P.C. We hold that the appeal "
+    "must be allowed.\nThe supplier shall indemnify the buyer against all losses.\n"
+    "Payment of USD {m},500.75 is due on 2020-01-{d}.",
+    "CONFIDENTIALITY\nEach party shall keep all information confidential and shall not disclose it.\n"
+    "This agreement may be terminated by either party on notice. It is settled that Section {n} of the IPC "
+    "applies. See Union of India v. Rao, ({y}) {a} SCC {b}.",
+    "The Reserve Bank of India issued a circular. The High Court in Kumar v. State of Punjab held that "
+    "bail may be granted.\nThe tenant shall pay $ {m}.00 per month. Liability shall be limited to direct damages.",
+    "",
+    "SECTION 5. TERMINATION\nEither party may terminate this agreement for breach. The licensee shall "
+    "indemnify and hold harmless the licensor.\nSection {n}A of the Indian Penal Code was considered in "
+    "({y}) {a} SCC {b}.",
+]
+# {y} = 1990 + doc_id % 30
+# -----------------------------------------------------------------------------
+
+_PLACEHOLDERS = {
+    "n": lambda c: c % 500,
+    "a": lambda c: c % 12 + 1,
+    "b": lambda c: (c * 7) % 900 + 100,
+    "m": lambda c: c % 90 + 10,
+    "d": lambda c: c % 18 + 10,
+    "y": lambda c: c % 30 + 1990,
+}
+
+
+def _template_expr(tpl: str, doc_id):
+    import re as _re
+    parts = []
+    for chunk in _re.split(r"(\{[a-z]\})", tpl):
+        if _re.fullmatch(r"\{[a-z]\}", chunk):
+            parts.append(_PLACEHOLDERS[chunk[1]](doc_id).cast("string"))
+        elif chunk:
+            parts.append(F.lit(chunk))
+    return F.concat(*parts) if parts else F.lit("")
+
+
+def legal_text(doc_id: str = "doc_id", text: str = "text"):
+    """The document followed by its legal template (newline-separated)."""
+    c = F.col(doc_id)
+    k = c % len(LEGAL_TEMPLATES)
+    tpl = F.lit("")
+    for i in reversed(range(len(LEGAL_TEMPLATES))):
+        tpl = F.when(k == i, _template_expr(LEGAL_TEMPLATES[i], c)).otherwise(tpl)
+    return F.concat(F.coalesce(F.col(text), F.lit("")), F.lit("\n"), tpl)
+
+
+def legal_text_sql(doc_id: str = "doc_id", text: str = "text") -> str:
+    """DuckDB spelling of :func:`legal_text` for the oracle."""
+    import re as _re
+    sql_ph = {
+        "n": f"({doc_id} % 500)", "a": f"({doc_id} % 12 + 1)", "b": f"(({doc_id} * 7) % 900 + 100)",
+        "m": f"({doc_id} % 90 + 10)", "d": f"({doc_id} % 18 + 10)", "y": f"({doc_id} % 30 + 1990)",
+    }
+
+    def one(tpl):
+        out = []
+        for chunk in _re.split(r"(\{[a-z]\})", tpl):
+            if _re.fullmatch(r"\{[a-z]\}", chunk):
+                out.append(f"CAST({sql_ph[chunk[1]]} AS VARCHAR)")
+            elif chunk:
+                out.append("'" + chunk.replace("'", "''").replace("\n", "' || chr(10) || '") + "'")
+        return " || ".join(out) if out else "''"
+
+    cases = " ".join(f"WHEN {i} THEN {one(t)}" for i, t in enumerate(LEGAL_TEMPLATES))
+    return f"(coalesce({text}, '') || chr(10) || CASE {doc_id} % {len(LEGAL_TEMPLATES)} {cases} END)"
