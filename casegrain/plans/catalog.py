@@ -24,6 +24,8 @@ from casegrain.plans import standins_vectors as SV
 from casegrain.operators import cleaning as CL
 from casegrain.operators import legal as LG
 from casegrain.operators import summarize as SU
+from casegrain.operators import evaluation as EV
+from casegrain.operators import similarity as SIM
 
 
 def _docs(spark, d):
@@ -336,6 +338,61 @@ def q_precedent_score(spark, d):
     return LG.precedent_levels(keys, LG.holding_docs(legal))
 
 
+# ---- similarity, clustering ---------------------------------------------------
+
+def q_similarity_topk(spark, d):
+    emb = _emb(spark, d)
+    cen = SIM.label_centroids(emb).select(F.col("label").cast("bigint").alias("query_id"),
+                                          F.col("centroid").alias("query_vec"))
+    return SIM.top_k_similar(emb, cen, k=5, exclude_self=False)
+
+
+def q_similarity_lsh(spark, d):
+    docs = _docs(spark, d).select("doc_id", tokens_of(F.coalesce(F.col("text"), F.lit(""))).alias("toks"))
+    return SIM.near_duplicates(docs)
+
+
+def q_clustering(spark, d):
+    c = SIM.kmeans_clusters(_emb(spark, d))
+    return c.select("cluster", "size", "majority_label", F.round("purity", 6).alias("purity"))
+
+
+# ---- summary and extractor metrics --------------------------------------------
+
+def _turn_pairs(spark, d):
+    """Reference = a user turn, candidate = the assistant turn that follows it."""
+    conv = table(spark, d, "conversations")
+    ref = conv.filter(F.col("role") == "user").select(
+        "conv_id", "turn", tokens_of(F.coalesce(F.col("text"), F.lit(""))).alias("ref"))
+    cand = conv.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), tokens_of(F.coalesce(F.col("text"), F.lit(""))).alias("cand"))
+    return ref.join(cand, ["conv_id", "turn"]).select(
+        F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("pair"), "cand", "ref")
+
+
+def q_rouge_n(spark, d):
+    return EV.rouge_n(_turn_pairs(spark, d), "pair", "cand", "ref")
+
+
+def q_bleu(spark, d):
+    return EV.corpus_bleu(_turn_pairs(spark, d), "pair", "cand", "ref")
+
+
+def q_rouge_l(spark, d):
+    return EV.rouge_l(_turn_pairs(spark, d), "pair", "cand", "ref")
+
+
+def q_extractor_prf(spark, d):
+    docs = _docs(spark, d)
+    pred = LG.extract_entities(docs.select("doc_id", SI.legal_text().alias("text")))
+    gold = LG.extract_entities(docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("_off"),
+                                           SI.legal_template().alias("tpl")), text="tpl")
+    offs = docs.select("doc_id", (F.length(F.coalesce("text", F.lit(""))) + 1).alias("_off"))
+    gold = gold.join(offs, "doc_id").select("doc_id", "type", (F.col("start") + F.col("_off")).alias("start"),
+                                            (F.col("end") + F.col("_off")).alias("end"))
+    return EV.span_prf(pred, gold)
+
+
 QUERIES = {
     "corpus_union": q_corpus_union,
     "sentence_split": q_sentence_split,
@@ -375,4 +432,11 @@ QUERIES = {
     "clause_classify": q_clause_classify,
     "risk_report": q_risk_report,
     "precedent_score": q_precedent_score,
+    "similarity_topk": q_similarity_topk,
+    "similarity_lsh": q_similarity_lsh,
+    "clustering": q_clustering,
+    "rouge_n": q_rouge_n,
+    "bleu": q_bleu,
+    "rouge_l": q_rouge_l,
+    "extractor_prf": q_extractor_prf,
 }

@@ -378,18 +378,22 @@ FROM (SELECT *, unnest(hits) AS h, unnest(range(1, len(hits) + 1)) AS i
       FROM (SELECT doc_id, string_split_regex(text, {p}) AS parts, regexp_extract_all(text, {p}) AS hits FROM {src}))"""
 
 
-def _entities_sql() -> str:
-    parts = [_spans_sql("legal", p, "type", t) for t, p in _LG.ENTITY_PATTERNS]
+def _entity_rows_sql(src: str) -> str:
+    parts = [_spans_sql(src, p, "type", t) for t, p in _LG.ENTITY_PATTERNS]
     body = " UNION ALL ".join(f"SELECT doc_id, type, start, start + length(txt) AS \"end\", txt AS text FROM ({x})"
                               for x in parts)
-    case = _spans_sql("legal", _LG.CASE_PATTERN, "type", "PARTY")
+    case = _spans_sql(src, _LG.CASE_PATTERN, "type", "PARTY")
     party = f"""
 SELECT doc_id, 'PARTY' AS type, start, start + length(split_part(txt, ' v. ', 1)) AS "end",
        split_part(txt, ' v. ', 1) AS text FROM ({case})
 UNION ALL
 SELECT doc_id, 'PARTY' AS type, start + length(txt) - length(substr(txt, strpos(txt, ' v. ') + 4)) AS start,
        start + length(txt) AS "end", substr(txt, strpos(txt, ' v. ') + 4) AS text FROM ({case})"""
-    return "WITH " + LEGAL_DOCS + f"\nSELECT doc_id, type, start::BIGINT AS start, \"end\"::BIGINT AS \"end\", text FROM ({body} UNION ALL {party})\n"
+    return f"SELECT doc_id, type, start::BIGINT AS start, \"end\"::BIGINT AS \"end\", text FROM ({body} UNION ALL {party})"
+
+
+def _entities_sql() -> str:
+    return "WITH " + LEGAL_DOCS + "\n" + _entity_rows_sql("legal") + "\n"
 
 
 def _citations_cte() -> str:
@@ -546,3 +550,106 @@ SELECT canonical_key, cited_by, cited_by_holdings,
 FROM per, q
 """,
 })
+
+# ---- similarity and summary metrics -------------------------------------------
+from casegrain.plans.standins import legal_template_sql  # noqa: E402
+
+TURN_PAIRS = f"""
+cv AS (
+  SELECT conv_id, turn, role, list_transform(regexp_extract_all(coalesce(text, ''), '{TOK}'), lambda x: lower(x)) AS toks
+  FROM conversations
+),
+pairs AS (
+  SELECT u.conv_id || ':' || u.turn AS pair, a.toks AS cand, u.toks AS ref
+  FROM cv u JOIN cv a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+  WHERE u.role = 'user' AND a.role = 'assistant'
+)"""
+
+
+def _overlap_cte(n: int) -> str:
+    def grams(col):
+        return (f"SELECT pair, unnest(list_transform(range(1, len({col}) - {n} + 2), "
+                f"lambda i: array_to_string(list_slice({col}, i, i + {n} - 1), ' '))) AS g FROM pairs")
+    return f"""
+g{n}c AS (SELECT pair, g, count(*) AS c FROM ({grams('cand')}) GROUP BY pair, g),
+g{n}r AS (SELECT pair, g, count(*) AS r FROM ({grams('ref')}) GROUP BY pair, g),
+o{n} AS (SELECT pair, sum(least(coalesce(c, 0), coalesce(r, 0))) AS overlap
+         FROM g{n}c FULL OUTER JOIN g{n}r USING (pair, g) GROUP BY pair),
+ov{n} AS (
+  SELECT p.pair, {n}::BIGINT AS n, coalesce(o.overlap, 0)::BIGINT AS overlap,
+         greatest(len(p.cand) - {n} + 1, 0)::BIGINT AS cand_grams, greatest(len(p.ref) - {n} + 1, 0)::BIGINT AS ref_grams
+  FROM pairs p LEFT JOIN o{n} o USING (pair)
+)"""
+
+
+def _prf_sql(o: str, c: str, r: str) -> str:
+    p = f"coalesce({o}::DOUBLE / nullif({c}, 0), 0)"
+    rr = f"coalesce({o}::DOUBLE / nullif({r}, 0), 0)"
+    return (f"round({p}, 9) AS precision, round({rr}, 9) AS recall, "
+            f"round(coalesce(2 * {p} * {rr} / nullif({p} + {rr}, 0), 0), 9) AS f1")
+
+
+ORACLE.update({
+    "similarity_topk": """
+WITH x AS (SELECT label, unnest(embedding::DOUBLE[]) AS v, unnest(range(len(embedding))) AS pos FROM embeddings),
+c AS (SELECT label, pos, avg(v) AS m FROM x GROUP BY label, pos),
+cen AS (SELECT label::BIGINT AS query_id, list(m ORDER BY pos) AS q FROM c GROUP BY label),
+sc AS (
+  SELECT cen.query_id, e.vec_id,
+         round(list_sum(list_transform(q, lambda a, i: a * e.embedding[i]::DOUBLE))
+               / nullif(sqrt(list_sum(list_transform(q, lambda a: a * a)))
+                        * sqrt(list_sum(list_transform(e.embedding::DOUBLE[], lambda a: a * a))), 0), 9) AS cosine
+  FROM cen, embeddings e
+)
+SELECT query_id, rank::BIGINT AS rank, vec_id, cosine
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM sc
+      WHERE cosine IS NOT NULL)
+WHERE rank <= 5
+""",
+    "rouge_n": "WITH " + TURN_PAIRS + "," + _overlap_cte(1) + "," + _overlap_cte(2) + f"""
+SELECT pair, n, overlap, cand_grams, ref_grams, {_prf_sql('overlap', 'cand_grams', 'ref_grams')}
+FROM (SELECT * FROM ov1 UNION ALL SELECT * FROM ov2)
+""",
+    "bleu": "WITH " + TURN_PAIRS + "," + ",".join(_overlap_cte(n) for n in (1, 2, 3, 4)) + """,
+t AS (
+  SELECT (SELECT sum(overlap) FROM ov1) AS m1, (SELECT sum(cand_grams) FROM ov1) AS c1,
+         (SELECT sum(overlap) FROM ov2) AS m2, (SELECT sum(cand_grams) FROM ov2) AS c2,
+         (SELECT sum(overlap) FROM ov3) AS m3, (SELECT sum(cand_grams) FROM ov3) AS c3,
+         (SELECT sum(overlap) FROM ov4) AS m4, (SELECT sum(cand_grams) FROM ov4) AS c4,
+         (SELECT sum(len(cand)) FROM pairs) AS c_len, (SELECT sum(len(ref)) FROM pairs) AS r_len
+),
+p AS (
+  SELECT coalesce(m1::DOUBLE / nullif(c1, 0), 0) AS p1, coalesce(m2::DOUBLE / nullif(c2, 0), 0) AS p2,
+         coalesce(m3::DOUBLE / nullif(c3, 0), 0) AS p3, coalesce(m4::DOUBLE / nullif(c4, 0), 0) AS p4,
+         CASE WHEN coalesce(c_len, 0) = 0 THEN 0.0 ELSE least(1.0, exp(1 - r_len::DOUBLE / c_len)) END AS bp,
+         coalesce(c_len, 0)::BIGINT AS cand_len, coalesce(r_len, 0)::BIGINT AS ref_len
+  FROM t
+)
+SELECT round(p1, 9) AS p1, round(p2, 9) AS p2, round(p3, 9) AS p3, round(p4, 9) AS p4,
+       round(bp, 9) AS brevity_penalty,
+       round(CASE WHEN p1 = 0 OR p2 = 0 OR p3 = 0 OR p4 = 0 THEN 0.0
+                  ELSE bp * exp((ln(p1) + ln(p2) + ln(p3) + ln(p4)) / 4) END, 9) AS bleu,
+       cand_len, ref_len
+FROM p
+""",
+    "extractor_prf": "WITH " + LEGAL_DOCS + f""",
+tpl AS (SELECT doc_id, {legal_template_sql()} AS text, length(coalesce(text, '')) + 1 AS off FROM documents),
+pred AS ({_entity_rows_sql('legal')}),
+gold0 AS ({_entity_rows_sql('tpl')}),
+gold AS (SELECT g.doc_id, g.type, g.start + t.off AS start, g."end" + t.off AS "end" FROM gold0 g JOIN tpl t USING (doc_id)),
+j AS (
+  SELECT coalesce(p.type, g.type) AS type, p.doc_id IS NOT NULL AS hp, g.doc_id IS NOT NULL AS hg
+  FROM (SELECT DISTINCT doc_id, type, start, "end" FROM pred) p
+  FULL OUTER JOIN (SELECT DISTINCT doc_id, type, start, "end" FROM gold) g
+  ON p.doc_id = g.doc_id AND p.type = g.type AND p.start = g.start AND p."end" = g."end"
+),
+agg AS (
+  SELECT coalesce(type, 'ALL') AS type,
+         sum(CASE WHEN hp AND hg THEN 1 ELSE 0 END)::BIGINT AS tp,
+         sum(CASE WHEN hp AND NOT hg THEN 1 ELSE 0 END)::BIGINT AS fp,
+         sum(CASE WHEN hg AND NOT hp THEN 1 ELSE 0 END)::BIGINT AS fn
+  FROM j GROUP BY ROLLUP (type)
+)
+SELECT type, tp, fp, fn, {_prf_sql('tp', 'tp + fp', 'tp + fn')} FROM agg
+""",
+})

@@ -155,3 +155,18 @@ def legal_text_sql(doc_id: str = "doc_id", text: str = "text") -> str:
 
     cases = " ".join(f"WHEN {i} THEN {one(t)}" for i, t in enumerate(LEGAL_TEMPLATES))
     return f"(coalesce({text}, '') || chr(10) || CASE {doc_id} % {len(LEGAL_TEMPLATES)} {cases} END)"
+
+
+def legal_template(doc_id: str = "doc_id"):
+    """The template part alone (used as gold for extractor metrics)."""
+    c = F.col(doc_id)
+    k = c % len(LEGAL_TEMPLATES)
+    tpl = F.lit("")
+    for i in reversed(range(len(LEGAL_TEMPLATES))):
+        tpl = F.when(k == i, _template_expr(LEGAL_TEMPLATES[i], c)).otherwise(tpl)
+    return tpl
+
+
+def legal_template_sql(doc_id: str = "doc_id") -> str:
+    full = legal_text_sql(doc_id, "''")
+    return full.replace("(coalesce('', '') || chr(10) || ", "(", 1)
