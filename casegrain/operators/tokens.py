@@ -97,3 +97,43 @@ def pad_or_truncate(mask_col, length: int = MAX_LEN):
     """A 0/1 array truncated or zero-padded to ``length`` (mask alignment)."""
     m = F.slice(F.coalesce(mask_col, F.array().cast("array<int>")), 1, length)
     return F.concat(m, F.array_repeat(F.lit(0), length - F.size(m)))
+
+
+def segment_rare(types: DataFrame, vocab: DataFrame, token: str = "token",
+                 max_vocab_broadcast: int = 2_000_000) -> DataFrame:
+    """Greedy longest-prefix segmentation of word types into vocabulary pieces.
+
+    From each position the longest substring that is a vocabulary token is
+    taken (one character when none is), continuation pieces carry ``##``.
+    Work is per distinct type, never per token occurrence: every candidate
+    substring (up to the longest vocabulary entry) is matched by one join
+    with the vocabulary, then the greedy walk runs inside the row.
+    """
+    v = vocab.select(F.col("token").alias("piece"))
+    max_piece = v.agg(F.max(F.length("piece"))).first()[0] or 1
+    t = types.select(F.col(token).alias("token")).distinct()
+    # All (start, length) candidates, bounded by the longest vocabulary entry.
+    cand = t.select("token", F.posexplode(F.sequence(F.lit(0), F.length("token") - 1)).alias("_x", "i")).select(
+        "token", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(max_piece), F.length("token") - F.col("i"))))
+        .alias("len"))
+    cand = cand.withColumn("piece", F.substring("token", F.col("i") + 1, F.col("len")))
+    hits = cand.join(broadcast_if_small(v, max_vocab_broadcast), "piece", "left_semi")
+    best = hits.groupBy("token", "i").agg(F.max("len").alias("len"))
+    per_type = t.join(best.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("i", "len"))).alias("m")),
+                      "token", "left")
+
+    def walk(tok, m):
+        init = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("pieces"))
+
+        def step(acc, k):
+            take = F.coalesce(F.element_at(m, k), F.lit(1))
+            piece = F.substring(tok, k + 1, take)
+            return F.when(acc["at"] == k, F.struct(
+                (k + take).alias("at"),
+                F.concat(acc["pieces"], F.array(F.when(k == 0, piece).otherwise(F.concat(F.lit("##"), piece))))
+                .alias("pieces"))).otherwise(acc)
+
+        return F.aggregate(F.sequence(F.lit(0), F.length(tok) - 1), init, step, lambda acc: acc["pieces"])
+
+    m = F.coalesce(F.col("m"), F.create_map().cast("map<int,int>"))
+    return per_type.select("token", walk(F.col("token"), m).alias("pieces"))

@@ -26,6 +26,12 @@ from casegrain.operators import legal as LG
 from casegrain.operators import summarize as SU
 from casegrain.operators import evaluation as EV
 from casegrain.operators import similarity as SIM
+from casegrain.plans import models as MD
+from casegrain.sources import csv_io, token_store
+from casegrain.sources.model_store import load_first, save_model
+from casegrain.streaming import predict_stream as PS
+from casegrain.session import scratch_path
+from pyspark.sql import types as T
 
 
 def _docs(spark, d):
@@ -393,6 +399,121 @@ def q_extractor_prf(spark, d):
     return EV.span_prf(pred, gold)
 
 
+# ---- sources: CSV round trip, token store -------------------------------------
+
+CORPUS_CSV_SCHEMA = T.StructType([
+    T.StructField("split", T.StringType()), T.StructField("doc_id", T.LongType()),
+    T.StructField("label", T.IntegerType()), T.StructField("text", T.StringType()),
+    T.StructField("rationale_mask", T.StringType()),
+    *[T.StructField(f"expert_{k}", T.StringType()) for k in range(1, 6)],
+])
+
+
+def q_csv_roundtrip(spark, d):
+    c = SI.corpus_splits(_docs(spark, d), _labels(spark, d)).select(
+        "split", "doc_id", "label", "text", "rationale_mask", *[f"expert_{k}" for k in range(1, 6)])
+    path = scratch_path(spark, "csv/corpus")
+    csv_io.write_csv(c, path, array_cols=("rationale_mask",))
+    back = csv_io.read_csv(spark, path, CORPUS_CSV_SCHEMA, array_cols={"rationale_mask": "array<int>"})
+    n_exp = sum((F.when(F.col(f"expert_{k}").isNotNull(), 1).otherwise(0) for k in range(1, 6)), F.lit(0))
+    return back.select(
+        "split", "doc_id", "label", F.md5("text").alias("text_md5"),
+        F.when(F.col("rationale_mask").isNotNull(), F.size("rationale_mask")).cast("bigint").alias("mask_len"),
+        F.aggregate("rationale_mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("mask_sum"),
+        n_exp.cast("bigint").alias("n_experts"))
+
+
+def q_token_store(spark, d):
+    corpus = SI.corpus_splits(_docs(spark, d), _labels(spark, d)).filter(F.col("split") != "expert")
+    enc = TK.encode_window(corpus.select("doc_id", "text"), _vocab(spark, d))
+    enc = enc.join(corpus.select("doc_id", "split"), "doc_id")
+    path = scratch_path(spark, "tokens")
+    token_store.write_tokens(enc, path)
+    back = token_store.read_tokens(spark, path)
+    return back.select("split", "doc_id",
+                       F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_attention"),
+                       F.md5(F.array_join("input_ids", " ")).alias("ids_md5"))
+
+
+def q_subword_segment(spark, d):
+    vocab = _vocab(spark, d)
+    types = _docs(spark, d).select(F.explode(tokens_of(F.coalesce(F.col("text"), F.lit("")))).alias("token")).distinct()
+    rare = types.join(vocab.select("token"), "token", "left_anti")
+    seg = TK.segment_rare(rare, vocab)
+    return seg.select("token", F.size("pieces").cast("bigint").alias("n_pieces"),
+                      F.array_join("pieces", " ").alias("pieces_text"))
+
+
+# ---- models (rows-checked: model quality is not SQL) --------------------------
+
+def _corpus(spark, d):
+    return SI.corpus_splits(_docs(spark, d), _labels(spark, d))
+
+
+def q_classifier_train(spark, d):
+    met, model, best = MD.train_classifier(_corpus(spark, d), save_to=scratch_path(spark, "models/classifier"))
+    return met
+
+
+def q_distill_train(spark, d):
+    summary, f1, _, _ = MD.train_distilled(_corpus(spark, d))
+    s = summary.first()
+    return f1.select("run", "n", "accuracy", "precision", "recall", "f1",
+                     F.lit(s["agreement"]).alias("agreement"), F.lit(s["kl_teacher_student"]).alias("kl_teacher_student"))
+
+
+def _rationale(spark, d):
+    return MD.train_rationale(_masks(spark, d), _docs(spark, d).select("doc_id", "text"))
+
+
+def q_rationale_train(spark, d):
+    met, _, _ = _rationale(spark, d)
+    return met
+
+
+def q_kfold_cv(spark, d):
+    labelled = _docs(spark, d).select("doc_id", "text").join(
+        _labels(spark, d).select("doc_id", F.col("quality").cast("int").alias("label")), "doc_id")
+    per, stats = MD.kfold_metrics(labelled)
+    st = stats.first()
+    return per.select("*", *[F.lit(st[c]).alias(c) for c in stats.columns])
+
+
+_MODELS: dict = {}
+
+
+def _trained(spark, d):
+    """Classifier and tagger, saved under the shared folder and loaded back
+    through the ordered-fallback loader (as a scoring job would)."""
+    key = (id(spark), d)
+    if key not in _MODELS:
+        _, clf, _ = MD.train_classifier(_corpus(spark, d))
+        _, tagger, _ = _rationale(spark, d)
+        clf_path = save_model(clf, scratch_path(spark, "models/classifier"))
+        tag_path = save_model(tagger, scratch_path(spark, "models/rationale"))
+        _MODELS[key] = (clf_path, tag_path)
+    clf_path, tag_path = _MODELS[key]
+    return load_first([clf_path]), load_first([tag_path])
+
+
+def _cases(spark, d):
+    conv = table(spark, d, "conversations")
+    return conv.filter(F.col("role") == "user").select("conv_id", "turn", "text")
+
+
+def q_predict_batch(spark, d):
+    clf, tagger = _trained(spark, d)
+    return MD.predict_cases(_cases(spark, d), clf, tagger, keys=("conv_id", "turn"))
+
+
+def q_predict_stream(spark, d):
+    clf, tagger = _trained(spark, d)
+    cases = _cases(spark, d)
+    landing = scratch_path(spark, "stream/landing")
+    PS.stage_cases(cases, landing)
+    return PS.run_prediction_stream(spark, landing, cases.schema, clf, tagger, keys=("conv_id", "turn"))
+
+
 QUERIES = {
     "corpus_union": q_corpus_union,
     "sentence_split": q_sentence_split,
@@ -439,4 +560,13 @@ QUERIES = {
     "bleu": q_bleu,
     "rouge_l": q_rouge_l,
     "extractor_prf": q_extractor_prf,
+    "csv_roundtrip": q_csv_roundtrip,
+    "token_store": q_token_store,
+    "subword_segment": q_subword_segment,
+    "classifier_train": q_classifier_train,
+    "distill_train": q_distill_train,
+    "rationale_train": q_rationale_train,
+    "kfold_cv": q_kfold_cv,
+    "predict_batch": q_predict_batch,
+    "predict_stream": q_predict_stream,
 }

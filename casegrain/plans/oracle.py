@@ -653,3 +653,49 @@ agg AS (
 SELECT type, tp, fp, fn, {_prf_sql('tp', 'tp + fp', 'tp + fn')} FROM agg
 """,
 })
+
+# ---- sources and sub-words ----------------------------------------------------
+LABELLED_SPLITS = f"""
+lsplit AS (
+  SELECT d.doc_id, l.quality AS label, d.text,
+         CASE WHEN {_hex8("'split:' || d.doc_id")} % 10 < 8 THEN 'train'
+              WHEN {_hex8("'split:' || d.doc_id")} % 10 = 8 THEN 'dev' ELSE 'test' END AS split
+  FROM documents d JOIN labels l USING (doc_id)
+)"""
+
+ORACLE.update({
+    "csv_roundtrip": "WITH " + PICKS + "," + LABELLED_SPLITS + """,
+nexp AS (SELECT doc_id, count(DISTINCT expert)::BIGINT AS n_experts FROM picks GROUP BY doc_id)
+SELECT split, doc_id, label, md5(text) AS text_md5,
+       CASE WHEN split = 'test' THEN NULL ELSE 512 END::BIGINT AS mask_len,
+       CASE WHEN split = 'test' THEN NULL ELSE 0 END::BIGINT AS mask_sum, 0::BIGINT AS n_experts
+FROM lsplit
+UNION ALL
+SELECT 'expert' AS split, d.doc_id, l.quality AS label, md5(d.text) AS text_md5, 512::BIGINT AS mask_len,
+       0::BIGINT AS mask_sum, coalesce(n.n_experts, 0)::BIGINT AS n_experts
+FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN nexp n USING (doc_id)
+""",
+    "token_store": "WITH " + WINDOW_IDS + "," + LABELLED_SPLITS + """
+SELECT s.split, e.doc_id, (e.n_tokens + 2)::BIGINT AS n_attention, md5(array_to_string(e.input_ids, ' ')) AS ids_md5
+FROM encoded e JOIN lsplit s USING (doc_id)
+""",
+    "subword_segment": "WITH RECURSIVE " + VOCAB + f""",
+mp AS (SELECT max(length(token)) AS mx FROM vocab),
+types AS (SELECT DISTINCT unnest(list_transform(regexp_extract_all(coalesce(text, ''), '{TOK}'), lambda x: lower(x))) AS token
+          FROM documents),
+rare AS (SELECT token FROM types WHERE token NOT IN (SELECT token FROM vocab)),
+c1 AS (SELECT token, unnest(range(0, length(token))) AS i FROM rare),
+c2 AS (SELECT token, i, unnest(range(1, least((SELECT mx FROM mp), length(token) - i) + 1)) AS l FROM c1),
+hits AS (SELECT token, i, max(l) AS l FROM c2 WHERE substr(token, i + 1, l) IN (SELECT token FROM vocab) GROUP BY token, i),
+steps AS (SELECT c1.token, c1.i, coalesce(h.l, 1) AS l FROM c1 LEFT JOIN hits h USING (token, i)),
+seg AS (
+  SELECT token, 0::BIGINT AS i, []::VARCHAR[] AS pieces FROM rare
+  UNION ALL
+  SELECT s.token, s.i + st.l, list_append(s.pieces, CASE WHEN s.i = 0 THEN substr(s.token, 1, st.l)
+                                                        ELSE '##' || substr(s.token, s.i + 1, st.l) END)
+  FROM seg s JOIN steps st ON st.token = s.token AND st.i = s.i
+)
+SELECT token, len(pieces)::BIGINT AS n_pieces, array_to_string(pieces, ' ') AS pieces_text
+FROM seg WHERE i = length(token)
+""",
+})
