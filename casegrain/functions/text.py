@@ -91,6 +91,12 @@ def seeded_uniform(*parts) -> Column:
     return hex8(key) / F.lit(4294967296.0)
 
 
+# Note on generators: ``explode``/``posexplode`` make Catalyst infer a
+# ``size(array) > 0`` filter and push it to the scan, which evaluates the
+# whole array expression a second time (below any repartition, in the scan
+# tasks).  Jobs therefore use the ``*_outer`` forms and drop the null row.
+
+
 def let(value: Column, fn) -> Column:
     """Evaluate ``value`` once per row and hand it to ``fn`` as a lambda variable.
 

@@ -78,12 +78,12 @@ def annotation_rows(df: DataFrame, id_col: str = "doc_id",
     parsed = long.select(
         id_col,
         F.regexp_extract("expert_col", r"(\d+)$", 1).cast("bigint").alias("expert"),
-        F.explode(F.map_entries(_parsed_map("annotation"))).alias("e"),
+        F.explode_outer(F.map_entries(_parsed_map("annotation"))).alias("e"),
     )
-    parsed = parsed.filter(F.col("e.key").isin(RANK_KEYS))
+    parsed = parsed.filter(F.col("e").isNotNull() & F.col("e.key").isin(RANK_KEYS))
     return parsed.select(
         id_col, "expert", F.col("e.key").alias("rank"),
-        F.explode(_rank_list(F.col("e.value"))).alias("sentence"),
+        F.explode_outer(_rank_list(F.col("e.value"))).alias("sentence"),
     ).filter(F.col("sentence").isNotNull()).withColumn("sentence", trim_ws("sentence"))
 
 

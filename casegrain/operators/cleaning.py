@@ -75,7 +75,7 @@ def is_heading(line) -> "F.Column":
 
 def split_sections(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, section_no, heading_key, n_lines, body_chars); text before the first heading is section 0."""
-    lines = df.select(id_col, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1))
+    lines = df.select(id_col, F.posexplode_outer(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1))
                       .alias("line_no", "raw"))
     lines = lines.withColumn("line", F.regexp_replace(F.regexp_replace("raw", r"[\t\r ]+", " "), r"^ | $", ""))
     lines = lines.withColumn("is_head", is_heading(F.col("line")))

@@ -33,7 +33,7 @@ def ngrams(toks, n: int) -> Column:
 
 
 def gram_counts(pairs: DataFrame, key: str, toks: str, n: int) -> DataFrame:
-    return (pairs.select(key, F.explode(ngrams(toks, n)).alias("gram"))
+    return (pairs.select(key, F.explode_outer(ngrams(toks, n)).alias("gram")).filter(F.col("gram").isNotNull())
             .groupBy(key, "gram").agg(F.count(F.lit(1)).alias("cnt")))
 
 

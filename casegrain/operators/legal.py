@@ -87,7 +87,7 @@ def extract_entities(df: DataFrame, text: str = "text", id_col: str = "doc_id")
             (s["end"] - F.length(pp[1])).cast("int").alias("start"), s["end"].alias("end"),
             pp[1].alias("text")).alias("s"))))))
     allents = F.flatten(F.array(*typed, parties))
-    return (df.select(id_col, F.explode(allents).alias("e"))
+    return (df.select(id_col, F.explode_outer(allents).alias("e")).filter(F.col("e").isNotNull())
             .select(id_col, F.col("e.type").alias("type"), F.col("e.s.start").cast("bigint").alias("start"),
                     F.col("e.s.end").cast("bigint").alias("end"), F.col("e.s.text").alias("text")))
 
@@ -95,7 +95,7 @@ def extract_entities(df: DataFrame, text: str = "text", id_col: str = "doc_id")
 def extract_citations(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, kind, start, end, citation)."""
     kinds = [F.transform(regex_spans(text, p), _tagger("kind", k)) for k, p in CITATION_PATTERNS]
-    return (df.select(id_col, F.explode(F.flatten(F.array(*kinds))).alias("c"))
+    return (df.select(id_col, F.explode_outer(F.flatten(F.array(*kinds))).alias("c")).filter(F.col("c").isNotNull())
             .select(id_col, F.col("c.kind").alias("kind"), F.col("c.s.start").cast("bigint").alias("start"),
                     F.col("c.s.end").cast("bigint").alias("end"), F.col("c.s.text").alias("citation")))
 
@@ -148,7 +148,7 @@ def classify_sentences(df: DataFrame, text: str = "text", id_col: str = "doc_id"
             F.when(best["score"] > 0, best["cls"]).otherwise("other").alias("clause_class"),
             best["score"].cast("bigint").alias("score"))))
 
-    rows = df.select(id_col, F.posexplode(sentences(text)).alias("sent_pos", "sentence"))
+    rows = df.select(id_col, F.posexplode_outer(sentences(text)).alias("sent_pos", "sentence"))
     rows = rows.filter(F.length("sentence") > 0)
     return rows.select(id_col, F.col("sent_pos").cast("bigint").alias("sent_pos"), "sentence",
                        per_sentence(F.col("sentence")).alias("c")).select(

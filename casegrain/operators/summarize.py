@@ -26,12 +26,13 @@ def sentence_scores(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
                     max_df_broadcast: int = 2_000_000) -> DataFrame:
     """(id, sent_pos, sentence, n_tokens, score) for sentences with >= 3 tokens."""
     d = docs.select(id_col, F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    doc_tokens = d.select(id_col, F.explode(tokens("_t")).alias("token"))
+    doc_tokens = d.select(id_col, F.explode_outer(tokens("_t")).alias("token")).filter(F.col("token").isNotNull())
     tf = doc_tokens.groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf"))
     n_docs = d.count()
     dfreq = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = dfreq.select("token", F.log((F.lit(n_docs) + 1) / (F.col("df") + 1)).alias("idf"))
-    sents = d.select(id_col, F.posexplode(sentences("_t")).alias("sent_pos", "sentence"))
+    sents = d.select(id_col, F.posexplode_outer(sentences("_t")).alias("sent_pos", "sentence")) \
+        .filter(F.col("sentence").isNotNull())
     sents = sents.withColumn("_toks", tokens("sentence")).filter(F.size("_toks") >= MIN_SENTENCE_TOKENS)
     st = sents.select(id_col, "sent_pos", F.explode("_toks").alias("token"))
     scored = (st.join(tf, [id_col, "token"])

@@ -28,14 +28,16 @@ MIN_COUNT = 2
 
 def sentence_rows(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, sent_pos, sentence): trimmed, non-empty, position = match index."""
-    return (df.select(id_col, F.posexplode(raw_sentences(text)).alias("sent_pos", "raw"))
+    return (df.select(id_col, F.posexplode_outer(raw_sentences(text)).alias("sent_pos", "raw"))
+            .filter(F.col("raw").isNotNull())
             .select(id_col, F.col("sent_pos").cast("bigint").alias("sent_pos"), trim_ws("raw").alias("sentence"))
             .filter(F.length("sentence") > 0))
 
 
 def token_rows(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, pos, token) over whole texts, lower-cased."""
-    return df.select(id_col, F.posexplode(tokens(F.coalesce(F.col(text), F.lit("")))).alias("pos", "token"))
+    return (df.select(id_col, F.posexplode_outer(tokens(F.coalesce(F.col(text), F.lit("")))).alias("pos", "token"))
+            .filter(F.col("token").isNotNull()))
 
 
 def token_offsets(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -44,7 +46,8 @@ def token_offsets(df: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     The tiles of a text concatenate back to it, so a token's start is the
     running sum of the lengths of the tiles before it.
     """
-    tl = df.select(id_col, F.posexplode(tiles(F.coalesce(F.col(text), F.lit("")))).alias("tile_pos", "tile"))
+    tl = (df.select(id_col, F.posexplode_outer(tiles(F.coalesce(F.col(text), F.lit("")))).alias("tile_pos", "tile"))
+          .filter(F.col("tile").isNotNull()))
     w = Window.partitionBy(id_col).orderBy("tile_pos").rowsBetween(Window.unboundedPreceding, -1)
     tl = tl.withColumn("start", F.coalesce(F.sum(F.length("tile")).over(w), F.lit(0)))
     toks = tl.filter(~F.col("tile").rlike(r"^[\t\n\x0B\f\r ]"))
@@ -60,7 +63,8 @@ def token_offsets(df: DataFrame, text: str = "text", id_col: str = "doc_id") ->
 
 def build_vocab(train_docs: DataFrame, text: str = "text", min_count: int = MIN_COUNT) -> DataFrame:
     """(token, token_id, freq): ids from 1000 by (count desc, token asc), count >= min_count."""
-    counts = (train_docs.select(F.explode(tokens(F.coalesce(F.col(text), F.lit("")))).alias("token"))
+    counts = (train_docs.select(F.explode_outer(tokens(F.coalesce(F.col(text), F.lit("")))).alias("token"))
+              .filter(F.col("token").isNotNull())
               .groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
               .filter(F.col("freq") >= min_count))
     ranked = exact_ordinal(counts, [F.col("freq").desc(), F.col("token").asc()], out="_rn")

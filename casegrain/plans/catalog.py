@@ -118,12 +118,12 @@ def q_annotation_parse(spark, d):
 
 def q_rationale_sentences(spark, d):
     r = A.with_rationale_sentences(_experts(spark, d))
-    return r.select("doc_id", F.explode("rationale_sentences").alias("sentence"))
+    return r.select("doc_id", F.explode_outer("rationale_sentences").alias("sentence")).filter(F.col("sentence").isNotNull())
 
 
 def q_sentence_match(spark, d):
     m = A.with_matched_sentences(A.with_rationale_sentences(_experts(spark, d)))
-    return m.select("doc_id", F.explode("matched_sentences").alias("sentence"))
+    return m.select("doc_id", F.explode_outer("matched_sentences").alias("sentence")).filter(F.col("sentence").isNotNull())
 
 
 def _spans(spark, d):
@@ -132,13 +132,14 @@ def _spans(spark, d):
 
 
 def q_span_occurrences(spark, d):
-    s = _spans(spark, d).select("doc_id", F.explode("spans").alias("sp"))
+    s = _spans(spark, d).select("doc_id", F.explode_outer("spans").alias("sp")).filter(F.col("sp").isNotNull())
     return s.select("doc_id", "sp.sentence", F.col("sp.start").cast("bigint").alias("start"),
                     F.col("sp.end").cast("bigint").alias("end"))
 
 
 def q_token_span_overlap(spark, d):
-    p = A.with_span_positions(_spans(spark, d)).select("doc_id", F.explode("span_positions").alias("x"))
+    p = A.with_span_positions(_spans(spark, d)).select("doc_id", F.explode_outer("span_positions").alias("x")) \
+        .filter(F.col("x").isNotNull())
     return p.select("doc_id", *[F.col(f"x.{c}").cast("bigint").alias(c) for c in ("start", "end", "lo", "hi")])
 
 
@@ -437,7 +438,8 @@ def q_token_store(spark, d):
 
 def q_subword_segment(spark, d):
     vocab = _vocab(spark, d)
-    types = _docs(spark, d).select(F.explode(tokens_of(F.coalesce(F.col("text"), F.lit("")))).alias("token")).distinct()
+    types = (_docs(spark, d).select(F.explode_outer(tokens_of(F.coalesce(F.col("text"), F.lit("")))).alias("token"))
+             .filter(F.col("token").isNotNull()).distinct())
     rare = types.join(vocab.select("token"), "token", "left_anti")
     seg = TK.segment_rare(rare, vocab)
     return seg.select("token", F.size("pieces").cast("bigint").alias("n_pieces"),

@@ -129,11 +129,11 @@ def token_rows(docs: DataFrame, mask: str | None = "rationale_mask", id_col: str
         # Labels of positions 1..510 zipped beside the tokens before exploding,
         # so no row carries the whole mask.
         labs = F.slice(F.col(mask), 2, WINDOW_TOKENS)
-        ex = (docs.select(id_col, F.posexplode(F.arrays_zip(toks.alias("token"), labs.alias("label"))).alias("pos", "z"))
+        ex = (docs.select(id_col, F.posexplode_outer(F.arrays_zip(toks.alias("token"), labs.alias("label"))).alias("pos", "z"))
               .filter(F.col("z.token").isNotNull())
               .select(id_col, "pos", F.col("z.token").alias("token"), F.col("z.label").cast("double").alias("label")))
     else:
-        ex = docs.select(id_col, F.posexplode(toks).alias("pos", "token"))
+        ex = docs.select(id_col, F.posexplode_outer(toks).alias("pos", "token")).filter(F.col("token").isNotNull())
     w = Window.partitionBy(id_col).orderBy("pos")
     feats = F.array(
         F.concat(F.lit("t="), "token"),
