@@ -168,31 +168,40 @@ def with_span_positions(df: DataFrame, text: str = "text", spans: str = "spans",
     return df.withColumn(out, let(window_text_length(t), per_row))
 
 
+def positive_positions(positions) -> Column:
+    """Sorted distinct window positions covered by any span."""
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(
+        F.coalesce(col_of(positions), F.array()), lambda x: F.sequence(x["lo"], x["hi"])))))
+
+
+def mask_from_positions(pos) -> Column:
+    """0/1 array of exactly 512 positions from a sorted position set."""
+    return let(col_of(pos), lambda ps: F.transform(
+        F.sequence(F.lit(0), F.lit(MAX_LEN - 1)), lambda p: F.when(F.array_contains(ps, p), 1).otherwise(0)))
+
+
 def with_rationale_mask(df: DataFrame, positions: str = "span_positions",
                         out: str = "rationale_mask") -> DataFrame:
-    """OR of all spans into a 0/1 array of exactly 512 positions (fold over spans)."""
-    zeros = F.array_repeat(F.lit(0), MAX_LEN)
-    mask = F.aggregate(
-        F.coalesce(F.col(positions), F.array()), zeros,
-        lambda acc, x: F.transform(acc, lambda v, p: F.when((p >= x["lo"]) & (p <= x["hi"]), 1).otherwise(v)))
-    return df.withColumn(out, mask)
+    """OR of all spans into a 0/1 array of exactly 512 positions."""
+    return df.withColumn(out, mask_from_positions(positive_positions(F.col(positions))))
+
 
+def rationale_masks(experts: DataFrame, text: str = "text", keep=("doc_id",), with_mask: bool = True) -> DataFrame:
+    """Expert split → (keep…, n_active, n_positive[, rationale_mask]) in one narrow stage.
 
-def rationale_masks(experts: DataFrame, text: str = "text", keep=("doc_id",)) -> DataFrame:
-    """Expert split → (keep…, n_active, n_positive, rationale_mask) in one narrow stage."""
+    Without ``with_mask`` only the counts are produced (coverage, class
+    weights), skipping the 512-position array entirely.
+    """
     df = with_rationale_sentences(experts)
     df = with_matched_sentences(df, text)
     df = with_spans(df, text)
     df = with_span_positions(df, text)
-    df = with_rationale_mask(df)
-    # Bind the mask once: it feeds both the positive count and the output.
-    packed = let(F.col("rationale_mask"), lambda m: F.struct(
-        F.aggregate(m, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_positive"), m.alias("rationale_mask")))
-    return df.select(
-        *keep,
-        (F.least(token_count(text), F.lit(WINDOW_TOKENS)) + 2).cast("bigint").alias("n_active"),
-        packed.alias("_m"),
-    ).select(*keep, "n_active", "_m.n_positive", "_m.rationale_mask")
+    n_active = (F.least(token_count(text), F.lit(WINDOW_TOKENS)) + 2).cast("bigint").alias("n_active")
+    packed = let(positive_positions(F.col("span_positions")), lambda ps: F.struct(
+        F.size(ps).cast("bigint").alias("n_positive"),
+        *([mask_from_positions(ps).alias("rationale_mask")] if with_mask else [])))
+    cols = ["_m.n_positive"] + (["_m.rationale_mask"] if with_mask else [])
+    return df.select(*keep, n_active, packed.alias("_m")).select(*keep, "n_active", *cols)
 
 
 def coverage(masks: DataFrame) -> DataFrame:

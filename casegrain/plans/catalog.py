@@ -46,8 +46,8 @@ def _experts(spark, d):
     return SI.expert_split(_docs(spark, d))
 
 
-def _masks(spark, d):
-    return A.rationale_masks(_experts(spark, d))
+def _masks(spark, d, with_mask: bool = True):
+    return A.rationale_masks(_experts(spark, d), with_mask=with_mask)
 
 
 def _train_docs(spark, d):
@@ -150,7 +150,7 @@ def q_rationale_mask(spark, d):
 
 
 def q_rationale_coverage(spark, d):
-    return A.coverage(_masks(spark, d))
+    return A.coverage(_masks(spark, d, with_mask=False))
 
 
 def q_train_val_split(spark, d):
@@ -158,7 +158,7 @@ def q_train_val_split(spark, d):
 
 
 def q_class_weights(spark, d):
-    m = _masks(spark, d)
+    m = _masks(spark, d, with_mask=False)
     parts = S.train_val_split(_docs(spark, d).select("doc_id"))
     return A.class_weights(m.join(parts.filter(F.col("part") == "train"), "doc_id", "left_semi"))
 
