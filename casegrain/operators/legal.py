@@ -208,6 +208,9 @@ def precedent_levels(case_keys: DataFrame, holdings: DataFrame, id_col: str = "d
            .join(holdings.withColumn("_h", F.lit(1)), id_col, "left")
            .groupBy("canonical_key").agg(F.count(F.lit(1)).cast("bigint").alias("cited_by"),
                                          F.count("_h").cast("bigint").alias("cited_by_holdings")))
+    # One row per case key, read several times (rank count, quantile rows,
+    # output): written once to the shared checkpoint folder.
+    per = per.checkpoint()
     qs = exact_quantiles(per, "cited_by", [p for _, p in PRECEDENT_LEVELS], "canonical_key")
     level = F.lit("ordinary")
     for name, p in reversed(PRECEDENT_LEVELS):
