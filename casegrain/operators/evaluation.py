@@ -32,22 +32,40 @@ def ngrams(toks, n: int) -> Column:
     return let(col_of(toks), build)
 
 
-def gram_counts(pairs: DataFrame, key: str, toks: str, n: int) -> DataFrame:
-    return (pairs.select(key, F.explode_outer(ngrams(toks, n)).alias("gram")).filter(F.col("gram").isNotNull())
-            .groupBy(key, "gram").agg(F.count(F.lit(1)).alias("cnt")))
+def _tagged_grams(toks, ns) -> Column:
+    """array<struct<n, gram>> over all requested n-gram orders."""
+    return F.flatten(F.array(*[F.transform(ngrams(toks, n), _tag_n(n)) for n in ns]))
 
 
-def clipped_overlap(pairs: DataFrame, key: str, cand: str, ref: str, n: int) -> DataFrame:
-    """(key, overlap, cand_grams, ref_grams) for n-grams; clipped by the reference counts."""
-    c = gram_counts(pairs, key, cand, n).withColumnRenamed("cnt", "c")
-    r = gram_counts(pairs, key, ref, n).withColumnRenamed("cnt", "r")
-    j = c.join(r, [key, "gram"], "full_outer")
-    agg = j.groupBy(key).agg(F.sum(F.least(F.coalesce("c", F.lit(0)), F.coalesce("r", F.lit(0)))).alias("overlap"))
-    sizes = pairs.select(key, F.greatest(F.size(cand) - n + 1, F.lit(0)).alias("cand_grams"),
-                         F.greatest(F.size(ref) - n + 1, F.lit(0)).alias("ref_grams"))
-    return sizes.join(agg, key, "left").select(
-        key, F.coalesce("overlap", F.lit(0)).cast("bigint").alias("overlap"),
-        F.col("cand_grams").cast("bigint").alias("cand_grams"), F.col("ref_grams").cast("bigint").alias("ref_grams"))
+def _tag_n(n: int):
+    return lambda g: F.struct(F.lit(n).cast("bigint").alias("n"), g.alias("gram"))
+
+
+def gram_counts(pairs: DataFrame, key: str, toks: str, ns) -> DataFrame:
+    """(key, n, gram, cnt) for every order in ``ns`` in one explode and one aggregation."""
+    return (pairs.select(key, F.explode_outer(_tagged_grams(F.col(toks), ns)).alias("x"))
+            .filter(F.col("x").isNotNull())
+            .groupBy(key, "x.n", "x.gram").agg(F.count(F.lit(1)).alias("cnt")))
+
+
+def clipped_overlap(pairs: DataFrame, key: str, cand: str, ref: str, ns=(1,)) -> DataFrame:
+    """(key, n, overlap, cand_grams, ref_grams): clipped n-gram matches for all orders at once.
+
+    One explode + count per side, one full-outer join on (key, n, gram),
+    one aggregation per (key, n); the per-order sizes come from the row.
+    """
+    c = gram_counts(pairs, key, cand, ns).withColumnRenamed("cnt", "c")
+    r = gram_counts(pairs, key, ref, ns).withColumnRenamed("cnt", "r")
+    j = c.join(r, [key, "n", "gram"], "full_outer")
+    agg = j.groupBy(key, "n").agg(
+        F.sum(F.least(F.coalesce("c", F.lit(0)), F.coalesce("r", F.lit(0)))).alias("overlap"))
+    sizes = pairs.select(key, F.explode(F.array(*[F.struct(
+        F.lit(n).cast("bigint").alias("n"),
+        F.greatest(F.size(cand) - n + 1, F.lit(0)).cast("bigint").alias("cand_grams"),
+        F.greatest(F.size(ref) - n + 1, F.lit(0)).cast("bigint").alias("ref_grams")) for n in ns])).alias("s"))
+    sizes = sizes.select(key, "s.n", "s.cand_grams", "s.ref_grams")
+    return sizes.join(agg, [key, "n"], "left").select(
+        key, "n", F.coalesce("overlap", F.lit(0)).cast("bigint").alias("overlap"), "cand_grams", "ref_grams")
 
 
 def _prf(overlap, cand, ref, digits=9):
@@ -58,32 +76,22 @@ def _prf(overlap, cand, ref, digits=9):
 
 
 def rouge_n(pairs: DataFrame, key: str, cand: str, ref: str, ns=(1, 2)) -> DataFrame:
-    out = None
-    for n in ns:
-        o = clipped_overlap(pairs, key, cand, ref, n)
-        o = o.select(key, F.lit(n).cast("bigint").alias("n"), "overlap", "cand_grams", "ref_grams",
-                     *_prf(F.col("overlap").cast("double"), F.col("cand_grams"), F.col("ref_grams")))
-        out = o if out is None else out.unionByName(o)
-    return out
+    o = clipped_overlap(pairs, key, cand, ref, ns)
+    return o.select(key, "n", "overlap", "cand_grams", "ref_grams",
+                    *_prf(F.col("overlap").cast("double"), F.col("cand_grams"), F.col("ref_grams")))
 
 
 def corpus_bleu(pairs: DataFrame, key: str, cand: str, ref: str, max_n: int = 4) -> DataFrame:
     """Geometric mean of clipped precisions n = 1..4 × brevity penalty; 0 if any precision is 0.
 
-    All n-gram orders and the lengths go through one union and one global
-    aggregate (partial per partition, one row out).
+    All n-gram orders go through one overlap pass; the lengths are the
+    1-gram sizes; one global aggregate (partial per partition, one row out).
     """
-    parts = [clipped_overlap(pairs, key, cand, ref, n).select(F.lit(n).alias("n"), "overlap", "cand_grams")
-             for n in range(1, max_n + 1)]
-    lens = pairs.select(F.lit(0).alias("n"), F.size(ref).cast("bigint").alias("overlap"),
-                        F.size(cand).cast("bigint").alias("cand_grams"))
-    u = parts[0]
-    for x in parts[1:] + [lens]:
-        u = u.unionByName(x)
-    t = u.agg(*[F.sum(F.when(F.col("n") == n, F.col("overlap"))).alias(f"m{n}") for n in range(1, max_n + 1)],
+    o = clipped_overlap(pairs, key, cand, ref, tuple(range(1, max_n + 1)))
+    t = o.agg(*[F.sum(F.when(F.col("n") == n, F.col("overlap"))).alias(f"m{n}") for n in range(1, max_n + 1)],
               *[F.sum(F.when(F.col("n") == n, F.col("cand_grams"))).alias(f"c{n}") for n in range(1, max_n + 1)],
-              F.sum(F.when(F.col("n") == 0, F.col("cand_grams"))).alias("c_len"),
-              F.sum(F.when(F.col("n") == 0, F.col("overlap"))).alias("r_len"))
+              F.sum(F.when(F.col("n") == 1, F.col("cand_grams"))).alias("c_len"),
+              F.sum(F.when(F.col("n") == 1, F.col("ref_grams"))).alias("r_len"))
     ps = [F.coalesce(F.col(f"m{n}") / F.nullif(F.col(f"c{n}"), F.lit(0)), F.lit(0.0)) for n in range(1, max_n + 1)]
     bp = F.when(F.coalesce(F.col("c_len"), F.lit(0)) == 0, 0.0).otherwise(
         F.least(F.lit(1.0), F.exp(1 - F.col("r_len") / F.col("c_len"))))
