@@ -156,7 +156,10 @@ def train_rationale(masks: DataFrame, texts: DataFrame, id_col: str = "doc_id"):
     """Token 0/1 tagger on documents with expert sentences, split by document,
     class-weighted by the training part's class weights; one candidate per
     "epoch", best by token F1 on validation (save-last fallback)."""
-    annotated = masks.filter(F.col("n_positive") > 0)
+    # Written once to the shared checkpoint folder: the split, the class
+    # weights, the token rows and every candidate fit read it, and the
+    # filter cannot be pushed into the scan beneath the mask computation.
+    annotated = masks.checkpoint().filter(F.col("n_positive") > 0)
     parts = train_val_split(annotated.select(id_col))
     with_parts = annotated.join(parts, id_col)
     cw = class_weights(with_parts.filter(F.col("part") == "train")).first()
