@@ -92,12 +92,14 @@ def extract_entities(df: DataFrame, text: str = "text", id_col: str = "doc_id")
                     F.col("e.s.end").cast("bigint").alias("end"), F.col("e.s.text").alias("text")))
 
 
-def extract_citations(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, kind, start, end, citation)."""
+def extract_citations(df: DataFrame, text: str = "text", id_col: str = "doc_id", keep=()) -> DataFrame:
+    """(id, kind, start, end, citation[, keep…])."""
     kinds = [F.transform(regex_spans(text, p), _tagger("kind", k)) for k, p in CITATION_PATTERNS]
-    return (df.select(id_col, F.explode_outer(F.flatten(F.array(*kinds))).alias("c")).filter(F.col("c").isNotNull())
+    keep = list(keep)
+    return (df.select(id_col, *keep, F.explode_outer(F.flatten(F.array(*kinds))).alias("c"))
+            .filter(F.col("c").isNotNull())
             .select(id_col, F.col("c.kind").alias("kind"), F.col("c.s.start").cast("bigint").alias("start"),
-                    F.col("c.s.end").cast("bigint").alias("end"), F.col("c.s.text").alias("citation")))
+                    F.col("c.s.end").cast("bigint").alias("end"), F.col("c.s.text").alias("citation"), *keep))
 
 
 def canonical_keys(cites: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -196,18 +198,41 @@ def exact_quantiles(df: DataFrame, value: str, probs, tiebreak: str) -> dict:
     return {p: vals[a] + frac * (vals[b] - vals[a]) for p, (a, b, frac) in want.items()}
 
 
+def has_holding(text: str = "text") -> Column:
+    """True when a sentence carries a holding cue phrase."""
+    return F.exists(sentences(text), lambda s: F.lower(s).rlike("|".join(HOLDING_CUES)))
+
+
 def holding_docs(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Documents with at least one holding sentence (a cue phrase)."""
-    cue = F.exists(sentences(text), lambda s: F.lower(s).rlike("|".join(HOLDING_CUES)))
-    return df.filter(cue).select(id_col)
+    return df.filter(has_holding(text)).select(id_col)
+
+
+def precedent_scores(legal: DataFrame, aliases: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Per case key: citing documents, citing documents with a holding, and the
+    level by exact percentiles of ``cited_by``.
+
+    The holding flag rides along the citation pass (no filter over whole
+    documents and no join back); citing documents are distinct per key.
+    """
+    flagged = legal.select(id_col, text, has_holding(text).alias("_h"))
+    keys = canonical_keys(extract_citations(flagged, text, id_col, keep=["_h"]), aliases)
+    per = (keys.filter(F.col("kind") == "case").select(id_col, "canonical_key", "_h").distinct()
+           .groupBy("canonical_key").agg(F.count(F.lit(1)).cast("bigint").alias("cited_by"),
+                                         F.sum(F.col("_h").cast("int")).cast("bigint").alias("cited_by_holdings")))
+    return _levels(per)
 
 
 def precedent_levels(case_keys: DataFrame, holdings: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Per case key: citing documents, citing documents with a holding, level by exact percentiles."""
+    """Per case key from separate tables: distinct citing documents, those with a holding, level."""
     per = (case_keys.select(id_col, "canonical_key").distinct()
            .join(holdings.withColumn("_h", F.lit(1)), id_col, "left")
            .groupBy("canonical_key").agg(F.count(F.lit(1)).cast("bigint").alias("cited_by"),
                                          F.count("_h").cast("bigint").alias("cited_by_holdings")))
+    return _levels(per)
+
+
+def _levels(per: DataFrame) -> DataFrame:
     # One row per case key, read several times (rank count, quantile rows,
     # output): written once to the shared checkpoint folder.
     per = per.checkpoint()

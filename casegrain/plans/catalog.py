@@ -340,9 +340,7 @@ def q_risk_report(spark, d):
 
 
 def q_precedent_score(spark, d):
-    legal = _legal(spark, d)
-    keys = _case_keys(spark, d).filter(F.col("kind") == "case")
-    return LG.precedent_levels(keys, LG.holding_docs(legal))
+    return LG.precedent_scores(_legal(spark, d), _aliases(spark))
 
 
 # ---- similarity, clustering ---------------------------------------------------
