@@ -4,10 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from casegrain.llm import quality, sharding
+from casegrain.llm import byte_bpe, quality, sharding, token_shards
 from casegrain.llm.tables import read
+from casegrain.session import scratch_path
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = byte_bpe.encode(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, ["doc_id"])
+    back = byte_bpe.decode(ids, path, ["doc_id", "ids"])
+    return back.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-shards")
+    token_shards.write(read(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_shards.read_documents(spark, path).select(
+        "doc_id", "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +41,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_byte_bpe": op2_byte_bpe,
+    "op4_token_shards": op4_token_shards,
     "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
 }

@@ -28,7 +28,7 @@ from casegrain.llm.tables import written
 
 N_SHARDS = 8
 SEED = 20240607
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def _bucket_starts(counts: DataFrame, keys: list[str], bucket: str, out: str) -> DataFrame:
