@@ -44,6 +44,18 @@ FORMATTED = (f"conv_id long, n_turns long, formatted string, loss_spans array<st
              f"attachments array<{ATTACHMENT}>, attachment_tokens long")
 READ = "conv_id long, turns array<struct<role:string,text:string>>, loss_text string, formatted_chars long, attachment_tokens long"
 
+FORMATTED_ARROW = pa.schema([
+    ("conv_id", pa.int64()), ("n_turns", pa.int64()), ("formatted", pa.string()),
+    ("loss_spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
+    ("attachments", pa.list_(pa.struct([
+        ("index", pa.int32()), ("turn", pa.int32()), ("kind", pa.string()), ("ref", pa.string()),
+        ("offset", pa.int32()), ("tokens", pa.int64())]))),
+    ("attachment_tokens", pa.int64())])
+READ_ARROW = pa.schema([
+    ("conv_id", pa.int64()),
+    ("turns", pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))),
+    ("loss_text", pa.string()), ("formatted_chars", pa.int64()), ("attachment_tokens", pa.int64())])
+
 _MARK = re.compile(r"<(\|+)")
 _ESCAPED = re.compile(r"<\|(\|+)")
 _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
@@ -133,25 +145,22 @@ def format_chats(turns: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(row)).alias("turns"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = None
         for batch in batches:
             for i in range(batch.num_rows):
                 f = Flattener()
                 rows = column(batch, "turns")[i].as_py()
                 for k, r in enumerate(rows):
                     f.turn(k, r["role"], r["parts"])
-                schema = schema or _arrow(FORMATTED)
                 yield pa.RecordBatch.from_pylist([{
                     "conv_id": column(batch, "conv_id")[i].as_py(), "n_turns": len(rows),
                     "formatted": "".join(f.out), "loss_spans": f.spans, "attachments": f.attachments,
-                    "attachment_tokens": sum(a["tokens"] for a in f.attachments)}], schema)
+                    "attachment_tokens": sum(a["tokens"] for a in f.attachments)}], FORMATTED_ARROW)
     return chats.mapInArrow(run, FORMATTED)
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:
     """Turns and the text under the loss mask, taken from the formatted text alone."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = _arrow(READ)
         for batch in batches:
             rows = []
             for i in range(batch.num_rows):
@@ -162,12 +171,5 @@ def read_chats(formatted: DataFrame) -> DataFrame:
                              "loss_text": "".join(unescape(s[x["start"]:x["stop"]]) for x in spans),
                              "formatted_chars": len(s),
                              "attachment_tokens": column(batch, "attachment_tokens")[i].as_py()})
-            yield pa.RecordBatch.from_pylist(rows, schema)
+            yield pa.RecordBatch.from_pylist(rows, READ_ARROW)
     return formatted.select("conv_id", "formatted", "loss_spans", "attachment_tokens").mapInArrow(run, READ)
-
-
-def _arrow(ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(ddl))
