@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegrain.llm import byte_bpe, chat, quality, sharding, token_shards
+from casegrain.llm import byte_bpe, chat, ngram_jaccard, quality, sharding, token_shards
 from casegrain.llm.tables import read
 from casegrain.session import scratch_path
 
@@ -23,6 +23,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.join(read(spark, sf_dir, "documents"))
+
+
 def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-shards")
     token_shards.write(read(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
@@ -59,6 +63,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_token_shards": op4_token_shards,
     "op6_chat_format": op6_chat_format,
     "op9_quality_rules": op9_quality_rules,
