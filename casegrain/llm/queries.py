@@ -8,11 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegrain.llm import byte_bpe, chat, decontaminate, ngram_jaccard, quality, sharding, token_shards
+from casegrain.llm import byte_bpe, chat, decontaminate, ngram_jaccard, quality, sharding, token_shards, toxicity
 from casegrain.llm.tables import read
 from casegrain.session import scratch_path
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ids = byte_bpe.encode(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, ["doc_id"])
@@ -72,6 +76,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_token_shards": op4_token_shards,
