@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegrain.llm import byte_bpe, chat, decontaminate, ngram_jaccard, quality, sharding, token_shards, toxicity
+from casegrain.llm import byte_bpe, chat, decontaminate, line_dedup, ngram_jaccard, quality, sharding, token_shards, toxicity, url_filter
 from casegrain.llm.tables import read
 from casegrain.session import scratch_path
 
@@ -65,6 +65,20 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         "formatted_chars", "attachment_tokens")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicate(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_exact", "n_near", "emptied",
+        F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped_lines"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The tables label documents; a page takes the label of the document with its number.
+    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad"))
+    return url_filter.judge(read(spark, sf_dir, "pages"), labels).select(
+        "page_id", "host", "path", "rule", "verdict", "template")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -82,6 +96,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_shards": op4_token_shards,
     "op5_decontaminate": op5_decontaminate,
     "op6_chat_format": op6_chat_format,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_url_filter": op8_url_filter,
     "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
 }

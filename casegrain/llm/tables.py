@@ -12,14 +12,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
 
     The files survive lost executors, so nothing above them is computed again.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -30,3 +30,20 @@ def bind(value, body):
     lambdas that run per array element; a one-element ``transform`` binds it.
     """
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+WORDS = 1 << 17
+
+
+def membership_bits(keys: DataFrame, key: str) -> DataFrame:
+    """A bitmap of 64-bit hashes as at most ``WORDS`` rows (word, bits): safe to broadcast at any input size."""
+    return keys.groupBy((F.shiftright(F.col(key), 6).bitwiseAND(F.lit(WORDS - 1))).alias("__word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col(key).bitwiseAND(F.lit(63)).cast("int"))).alias("__bits"))
+
+
+def with_membership(df: DataFrame, key: str, bits: DataFrame, out: str) -> DataFrame:
+    """``df`` with ``out``: false if ``key`` is surely not among the bitmap's keys, true if it may be."""
+    word = F.shiftright(F.col(key), 6).bitwiseAND(F.lit(WORDS - 1))
+    bit = F.call_function("shiftright", F.col("__bits"), F.col(key).bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1))
+    joined = df.withColumn("__w", word).join(F.broadcast(bits), F.col("__w") == F.col("__word"), "left")
+    return joined.withColumn(out, F.coalesce(bit == 1, F.lit(False))).drop("__w", "__word", "__bits")
