@@ -18,12 +18,14 @@ or more, since a difference of one would meet a deletion of one side. The sum is
 indexes all its segments, weak ones included, and all deletions; two such sets then meet by
 the plain pigeonhole. The choice of frequent n-grams steers costs only, never results.
 
-Entries are sorted by key. Each bucket first links its members to its smallest
-document only, and those pairs are verified exactly. Members of a bucket that are
-in one component already need no further comparison; of the rest, pairs that
-the triangle inequality of the Jaccard distance (through the smallest document) cannot
-exclude are verified too. So large groups of copies cost one comparison per member and bucket
-head, and no link that could join two components is lost.
+Equal sets are grouped by a 128-bit digest first; one of each group is indexed. Index entries are
+combined before the shuffle: a block of documents keeps the smallest document of each key and links
+the others to it, and the shuffle carries blocks of packed entries. So a key that a
+third of all documents share is one entry per block. Each bucket links its members to its smallest document in
+this tree only, and those pairs are verified exactly. Members of a bucket that are in one component
+then need no further comparison; of the rest, pairs of different components are verified too unless
+their sizes or their histograms (n-grams counted in ``BINS`` bins: the sum of the smaller counts
+bounds the intersection) rule them out. No link that could join two components is lost.
 
 Defined results: null or empty texts and texts without words have the empty set and no links;
 texts of fewer than n words have one n-gram, the whole sequence; rows with one id are one
@@ -43,7 +45,7 @@ from pyspark.sql import functions as F
 
 from casegrain.llm import words as W
 from casegrain.llm.components import components
-from casegrain.llm.tables import written
+from casegrain.llm.tables import membership_bits, with_membership, written
 
 N = 5
 SIMILAR = (80, 100)
@@ -52,31 +54,37 @@ FREQUENT_SHARE = 0.001    # of all documents
 FREQUENT_LEAST = 64       # documents
 FREQUENT_MOST = 200_000   # n-grams sent to every task; the rest count as infrequent
 
+BLOCK_ENTRIES = 2 << 20   # index entries combined before the shuffle
+BINS = 128
+
 _C = W.mix(np.arange(101, 101 + 64, dtype=np.uint64)) | np.uint64(1)
 _GOLD = 0x9E3779B97F4A7C15
 
 
-def shingles(hashes: np.ndarray, n: int = N) -> np.ndarray:
-    """Sorted distinct n-gram hashes of one document's word hashes."""
-    k = len(hashes)
-    if not k:
-        return hashes
-    width = min(n, k)
-    total = hashes[:k - width + 1] * _C[0]
-    for i in range(1, width):
-        total = total + hashes[i:k - width + 1 + i] * _C[i]
-    return np.unique(W.mix(total + np.uint64(width)))
-
-
 def text_sets(col: pa.Array, n: int = N) -> Iterator[tuple[int, np.ndarray]]:
-    """Row and n-gram set of each text, in order."""
+    """Row and sorted set of n-gram hashes of each text, in order."""
     data, offs = W.column_bytes(col)
     for lo, hi in W.slices(offs):
         part, own = data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo]
         starts, ends, first = W.spans(part, own, W.NOT_SPACE)
         h = W.hashes(part, starts, ends)
+        all_grams = _grams(h, n) if len(h) >= n else None
         for i in range(hi - lo):
-            yield lo + i, shingles(h[first[i]:first[i + 1]], n)
+            k = first[i + 1] - first[i]
+            if k >= n:
+                x = np.sort(all_grams[first[i]:first[i + 1] - n + 1])
+                yield lo + i, x[np.concatenate(([True], x[1:] != x[:-1]))]
+            else:
+                yield lo + i, _grams(h[first[i]:first[i + 1]], int(k)) if k else np.zeros(0, np.uint64)
+
+
+def _grams(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the runs of ``width`` words."""
+    stop = len(h) - width + 1
+    total = h[:stop] * _C[0]
+    for i in range(1, width):
+        total += h[i:stop + i] * _C[i]
+    return W.mix(total + np.uint64(width))
 
 
 @lru_cache(maxsize=8)
@@ -134,82 +142,141 @@ def _band_entries(s: np.ndarray, rare: np.ndarray, band: int, m: int) -> np.ndar
 
 
 def _scan(docs: DataFrame, n: int) -> DataFrame:
-    """Set sizes (doc_id, size) and, per block of text, n-grams found twice or more (shingle, count)."""
+    """Set size and digest (doc_id, size, d1, d2) and, per block of text, n-grams found twice or more (shingle, count)."""
+    names = ["doc_id", "size", "d1", "d2", "shingle", "count"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, found = W.column(batch, "doc_id"), [], []
+            told: list[tuple[int, int, int]] = []
+            found: list[np.ndarray] = []
 
-            def flush(sizes=sizes, found=found):
-                u, c = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64),) * 2
+            def flush(found=found):
+                u, c = np.unique(np.concatenate(found), return_counts=True)
                 u, c = u[c > 1], c[c > 1]
                 found.clear()
+                none = pa.nulls(len(u), pa.int64())
                 return pa.RecordBatch.from_arrays(
-                    [pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.int64()), pa.array(u.view(np.int64)),
-                     pa.array(c.astype(np.int64))], names=["doc_id", "size", "shingle", "count"])
+                    [none, none, none, none, pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))], names=names)
             held = 0
             for _, s in text_sets(W.column(batch, "text"), n):
-                sizes.append(len(s))
+                told.append((len(s), int(W.mix(s).sum().view(np.int64)), int(W.mix(s ^ _C[9]).sum().view(np.int64))))
                 found.append(s)
                 held += len(s)
                 if held > 1 << 20:
                     yield flush()
                     held = 0
-            yield flush()
+            if found:
+                yield flush()
+            none = pa.nulls(len(told), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(sizes, pa.int64()), pa.nulls(len(sizes), pa.int64()), pa.nulls(len(sizes), pa.int64())],
-                names=["doc_id", "size", "shingle", "count"])
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, shingle long, count long")
-
-
-def _entries(docs: DataFrame, n: int, similar: tuple[int, int], frequent: np.ndarray) -> DataFrame:
+                [W.column(batch, "doc_id"), *[pa.array([x[k] for x in told], pa.int64()) for k in range(3)], none, none],
+                names=names)
+    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{x} long" for x in names))
+
+
+class _Block:
+    """Index entries of a block of documents, combined by key."""
+
+    def __init__(self):
+        self.keys: list[np.ndarray] = []
+        self.docs: list[int] = []
+        self.n = 0
+
+    def add(self, doc: int, keys: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.docs.append(doc)
+        self.n += len(keys)
+
+    def rows(self, bits: int) -> pa.RecordBatch:
+        """One row per bucket of keys: the combined entries and the links inside the block, packed."""
+        keys = np.concatenate(self.keys)
+        docs = np.repeat(np.array(self.docs, np.int64), [len(k) for k in self.keys])
+        key, head, link = _combine(keys, docs)
+        cuts = np.arange((1 << bits) + 1, dtype=object) << (64 - bits)
+        at = [int(np.searchsorted(key, np.uint64(c))) if c < 1 << 64 else len(key) for c in cuts]
+        links = [int(np.searchsorted(link[0], np.uint64(c))) if c < 1 << 64 else len(link[0]) for c in cuts]
+        used = [b for b in range(1 << bits) if at[b] < at[b + 1]]
+        packed = lambda x, cut, kind=None: pa.array(
+            [(x[cut[b]:cut[b + 1]] if kind is None else x[cut[b]:cut[b + 1]].astype(kind)).tobytes() for b in used], pa.binary())
+        # 48 bits of the key beside the bucket's: false candidates are verified away.
+        shift = np.uint64(64 - bits - 48)
+        narrow = head.min() >= 0 and head.max() < 1 << 31
+        return pa.RecordBatch.from_arrays(
+            [pa.array(used, pa.int32()), packed((key >> shift) & np.uint64(0xFFFFFFFF), at, np.uint32),
+             packed((key >> (shift + np.uint64(32))) & np.uint64(0xFFFF), at, np.uint16),
+             packed(head, at, np.int32 if narrow else np.int64),
+             packed((link[0] >> shift) & np.uint64((1 << 48) - 1), links), packed(link[1], links), packed(link[2], links)],
+            names=["bucket", "key_low", "key_high", "doc", "link_key", "link_head", "link_member"])
+
+
+def _combine(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """Sorted distinct keys, the smallest document of each, and (key, head, member) for the others."""
+    order = np.argsort(keys, kind="stable")
+    keys, docs = keys[order], docs[order]
+    begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    head = np.minimum.reduceat(docs, begin) if len(keys) else docs
+    each = np.repeat(head, np.diff(np.concatenate((begin, [len(keys)]))))
+    other = docs != each
+    return keys[begin], head, (keys[other], each[other], docs[other])
+
+
+ENTRIES = ("bucket int, key_low binary, key_high binary, doc binary, link_key binary, link_head binary, "
+           "link_member binary")
+
+
+def _entries(docs: DataFrame, n: int, similar: tuple[int, int], frequent: np.ndarray, bits: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = _Block()
         for batch in batches:
-            ids = W.column(batch, "doc_id").to_numpy(zero_copy_only=False)
-            rows, found, held = [], [], 0
-
-            def flush(rows=rows, found=found):
-                keys = np.concatenate(found)
-                out = pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64)), pa.array(np.repeat(ids[rows], [len(x) for x in found]).astype(np.int64))],
-                    names=["key", "doc_id"])
-                rows.clear()
-                found.clear()
-                return out
+            ids = W.column(batch, "doc_id").to_pylist()
             for i, s in text_sets(W.column(batch, "text"), n):
                 if len(s):
-                    rows.append(i)
-                    found.append(index_entries(s, sent.value, similar))
-                    held += len(found[-1])
-                if held > 1 << 18:
-                    yield flush()
-                    held = 0
-            if found:
-                yield flush()
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "key long, doc_id long")
+                    block.add(ids[i], index_entries(s, sent.value, similar))
+                if block.n > BLOCK_ENTRIES:
+                    yield block.rows(bits)
+                    block = _Block()
+        if block.n:
+            yield block.rows(bits)
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, ENTRIES)
+
+
+def _buckets(entries: DataFrame, parts: int) -> DataFrame:
+    """(key, head, member) of the tree of every key that two documents or more share."""
+    def tree(bucket: int, rows: list[dict]) -> pa.RecordBatch:
+        kind = lambda r: np.int32 if len(r["doc"]) * 2 == len(r["key_high"]) * 4 else np.int64
+        keys = np.concatenate([np.frombuffer(r["key_low"], np.uint32).astype(np.uint64)
+                               | np.frombuffer(r["key_high"], np.uint16).astype(np.uint64) << np.uint64(32) for r in rows])
+        docs = np.concatenate([np.frombuffer(r["doc"], kind(r)).astype(np.int64) for r in rows])
+        _, _, link = _combine(keys, docs)
+        local = [np.concatenate([np.frombuffer(r[c], t) for r in rows])
+                 for c, t in (("link_key", np.uint64), ("link_head", np.int64), ("link_member", np.int64))]
+        key, head, member = (np.concatenate(x) for x in zip(link, local))
+        key = key | np.uint64(bucket) << np.uint64(48)
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(head), pa.array(member)],
+                                          names=["key", "head", "member"])
 
-
-def _buckets(entries: DataFrame) -> DataFrame:
-    """(key, head, member) of every bucket with two documents or more; the head is its smallest."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, head, last = None, 0, 0
+        bucket, rows = None, []
         for batch in batches:
-            k, d = (batch.column(i).to_numpy() for i in (0, 1))
-            if not len(k):
-                continue
-            new = np.concatenate(([key is None or k[0] != key], k[1:] != k[:-1]))
-            first = np.flatnonzero(new)
-            heads = np.concatenate(([head], d[first]))[np.cumsum(new)]
-            before = np.concatenate(([last], d[:-1]))
-            keep = ~new & (d != before)
-            key, head, last = k[-1], heads[-1], d[-1]
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(heads[keep]), pa.array(d[keep])],
-                                                 names=["key", "head", "member"])
-    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return entries.repartition(parts, "key").sortWithinPartitions("key", "doc_id").mapInArrow(
-        run, "key long, head long, member long")
+            for r in batch.to_pylist():
+                if rows and r["bucket"] != bucket:
+                    yield tree(bucket, rows)
+                    rows = []
+                bucket = r["bucket"]
+                rows.append(r)
+        if rows:
+            yield tree(bucket, rows)
+    return entries.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(
+        run, "key long, head long, member long").distinct()
+
+
+def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) whose id is in ``ids`` (doc_id): only rows that a bitmap marks are shuffled."""
+    bits = membership_bits(ids.select(F.xxhash64("doc_id").alias("h")), "h")
+    told = with_membership(docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")), "h", bits, "maybe")
+    return told.where("maybe").select("doc_id", "text").join(ids, "doc_id", "left_semi")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, n: int = N) -> DataFrame:
@@ -227,13 +294,12 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int = N) -> DataFrame:
                 at = np.searchsorted(s, other)
                 common = np.count_nonzero(s[np.minimum(at, len(s) - 1)] == other) if len(s) else 0
                 out.append((len(s), len(other), common))
-            size_a, size_b, common = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [a, b, *[pa.array(x, pa.int64()) for x in (size_a, size_b, common)]],
+                [a, b, *[pa.array([x[k] for x in out], pa.int64()) for k in range(3)]],
                 names=["a", "b", "size_a", "size_b", "common"])
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     # Rows that share an id are all compared.
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    texts = written(_marked(docs, ids), "ngram-texts", "zstd")
     ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(tb, "b").join(ta, "a").sortWithinPartitions("a")
@@ -246,71 +312,105 @@ def _linked(verified: DataFrame, similar: tuple[int, int]) -> DataFrame:
     return verified.where(den * F.col("common") >= num * (F.col("size_a") + F.col("size_b") - F.col("common")))
 
 
-def _remaining(buckets: DataFrame, verified: DataFrame, labels: DataFrame, similar: tuple[int, int]) -> DataFrame:
+def _histograms(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, size and n-grams counted in ``BINS`` bins."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, bins = [], []
+            for _, s in text_sets(W.column(batch, "text"), n):
+                size.append(len(s))
+                bins.append(np.bincount((s % np.uint64(BINS)).astype(np.int64), minlength=BINS).astype(np.uint16).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [W.column(batch, "doc_id"), pa.array(size, pa.int64()), pa.array(bins, pa.binary())],
+                names=["doc_id", "size", "bins"])
+    return docs.mapInArrow(run, "doc_id long, size long, bins binary")
+
+
+def _remaining(buckets: DataFrame, verified: DataFrame, labels: DataFrame, docs: DataFrame, n: int,
+               similar: tuple[int, int], parts: int) -> DataFrame:
     """Pairs (a, b) of bucket members in different components that may still be similar."""
-    most = 1 - similar[0] / similar[1] + 1e-9
-    distance = (1 - F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))).alias("far")
-    known = verified.select(F.col("a").alias("head"), F.col("b").alias("member"), distance,
-                            F.col("size_b").alias("size"))
-    rows = buckets.join(known, ["head", "member"])
-    rows = rows.join(labels.withColumnRenamed("node", "member"), "member", "left").withColumn(
-        "component", F.coalesce("component", "member"))
-    # Members next to the head are in its component: a bucket of those alone is done.
-    open_keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"),
-                                        F.max("component").alias("hi")).where("n > 1 AND lo <> hi").select("key")
+    named = labels.withColumnRenamed("node", "doc_id")
+    nodes = buckets.select("key", F.explode(F.array("head", "member")).alias("doc_id")).join(
+        named, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    # A bucket of two is verified already, one of a single component is done.
+    open_keys = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"),
+                                         F.max("component").alias("hi")).where("n > 2 AND lo <> hi").select("key")
+    chosen = written(nodes.join(open_keys, "key", "left_semi").distinct(), "ngram-open")
+    known = _histograms(_marked(docs, chosen.select("doc_id").distinct()), n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            now = [batch.column(i).to_numpy() for i in range(5)]
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now)]
-            last = np.searchsorted(now[0], now[0][-1]) if len(now[0]) else 0
-            yield from pairs_of([x[:last] for x in now])
-            held = [x[last:] for x in now]
-        if held is not None:
-            yield from pairs_of(held)
-
-    def pairs_of(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, member, component, far, size = cols
-        edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))) if len(key) else [0]
+            if not batch.num_rows:
+                continue
+            keys = W.column(batch, "key").to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1]))
+            if cut or (held and W.column(held[-1], "key")[-1].as_py() != keys[0]):
+                yield from pairs_of([*held, batch.slice(0, cut)])
+                held = []
+            held.append(batch.slice(cut))
+        yield from pairs_of(held)
+
+    def pairs_of(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [x for x in parts if x.num_rows]
+        if not parts:
+            return
+        key, doc, component, size = (np.concatenate([W.column(x, c).to_numpy() for x in parts])
+                                     for c in ("key", "doc_id", "component", "size"))
+        bins = np.concatenate([np.frombuffer(b"".join(W.column(x, "bins").to_pylist()), np.uint16).reshape(-1, BINS)
+                               for x in parts])
+        num, den = similar
+        edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
         for lo, hi in zip(edges[:-1], edges[1:]):
             for i in range(lo, hi - 1):
                 j = np.arange(i + 1, hi)
-                near = ((component[j] != component[i]) & (np.abs(far[j] - far[i]) <= most)
-                        & (np.minimum(size[j], size[i]) * similar[1] >= np.maximum(size[j], size[i]) * similar[0]))
-                if near.any():
-                    x = np.sort(np.stack((np.full(near.sum(), member[i]), member[j[near]])), axis=0)
+                j = j[(component[j] != component[i])
+                      & (np.minimum(size[j], size[i]) * den >= np.maximum(size[j], size[i]) * num)]
+                if not len(j):
+                    continue
+                most = np.minimum(bins[j], bins[i]).sum(axis=1, dtype=np.int64)
+                j = j[den * most >= num * (size[j] + size[i] - most)]
+                if len(j):
+                    x = np.sort(np.stack((np.full(len(j), doc[i]), doc[j])), axis=0)
                     yield pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1])], names=["a", "b"])
 
-    parts = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chosen = rows.join(open_keys, "key", "left_semi").select("key", "member", "component", "far", "size")
-    return chosen.repartition(parts, "key").sortWithinPartitions("key", "member").mapInArrow(
-        run, "a long, b long").distinct()
+    rows = chosen.join(known, "doc_id").repartition(parts, "key").sortWithinPartitions("key", "doc_id")
+    pairs = rows.select("key", "doc_id", "component", "size", "bins").mapInArrow(run, "a long, b long").distinct()
+    return pairs.join(verified.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def join(docs: DataFrame, n: int = N, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bits = min(16, max(4, (4 * parts).bit_length()))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scan = written(_scan(docs, n), "ngram-scan")
-    sizes = scan.where("size IS NOT NULL").select("doc_id", "size")
-    unnamed = scan.where("size IS NOT NULL AND doc_id IS NULL").select("doc_id", "size")
+    sizes = scan.where("size IS NOT NULL").select("doc_id", "size", "d1", "d2")
     least = max(FREQUENT_LEAST, int(sizes.count() * FREQUENT_SHARE))
     often = scan.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("count").alias("n")).where(F.col("n") >= least)
     # At most FREQUENT_MOST hashes reach the driver and the tasks.
     frequent = np.sort(np.array([r[0] for r in often.orderBy(F.desc("n"), "shingle").limit(FREQUENT_MOST)
                                  .select("shingle").collect()], np.int64).view(np.uint64))
-    buckets = written(_buckets(_entries(docs, n, similar, frequent)), "ngram-buckets")
+    equal = sizes.where("doc_id IS NOT NULL AND size > 0").groupBy("size", "d1", "d2").agg(
+        F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    # An id on several rows may have several sets: it is indexed as it stands.
+    several = sizes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    copies = written(sizes.join(equal, ["size", "d1", "d2"]).where("doc_id <> first")
+                     .join(several, "doc_id", "left_anti").select("doc_id", "first"), "ngram-copies")
+    told = with_membership(docs.withColumn("__h", F.xxhash64("doc_id")), "__h",
+                           membership_bits(copies.select(F.xxhash64("doc_id").alias("__h")), "__h"), "__maybe")
+    single = told.where("NOT __maybe").select("doc_id", "text").unionByName(
+        told.where("__maybe").select("doc_id", "text").join(copies, "doc_id", "left_anti"))
+    buckets = written(_buckets(_entries(single, n, similar, frequent, bits), parts), "ngram-buckets")
     pairs = buckets.select(F.col("head").alias("a"), F.col("member").alias("b")).distinct()
     verified = written(verify(pairs, docs, n), "ngram-verified")
     links = _linked(verified, similar)
     labels = written(components(links, "a", "b"), "ngram-labels")
-    more = written(verify(written(_remaining(buckets, verified, labels, similar), "ngram-rest"), docs, n), "ngram-more")
-    more_links = _linked(more, similar)
-    if not more_links.isEmpty():
-        labels = components(links.select("a", "b").unionByName(more_links.select("a", "b")), "a", "b")
-    named = sizes.where("doc_id IS NOT NULL").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return named.select("doc_id", F.col("size").alias("n_shingles"),
-                        F.coalesce("component", "doc_id").alias("component_id")).unionByName(
-        unnamed.select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    rest = written(_remaining(buckets, verified, labels, docs, n, similar, parts), "ngram-rest")
+    more = _linked(written(verify(rest, docs, n), "ngram-more"), similar)
+    if not more.isEmpty():
+        labels = components(links.select("a", "b").unionByName(more.select("a", "b")), "a", "b")
+    rows = sizes.join(copies, "doc_id", "left").withColumn("node", F.coalesce("first", "doc_id"))
+    return rows.join(labels, "node", "left").select(
+        "doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
