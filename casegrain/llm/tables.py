@@ -47,3 +47,15 @@ def with_membership(df: DataFrame, key: str, bits: DataFrame, out: str) -> DataF
     bit = F.call_function("shiftright", F.col("__bits"), F.col(key).bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1))
     joined = df.withColumn("__w", word).join(F.broadcast(bits), F.col("__w") == F.col("__word"), "left")
     return joined.withColumn(out, F.coalesce(bit == 1, F.lit(False))).drop("__w", "__word", "__bits")
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id isn't in ``ids`` (doc_id); rows without an id stay.
+
+    Only rows that a bitmap of the ids marks are shuffled.
+    """
+    columns = docs.columns
+    bits = membership_bits(ids.select(F.xxhash64("doc_id").alias("__h")), "__h")
+    told = with_membership(docs.withColumn("__h", F.xxhash64("doc_id")), "__h", bits, "__maybe")
+    return told.where("NOT __maybe").select(columns).unionByName(
+        told.where("__maybe").select(columns).join(ids, "doc_id", "left_anti").select(columns))
