@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegrain.llm import byte_bpe, chat, decontaminate, line_dedup, ngram_jaccard, quality, sharding, token_shards, toxicity, url_filter
+from casegrain.llm.sql import ORACLE as ORACLE
 from casegrain.llm.tables import read
 from casegrain.session import scratch_path
 
@@ -100,5 +101,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
-}
-ORACLE: dict[str, str] = {}
+}
\ No newline at end of file
