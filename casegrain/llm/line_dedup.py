@@ -112,7 +112,8 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
     # Before the first character: b's first j characters are j insertions.
     start = sum(sum(1 << (edits + j) for j in range(e + 1)) << (e * width) for e in range(edits + 1))
     end = F.char_length(b) - F.char_length(a) + edits
-    final = F.aggregate(matches(F.split(a, ""), F.split(b, "")), F.lit(start).cast("long"), step)
+    characters = lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, ""))
+    final = F.aggregate(matches(characters(a), characters(b)), F.lit(start).cast("long"), step)
     close = F.abs(F.char_length(a) - F.char_length(b)) <= edits
     bit = lambda s: F.call_function("shiftright", s, (end + edits * width).cast("int")).bitwiseAND(F.lit(1)) == 1
     return F.when(close, bind(final, bit)).otherwise(F.lit(False))
