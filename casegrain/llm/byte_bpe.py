@@ -5,9 +5,8 @@ byte is written as one printable character (the usual byte-to-character table),
 so the ranks become a character vocabulary and a merge list: each token's splits
 into two known tokens, in rank order. A text is cut by the pattern into
 pieces, each encoded on its own; no special tokens exist, so their strings
-are ordinary text. Very long texts are encoded in blocks cut where the pattern
-always cuts (before white space that follows a visible character), so memory is
-bounded by the block, not by the text.
+are ordinary text. Texts are cut into chunks where the pattern always cuts (``chunks.py``): each distinct
+chunk is encoded once, and very long texts are worked off in pieces, so memory is bounded.
 
 ``encode`` also gives the byte offset of each token. Tokens partition the bytes of
 the text, so the offsets are running sums of token lengths. ``decode``
@@ -28,7 +27,6 @@ import base64
 import codecs
 import functools
 import os
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -39,11 +37,6 @@ from pyspark.sql import types as T
 from casegrain.llm.chunks import ChunkEncoder
 from casegrain.llm.words import column, column_bytes, slices
 
-BLOCK_CHARS = 1 << 20
-_CUT = re.compile(r"(?<=\S)[ \n\r\t]")
-# The pattern never matches across a visible character followed by white space.
-CHUNK = r"\s*\S+|\s+"
-_ODD = re.compile("[\x1c-\x1f]")
 
 
 def byte_characters() -> list[str]:
@@ -91,46 +84,12 @@ def byte_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @functools.lru_cache(maxsize=2)
 def _encoder(path: str, pattern: str) -> ChunkEncoder:
-    return ChunkEncoder(tokenizer(path, pattern), CHUNK)
-
-
-def _blocks(text: str, limit: int) -> Iterator[str]:
-    at = 0
-    while len(text) - at > limit:
-        m = _CUT.search(text, at + limit)
-        if not m:
-            break
-        yield text[at:m.start()]
-        at = m.start()
-    yield text[at:]
-
-
-def encode_texts(texts: list[str], path: str, pattern: str, limit: int = BLOCK_CHARS) -> list[np.ndarray]:
-    """Ids of each text; texts go through the encoder in blocks of about ``limit`` characters."""
-    out: list[list[np.ndarray]] = [[] for _ in texts]
-    group: list[tuple[int, str]] = []
-
-    def flush() -> None:
-        ids, first = _encoder(path, pattern).encode([b for _, b in group])
-        for j, (i, _) in enumerate(group):
-            out[i].append(ids[first[j]:first[j + 1]])
-        group.clear()
-
-    size = 0
-    for i, t in enumerate(texts):
-        for b in _blocks(t, limit):
-            if _ODD.search(b):  # separators that only Python counts as white space: no chunks
-                flush()
-                e = tokenizer(path, pattern).encode_batch_fast([b], add_special_tokens=False)[0]
-                out[i].append(np.array(e.ids, np.int32))
-                continue
-            group.append((i, b))
-            size += len(b)
-            if size >= limit:
-                flush()
-                size = 0
-    flush()
-    return [np.concatenate(x) if x else np.zeros(0, np.int32) for x in out]
+    return ChunkEncoder(tokenizer(path, pattern), spaces=True)
+
+
+def encode_texts(texts: list[str], path: str, pattern: str) -> list[np.ndarray]:
+    """The ids of each text."""
+    return _encoder(path, pattern).encode_texts(texts)
 
 
 def decode_ids(ids: np.ndarray, path: str) -> np.ndarray:

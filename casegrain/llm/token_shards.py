@@ -33,8 +33,6 @@ from casegrain.llm.words import column, column_bytes, slices
 SHARD_TOKENS = 4 << 20
 END_ID = 2
 SHARD_SCHEMA = "part int, seq int, first_doc long, n_docs long, n_tokens long, payload binary"
-# The tokenizer drops white space and never joins what it parts.
-CHUNK = r"[^ \t-\r]+"
 
 
 @functools.lru_cache(maxsize=2)
@@ -45,7 +43,8 @@ def _encoder(path: str) -> tuple[ChunkEncoder, int]:
     t = Tokenizer.from_file(path)
     t.no_padding()
     t.no_truncation()
-    return ChunkEncoder(t, CHUNK), max(1, int(t.get_vocab_size() - 1).bit_length())
+    # The tokenizer drops white space and never joins what it parts.
+    return ChunkEncoder(t, spaces=False), max(1, int(t.get_vocab_size() - 1).bit_length())
 
 
 class _Shard:
@@ -81,9 +80,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
         encoder, bits = _encoder(tokenizer)
         part, seq, shard = TaskContext.get().partitionId(), 0, _Shard()
         for batch in batches:
-            texts, keys = column(batch, "text"), column(batch, "doc_id").to_pylist()
-            for lo, hi in slices(column_bytes(texts)[1], 1 << 20):
-                ids, first = encoder.encode([x or "" for x in texts.slice(lo, hi - lo).to_pylist()])
+            (data, offs), keys = column_bytes(column(batch, "text")), column(batch, "doc_id").to_pylist()
+            for lo, hi in slices(offs, 4 << 20):
+                ids, first = encoder.encode(data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo])
                 for j in range(hi - lo):
                     own = np.append(ids[first[j]:first[j + 1]], np.int32(end_id))
                     if shard.n and shard.n + len(own) > shard_tokens:

@@ -74,7 +74,7 @@ class WaveletMatrix:
         now = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         planes = []
         for level in range(bits - 1, -1, -1):
-            b = ((now >> level) & 1).astype(bool)
+            b = (now & now.dtype.type(1 << level)) != 0
             planes.append(Plane.of(b))
             now = np.concatenate((now[~b], now[b]))
         return cls(planes, len(ids))

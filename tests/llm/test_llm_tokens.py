@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from casegrain.llm import byte_bpe, token_shards
+from casegrain.llm import byte_bpe, chunks, token_shards
 from casegrain.llm.wavelet import WaveletMatrix, from_bytes, to_bytes
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
@@ -33,14 +33,26 @@ def reference():
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def test_ids_equal_the_reference_in_any_blocks(reference):
+def test_ids_equal_the_reference_in_any_pieces(reference, monkeypatch):
     texts = [t or "" for t in ODD] + random_texts(800, 3)
-    for limit in (1 << 20, 50):
-        for t, ids in zip(texts, byte_bpe.encode_texts(texts, RANKS, P.PATTERN, limit)):
+    for piece in (1 << 20, 50):
+        monkeypatch.setattr(chunks, "PIECE_BYTES", piece)
+        for t, ids in zip(texts, byte_bpe.encode_texts(texts, RANKS, P.PATTERN)):
             assert ids.tolist() == reference.encode_ordinary(t)
             assert byte_bpe.decode_ids(ids, RANKS).tobytes() == t.encode()
 
 
+def test_chunk_encoder_with_little_room(monkeypatch):
+    """Ids don't depend on what is remembered, on pieces or on empty rows."""
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    texts = ["", "", *[x or "" for x in ODD], *random_texts(400, 8), "", "İstanbul ǅ don't rock'n'roll !'s (a)b.c", ""]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    for piece, capacity in ((1 << 20, 600_000), (64, 200), (7, 3)):
+        monkeypatch.setattr(chunks, "PIECE_BYTES", piece)
+        got = chunks.ChunkEncoder(t, spaces=False, capacity=capacity).encode_texts(texts)
+        assert [x.tolist() for x in got] == want
+
+
 def test_split_characters_come_whole(reference):
     for t in ["😀é日", *random_texts(50, 5)]:
         ids = reference.encode_ordinary(t)
