@@ -21,8 +21,9 @@ the plain pigeonhole. The choice of frequent n-grams steers costs only, never re
 Equal sets are grouped by a 128-bit digest first; one of each group is indexed. Index entries are
 combined before the shuffle: a block of documents keeps the smallest document of each key and links
 the others to it, and the shuffle carries blocks of packed entries. So a key that a
-third of all documents share is one entry per block. Each bucket links its members to its smallest document in
-this tree only, and those pairs are verified exactly. Members of a bucket that are in one component
+third of all documents share is one entry per block. Each bucket is then a tree of heads and members.
+First every document is verified exactly against the one head that it shares most keys with, then
+against its heads in other components. Members of a bucket that are in one component
 then need no further comparison; of the rest, pairs of different components are verified too unless
 their sizes or their histograms (n-grams counted in ``BINS`` bins: the sum of the smaller counts
 bounds the intersection) rule them out. No link that could join two components is lost.
@@ -55,7 +56,7 @@ FREQUENT_LEAST = 64       # documents
 FREQUENT_MOST = 200_000   # n-grams sent to every task; the rest count as infrequent
 
 BLOCK_ENTRIES = 2 << 20   # index entries combined before the shuffle
-BINS = 128
+BINS = 256
 
 _C = W.mix(np.arange(101, 101 + 64, dtype=np.uint64)) | np.uint64(1)
 _GOLD = 0x9E3779B97F4A7C15
@@ -297,7 +298,7 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int = N) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [a, b, *[pa.array([x[k] for x in out], pa.int64()) for k in range(3)]],
                 names=["a", "b", "size_a", "size_b", "common"])
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     # Rows that share an id are all compared.
     texts = written(_marked(docs, ids), "ngram-texts", "zstd")
     ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
@@ -326,15 +327,22 @@ def _histograms(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, size long, bins binary")
 
 
-def _remaining(buckets: DataFrame, verified: DataFrame, labels: DataFrame, docs: DataFrame, n: int,
+def _across(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``shared`` whose documents are in different components."""
+    told = shared.select("a", "b")
+    for side in ("a", "b"):
+        told = told.join(labels.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left")
+    return told.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
+def _remaining(buckets: DataFrame, labels: DataFrame, docs: DataFrame, n: int,
                similar: tuple[int, int], parts: int) -> DataFrame:
     """Pairs (a, b) of bucket members in different components that may still be similar."""
     named = labels.withColumnRenamed("node", "doc_id")
     nodes = buckets.select("key", F.explode(F.array("head", "member")).alias("doc_id")).join(
         named, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    # A bucket of two is verified already, one of a single component is done.
-    open_keys = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"),
-                                         F.max("component").alias("hi")).where("n > 2 AND lo <> hi").select("key")
+    # A bucket of a single component is done.
+    open_keys = nodes.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     chosen = written(nodes.join(open_keys, "key", "left_semi").distinct(), "ngram-open")
     known = _histograms(_marked(docs, chosen.select("doc_id").distinct()), n)
 
@@ -375,8 +383,7 @@ def _remaining(buckets: DataFrame, verified: DataFrame, labels: DataFrame, docs:
                     yield pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1])], names=["a", "b"])
 
     rows = chosen.join(known, "doc_id").repartition(parts, "key").sortWithinPartitions("key", "doc_id")
-    pairs = rows.select("key", "doc_id", "component", "size", "bins").mapInArrow(run, "a long, b long").distinct()
-    return pairs.join(verified.select("a", "b"), ["a", "b"], "left_anti")
+    return rows.select("key", "doc_id", "component", "size", "bins").mapInArrow(run, "a long, b long").distinct()
 
 
 def join(docs: DataFrame, n: int = N, similar: tuple[int, int] = SIMILAR) -> DataFrame:
@@ -403,14 +410,18 @@ def join(docs: DataFrame, n: int = N, similar: tuple[int, int] = SIMILAR) -> Dat
     single = told.where("NOT __maybe").select("doc_id", "text").unionByName(
         told.where("__maybe").select("doc_id", "text").join(copies, "doc_id", "left_anti"))
     buckets = written(_buckets(_entries(single, n, similar, frequent, bits), parts), "ngram-buckets")
-    pairs = buckets.select(F.col("head").alias("a"), F.col("member").alias("b")).distinct()
-    verified = written(verify(pairs, docs, n), "ngram-verified")
-    links = _linked(verified, similar)
-    labels = written(components(links, "a", "b"), "ngram-labels")
-    rest = written(_remaining(buckets, verified, labels, docs, n, similar, parts), "ngram-rest")
-    more = _linked(written(verify(rest, docs, n), "ngram-more"), similar)
-    if not more.isEmpty():
-        labels = components(links.select("a", "b").unionByName(more.select("a", "b")), "a", "b")
+    shared = written(buckets.groupBy(F.col("head").alias("a"), F.col("member").alias("b")).agg(F.count(F.lit(1)).alias("n")),
+                     "ngram-shared")
+    # First each document against the head it shares most keys with, then against heads of other components, last the rest.
+    best = shared.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
+    verified = written(verify(best, docs, n), "ngram-verified")
+    labels = written(components(_linked(verified, similar), "a", "b"), "ngram-labels")
+    for step in (lambda: _across(shared, labels), lambda: _remaining(buckets, labels, docs, n, similar, parts)):
+        pairs = written(step().join(verified.select("a", "b"), ["a", "b"], "left_anti"), "ngram-pairs")
+        more = written(verify(pairs, docs, n), "ngram-verified")
+        verified = verified.unionByName(more)
+        if not _linked(more, similar).isEmpty():
+            labels = written(components(_linked(verified, similar), "a", "b"), "ngram-labels")
     rows = sizes.join(copies, "doc_id", "left").withColumn("node", F.coalesce("first", "doc_id"))
     return rows.join(labels, "node", "left").select(
         "doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))

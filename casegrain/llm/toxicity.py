@@ -39,7 +39,7 @@ from casegrain.llm import words as W
 
 SAMPLE = 20_000
 MOST_FEATURES = 4_096
-LEAST_Z = 4.0
+LEAST_Z = 3.0
 LEAST_DOCS = 4
 BEGINNINGS = (7, 6, 5)
 HELD_OUT = 0.3
