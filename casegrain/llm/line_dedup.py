@@ -88,13 +88,12 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
     width = 2 * edits + 1
     mask = (1 << width) - 1
 
-    def matches(ca, cb):
-        def at(c, i):
-            bits = F.lit(0).cast("long")
-            for k in range(width):
-                bits = bits + F.when(F.get(cb, i + (k - edits)) == c, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long"))
-            return bits
-        return F.transform(ca, at)
+    def matches(ca, cb, i):
+        """Bit k: character i of a equals character i + k - edits of b."""
+        c, bits = F.get(ca, i), F.lit(0).cast("long")
+        for k in range(width):
+            bits = bits + F.when(F.get(cb, i + (k - edits)) == c, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long"))
+        return bits
 
     def lane(state, e):
         return F.shiftright(state, e * width).bitwiseAND(F.lit(mask).cast("long"))
@@ -107,13 +106,20 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
             now = (lane(state, e).bitwiseAND(m).bitwiseOR(old).bitwiseOR(F.shiftright(old, 1))
                    .bitwiseOR(F.shiftleft(now, 1).bitwiseAND(F.lit(mask).cast("long"))))
             packed = packed.bitwiseOR(F.shiftleft(now, e * width))
-        return F.when(state == 0, state).otherwise(packed)
+        return packed
 
     # Before the first character: b's first j characters are j insertions.
     start = sum(sum(1 << (edits + j) for j in range(e + 1)) << (e * width) for e in range(edits + 1))
     end = F.char_length(b) - F.char_length(a) + edits
     characters = lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, ""))
-    final = F.aggregate(matches(characters(a), characters(b)), F.lit(start).cast("long"), step)
+
+    def run(c):
+        # An empty state (more edits everywhere on the band) stays empty: the rest of the line is skipped over.
+        return F.when(F.size(c["a"]) == 0, F.lit(start).cast("long")).otherwise(F.aggregate(
+            F.sequence(F.lit(0), F.size(c["a"]) - 1), F.lit(start).cast("long"),
+            lambda state, i: F.when(state == 0, state).otherwise(
+                bind(matches(c["a"], c["b"], i), lambda m: step(state, m)))))
+    final = bind(F.struct(characters(a).alias("a"), characters(b).alias("b")), run)
     close = F.abs(F.char_length(a) - F.char_length(b)) <= edits
     bit = lambda s: F.call_function("shiftright", s, (end + edits * width).cast("int")).bitwiseAND(F.lit(1)) == 1
     return F.when(close, bind(final, bit)).otherwise(F.lit(False))
