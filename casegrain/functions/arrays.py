@@ -55,3 +55,23 @@ def cosine(a, b) -> Column:
 def kl_divergence(p_log, q_log) -> Column:
     """Σ p (ln p − ln q) from two log-probability arrays."""
     return _sum(F.zip_with(p_log, q_log, lambda lp, lq: F.exp(lp) * (lp - lq)))
+
+
+def prefix_sums(a) -> Column:
+    """Running sums before each element of an integer array, in about n·√n steps.
+
+    Blocks of √n elements: sums of whole blocks first, then inside each block.
+    """
+    def blocks(v):
+        size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(v)))).cast("int")
+        count = F.ceil(F.size(v) / size).cast("int")
+
+        def per_block(b):
+            starts = F.aggregate(b, F.array(F.lit(0).cast("bigint")), lambda acc, x: F.concat(
+                acc, F.array(F.element_at(acc, -1) + F.aggregate(x, F.lit(0).cast("bigint"), lambda s, y: s + y))))
+            return let(starts, lambda base: F.flatten(F.transform(b, lambda x, k: F.transform(
+                x, lambda _, i: F.element_at(base, k + 1)
+                + F.aggregate(F.slice(x, 1, i), F.lit(0).cast("bigint"), lambda s, y: s + y)))))
+        cut = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice(v, k * size + 1, size))
+        return F.when(F.size(v) == 0, F.array().cast("array<bigint>")).otherwise(let(cut, per_block))
+    return let(col_of(a).cast("array<bigint>"), blocks)

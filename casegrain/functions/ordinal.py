@@ -4,9 +4,9 @@
 one task.  Instead: range-partition on the order key, sort within
 partitions, number rows inside each partition, and add the running count
 of the partitions before it.  The offsets table has one row per partition
-(a proven size bound), so broadcasting it is safe.  The order key must be
-unique (add the id as a tie-breaker) so that recomputation after executor
-loss yields the same numbers.
+(a proven size bound), so broadcasting it is safe.  The partitioned rows are
+written once and read by both the counts and the result: range bounds are
+sampled, so two computations of them could differ.
 """
 
 from __future__ import annotations
@@ -14,16 +14,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casegrain.session import materialize
+
 
 def exact_ordinal(df: DataFrame, order_cols: list, out: str = "ordinal",
                   total_out: str | None = None, num_partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    tagged = (df.repartitionByRange(n, *cols)
-              .sortWithinPartitions(*cols)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id()))
+    tagged = materialize(df.repartitionByRange(n, *cols)
+                         .sortWithinPartitions(*cols)
+                         .withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_mid", F.monotonically_increasing_id()), "ordinal")
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_base"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
@@ -48,8 +50,8 @@ def running_total(df: DataFrame, order_col: str, value_cols: list[str], out_pref
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tagged = (df.repartitionByRange(n, F.col(order_col))
-              .withColumn("_pid", F.spark_partition_id()))
+    tagged = materialize(df.repartitionByRange(n, F.col(order_col))
+                         .withColumn("_pid", F.spark_partition_id()), "running")
     inner = Window.partitionBy("_pid").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     local = tagged.select("*", F.count(F.lit(1)).over(inner).alias("_lc"),
                           *[F.sum(c).over(inner).alias(f"_ls_{c}") for c in value_cols])

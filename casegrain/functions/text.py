@@ -21,12 +21,13 @@ TOKEN_PATTERN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\t\n\x0B\f\r ]"
 TILE_PATTERN = r"[\p{L}\p{N}]+|[\t\n\x0B\f\r ]+|[^\p{L}\p{N}\t\n\x0B\f\r ]"
 # A sentence: characters up to a terminator (or line end), plus the terminators.
 SENTENCE_PATTERN = r"[^.!?\n]+[.!?]*"
+# Abbreviations whose dot ends no sentence: these words, and single capital letters.
+ABBREVIATION_PATTERN = r"(^|[^\p{L}\p{N}])(v|vs|Mr|Mrs|Ms|Dr|Rs|No|Art|Sec|Ltd|Co|St|Cr|[A-Z])\."
+GUARD = "\uE000"
 ALNUM_CHAR = r"^[\p{L}\p{N}]$"
 # Model window: 512 positions = start id + 510 tokens + end id.
 MAX_LEN = 512
 WINDOW_TOKENS = MAX_LEN - 2
-# Whitespace tiles never touch each other, so 510 tokens end within 1020 tiles.
-WINDOW_TILES = 2 * WINDOW_TOKENS
 PAD_ID, UNK_ID, CLS_ID, SEP_ID, MASK_ID = 0, 100, 101, 102, 103
 FIRST_WORD_ID = 1000
 # -----------------------------------------------------------------------------
@@ -59,9 +60,20 @@ def trim_ws(c) -> Column:
     return F.regexp_replace(col_of(c), r"^[\t\n\x0B\f\r ]+|[\t\n\x0B\f\r ]+$", "")
 
 
+def guard_abbreviations(text) -> Column:
+    """The dots of abbreviations and initials as a private character; lengths stay the same.
+
+    Twice, since neighbours such as ``I.P.C.`` share the character between them.
+    """
+    once = F.regexp_replace(col_of(text), ABBREVIATION_PATTERN, f"$1$2{GUARD}")
+    return F.regexp_replace(once, ABBREVIATION_PATTERN, f"$1$2{GUARD}")
+
+
 def raw_sentences(text) -> Column:
     """Sentence matches in order, untrimmed; index = sentence position."""
-    return F.regexp_extract_all(F.coalesce(col_of(text), F.lit("")), F.lit(SENTENCE_PATTERN), 0)
+    guarded = guard_abbreviations(F.coalesce(col_of(text), F.lit("")))
+    found = F.regexp_extract_all(guarded, F.lit(SENTENCE_PATTERN), 0)
+    return F.transform(found, lambda s: F.translate(s, GUARD, "."))
 
 
 def sentences(text) -> Column:
@@ -69,10 +81,14 @@ def sentences(text) -> Column:
     return F.transform(raw_sentences(text), lambda s: trim_ws(s))
 
 
-def window_text_length(text) -> Column:
-    """Characters covered by the first 1020 tiles: every token of the model
-    window lies inside this prefix, and it ends on a tile boundary."""
-    return F.length(F.array_join(F.slice(tiles(F.coalesce(col_of(text), F.lit(""))), 1, WINDOW_TILES), ""))
+def window_count(n_tokens) -> Column:
+    """Consecutive windows of 510 tokens that hold a text (one for a text without tokens)."""
+    return F.greatest(F.lit(1), F.ceil(col_of(n_tokens) / WINDOW_TOKENS)).cast("int")
+
+
+def window_slice(arr, window_no, size: int = WINDOW_TOKENS) -> Column:
+    """Elements of window ``window_no`` (from 0)."""
+    return F.slice(col_of(arr), (col_of(window_no) * size + 1).cast("int"), size)
 
 
 def quote_literal(s) -> Column:

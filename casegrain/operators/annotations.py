@@ -6,9 +6,10 @@ no shuffle, one narrow stage.  Rows are only exploded for the long-format
 outputs (annotation rows, spans), and every explode is bounded by the
 row's own annotation / occurrence count.
 
-Token positions come from counting tokens in text prefixes, which avoids
-exploding a document into tokens: the tokens overlapping the span
-[s, e) are those starting before e and ending after s.
+Token positions come from the token counts of the pieces between span
+borders, added up once: the tokens overlapping the span [s, e) are those
+starting before e and ending after s.  Masks cover whole texts in
+consecutive model windows of 510 tokens; every token is in one window.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from casegrain.functions.arrays import prefix_sums
 from casegrain.functions.text import (
     ALNUM_CHAR, MAX_LEN, WINDOW_TOKENS, col_of, let, quote_literal, raw_tokens,
-    sentences, token_count, trim_ws, window_text_length,
+    sentences, token_count, trim_ws, window_count,
 )
 
 # ---- fixed values -----------------------------------------------------------
@@ -38,17 +40,25 @@ def _parsed_map(annotation) -> Column:
     """Annotation text → map<rank, text>; JSON or Python-literal dicts.
 
     ``from_json`` accepts single-quoted strings, which covers Python literal
-    dicts; Python's ``None`` is rewritten to JSON ``null`` first.  Anything
-    else (tuples, bare words, broken text) parses to null and is rejected.
+    dicts.  What doesn't parse as it stands is tried again with Python's
+    unquoted ``None`` as JSON ``null``.  Anything else (tuples, bare words,
+    broken text) parses to null and is rejected.
     """
-    c = col_of(annotation)
-    cleaned = F.regexp_replace(c, r"\bNone\b", "null")
-    return F.from_json(cleaned, "map<string,string>", {"mode": "PERMISSIVE"})
+    return _json(annotation, "map<string,string>")
+
+
+def _json(text, schema: str) -> Column:
+    c = col_of(text)
+    # Quoted strings are single pieces, so a None inside a sentence stays.
+    pieces = F.regexp_extract_all(c, F.lit(
+        r'''"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|[A-Za-z0-9_]+|[^"'A-Za-z0-9_]+|["']'''), 0)
+    cleaned = F.array_join(F.transform(pieces, lambda p: F.when(p == "None", "null").otherwise(p)), "")
+    return F.coalesce(F.from_json(c, schema), F.from_json(cleaned, schema))
 
 
 def _rank_list(value) -> Column:
     """A rank value is a list, or a list written as a string → array<string>."""
-    return F.from_json(value, "array<string>")
+    return _json(value, "array<string>")
 
 
 def parse_annotation(annotation) -> Column:
@@ -116,14 +126,13 @@ def with_matched_sentences(df: DataFrame, text: str = "text",
 
 def _occurrences(text: Column, s: Column) -> Column:
     """All non-overlapping literal occurrences of s in text → array<struct>."""
+    slen = F.length(s)
+
     def build(parts):
-        n = F.size(parts) - 1
-        idx = F.filter(F.sequence(F.lit(0), n), lambda i: i > 0)
-        slen = F.length(s)
-        return F.transform(idx, lambda i: let(
-            F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda acc, p: acc + F.length(p)) + (i - 1) * slen,
-            lambda start: F.struct(s.alias("sentence"), start.cast("int").alias("start"),
-                                   (start + slen).cast("int").alias("end"))))
+        # Element i: the end of the i-th occurrence.
+        ends = prefix_sums(F.transform(parts, lambda p: F.length(p) + slen))
+        return F.transform(F.slice(ends, 2, F.size(parts)), lambda e: F.struct(
+            s.alias("sentence"), (e - slen).cast("int").alias("start"), e.cast("int").alias("end")))
     return let(F.split(text, quote_literal(s), -1), build)
 
 
@@ -134,86 +143,88 @@ def with_spans(df: DataFrame, text: str = "text", matched: str = "matched_senten
     return df.withColumn(out, F.flatten(F.transform(F.col(matched), lambda s: _occurrences(t, s))))
 
 
-def _tokens_before(text: Column, n_chars) -> Column:
-    """Number of tokens starting before character offset n_chars."""
-    return F.size(raw_tokens(text.substr(F.lit(1), n_chars)))
-
-
 def with_span_positions(df: DataFrame, text: str = "text", spans: str = "spans",
                         out: str = "span_positions") -> DataFrame:
-    """Model-window positions [lo, hi] each span overlaps (start id at 0).
+    """Token positions [lo, hi] (from 1) each span overlaps, over the whole text.
 
-    A token [a, b) overlaps [s, e) iff a < e and b > s.  Tokens with a < e
-    are counted in text[:e]; tokens with b <= s are those in text[:s] minus
-    one if a token straddles s.  Only the window prefix is ever scanned.
+    A token [a, b) overlaps [s, e) iff a < e and b > s.  The text is cut at
+    all span borders; the tokens before a border are the tokens of the pieces
+    before it, less one for every earlier border that cuts a token in two.
     """
     t = F.coalesce(F.col(text), F.lit(""))
 
-    def per_row(wlen):
-        def pos(sp):
-            s, e = sp["start"], sp["end"]
-            straddle = ((s > 0)
-                        & t.substr(s, F.lit(1)).rlike(ALNUM_CHAR)
-                        & t.substr(s + 1, F.lit(1)).rlike(ALNUM_CHAR))
-            k1 = _tokens_before(t, s) - F.when(straddle, 1).otherwise(0)
-            k2 = _tokens_before(t, F.least(e, wlen))
-            return F.struct(sp["sentence"].alias("sentence"), s.alias("start"), e.alias("end"),
-                            (k1 + 1).cast("int").alias("lo"),
-                            F.least(k2, F.lit(WINDOW_TOKENS)).cast("int").alias("hi"))
+    def cut(border):
+        return ((border > 0) & t.substr(border, F.lit(1)).rlike(ALNUM_CHAR)
+                & t.substr(border + 1, F.lit(1)).rlike(ALNUM_CHAR)).cast("int")
 
-        inside = F.filter(F.col(spans), lambda sp: sp["start"] < wlen)
-        return F.filter(F.transform(inside, pos), lambda x: x["lo"] <= x["hi"])
+    def per_row(b):
+        counts = F.transform(b, lambda x, i: F.size(raw_tokens(
+            t.substr(x + 1, F.coalesce(F.get(b, i + 1), F.length(t)) - x))))
+        return let(F.struct(b.alias("b"), prefix_sums(counts).alias("n"), F.transform(b, cut).alias("c"),
+                            prefix_sums(F.transform(b, cut)).alias("cuts")), locate)
 
-    # The window length is bound once per row (see ``let``).
-    return df.withColumn(out, let(window_text_length(t), per_row))
-
-
-def positive_positions(positions) -> Column:
-    """Sorted distinct window positions covered by any span."""
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(
-        F.coalesce(col_of(positions), F.array()), lambda x: F.sequence(x["lo"], x["hi"])))))
-
-
-def mask_from_positions(pos) -> Column:
-    """0/1 array of exactly 512 positions from a sorted position set."""
-    return let(col_of(pos), lambda ps: F.transform(
-        F.sequence(F.lit(0), F.lit(MAX_LEN - 1)), lambda p: F.when(F.array_contains(ps, p), 1).otherwise(0)))
+    def locate(k):
+        def before(border):
+            return let(F.array_position(k["b"], border), lambda i: F.struct(
+                (F.element_at(k["n"], i.cast("int")) - F.element_at(k["cuts"], i.cast("int"))).alias("n"),
+                F.element_at(k["c"], i.cast("int")).alias("c")))
 
+        def pos(sp):
+            return F.struct(sp["sentence"].alias("sentence"), sp["start"].alias("start"), sp["end"].alias("end"),
+                            let(before(sp["start"]), lambda x: (x["n"] - x["c"] + 1).cast("int")).alias("lo"),
+                            before(sp["end"])["n"].cast("int").alias("hi"))
+        return F.filter(F.transform(F.col(spans), pos), lambda x: x["lo"] <= x["hi"])
 
-def with_rationale_mask(df: DataFrame, positions: str = "span_positions",
-                        out: str = "rationale_mask") -> DataFrame:
-    """OR of all spans into a 0/1 array of exactly 512 positions."""
-    return df.withColumn(out, mask_from_positions(positive_positions(F.col(positions))))
+    borders = F.array_sort(F.array_distinct(F.concat(
+        F.array(F.lit(0)), F.transform(spans, lambda sp: sp["start"]), F.transform(spans, lambda sp: sp["end"]))))
+    return df.withColumn(out, F.when(F.size(spans) > 0, let(borders, per_row)).otherwise(
+        F.array().cast("array<struct<sentence:string,start:int,end:int,lo:int,hi:int>>")))
 
 
-def rationale_masks(experts: DataFrame, text: str = "text", keep=("doc_id",), with_mask: bool = True) -> DataFrame:
-    """Expert split → (keep…, n_active, n_positive[, rationale_mask]) in one narrow stage.
+def window_masks(positions, n_tokens) -> Column:
+    """One struct (window_no, n_active, n_positive, rationale_mask[512]) per model window of a text.
 
-    Without ``with_mask`` only the counts are produced (coverage, class
-    weights), skipping the 512-position array entirely.
+    ``positions``: token positions [lo, hi] from 1.  Position p of the text is
+    position (p - 1) % 510 + 1 of window (p - 1) // 510; 0 is the start id.
     """
+    def windows(packed):
+        def one(w):
+            first = w * WINDOW_TOKENS
+            inside = F.filter(packed["p"], lambda x: (x["hi"] > first) & (x["lo"] <= first + WINDOW_TOKENS))
+            mask = let(inside, lambda sp: F.transform(F.sequence(F.lit(0), F.lit(MAX_LEN - 1)), lambda q: F.when(
+                (q > 0) & (q <= WINDOW_TOKENS) & F.exists(sp, lambda x: (x["lo"] <= first + q) & (x["hi"] >= first + q)),
+                1).otherwise(0)))
+            active = F.least(F.greatest(packed["n"] - first, F.lit(0)), F.lit(WINDOW_TOKENS)) + 2
+            return let(mask, lambda m: F.struct(
+                w.cast("bigint").alias("window_no"), active.cast("bigint").alias("n_active"),
+                F.aggregate(m, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_positive"),
+                m.alias("rationale_mask")))
+        return F.transform(F.sequence(F.lit(0), window_count(packed["n"]) - 1), one)
+    spans = F.transform(F.coalesce(col_of(positions), F.array()), lambda x: F.struct(x["lo"].alias("lo"), x["hi"].alias("hi")))
+    # Spans of equal sentences repeat; distinct ones keep the inner loops short.
+    return let(F.struct(F.array_distinct(spans).alias("p"), col_of(n_tokens).alias("n")), windows)
+
+
+def rationale_masks(experts: DataFrame, text: str = "text", keep=("doc_id",)) -> DataFrame:
+    """Expert split → (keep…, window_no, n_active, n_positive, rationale_mask), a row per window, in one narrow stage."""
     df = with_rationale_sentences(experts)
     df = with_matched_sentences(df, text)
     df = with_spans(df, text)
     df = with_span_positions(df, text)
-    n_active = (F.least(token_count(text), F.lit(WINDOW_TOKENS)) + 2).cast("bigint").alias("n_active")
-    packed = let(positive_positions(F.col("span_positions")), lambda ps: F.struct(
-        F.size(ps).cast("bigint").alias("n_positive"),
-        *([mask_from_positions(ps).alias("rationale_mask")] if with_mask else [])))
-    cols = ["_m.n_positive"] + (["_m.rationale_mask"] if with_mask else [])
-    return df.select(*keep, n_active, packed.alias("_m")).select(*keep, "n_active", *cols)
+    rows = df.select(*keep, F.explode_outer(window_masks("span_positions", token_count(text))).alias("_m"))
+    return rows.select(*keep, "_m.window_no", "_m.n_active", "_m.n_positive", "_m.rationale_mask")
 
 
 def coverage(masks: DataFrame) -> DataFrame:
-    """Share of positive positions: over 512 × rows (reference) and over active positions."""
+    """Share of positive positions: over 512 × windows (reference) and over active positions."""
     agg = masks.agg(
-        F.count(F.lit(1)).alias("n_docs"),
+        F.count(F.lit(1)).alias("n_windows"),
         F.coalesce(F.sum("n_positive"), F.lit(0)).cast("bigint").alias("positive_tokens"),
         F.coalesce(F.sum("n_active"), F.lit(0)).cast("bigint").alias("active_tokens"),
     )
-    padded = F.col("n_docs") * MAX_LEN
+    padded = F.col("n_windows") * MAX_LEN
     return agg.select(
-        "n_docs", "positive_tokens", padded.cast("bigint").alias("padded_tokens"), "active_tokens",
+        "n_windows", "positive_tokens", padded.cast("bigint").alias("padded_tokens"), "active_tokens",
         F.round(F.coalesce(F.try_divide(F.col("positive_tokens"), F.nullif(padded, F.lit(0))), F.lit(0.0)), 9)
         .alias("coverage_padded"),
         F.round(F.coalesce(F.try_divide(F.col("positive_tokens"), F.nullif(F.col("active_tokens"), F.lit(0))),
@@ -224,7 +235,7 @@ def coverage(masks: DataFrame) -> DataFrame:
 def class_weights(masks: DataFrame) -> DataFrame:
     """Inverse-frequency class weights; (1, 1) without positives; null-safe.
 
-    Reference totals count all 512 positions per row; the active variant
+    Reference totals count all 512 positions per window; the active variant
     counts attention positions only.
     """
     agg = masks.agg(

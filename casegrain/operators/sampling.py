@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casegrain.functions.ordinal import exact_ordinal
-from casegrain.functions.text import CLS_ID, MASK_ID, PAD_ID, SEP_ID, hex8
+from casegrain.functions.text import CLS_ID, MASK_ID, MAX_LEN, PAD_ID, SEP_ID, hex8
 
 # ---- fixed values (reference parameters) ------------------------------------
 VALIDATION_SHARE = 0.2
@@ -54,12 +54,13 @@ def minibatch_assign(df: DataFrame, id_col: str = "doc_id", batch_size: int = BA
 
 def mlm_mask(df: DataFrame, ids: str = "input_ids", id_col: str = "doc_id", seed=SPLIT_SEED,
              rate: float = MASK_RATE, out: str = "masked_ids") -> DataFrame:
-    """Replace ~15% of non-special positions by the mask id, by a seeded hash of (doc, pos)."""
+    """Replace ~15% of non-special positions by the mask id, by a seeded hash of (doc, position over all windows)."""
+    first = F.col("window_no") * MAX_LEN if "window_no" in df.columns else F.lit(0)
     threshold = int(math.floor(rate * 4294967296.0))
     special = [PAD_ID, CLS_ID, SEP_ID]
     masked = F.transform(F.col(ids), lambda x, i: F.when(
         (~x.isin(special))
-        & (hex8(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"), F.lit(":"), i.cast("string")))
+        & (hex8(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"), F.lit(":"), (first + i).cast("string")))
            < threshold),
         F.lit(MASK_ID)).otherwise(x))
     return df.withColumn(out, masked)

@@ -2,26 +2,25 @@
 
 Design:
 * tokens and sentences are regex extractions inside the row;
-* offsets are a running sum of tile lengths over a per-document window
-  (one shuffle on doc_id; every document is bounded by its own length);
+* offsets are a running sum of tile lengths inside the row;
 * the vocabulary is a ``groupBy(token).count()`` with partial aggregation,
   ranked by the exact distributed ordinal;
-* ids are attached by a join on the token — broadcast only when the
-  vocabulary's row count is checked to be small, otherwise a shuffle join
-  (AQE splits hot tokens) — and folded back per document in order.
+* ids are attached by a join on the distinct tokens of each window (Spark
+  broadcasts the vocabulary if its size allows, else AQE splits hot tokens)
+  and put in order inside the row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casegrain.functions.arrays import prefix_sums
 from casegrain.functions.ordinal import exact_ordinal
 from casegrain.functions.text import (
     CLS_ID, FIRST_WORD_ID, MAX_LEN, PAD_ID, SEP_ID, UNK_ID, WINDOW_TOKENS,
-    raw_sentences, tiles, tokens, trim_ws,
+    col_of, let, raw_sentences, tiles, tokens, trim_ws, window_count, window_slice,
 )
-from casegrain.operators.joins import broadcast_if_small
 
 MIN_COUNT = 2
 
@@ -40,25 +39,25 @@ def token_rows(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> Dat
             .filter(F.col("token").isNotNull()))
 
 
-def token_offsets(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, pos, token, start, end): every token of the whole text with [start, end).
+def offset_array(text) -> Column:
+    """Every token of a text as array<struct<token, start, end>>.
 
     The tiles of a text concatenate back to it, so a token's start is the
-    running sum of the lengths of the tiles before it.
+    sum of the lengths of the tiles before it.
     """
-    tl = (df.select(id_col, F.posexplode_outer(tiles(F.coalesce(F.col(text), F.lit("")))).alias("tile_pos", "tile"))
-          .filter(F.col("tile").isNotNull()))
-    w = Window.partitionBy(id_col).orderBy("tile_pos").rowsBetween(Window.unboundedPreceding, -1)
-    tl = tl.withColumn("start", F.coalesce(F.sum(F.length("tile")).over(w), F.lit(0)))
-    toks = tl.filter(~F.col("tile").rlike(r"^[\t\n\x0B\f\r ]"))
-    wt = Window.partitionBy(id_col).orderBy("tile_pos")
-    return toks.select(
-        id_col,
-        (F.row_number().over(wt) - 1).cast("bigint").alias("pos"),
-        F.lower("tile").alias("token"),
-        F.col("start").cast("bigint").alias("start"),
-        (F.col("start") + F.length("tile")).cast("bigint").alias("end"),
-    )
+    def place(tl):
+        starts = prefix_sums(F.transform(tl, lambda x: F.length(x)))
+        zipped = F.zip_with(tl, starts, lambda x, s: F.struct(
+            F.lower(x).alias("token"), s.cast("bigint").alias("start"), (s + F.length(x)).cast("bigint").alias("end")))
+        return F.filter(zipped, lambda z: ~z["token"].rlike(r"^[\t\n\x0B\f\r ]"))
+    return let(tiles(F.coalesce(col_of(text), F.lit(""))), place)
+
+
+def token_offsets(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(id, pos, token, start, end): every token of the whole text with [start, end), no shuffle."""
+    return (df.select(id_col, F.posexplode_outer(offset_array(text)).alias("pos", "t"))
+            .filter(F.col("t").isNotNull())
+            .select(id_col, F.col("pos").cast("bigint").alias("pos"), "t.token", "t.start", "t.end"))
 
 
 def build_vocab(train_docs: DataFrame, text: str = "text", min_count: int = MIN_COUNT) -> DataFrame:
@@ -73,28 +72,32 @@ def build_vocab(train_docs: DataFrame, text: str = "text", min_count: int = MIN_
 
 
 def encode_window(df: DataFrame, vocab: DataFrame, text: str = "text", id_col: str = "doc_id",
-                  max_vocab_broadcast: int = 2_000_000) -> DataFrame:
-    """(id, input_ids[512], attention_mask[512], n_tokens): start id, first 510 ids, end id, padding.
+                  offsets: bool = False) -> DataFrame:
+    """(id, window_no, input_ids[512], attention_mask[512], n_tokens[, offset_mapping]): a row per window.
 
-    Only the first 510 tokens of each document are exploded (truncation
-    before explode); unknown tokens map to the unknown id.
+    Each window holds the start id, its 510 tokens' ids, the end id and padding;
+    unknown tokens map to the unknown id.  Ids are joined to the distinct
+    tokens of a window, so a common word is one row per window, not per use.
     """
-    win = df.select(id_col, F.slice(tokens(F.coalesce(F.col(text), F.lit(""))), 1, WINDOW_TOKENS).alias("toks"))
-    # posexplode_outer keeps token-less documents as one null row.
-    exploded = win.select(id_col, F.posexplode_outer("toks").alias("pos", "token"))
-    v = broadcast_if_small(vocab.select("token", "token_id"), max_vocab_broadcast)
-    ided = exploded.join(v, "token", "left").withColumn(
-        "token_id", F.when(F.col("pos").isNotNull(), F.coalesce("token_id", F.lit(UNK_ID))))
-    folded = ided.groupBy(id_col).agg(
-        F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "token_id")))).alias("_pairs"))
-    ids = F.transform("_pairs", lambda x: x["token_id"].cast("int"))
-    n_act = F.size("_ids") + 2
-    input_ids = F.concat(F.array(F.lit(CLS_ID)), F.col("_ids"), F.array(F.lit(SEP_ID)),
-                         F.array_repeat(F.lit(PAD_ID), MAX_LEN - n_act))
-    attention = F.concat(F.array_repeat(F.lit(1), n_act), F.array_repeat(F.lit(0), MAX_LEN - n_act))
-    return (folded.withColumn("_ids", ids)
-            .select(id_col, F.size("_ids").cast("bigint").alias("n_tokens"),
-                    input_ids.alias("input_ids"), attention.alias("attention_mask")))
+    toks = offset_array(text)
+    wins = let(toks, lambda t: F.transform(F.sequence(F.lit(0), window_count(F.size(t)) - 1), lambda w: F.struct(
+        w.cast("bigint").alias("window_no"), window_slice(t, w).alias("toks"))))
+    rows = df.select(id_col, F.explode_outer(wins).alias("w")).select(id_col, "w.window_no", "w.toks")
+    types = rows.select(id_col, "window_no", F.explode_outer(F.array_distinct(F.transform("toks", lambda x: x["token"])))
+                        .alias("token"))
+    known = types.join(vocab.select("token", "token_id"), "token").groupBy(id_col, "window_no").agg(
+        F.map_from_entries(F.collect_list(F.struct("token", F.col("token_id").cast("int")))).alias("_ids"))
+    joined = rows.join(known, [id_col, "window_no"], "left")
+    ids = let(F.coalesce("_ids", F.create_map().cast("map<string,int>")), lambda m: F.transform(
+        "toks", lambda x: F.coalesce(F.element_at(m, x["token"]), F.lit(UNK_ID))))
+    n = F.size("toks")
+    out = joined.select(
+        id_col, "window_no", n.cast("bigint").alias("n_tokens"),
+        F.concat(F.array(F.lit(CLS_ID)), ids, F.array(F.lit(SEP_ID)),
+                 F.array_repeat(F.lit(PAD_ID), WINDOW_TOKENS - n)).alias("input_ids"),
+        F.concat(F.array_repeat(F.lit(1), n + 2), F.array_repeat(F.lit(0), WINDOW_TOKENS - n)).alias("attention_mask"),
+        F.transform("toks", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("offset_mapping"))
+    return out if offsets else out.drop("offset_mapping")
 
 
 def pad_or_truncate(mask_col, length: int = MAX_LEN):
@@ -103,25 +106,25 @@ def pad_or_truncate(mask_col, length: int = MAX_LEN):
     return F.concat(m, F.array_repeat(F.lit(0), length - F.size(m)))
 
 
-def segment_rare(types: DataFrame, vocab: DataFrame, token: str = "token",
-                 max_vocab_broadcast: int = 2_000_000) -> DataFrame:
+def segment_rare(types: DataFrame, vocab: DataFrame, token: str = "token") -> DataFrame:
     """Greedy longest-prefix segmentation of word types into vocabulary pieces.
 
     From each position the longest substring that is a vocabulary token is
     taken (one character when none is), continuation pieces carry ``##``.
     Work is per distinct type, never per token occurrence: every candidate
-    substring (up to the longest vocabulary entry) is matched by one join
+    substring (of a length that the vocabulary has) is matched by one join
     with the vocabulary, then the greedy walk runs inside the row.
     """
     v = vocab.select(F.col("token").alias("piece"))
-    max_piece = v.agg(F.max(F.length("piece"))).first()[0] or 1
+    # Lengths that occur in the vocabulary: a bounded set, so long words give few candidates.
+    lengths = v.agg(F.array_sort(F.collect_set(F.length("piece"))).alias("x")).first()["x"] or [1]
+    sizes = F.array(*[F.lit(x) for x in lengths])
     t = types.select(F.col(token).alias("token")).distinct()
-    # All (start, length) candidates, bounded by the longest vocabulary entry.
+    # All (start, length) candidates of those lengths.
     cand = t.select("token", F.posexplode(F.sequence(F.lit(0), F.length("token") - 1)).alias("_x", "i")).select(
-        "token", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(max_piece), F.length("token") - F.col("i"))))
-        .alias("len"))
+        "token", "i", F.explode(F.filter(sizes, lambda x: x <= F.length("token") - F.col("i"))).alias("len"))
     cand = cand.withColumn("piece", F.substring("token", F.col("i") + 1, F.col("len")))
-    hits = cand.join(broadcast_if_small(v, max_vocab_broadcast), "piece", "left_semi")
+    hits = cand.join(v, "piece", "left_semi")
     best = hits.groupBy("token", "i").agg(F.max("len").alias("len"))
     per_type = t.join(best.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("i", "len"))).alias("m")),
                       "token", "left")

@@ -14,8 +14,8 @@ from casegrain.operators import annotations as A
 from casegrain.operators import sampling as S
 from casegrain.operators import tokens as TK
 from casegrain.plans import standins as SI
-from casegrain.session import table
-from casegrain.functions.text import WINDOW_TOKENS, let
+from casegrain.session import materialize, table
+from casegrain.functions.text import let, window_slice
 from casegrain.functions.text import tokens as tokens_of
 from casegrain.operators import losses as L
 from casegrain.operators import metrics as M
@@ -46,8 +46,8 @@ def _experts(spark, d):
     return SI.expert_split(_docs(spark, d))
 
 
-def _masks(spark, d, with_mask: bool = True):
-    return A.rationale_masks(_experts(spark, d), with_mask=with_mask)
+def _masks(spark, d):
+    return A.rationale_masks(_experts(spark, d))
 
 
 def _train_docs(spark, d):
@@ -56,10 +56,8 @@ def _train_docs(spark, d):
 
 
 def _vocab(spark, d):
-    v = TK.build_vocab(_train_docs(spark, d))
-    # A model artifact: written once (lineage cut) so the size check and the
-    # join read the same small table.
-    return v.checkpoint()
+    # A model artifact: written once, its size known to the joins that read it.
+    return materialize(TK.build_vocab(_train_docs(spark, d)), "vocabulary")
 
 
 def _encoded(spark, d):
@@ -104,7 +102,7 @@ def q_vocab_encode(spark, d):
 
 
 def q_pad_truncate(spark, d):
-    e = _encoded(spark, d)
+    e = _encoded(spark, d).filter("window_no = 0")      # truncation is the feature here
     return e.select("doc_id", "n_tokens",
                     F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_attention"),
                     F.array_join("input_ids", " ").alias("ids_text"))
@@ -145,12 +143,12 @@ def q_token_span_overlap(spark, d):
 
 def q_rationale_mask(spark, d):
     m = _masks(spark, d)
-    return m.select("doc_id", "n_active", "n_positive",
+    return m.select("doc_id", "window_no", "n_active", "n_positive",
                     F.array_join(F.transform("rationale_mask", lambda x: x.cast("string")), "").alias("mask_bits"))
 
 
 def q_rationale_coverage(spark, d):
-    return A.coverage(_masks(spark, d, with_mask=False))
+    return A.coverage(_masks(spark, d))
 
 
 def q_train_val_split(spark, d):
@@ -158,7 +156,7 @@ def q_train_val_split(spark, d):
 
 
 def q_class_weights(spark, d):
-    m = _masks(spark, d, with_mask=False)
+    m = _masks(spark, d)
     parts = S.train_val_split(_docs(spark, d).select("doc_id"))
     return A.class_weights(m.join(parts.filter(F.col("part") == "train"), "doc_id", "left_semi"))
 
@@ -178,7 +176,7 @@ def q_mlm_mask(spark, d):
         F.size(F.filter(f, lambda x: x["m"])).cast("bigint").alias("n_masked"),
         F.array_join(F.transform(F.filter(f, lambda x: x["m"]), lambda x: x["i"].cast("string")), " ")
         .alias("masked_positions")))
-    return m.select("doc_id", summary.alias("s")).select("doc_id", "s.*")
+    return m.select("doc_id", "window_no", summary.alias("s")).select("doc_id", "window_no", "s.*")
 
 
 # ---- losses over the embeddings stand-in ------------------------------------
@@ -272,8 +270,8 @@ def q_best_epoch(spark, d):
 def q_highlight_render(spark, d):
     ex = _experts(spark, d)
     m = A.rationale_masks(ex, keep=("doc_id", "text"))
-    toks = F.slice(tokens_of(F.coalesce(F.col("text"), F.lit(""))), 1, WINDOW_TOKENS)
-    return m.select("doc_id", render_highlight(toks, "rationale_mask").alias("rationale_text"))
+    toks = window_slice(tokens_of(F.coalesce(F.col("text"), F.lit(""))), "window_no")
+    return m.select("doc_id", "window_no", render_highlight(toks, "rationale_mask").alias("rationale_text"))
 
 
 # ---- ingestion, cleaning, sections ------------------------------------------
@@ -423,15 +421,18 @@ def q_csv_roundtrip(spark, d):
 
 
 def q_token_store(spark, d):
-    corpus = SI.corpus_splits(_docs(spark, d), _labels(spark, d)).filter(F.col("split") != "expert")
-    enc = TK.encode_window(corpus.select("doc_id", "text"), _vocab(spark, d))
-    enc = enc.join(corpus.select("doc_id", "split"), "doc_id")
+    corpus = SI.corpus_splits(_docs(spark, d), _labels(spark, d)).select("doc_id", "split")
+    enc = TK.encode_window(_docs(spark, d), _vocab(spark, d), offsets=True)
+    # Offsets are kept for all splits but train.
+    enc = enc.join(corpus, "doc_id").withColumn(
+        "offset_mapping", F.when(F.col("split") != "train", F.col("offset_mapping")))
     path = scratch_path(spark, "tokens")
     token_store.write_tokens(enc, path)
     back = token_store.read_tokens(spark, path)
-    return back.select("split", "doc_id",
+    places = F.array_join(F.transform("offset_mapping", lambda x: F.concat_ws("-", x["start"], x["end"])), " ")
+    return back.select("split", "doc_id", "window_no",
                        F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_attention"),
-                       F.md5(F.array_join("input_ids", " ")).alias("ids_md5"))
+                       F.md5(F.array_join("input_ids", " ")).alias("ids_md5"), F.md5(places).alias("offsets_md5"))
 
 
 def q_subword_segment(spark, d):

@@ -8,7 +8,7 @@ sides; integers are BIGINT on both sides.
 
 from __future__ import annotations
 
-from casegrain.functions.text import SENTENCE_PATTERN, TILE_PATTERN, TOKEN_PATTERN
+from casegrain.functions.text import ABBREVIATION_PATTERN, GUARD, SENTENCE_PATTERN, TILE_PATTERN, TOKEN_PATTERN
 
 TOK = TOKEN_PATTERN
 TILE = TILE_PATTERN
@@ -20,6 +20,13 @@ def _trim(x: str) -> str:
     return f"regexp_replace({x}, '{WS_TRIM}', '', 'g')"
 
 
+def _sentences(x: str) -> str:
+    """Sentences of a text, the dots of abbreviations kept."""
+    for _ in range(2):
+        x = f"regexp_replace({x}, '{ABBREVIATION_PATTERN}', '\\1\\2{GUARD}', 'g')"
+    return f"list_transform(regexp_extract_all({x}, '{SENT}'), lambda s: replace(s, '{GUARD}', '.'))"
+
+
 def _hex8(x: str) -> str:
     return f"('0x' || substr(md5({x}), 1, 8))::BIGINT"
 
@@ -28,7 +35,7 @@ def _hex8(x: str) -> str:
 SENTS = f"""
 sents_raw AS (
   SELECT doc_id, text, unnest(l) AS raw, unnest(range(len(l))) AS p
-  FROM (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '{SENT}') AS l FROM documents)
+  FROM (SELECT doc_id, text, {_sentences("coalesce(text, '')")} AS l FROM documents)
 ),
 sents AS (
   SELECT doc_id, text, p, {_trim('raw')} AS sentence FROM sents_raw
@@ -70,23 +77,22 @@ span_pos AS (
            - CASE WHEN start > 0 AND regexp_full_match(substr(text, start, 1), '[\\p{{L}}\\p{{N}}]')
                        AND regexp_full_match(substr(text, start + 1, 1), '[\\p{{L}}\\p{{N}}]') THEN 1 ELSE 0 END
            + 1)::BIGINT AS lo,
-         least(len(regexp_extract_all(substr(text, 1, least("end", wlen)), '{TOK}')), 510)::BIGINT AS hi
-  FROM (SELECT *, length(array_to_string(list_slice(regexp_extract_all(text, '{TILE}'), 1, 1020), '')) AS wlen
-        FROM spans)
-  WHERE start < wlen
+         len(regexp_extract_all(substr(text, 1, "end"), '{TOK}'))::BIGINT AS hi
+  FROM spans
 ),
 span_ok AS (SELECT * FROM span_pos WHERE lo <= hi),
 positives AS (
-  SELECT doc_id, list(DISTINCT p) AS ps FROM (
-    SELECT doc_id, unnest(range(lo, hi + 1)) AS p FROM span_ok) GROUP BY doc_id
+  SELECT doc_id, (p - 1) // 510 AS window_no, list(DISTINCT (p - 1) % 510 + 1) AS ps FROM (
+    SELECT doc_id, unnest(range(lo, hi + 1)) AS p FROM span_ok) GROUP BY doc_id, window_no
 ),
+n_tok AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '{TOK}')) AS n FROM documents),
+wins AS (SELECT doc_id, n, unnest(range(greatest(1, (n + 509) // 510))) AS window_no FROM n_tok),
 masks AS (
-  SELECT d.doc_id,
-         (least(len(regexp_extract_all(coalesce(d.text, ''), '{TOK}')), 510) + 2)::BIGINT AS n_active,
+  SELECT w.doc_id, w.window_no::BIGINT AS window_no, (least(n - 510 * w.window_no, 510) + 2)::BIGINT AS n_active,
          coalesce(len(pp.ps), 0)::BIGINT AS n_positive,
          array_to_string(list_transform(range(512),
              lambda q: CASE WHEN list_contains(coalesce(pp.ps, []), q) THEN '1' ELSE '0' END), '') AS mask_bits
-  FROM documents d LEFT JOIN positives pp USING (doc_id)
+  FROM wins w LEFT JOIN positives pp USING (doc_id, window_no)
 )"""
 
 # Seeded 80/20 split of all (expert) documents: (doc_id, part).
@@ -115,19 +121,22 @@ vocab AS (
 )"""
 
 WINDOW_IDS = VOCAB + f""",
+whole AS (
+  SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '{TOK}'), lambda t: lower(t)) AS toks FROM documents
+),
 win AS (
-  SELECT doc_id, list_slice(list_transform(regexp_extract_all(coalesce(text, ''), '{TOK}'), lambda t: lower(t)), 1, 510) AS toks
-  FROM documents
+  SELECT doc_id, window_no, list_slice(toks, window_no * 510 + 1, window_no * 510 + 510) AS toks
+  FROM (SELECT doc_id, toks, unnest(range(greatest(1, (len(toks) + 509) // 510))) AS window_no FROM whole)
 ),
-win_tok AS (SELECT doc_id, unnest(toks) AS token, unnest(range(len(toks))) AS pos FROM win),
+win_tok AS (SELECT doc_id, window_no, unnest(toks) AS token, unnest(range(len(toks))) AS pos FROM win),
 win_ids AS (
-  SELECT w.doc_id,
+  SELECT w.doc_id, w.window_no,
          coalesce(list(coalesce(v.token_id, 100) ORDER BY t.pos) FILTER (WHERE t.pos IS NOT NULL), []) AS ids
-  FROM win w LEFT JOIN win_tok t ON w.doc_id = t.doc_id LEFT JOIN vocab v ON t.token = v.token
-  GROUP BY w.doc_id
+  FROM win w LEFT JOIN win_tok t ON w.doc_id = t.doc_id AND w.window_no = t.window_no LEFT JOIN vocab v ON t.token = v.token
+  GROUP BY w.doc_id, w.window_no
 ),
 encoded AS (
-  SELECT doc_id, len(ids)::BIGINT AS n_tokens,
+  SELECT doc_id, window_no::BIGINT AS window_no, len(ids)::BIGINT AS n_tokens,
          list_concat([101], ids, [102], list_transform(range(510 - len(ids)), lambda z: 0)) AS input_ids
   FROM win_ids
 )"""
@@ -180,16 +189,16 @@ FROM st WHERE NOT regexp_matches(tile, '^[\\t\\n\\x0B\\f\\r ]')
     "vocab_encode": "WITH " + VOCAB + "\nSELECT token, token_id, freq FROM vocab\n",
     "pad_truncate": "WITH " + WINDOW_IDS + """
 SELECT doc_id, n_tokens, (n_tokens + 2)::BIGINT AS n_attention, array_to_string(input_ids, ' ') AS ids_text
-FROM encoded
+FROM encoded WHERE window_no = 0
 """,
     "annotation_parse": "WITH " + PICKS + "\nSELECT doc_id, expert, rank, sentence FROM picks\n",
     "rationale_sentences": "WITH " + PICKS + "\nSELECT doc_id, sentence FROM chosen\n",
     "sentence_match": "WITH " + PICKS + "\nSELECT doc_id, sentence FROM matched\n",
     "span_occurrences": "WITH " + SPANS + "\nSELECT doc_id, sentence, start, \"end\" FROM spans\n",
     "token_span_overlap": "WITH " + SPANS + "\nSELECT doc_id, start, \"end\", lo, hi FROM span_ok\n",
-    "rationale_mask": "WITH " + SPANS + "\nSELECT doc_id, n_active, n_positive, mask_bits FROM masks\n",
+    "rationale_mask": "WITH " + SPANS + "\nSELECT doc_id, window_no, n_active, n_positive, mask_bits FROM masks\n",
     "rationale_coverage": "WITH " + SPANS + """
-SELECT count(*)::BIGINT AS n_docs, sum(n_positive)::BIGINT AS positive_tokens,
+SELECT count(*)::BIGINT AS n_windows, sum(n_positive)::BIGINT AS positive_tokens,
        (count(*) * 512)::BIGINT AS padded_tokens, sum(n_active)::BIGINT AS active_tokens,
        round(coalesce(sum(n_positive) / nullif(count(*) * 512, 0), 0.0), 9)::DOUBLE AS coverage_padded,
        round(coalesce(sum(n_positive) / nullif(sum(n_active), 0), 0.0), 9)::DOUBLE AS coverage_active
@@ -214,15 +223,16 @@ r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('shuffle:42:' || doc_id), d
 SELECT doc_id, rn::BIGINT AS rn, ((rn - 1) // 8)::BIGINT AS batch, ((rn - 1) // 16)::BIGINT AS step FROM r
 """,
     "mlm_mask": "WITH " + WINDOW_IDS + """,
-pos AS (SELECT doc_id, unnest(input_ids) AS id, unnest(range(512)) AS i FROM encoded),
+pos AS (SELECT doc_id, window_no, unnest(input_ids) AS id, unnest(range(512)) AS i FROM encoded),
 flag AS (
-  SELECT doc_id, i, id NOT IN (0, 101, 102) AS cand,
-         id NOT IN (0, 101, 102) AND ('0x' || substr(md5('42:' || doc_id || ':' || i), 1, 8))::BIGINT < 644245094 AS m
+  SELECT doc_id, window_no, i, id NOT IN (0, 101, 102) AS cand,
+         id NOT IN (0, 101, 102)
+           AND ('0x' || substr(md5('42:' || doc_id || ':' || (window_no * 512 + i)), 1, 8))::BIGINT < 644245094 AS m
   FROM pos
 )
-SELECT doc_id, count(*) FILTER (WHERE cand)::BIGINT AS n_candidates, count(*) FILTER (WHERE m)::BIGINT AS n_masked,
+SELECT doc_id, window_no, count(*) FILTER (WHERE cand)::BIGINT AS n_candidates, count(*) FILTER (WHERE m)::BIGINT AS n_masked,
        coalesce(string_agg(i::VARCHAR, ' ' ORDER BY i) FILTER (WHERE m), '') AS masked_positions
-FROM flag GROUP BY doc_id
+FROM flag GROUP BY doc_id, window_no
 """,
 }
 
@@ -338,11 +348,12 @@ FROM lst LEFT JOIN best USING (run)
 """,
     "highlight_render": "WITH " + SPANS + f""",
 hr AS (
-  SELECT m.doc_id, m.mask_bits,
-         list_slice(list_transform(regexp_extract_all(coalesce(d.text, ''), '{TOK}'), lambda t: lower(t)), 1, 510) AS toks
+  SELECT m.doc_id, m.window_no, m.mask_bits,
+         list_slice(list_transform(regexp_extract_all(coalesce(d.text, ''), '{TOK}'), lambda t: lower(t)),
+                    m.window_no * 510 + 1, m.window_no * 510 + 510) AS toks
   FROM masks m JOIN documents d USING (doc_id)
 )
-SELECT doc_id,
+SELECT doc_id, window_no,
   regexp_replace(regexp_replace(regexp_replace(regexp_replace(
     array_to_string(list_transform(toks, lambda t, i:
       CASE WHEN starts_with(t, '##') AND i > 1 THEN regexp_replace(t, '^##', '')
@@ -427,7 +438,7 @@ def _lexicon_sql() -> str:
 CLAUSES = LEGAL_DOCS + f""",
 ls_raw AS (
   SELECT doc_id, unnest(l) AS raw, unnest(range(len(l))) AS sent_pos
-  FROM (SELECT doc_id, regexp_extract_all(text, '{SENT}') AS l FROM legal)
+  FROM (SELECT doc_id, {_sentences("text")} AS l FROM legal)
 ),
 ls AS (SELECT doc_id, sent_pos, {_trim('raw')} AS sentence FROM ls_raw WHERE length({_trim('raw')}) > 0),
 lt AS (SELECT doc_id, sent_pos, unnest(list_transform(regexp_extract_all(sentence, '{TOK}'), lambda t: lower(t))) AS token FROM ls),
@@ -508,7 +519,7 @@ dt AS (SELECT doc_id, unnest(list_transform(regexp_extract_all(t, '{TOK}'), lamb
 tf AS (SELECT doc_id, token, count(*) AS tf FROM dt GROUP BY doc_id, token),
 idf AS (SELECT token, ln((nd.n + 1)::DOUBLE / (count(*) + 1)) AS idf FROM tf, nd GROUP BY token, nd.n),
 s_raw AS (SELECT doc_id, unnest(l) AS raw, unnest(range(len(l))) AS sent_pos
-          FROM (SELECT doc_id, regexp_extract_all(t, '{SENT}') AS l FROM d)),
+          FROM (SELECT doc_id, {_sentences("t")} AS l FROM d)),
 s AS (SELECT doc_id, sent_pos, list_transform(regexp_extract_all({_trim('raw')}, '{TOK}'), lambda x: lower(x)) AS toks FROM s_raw),
 st AS (SELECT doc_id, sent_pos, unnest(toks) AS token FROM s WHERE len(toks) >= 3),
 sc AS (
@@ -535,7 +546,7 @@ lv AS (
 SELECT source, level, count(*)::BIGINT AS n_docs, round(avg(risk), 6) AS avg_risk FROM lv GROUP BY ROLLUP (source, level)
 """,
     "precedent_score": "WITH " + _citations_cte() + f""",
-hs_raw AS (SELECT doc_id, unnest(regexp_extract_all(text, '{SENT}')) AS raw FROM legal),
+hs_raw AS (SELECT doc_id, unnest({_sentences("text")}) AS raw FROM legal),
 holders AS (SELECT DISTINCT doc_id FROM hs_raw
             WHERE regexp_matches(lower({_trim('raw')}), {_q("|".join(_LG.HOLDING_CUES))})),
 ck AS (SELECT DISTINCT doc_id, canonical_key FROM keyed WHERE kind = 'case'),
@@ -675,9 +686,26 @@ SELECT 'expert' AS split, d.doc_id, l.quality AS label, md5(d.text) AS text_md5,
        0::BIGINT AS mask_sum, coalesce(n.n_experts, 0)::BIGINT AS n_experts
 FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN nexp n USING (doc_id)
 """,
-    "token_store": "WITH " + WINDOW_IDS + "," + LABELLED_SPLITS + """
-SELECT s.split, e.doc_id, (e.n_tokens + 2)::BIGINT AS n_attention, md5(array_to_string(e.input_ids, ' ')) AS ids_md5
-FROM encoded e JOIN lsplit s USING (doc_id)
+    "token_store": "WITH " + WINDOW_IDS + "," + LABELLED_SPLITS + f""",
+tl AS (
+  SELECT doc_id, unnest(l) AS tile, unnest(range(len(l))) AS k
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{TILE}') AS l FROM documents)
+),
+st AS (
+  SELECT doc_id, tile, k, coalesce(sum(length(tile)) OVER (PARTITION BY doc_id ORDER BY k
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM tl
+),
+tk AS (
+  SELECT doc_id, start, start + length(tile) AS stop, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS pos
+  FROM st WHERE NOT regexp_matches(tile, '^[\\t\\n\\x0B\\f\\r ]')
+),
+off AS (SELECT doc_id, pos // 510 AS window_no, string_agg(start || '-' || stop, ' ' ORDER BY pos) AS o FROM tk GROUP BY ALL),
+sp AS (SELECT doc_id, split FROM lsplit UNION ALL SELECT doc_id, 'expert' FROM documents)
+SELECT s.split, e.doc_id, e.window_no, (e.n_tokens + 2)::BIGINT AS n_attention,
+       md5(array_to_string(e.input_ids, ' ')) AS ids_md5,
+       CASE WHEN s.split <> 'train' THEN md5(coalesce(off.o, '')) END AS offsets_md5
+FROM encoded e JOIN sp s USING (doc_id) LEFT JOIN off ON off.doc_id = e.doc_id AND off.window_no = e.window_no
 """,
     "subword_segment": "WITH RECURSIVE " + VOCAB + f""",
 mp AS (SELECT max(length(token)) AS mx FROM vocab),

@@ -13,7 +13,7 @@ def write_tokens(encoded: DataFrame, path: str, split_col: str = "split") -> Non
 
 
 def read_tokens(spark: SparkSession, path: str, split: str | None = None,
-                columns=("doc_id", "input_ids", "attention_mask")) -> DataFrame:
+                columns=("doc_id", "window_no", "input_ids", "attention_mask", "offset_mapping")) -> DataFrame:
     df = spark.read.parquet(path)
     if split is not None:
         df = df.filter(F.col("split") == split)
