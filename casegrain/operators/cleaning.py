@@ -1,13 +1,12 @@
 """Text ingestion and cleaning: HTML to text, canonical text, sections.
 
 All per-row: nested ``regexp_replace`` / ``translate`` and array functions
-over the lines of a document.  Sections need a running count of headings,
-which is a window over one document's lines (one shuffle on the id).
+over the lines of a document, linear in its length, without a shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casegrain.functions.text import col_of, let
@@ -56,11 +55,13 @@ def clean_text(text) -> "F.Column":
     lines = F.transform(F.split(x, "\n", -1), _clean_line)
 
     def keep(ls):
-        flagged = F.transform(ls, lambda ln, i: F.struct(
-            ln.alias("ln"),
-            ((F.length(ln) == 0) | (_mostly_text(ln) & (F.array_position(ls, ln) == i + 1))).alias("keep")))
-        kept = F.transform(F.filter(flagged, lambda z: z["keep"]), lambda z: z["ln"])
-        joined = F.array_join(kept, "\n")
+        # First place of every distinct line, by sorting: no search per line.
+        placed = F.array_sort(F.transform(ls, lambda ln, i: F.struct(ln.alias("ln"), i.alias("i"))))
+        firsts = let(placed, lambda p: F.transform(F.filter(
+            p, lambda z, k: F.coalesce(F.get(p, k - 1)["ln"] != z["ln"], F.lit(True))), lambda z: z["i"]))
+        blank = F.filter(F.transform(ls, lambda ln, i: F.when(F.length(ln) == 0, i)), lambda i: i.isNotNull())
+        chosen = F.transform(F.array_sort(F.array_union(firsts, blank)), lambda i: F.get(ls, i))
+        joined = F.array_join(F.filter(chosen, lambda ln: (F.length(ln) == 0) | _mostly_text(ln)), "\n")
         return F.regexp_replace(F.regexp_replace(joined, r"\n\n+", "\n\n"), r"^\n+|\n+$", "")
 
     return let(lines, keep)
@@ -74,16 +75,32 @@ def is_heading(line) -> "F.Column":
 
 
 def split_sections(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, section_no, heading_key, n_lines, body_chars); text before the first heading is section 0."""
-    lines = df.select(id_col, F.posexplode_outer(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1))
-                      .alias("line_no", "raw"))
-    lines = lines.withColumn("line", F.regexp_replace(F.regexp_replace("raw", r"[\t\r ]+", " "), r"^ | $", ""))
-    lines = lines.withColumn("is_head", is_heading(F.col("line")))
-    w = Window.partitionBy(id_col).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("section_no", F.sum(F.col("is_head").cast("int")).over(w))
-    key = F.lower(F.regexp_replace("line", HEADING_PREFIX, ""))
-    return lines.groupBy(id_col, "section_no").agg(
-        F.max(F.when(F.col("is_head"), key)).alias("heading_key"),
-        F.sum(F.when(~F.col("is_head"), 1).otherwise(0)).cast("bigint").alias("n_lines"),
-        F.sum(F.when(~F.col("is_head"), F.length("line")).otherwise(0)).cast("bigint").alias("body_chars"),
-    ).withColumn("section_no", F.col("section_no").cast("bigint"))
+    """(id, section_no, heading_key, n_lines, body_chars, body); text before the first heading is section 0.
+
+    All inside the row: the places of the headings cut the list of lines.
+    """
+    clean = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda raw: F.regexp_replace(
+        F.regexp_replace(raw, r"[\t\r ]+", " "), r"^ | $", ""))
+
+    def sections(ls):
+        heads = F.filter(F.transform(ls, lambda ln, i: F.when(is_heading(ln), i)), lambda i: i.isNotNull())
+
+        def cut(h):
+            # Borders: the first line, then every heading; section 0 falls away if a heading comes first.
+            borders = F.concat(F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("no"))),
+                               F.transform(h, lambda x, k: F.struct(x.alias("at"), (k + 1).alias("no"))))
+            stops = F.concat(h, F.array(F.size(ls)))
+            rows = F.zip_with(borders, stops, lambda b, stop: F.struct(
+                b["no"].alias("no"),
+                F.when(b["no"] > 0, F.lower(F.regexp_replace(F.get(ls, b["at"]), HEADING_PREFIX, ""))).alias("key"),
+                F.slice(ls, b["at"] + F.when(b["no"] > 0, 2).otherwise(1),
+                        stop - b["at"] - F.when(b["no"] > 0, 1).otherwise(0)).alias("body")))
+            return F.filter(rows, lambda r: (r["no"] > 0) | (F.size(r["body"]) > 0))
+        return let(heads, cut)
+
+    rows = df.select(id_col, F.explode_outer(let(clean, sections)).alias("s")).filter(F.col("s").isNotNull())
+    return rows.select(
+        id_col, F.col("s.no").cast("bigint").alias("section_no"), F.col("s.key").alias("heading_key"),
+        F.size("s.body").cast("bigint").alias("n_lines"),
+        F.aggregate("s.body", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x)).alias("body_chars"),
+        F.array_join("s.body", "\n").alias("body"))

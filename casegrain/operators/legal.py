@@ -14,8 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casegrain.functions.arrays import prefix_sums
 from casegrain.functions.ordinal import exact_ordinal
 from casegrain.functions.text import col_of, let, sentences, tokens
+from casegrain.session import materialize
 
 # ---- fixed values: patterns -------------------------------------------------
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
@@ -28,7 +30,7 @@ ENTITY_PATTERNS = [
 ]
 CASE_PATTERN = r"[A-Z][a-z]+( of [A-Z][a-z]+)? v\. [A-Z][a-z]+( of [A-Z][a-z]+)?"
 CITATION_PATTERNS = [
-    ("statute", r"Section [0-9]+[A-Z]? of the (Indian Penal Code|I\.P\.C\.|IPC|([A-Z][a-z]+ )+(Act|Code))"),
+    ("statute", r"Section [0-9]+[A-Z]? of the (Indian Penal Code|I\.P\.C\.|IPC|Code of Criminal Procedure|Cr\.P\.C\.|([A-Z][a-z]+ )+(Act|Code))"),
     ("case", CASE_PATTERN),
     ("reporter", r"\([0-9]{4}\) [0-9]+ [A-Z]{2,5} [0-9]+"),
 ]
@@ -55,16 +57,18 @@ def regex_spans(text, pattern: str) -> Column:
     t = F.coalesce(col_of(text), F.lit(""))
 
     def build(pair):
-        parts, hits = pair["parts"], pair["hits"]
-        return F.transform(hits, lambda h, i: let(
-            F.aggregate(F.slice(parts, 1, i + 1), F.lit(0), lambda a, p: a + F.length(p))
-            + F.aggregate(F.slice(hits, 1, i), F.lit(0), lambda a, p: a + F.length(p)),
-            lambda st: F.struct(st.cast("int").alias("start"), (st + F.length(h)).cast("int").alias("end"),
-                                h.alias("text"))))
+        # Text before the i-th hit: the parts up to it and the hits before it.
+        steps = F.transform(pair["hits"], lambda h, i: F.length(F.element_at(pair["parts"], i + 1)) + F.length(h))
+        return F.zip_with(pair["hits"], prefix_sums(steps), lambda h, s: F.struct(h.alias("h"), s.alias("s")))
+
+    def place(pair):
+        return F.transform(build(pair), lambda z, i: let(
+            z["s"] + F.length(F.element_at(pair["parts"], i + 1)), lambda st: F.struct(
+                st.cast("int").alias("start"), (st + F.length(z["h"])).cast("int").alias("end"), z["h"].alias("text"))))
 
     pair = F.struct(F.split(t, pattern, -1).alias("parts"),
                     F.regexp_extract_all(t, F.lit(pattern), 0).alias("hits"))
-    return let(pair, build)
+    return let(pair, place)
 
 
 def _tagger(field: str, value: str):
@@ -105,12 +109,13 @@ def extract_citations(df: DataFrame, text: str = "text", id_col: str = "doc_id",
 def canonical_keys(cites: DataFrame, aliases: DataFrame) -> DataFrame:
     """Adds ``canonical_key`` = kind:code:number (statute), case:p1 v p2, reporter:REP:year:vol:page.
 
+    A statute's code is its alias, else its full name in lower case (initials of two Acts may be equal).
+
     ``aliases`` (spelling, code) is a fixed lookup of a few rows (broadcast).
     """
     c = cites.withColumn("_code_raw", F.regexp_extract("citation", r" of the (.*)$", 1))
     c = c.join(F.broadcast(aliases.withColumnRenamed("spelling", "_code_raw")), "_code_raw", "left")
-    initials = F.regexp_replace("_code_raw", r"([A-Z])[a-z]* ?", "$1")
-    code = F.coalesce(F.col("code"), initials)
+    code = F.coalesce(F.col("code"), F.lower("_code_raw"))
     statute = F.concat(F.lit("statute:"), code, F.lit(":"),
                        F.regexp_extract("citation", r"Section ([0-9]+[A-Z]?)", 1))
     parties = F.split("citation", r" v\. ", 2)
@@ -170,6 +175,17 @@ def risk_scores(clauses: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return agg.select(id_col, "n_sentences", risk.alias("risk"), level.alias("level"))
 
 
+def riskiest_clauses(clauses: DataFrame, k: int = 3, id_col: str = "doc_id") -> DataFrame:
+    """The k riskiest clauses per document: class risk, then lexicon score, then position."""
+    w = F.lit(0)
+    for cls, r in CLASS_RISK.items():
+        w = F.when(F.col("clause_class") == cls, F.lit(r)).otherwise(w)
+    rows = clauses.withColumn("class_risk", w.cast("bigint")).filter(F.col("class_risk") > 0)
+    order = Window.partitionBy(id_col).orderBy(F.desc("class_risk"), F.desc("score"), "sent_pos")
+    return (rows.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
+            .select(id_col, "rank", "clause_class", "class_risk", "score", "sent_pos", "sentence"))
+
+
 def risk_report(risk: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """rollup(source, level): documents and mean risk per source × level, per source, overall."""
     j = risk.join(docs.select(id_col, "source"), id_col)
@@ -203,39 +219,30 @@ def has_holding(text: str = "text") -> Column:
     return F.exists(sentences(text), lambda s: F.lower(s).rlike("|".join(HOLDING_CUES)))
 
 
-def holding_docs(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Documents with at least one holding sentence (a cue phrase)."""
-    return df.filter(has_holding(text)).select(id_col)
-
-
-def precedent_scores(legal: DataFrame, aliases: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def precedent_scores(legal: DataFrame, aliases: DataFrame, text: str = "text", id_col: str = "doc_id",
+                     case_list: DataFrame | None = None) -> DataFrame:
     """Per case key: citing documents, citing documents with a holding, and the
     level by exact percentiles of ``cited_by``.
 
     The holding flag rides along the citation pass (no filter over whole
     documents and no join back); citing documents are distinct per key.
+    ``case_list`` (canonical_key) adds the cases that nobody cites, as uncited.
     """
     flagged = legal.select(id_col, text, has_holding(text).alias("_h"))
     keys = canonical_keys(extract_citations(flagged, text, id_col, keep=["_h"]), aliases)
     per = (keys.filter(F.col("kind") == "case").select(id_col, "canonical_key", "_h").distinct()
            .groupBy("canonical_key").agg(F.count(F.lit(1)).cast("bigint").alias("cited_by"),
                                          F.sum(F.col("_h").cast("int")).cast("bigint").alias("cited_by_holdings")))
-    return _levels(per)
-
-
-def precedent_levels(case_keys: DataFrame, holdings: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Per case key from separate tables: distinct citing documents, those with a holding, level."""
-    per = (case_keys.select(id_col, "canonical_key").distinct()
-           .join(holdings.withColumn("_h", F.lit(1)), id_col, "left")
-           .groupBy("canonical_key").agg(F.count(F.lit(1)).cast("bigint").alias("cited_by"),
-                                         F.count("_h").cast("bigint").alias("cited_by_holdings")))
+    if case_list is not None:
+        per = per.join(case_list.select("canonical_key").distinct(), "canonical_key", "full_outer").fillna(
+            0, ["cited_by", "cited_by_holdings"])
     return _levels(per)
 
 
 def _levels(per: DataFrame) -> DataFrame:
     # One row per case key, read several times (rank count, quantile rows,
     # output): written once to the shared checkpoint folder.
-    per = per.checkpoint()
+    per = materialize(per, "precedents")
     qs = exact_quantiles(per, "cited_by", [p for _, p in PRECEDENT_LEVELS], "canonical_key")
     level = F.lit("ordinary")
     for name, p in reversed(PRECEDENT_LEVELS):

@@ -3,7 +3,7 @@
 tf per (document, token) and df per token are ``groupBy`` counts with
 map-side partial aggregation (a hot token such as "the" is combined before
 the shuffle).  Sentence tokens meet them in two joins: tf on (doc, token)
-and df on token — the df table is broadcast only below a checked row count.
+and df on token (Spark broadcasts the df table if its size allows).
 The top-k per document is a window over one document's sentences.
 """
 
@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casegrain.functions.text import sentences, tokens, trim_ws
-from casegrain.operators.joins import broadcast_if_small
 
 # ---- fixed values -----------------------------------------------------------
 TOP_K = 3
@@ -22,8 +21,7 @@ SCORE_DIGITS = 9
 # -----------------------------------------------------------------------------
 
 
-def sentence_scores(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
-                    max_df_broadcast: int = 2_000_000) -> DataFrame:
+def sentence_scores(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, sent_pos, sentence, n_tokens, score) for sentences with >= 3 tokens."""
     d = docs.select(id_col, F.coalesce(F.col(text), F.lit("")).alias("_t"))
     doc_tokens = d.select(id_col, F.explode_outer(tokens("_t")).alias("token")).filter(F.col("token").isNotNull())
@@ -36,7 +34,7 @@ def sentence_scores(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     sents = sents.withColumn("_toks", tokens("sentence")).filter(F.size("_toks") >= MIN_SENTENCE_TOKENS)
     st = sents.select(id_col, "sent_pos", F.explode("_toks").alias("token"))
     scored = (st.join(tf, [id_col, "token"])
-              .join(broadcast_if_small(idf, max_df_broadcast), "token")
+              .join(idf, "token")
               .groupBy(id_col, "sent_pos").agg(F.avg(F.col("tf") * F.col("idf")).alias("score"),
                                                F.count(F.lit(1)).alias("n_tokens")))
     return scored.join(sents.select(id_col, "sent_pos", "sentence"), [id_col, "sent_pos"]).select(

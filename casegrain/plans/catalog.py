@@ -163,10 +163,6 @@ def q_class_weights(spark, d):
 
 # ---- sampling ---------------------------------------------------------------
 
-def q_minibatch_assign(spark, d):
-    return S.minibatch_assign(_train_docs(spark, d).select("doc_id")).select("doc_id", "rn", "batch", "step")
-
-
 def q_mlm_mask(spark, d):
     m = S.mlm_mask(_encoded(spark, d))
     flags = F.transform(F.arrays_zip("input_ids", "masked_ids"), lambda z, i: F.struct(
@@ -218,12 +214,6 @@ def q_batch_mean_loss(spark, d):
                     F.round("row_weighted_mean", 6).alias("row_weighted_mean"))
 
 
-def q_running_loss(spark, d):
-    r = M.running_mean(_batch_losses(spark, d), "combined_loss")
-    return r.select("batch", F.round("combined_loss", 6).alias("combined_loss"), "batches_so_far",
-                    F.round("running_mean", 6).alias("running_mean"))
-
-
 def q_weighted_ce(spark, d):
     rows = SV.token_logits(_emb(spark, d))
     act = rows.filter("active")
@@ -328,6 +318,10 @@ def q_extractive_summary(spark, d):
     return top.select("doc_id", "rank", "sent_pos", "score")
 
 
+def q_summary_text(spark, d):
+    return SU.summaries(SU.top_sentences(SU.sentence_scores(_docs(spark, d))))
+
+
 def q_clause_classify(spark, d):
     return LG.classify_sentences(_legal(spark, d)).drop("sentence")
 
@@ -337,6 +331,10 @@ def q_risk_report(spark, d):
     return LG.risk_report(LG.risk_scores(LG.classify_sentences(docs)), docs)
 
 
+def q_riskiest_clauses(spark, d):
+    return LG.riskiest_clauses(LG.classify_sentences(_legal(spark, d)))
+
+
 def q_precedent_score(spark, d):
     return LG.precedent_scores(_legal(spark, d), _aliases(spark))
 
@@ -362,27 +360,25 @@ def q_clustering(spark, d):
 
 # ---- summary and extractor metrics --------------------------------------------
 
-def _turn_pairs(spark, d):
-    """Reference = a user turn, candidate = the assistant turn that follows it."""
-    conv = table(spark, d, "conversations")
-    ref = conv.filter(F.col("role") == "user").select(
-        "conv_id", "turn", tokens_of(F.coalesce(F.col("text"), F.lit(""))).alias("ref"))
-    cand = conv.filter(F.col("role") == "assistant").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), tokens_of(F.coalesce(F.col("text"), F.lit(""))).alias("cand"))
-    return ref.join(cand, ["conv_id", "turn"]).select(
-        F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("pair"), "cand", "ref")
+def _summary_pairs(spark, d):
+    """Candidate = the extractive summary, reference = the sentences that experts chose, in document order."""
+    chosen = A.with_matched_sentences(A.with_rationale_sentences(_experts(spark, d)))
+    ref = chosen.filter(F.size("matched_sentences") > 0).select(
+        "doc_id", tokens_of(F.array_join("matched_sentences", " ")).alias("ref"))
+    return q_summary_text(spark, d).join(ref, "doc_id").select(
+        F.col("doc_id").cast("string").alias("pair"), tokens_of("summary").alias("cand"), "ref")
 
 
 def q_rouge_n(spark, d):
-    return EV.rouge_n(_turn_pairs(spark, d), "pair", "cand", "ref")
+    return EV.rouge_n(_summary_pairs(spark, d), "pair", "cand", "ref")
 
 
 def q_bleu(spark, d):
-    return EV.corpus_bleu(_turn_pairs(spark, d), "pair", "cand", "ref")
+    return EV.corpus_bleu(_summary_pairs(spark, d), "pair", "cand", "ref")
 
 
 def q_rouge_l(spark, d):
-    return EV.rouge_l(_turn_pairs(spark, d), "pair", "cand", "ref")
+    return EV.rouge_l(_summary_pairs(spark, d), "pair", "cand", "ref")
 
 
 def q_extractor_prf(spark, d):
@@ -531,14 +527,12 @@ QUERIES = {
     "rationale_coverage": q_rationale_coverage,
     "train_val_split": q_train_val_split,
     "class_weights": q_class_weights,
-    "minibatch_assign": q_minibatch_assign,
     "mlm_mask": q_mlm_mask,
     "kl_distill_loss": q_kl_distill_loss,
     "cosine_hidden_loss": q_cosine_hidden_loss,
     "mlm_loss": q_mlm_loss,
     "combined_loss": q_combined_loss,
     "batch_mean_loss": q_batch_mean_loss,
-    "running_loss": q_running_loss,
     "weighted_ce": q_weighted_ce,
     "attention_rationale": q_attention_rationale,
     "epoch_metrics": q_epoch_metrics,
@@ -551,8 +545,10 @@ QUERIES = {
     "citation_extract": q_citation_extract,
     "citation_normalize": q_citation_normalize,
     "extractive_summary": q_extractive_summary,
+    "summary_text": q_summary_text,
     "clause_classify": q_clause_classify,
     "risk_report": q_risk_report,
+    "riskiest_clauses": q_riskiest_clauses,
     "precedent_score": q_precedent_score,
     "similarity_topk": q_similarity_topk,
     "similarity_lsh": q_similarity_lsh,

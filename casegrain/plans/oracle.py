@@ -217,10 +217,6 @@ SELECT total_tokens, positive_tokens, active_tokens,
        round(CASE WHEN positive_tokens = 0 THEN 1.0 ELSE coalesce(active_tokens / nullif(2.0 * (active_tokens - positive_tokens), 0), 1.0) END, 9)::DOUBLE AS weight_negative_active,
        round(CASE WHEN positive_tokens = 0 THEN 1.0 ELSE coalesce(active_tokens / nullif(2.0 * positive_tokens, 0), 1.0) END, 9)::DOUBLE AS weight_positive_active
 FROM agg
-""",
-    "minibatch_assign": "WITH " + TRAIN_DOCS + """,
-r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('shuffle:42:' || doc_id), doc_id) AS rn FROM train_docs)
-SELECT doc_id, rn::BIGINT AS rn, ((rn - 1) // 8)::BIGINT AS batch, ((rn - 1) // 16)::BIGINT AS step FROM r
 """,
     "mlm_mask": "WITH " + WINDOW_IDS + """,
 pos AS (SELECT doc_id, window_no, unnest(input_ids) AS id, unnest(range(512)) AS i FROM encoded),
@@ -304,12 +300,6 @@ SELECT batch, n_rows, round(kl_loss, 6) AS kl_loss, round(mlm_loss, 6) AS mlm_lo
     "batch_mean_loss": "WITH " + PAIRS + """
 SELECT count(*)::BIGINT AS n_batches, round(avg(combined_loss), 6) AS mean_of_batch_means,
        round(sum(combined_loss * n_rows) / sum(n_rows), 6) AS row_weighted_mean FROM blc
-""",
-    "running_loss": "WITH " + PAIRS + """
-SELECT batch, round(combined_loss, 6) AS combined_loss,
-       count(*) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS batches_so_far,
-       round(avg(combined_loss) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS running_mean
-FROM blc
 """,
     "weighted_ce": """
 WITH tl AS (
@@ -418,7 +408,7 @@ cites AS ({body}),
 aliases AS ({aliases}),
 keyed AS (
   SELECT c.*, CASE
-    WHEN kind = 'statute' THEN 'statute:' || coalesce(a.code, regexp_replace(regexp_extract(citation, ' of the (.*)$', 1), '([A-Z])[a-z]* ?', '\\1', 'g'))
+    WHEN kind = 'statute' THEN 'statute:' || coalesce(a.code, lower(substr(citation, strpos(citation, ' of the ') + 8)))
                                || ':' || regexp_extract(citation, 'Section ([0-9]+[A-Z]?)', 1)
     WHEN kind = 'case' THEN 'case:' || lower(split_part(citation, ' v. ', 1)) || ' v ' || lower(substr(citation, strpos(citation, ' v. ') + 4))
     ELSE 'reporter:' || regexp_extract(citation, '\\(([0-9]{{4}})\\) ([0-9]+) ([A-Z]{{2,5}}) ([0-9]+)', 3) || ':'
@@ -454,6 +444,27 @@ clauses AS (
   FROM ls LEFT JOIN best b USING (doc_id, sent_pos)
 )"""
 
+SUMMARY = f"""
+d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+nd AS (SELECT count(*) AS n FROM d),
+dt AS (SELECT doc_id, unnest(list_transform(regexp_extract_all(t, '{TOK}'), lambda x: lower(x))) AS token FROM d),
+tf AS (SELECT doc_id, token, count(*) AS tf FROM dt GROUP BY doc_id, token),
+idf AS (SELECT token, ln((nd.n + 1)::DOUBLE / (count(*) + 1)) AS idf FROM tf, nd GROUP BY token, nd.n),
+s_raw AS (SELECT doc_id, unnest(l) AS raw, unnest(range(len(l))) AS sent_pos
+          FROM (SELECT doc_id, {_sentences("t")} AS l FROM d)),
+s AS (SELECT doc_id, sent_pos, list_transform(regexp_extract_all({_trim('raw')}, '{TOK}'), lambda x: lower(x)) AS toks FROM s_raw),
+st AS (SELECT doc_id, sent_pos, unnest(toks) AS token FROM s WHERE len(toks) >= 3),
+sc AS (
+  SELECT st.doc_id, st.sent_pos, round(avg(tf.tf * idf.idf), 9) AS score
+  FROM st JOIN tf USING (doc_id, token) JOIN idf USING (token) GROUP BY st.doc_id, st.sent_pos
+),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, sent_pos) AS rank FROM sc)"""
+
+# The three sentences in document order, as one text.
+SUMMARY_TEXT = f""",
+sm AS (SELECT r.doc_id, string_agg({_trim('s_raw.raw')}, ' ' ORDER BY r.sent_pos) AS summary
+       FROM r JOIN s_raw ON s_raw.doc_id = r.doc_id AND s_raw.sent_pos = r.sent_pos WHERE r.rank <= 3 GROUP BY r.doc_id)"""
+
 ORACLE.update({
     "html_to_text": f"""
 WITH t AS (
@@ -503,7 +514,8 @@ ln4 AS (SELECT *, sum(is_head::INT) OVER (PARTITION BY doc_id ORDER BY line_no R
 SELECT doc_id, section_no::BIGINT AS section_no,
        max(CASE WHEN is_head THEN lower(regexp_replace(line, {_q(_CL.HEADING_PREFIX)}, '')) END) AS heading_key,
        sum(CASE WHEN NOT is_head THEN 1 ELSE 0 END)::BIGINT AS n_lines,
-       sum(CASE WHEN NOT is_head THEN length(line) ELSE 0 END)::BIGINT AS body_chars
+       sum(CASE WHEN NOT is_head THEN length(line) ELSE 0 END)::BIGINT AS body_chars,
+       coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT is_head), '') AS body
 FROM ln4 GROUP BY doc_id, section_no
 """,
     "entity_extract": _entities_sql(),
@@ -512,22 +524,19 @@ FROM ln4 GROUP BY doc_id, section_no
 SELECT canonical_key, kind, count(*)::BIGINT AS n_mentions, count(DISTINCT doc_id)::BIGINT AS n_docs
 FROM keyed GROUP BY canonical_key, kind
 """,
-    "extractive_summary": f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-nd AS (SELECT count(*) AS n FROM d),
-dt AS (SELECT doc_id, unnest(list_transform(regexp_extract_all(t, '{TOK}'), lambda x: lower(x))) AS token FROM d),
-tf AS (SELECT doc_id, token, count(*) AS tf FROM dt GROUP BY doc_id, token),
-idf AS (SELECT token, ln((nd.n + 1)::DOUBLE / (count(*) + 1)) AS idf FROM tf, nd GROUP BY token, nd.n),
-s_raw AS (SELECT doc_id, unnest(l) AS raw, unnest(range(len(l))) AS sent_pos
-          FROM (SELECT doc_id, {_sentences("t")} AS l FROM d)),
-s AS (SELECT doc_id, sent_pos, list_transform(regexp_extract_all({_trim('raw')}, '{TOK}'), lambda x: lower(x)) AS toks FROM s_raw),
-st AS (SELECT doc_id, sent_pos, unnest(toks) AS token FROM s WHERE len(toks) >= 3),
-sc AS (
-  SELECT st.doc_id, st.sent_pos, round(avg(tf.tf * idf.idf), 9) AS score
-  FROM st JOIN tf USING (doc_id, token) JOIN idf USING (token) GROUP BY st.doc_id, st.sent_pos
-),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, sent_pos) AS rank FROM sc)
+    "extractive_summary": "WITH " + SUMMARY + """
 SELECT doc_id, rank::BIGINT AS rank, sent_pos::BIGINT AS sent_pos, score FROM r WHERE rank <= 3
+""",
+    "summary_text": "WITH " + SUMMARY + SUMMARY_TEXT + "\nSELECT doc_id, summary FROM sm\n",
+    "riskiest_clauses": "WITH " + CLAUSES + """,
+rk AS (
+  SELECT c.doc_id, c.clause_class, c.score, c.sent_pos, ls.sentence,
+         CASE clause_class WHEN 'indemnity' THEN 3 WHEN 'termination' THEN 2 WHEN 'confidentiality' THEN 1 ELSE 0 END::BIGINT AS class_risk
+  FROM clauses c JOIN ls ON ls.doc_id = c.doc_id AND ls.sent_pos = c.sent_pos
+)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY class_risk DESC, score DESC, sent_pos)::BIGINT AS rank,
+       clause_class, class_risk, score, sent_pos, sentence
+FROM rk WHERE class_risk > 0 QUALIFY rank <= 3
 """,
     "clause_classify": "WITH " + CLAUSES + "\nSELECT doc_id, sent_pos, clause_class, score FROM clauses\n",
     "risk_report": "WITH " + CLAUSES + """,
@@ -565,15 +574,17 @@ FROM per, q
 # ---- similarity and summary metrics -------------------------------------------
 from casegrain.plans.standins import legal_template_sql  # noqa: E402
 
-TURN_PAIRS = f"""
-cv AS (
-  SELECT conv_id, turn, role, list_transform(regexp_extract_all(coalesce(text, ''), '{TOK}'), lambda x: lower(x)) AS toks
-  FROM conversations
+# Candidate: the extractive summary; reference: the sentences that experts chose, in document order.
+SUMMARY_PAIRS = SUMMARY + SUMMARY_TEXT + "," + PICKS + f""",
+refs AS (
+  SELECT m.doc_id, string_agg(m.sentence, ' ' ORDER BY f.p) AS t
+  FROM matched m JOIN (SELECT doc_id, sentence, min(p) AS p FROM sents GROUP BY doc_id, sentence) f USING (doc_id, sentence)
+  GROUP BY m.doc_id
 ),
 pairs AS (
-  SELECT u.conv_id || ':' || u.turn AS pair, a.toks AS cand, u.toks AS ref
-  FROM cv u JOIN cv a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
-  WHERE u.role = 'user' AND a.role = 'assistant'
+  SELECT sm.doc_id::VARCHAR AS pair, list_transform(regexp_extract_all(sm.summary, '{TOK}'), lambda x: lower(x)) AS cand,
+         list_transform(regexp_extract_all(refs.t, '{TOK}'), lambda x: lower(x)) AS ref
+  FROM sm JOIN refs USING (doc_id)
 )"""
 
 
@@ -617,11 +628,22 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, v
       WHERE cosine IS NOT NULL)
 WHERE rank <= 5
 """,
-    "rouge_n": "WITH " + TURN_PAIRS + "," + _overlap_cte(1) + "," + _overlap_cte(2) + f"""
+    "rouge_n": "WITH " + SUMMARY_PAIRS + "," + _overlap_cte(1) + "," + _overlap_cte(2) + f"""
 SELECT pair, n, overlap, cand_grams, ref_grams, {_prf_sql('overlap', 'cand_grams', 'ref_grams')}
 FROM (SELECT * FROM ov1 UNION ALL SELECT * FROM ov2)
 """,
-    "bleu": "WITH " + TURN_PAIRS + "," + ",".join(_overlap_cte(n) for n in (1, 2, 3, 4)) + """,
+    "rouge_l": "WITH RECURSIVE " + SUMMARY_PAIRS + f""",
+lcs(pair, cand, ref, i, d) AS (
+  SELECT pair, cand, ref, 0, list_transform(range(len(ref) + 1), lambda z: 0::BIGINT) FROM pairs
+  UNION ALL
+  SELECT pair, cand, ref, i + 1, list_reduce(range(1, len(ref) + 1), lambda acc, j: list_append(acc,
+           CASE WHEN cand[i + 1] = ref[j] THEN d[j] + 1 ELSE greatest(d[j + 1], acc[len(acc)]) END), [0::BIGINT])
+  FROM lcs WHERE i < len(cand)
+),
+done AS (SELECT pair, d[len(d)] AS lcs, len(cand)::BIGINT AS cand_len, len(ref)::BIGINT AS ref_len FROM lcs WHERE i = len(cand))
+SELECT pair, lcs, cand_len, ref_len, {_prf_sql('lcs', 'cand_len', 'ref_len')} FROM done
+""",
+    "bleu": "WITH " + SUMMARY_PAIRS + "," + ",".join(_overlap_cte(n) for n in (1, 2, 3, 4)) + """,
 t AS (
   SELECT (SELECT sum(overlap) FROM ov1) AS m1, (SELECT sum(cand_grams) FROM ov1) AS c1,
          (SELECT sum(overlap) FROM ov2) AS m2, (SELECT sum(cand_grams) FROM ov2) AS c2,
