@@ -448,12 +448,16 @@ def _corpus(spark, d):
 
 
 def q_classifier_train(spark, d):
-    met, model, best = MD.train_classifier(_corpus(spark, d), save_to=scratch_path(spark, "models/classifier"))
+    base = scratch_path(spark, "models")
+    corpus = _corpus(spark, d)
+    MD.train_distilled(corpus, save_to=f"{base}/distilled")
+    met, _, _ = MD.train_classifier(corpus, save_to=f"{base}/classifier",
+                                    start=load_first(spark, [f"{base}/distilled"], required=True))
     return met
 
 
 def q_distill_train(spark, d):
-    summary, f1, _, _ = MD.train_distilled(_corpus(spark, d))
+    summary, f1, _, _ = MD.train_distilled(_corpus(spark, d), save_to=scratch_path(spark, "models/distilled"))
     s = summary.first()
     return f1.select("run", "n", "accuracy", "precision", "recall", "f1",
                      F.lit(s["agreement"]).alias("agreement"), F.lit(s["kl_teacher_student"]).alias("kl_teacher_student"))
@@ -468,34 +472,36 @@ def q_rationale_train(spark, d):
     return met
 
 
-def q_kfold_cv(spark, d):
-    labelled = _docs(spark, d).select("doc_id", "text").join(
+def _labelled(spark, d):
+    return _docs(spark, d).select("doc_id", "text").join(
         _labels(spark, d).select("doc_id", F.col("quality").cast("int").alias("label")), "doc_id")
+
+
+def q_kfold_assign(spark, d):
+    return MD.folds(_labelled(spark, d)).select("doc_id", F.col("label").cast("bigint").alias("label"), "fold")
+
+
+def q_kfold_cv(spark, d):
+    labelled = _labelled(spark, d)
     per, stats = MD.kfold_metrics(labelled)
     st = stats.first()
     return per.select("*", *[F.lit(st[c]).alias(c) for c in stats.columns])
 
 
-_MODELS: dict = {}
-
-
 def _trained(spark, d):
-    """Classifier and tagger, saved under the shared folder and loaded back
-    through the ordered-fallback loader (as a scoring job would)."""
-    key = (id(spark), d)
-    if key not in _MODELS:
-        _, clf, _ = MD.train_classifier(_corpus(spark, d))
-        _, tagger, _ = _rationale(spark, d)
-        clf_path = save_model(clf, scratch_path(spark, "models/classifier"))
-        tag_path = save_model(tagger, scratch_path(spark, "models/rationale"))
-        _MODELS[key] = (clf_path, tag_path)
-    clf_path, tag_path = _MODELS[key]
-    return load_first([clf_path]), load_first([tag_path])
+    """The chain distilled → classifier → rationale, each saved and loaded by the next, as a scoring job would."""
+    base = scratch_path(spark, "models")
+    corpus = materialize(_corpus(spark, d).select("split", "doc_id", "text", "label"), "corpus")
+    MD.train_distilled(corpus, save_to=f"{base}/distilled")
+    MD.train_classifier(corpus, save_to=f"{base}/classifier", start=load_first(spark, [f"{base}/distilled"], required=True))
+    _, tagger, _ = _rationale(spark, d)
+    save_model(tagger, f"{base}/rationale")
+    return (load_first(spark, [f"{base}/classifier", f"{base}/distilled"], required=True),
+            load_first(spark, [f"{base}/rationale"]))
 
 
 def _cases(spark, d):
-    conv = table(spark, d, "conversations")
-    return conv.filter(F.col("role") == "user").select("conv_id", "turn", "text")
+    return table(spark, d, "conversations").select("conv_id", "turn", "text")
 
 
 def q_predict_batch(spark, d):
@@ -511,6 +517,23 @@ def q_predict_stream(spark, d):
     return PS.run_prediction_stream(spark, landing, cases.schema, clf, tagger, keys=("conv_id", "turn"))
 
 
+def q_predict_rows(spark, d):
+    """Every case once: its key, whether it is blank, whether outcome and probability agree, and the
+    rationale without its brackets (the rendered text itself)."""
+    clf = load_first(spark, [_fitted_classifier(spark, d)], required=True)
+    out = MD.predict_cases(_cases(spark, d), clf, None, keys=("conv_id", "turn"))
+    plain = F.regexp_replace("rationale_text", r"\[|\]", "")
+    return out.select("conv_id", "turn", "blank",
+                      F.coalesce((F.col("outcome") == "ALLOWED") == (F.col("p_allowed") > 0.5), F.col("blank")).alias("consistent"),
+                      F.md5(F.regexp_replace(plain, r"[\t\n\x0B\f\r ]+", "")).alias("text_md5"))
+
+
+def _fitted_classifier(spark, d):
+    path = scratch_path(spark, "models/classifier")
+    MD.train_classifier(_corpus(spark, d).select("split", "doc_id", "text", "label"), save_to=path)
+    return path
+
+
 QUERIES = {
     "corpus_union": q_corpus_union,
     "sentence_split": q_sentence_split,
@@ -563,7 +586,9 @@ QUERIES = {
     "classifier_train": q_classifier_train,
     "distill_train": q_distill_train,
     "rationale_train": q_rationale_train,
+    "kfold_assign": q_kfold_assign,
     "kfold_cv": q_kfold_cv,
     "predict_batch": q_predict_batch,
+    "predict_rows": q_predict_rows,
     "predict_stream": q_predict_stream,
 }

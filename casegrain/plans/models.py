@@ -15,15 +15,15 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casegrain.functions.text import TOKEN_PATTERN, WINDOW_TOKENS, hex8, let, tokens
+from casegrain.functions.text import TOKEN_PATTERN, WINDOW_TOKENS, hex8, let, tokens, trim_ws
 from casegrain.operators import metrics as M
 from casegrain.operators.annotations import class_weights
 from casegrain.operators.render import decode_outcome, render_highlight
 from casegrain.operators.sampling import train_val_split
-from casegrain.session import scratch_path
+from casegrain.session import materialize
 
 # ---- fixed values (model parameters) ----------------------------------------
 EPOCH_ITERATIONS = (5, 10, 20)      # candidate "epochs" = optimiser iterations
@@ -54,44 +54,47 @@ def _scored(model, df: DataFrame, label: str = "label") -> DataFrame:
                       vector_to_array("probability")[1].alias("p_allowed"))
 
 
-def train_classifier(corpus: DataFrame, save_to: str | None = None):
+def train_classifier(corpus: DataFrame, save_to: str | None = None, start: PipelineModel | None = None):
     """Fit one candidate per "epoch" on train, score dev, keep the best by F1
     (strictly above 0, first wins; else the last), report it on test.
 
+    With ``start`` (the saved distilled model) its fitted feature stages are
+    kept and only the outcome layer is trained.
     Returns (metrics DataFrame, best PipelineModel, best epoch).
     """
-    spark = corpus.sparkSession
-    train = corpus.filter(F.col("split") == "train").select("doc_id", "text", "label").persist()
-    dev = corpus.filter(F.col("split") == "dev").select("doc_id", "text", "label").persist()
-    test = corpus.filter(F.col("split") == "test").select("doc_id", "text", "label")
+    splits = materialize(corpus.filter(F.col("split").isin("train", "dev", "test")).select(
+        "split", "doc_id", "text", "label"), "outcome-splits")
+    train, dev, test = (splits.filter(F.col("split") == x).drop("split") for x in ("train", "dev", "test"))
     models, rows = {}, None
     for epoch, iters in enumerate(EPOCH_ITERATIONS, 1):
-        m = outcome_pipeline(iters).fit(train)
+        if start is None:
+            m = outcome_pipeline(iters).fit(train)
+        else:
+            features = PipelineModel(start.stages[:-1])
+            layer = outcome_pipeline(iters).getStages()[-1].fit(features.transform(train))
+            m = PipelineModel([*start.stages[:-1], layer])
         models[epoch] = m
         met = M.binary_metrics(_scored(m, dev).select(F.lit("classifier").alias("run"),
                                                       F.lit(epoch).cast("bigint").alias("epoch"), "pred", "label"))
         rows = met if rows is None else rows.unionByName(met)
-    dev_metrics = rows.withColumn("split", F.lit("dev")).persist()
-    best = M.best_epoch(dev_metrics).first()
-    best_epoch = int(best["best_epoch"])
+    dev_metrics = materialize(rows.withColumn("split", F.lit("dev")), "classifier-metrics")
+    best_epoch = int(M.best_epoch(dev_metrics).first()["best_epoch"])
     model = models[best_epoch]
     if save_to:
         model.write().overwrite().save(save_to)
     test_metrics = M.binary_metrics(_scored(model, test).select(
         F.lit("classifier").alias("run"), F.lit(best_epoch).cast("bigint").alias("epoch"), "pred", "label")
     ).withColumn("split", F.lit("test"))
-    out = dev_metrics.unionByName(test_metrics).withColumn("selected", F.col("epoch") == best_epoch)
-    train.unpersist()
-    dev.unpersist()
-    return out, model, best_epoch
+    return dev_metrics.unionByName(test_metrics).withColumn("selected", F.col("epoch") == best_epoch), model, best_epoch
 
 
-def train_distilled(corpus: DataFrame):
+def train_distilled(corpus: DataFrame, save_to: str | None = None):
     """Teacher (wide hashed features) → student (narrow) trained on the teacher's
     soft labels: each row twice, label 1 with weight p and label 0 with 1 − p.
     Reports agreement, KL(teacher ‖ student) and both F1 on dev."""
-    train = corpus.filter(F.col("split") == "train").select("doc_id", "text", "label").persist()
-    dev = corpus.filter(F.col("split") == "dev").select("doc_id", "text", "label")
+    splits = materialize(corpus.filter(F.col("split").isin("train", "dev")).select(
+        "split", "doc_id", "text", "label"), "distill-splits")
+    train, dev = (splits.filter(F.col("split") == x).drop("split") for x in ("train", "dev"))
     teacher = outcome_pipeline(20, TEACHER_FEATURES).fit(train)
     soft = _scored(teacher, train).select("doc_id", "text", "p_allowed")
     doubled = soft.select("text", F.explode(F.array(
@@ -99,9 +102,11 @@ def train_distilled(corpus: DataFrame):
         F.struct(F.lit(0.0).alias("soft_label"), (1 - F.col("p_allowed")).alias("w")))).alias("r")
     ).select("text", "r.soft_label", "r.w")
     student = outcome_pipeline(20, STUDENT_FEATURES, label="soft_label", weight="w").fit(doubled)
+    if save_to:
+        student.write().overwrite().save(save_to)
     t = _scored(teacher, dev).select("doc_id", "label", F.col("pred").alias("t_pred"), F.col("p_allowed").alias("pt"))
     s = _scored(student, dev).select("doc_id", F.col("pred").alias("s_pred"), F.col("p_allowed").alias("ps"))
-    j = t.join(s, "doc_id")
+    j = materialize(t.join(s, "doc_id"), "distill-scores")
     eps = 1e-12
     kl = (F.col("pt") * F.log((F.col("pt") + eps) / (F.col("ps") + eps))
           + (1 - F.col("pt")) * F.log((1 - F.col("pt") + eps) / (1 - F.col("ps") + eps)))
@@ -112,37 +117,39 @@ def train_distilled(corpus: DataFrame):
                                    F.col("t_pred").alias("pred"), "label")).unionByName(
         M.binary_metrics(j.select(F.lit("student").alias("run"), F.lit(1).cast("bigint").alias("epoch"),
                                   F.col("s_pred").alias("pred"), "label")))
-    train.unpersist()
     return summary, f1, teacher, student
 
 
-def token_rows(docs: DataFrame, mask: str | None = "rationale_mask", id_col: str = "doc_id",
-               text: str = "text") -> DataFrame:
-    """One row per model-window token with context features (token, neighbours,
-    position decile, token length bucket) and, when given, its 0/1 mask label.
-
-    Neighbours come from ``lag``/``lead`` over one document's tokens (a window
-    partitioned by the id: every document is bounded by the 510-token cap).
+def token_rows(docs: DataFrame, labels: str | None = None, id_col: str = "doc_id", text: str = "text",
+               keep=()) -> DataFrame:
+    """One row per token of the whole text with context features (token, neighbours,
+    place in its model window, length) and, when given, its 0/1 label from the
+    array ``labels`` beside the tokens.  Neighbours come from the same array: no shuffle.
     """
-    toks = F.slice(tokens(F.coalesce(F.col(text), F.lit(""))), 1, WINDOW_TOKENS)
-    if mask:
-        # Labels of positions 1..510 zipped beside the tokens before exploding,
-        # so no row carries the whole mask.
-        labs = F.slice(F.col(mask), 2, WINDOW_TOKENS)
-        ex = (docs.select(id_col, F.posexplode_outer(F.arrays_zip(toks.alias("token"), labs.alias("label"))).alias("pos", "z"))
-              .filter(F.col("z.token").isNotNull())
-              .select(id_col, "pos", F.col("z.token").alias("token"), F.col("z.label").cast("double").alias("label")))
+    toks = tokens(F.coalesce(F.col(text), F.lit("")))
+    rows = let(toks, lambda t: F.transform(t, lambda x, i: F.struct(
+        x.alias("token"), F.coalesce(F.get(t, i - 1), F.lit("<s>")).alias("before"),
+        F.coalesce(F.get(t, i + 1), F.lit("</s>")).alias("after"))))
+    source = docs.select(id_col, *keep, rows.alias("rows"), *([F.col(labels).alias("labels")] if labels else []))
+    if labels:
+        zipped = F.zip_with("rows", "labels", lambda r, y: F.struct(r.alias("r"), y.alias("y")))
     else:
-        ex = docs.select(id_col, F.posexplode_outer(toks).alias("pos", "token")).filter(F.col("token").isNotNull())
-    w = Window.partitionBy(id_col).orderBy("pos")
+        zipped = F.transform("rows", lambda r: F.struct(r.alias("r")))
+    ex = source.select(id_col, *keep, F.posexplode_outer(zipped).alias("pos", "z")).filter(F.col("z.r").isNotNull())
+    token = F.col("z.r.token")
     feats = F.array(
-        F.concat(F.lit("t="), "token"),
-        F.concat(F.lit("p="), F.coalesce(F.lag("token").over(w), F.lit("<s>"))),
-        F.concat(F.lit("n="), F.coalesce(F.lead("token").over(w), F.lit("</s>"))),
-        F.concat(F.lit("d="), F.floor(F.col("pos") * 10 / WINDOW_TOKENS).cast("string")),
-        F.concat(F.lit("l="), F.least(F.length("token"), F.lit(12)).cast("string")),
-    )
-    return ex.withColumn("feats", feats)
+        F.concat(F.lit("t="), token), F.concat(F.lit("p="), F.col("z.r.before")), F.concat(F.lit("n="), F.col("z.r.after")),
+        F.concat(F.lit("d="), F.floor((F.col("pos") % WINDOW_TOKENS) * 10 / WINDOW_TOKENS).cast("string")),
+        F.concat(F.lit("l="), F.least(F.length(token), F.lit(12)).cast("string")))
+    return ex.select(id_col, *keep, "pos", token.alias("token"), feats.alias("feats"),
+                     *([F.col("z.y").cast("double").alias("label")] if labels else []))
+
+
+def whole_labels(masks: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Window masks → one 0/1 array per document beside its tokens (start and end ids left out)."""
+    part = F.struct("window_no", F.slice("rationale_mask", 2, F.col("n_active").cast("int") - 2).alias("m"))
+    return masks.groupBy(id_col).agg(F.flatten(F.transform(
+        F.array_sort(F.collect_list(part)), lambda x: x["m"])).alias("labels"))
 
 
 def tagger_pipeline(max_iter: int) -> Pipeline:
@@ -153,21 +160,18 @@ def tagger_pipeline(max_iter: int) -> Pipeline:
 
 
 def train_rationale(masks: DataFrame, texts: DataFrame, id_col: str = "doc_id"):
-    """Token 0/1 tagger on documents with expert sentences, split by document,
-    class-weighted by the training part's class weights; one candidate per
-    "epoch", best by token F1 on validation (save-last fallback)."""
-    # Written once to the shared checkpoint folder: the split, the class
-    # weights, the token rows and every candidate fit read it, and the
-    # filter cannot be pushed into the scan beneath the mask computation.
-    annotated = masks.checkpoint().filter(F.col("n_positive") > 0)
-    parts = train_val_split(annotated.select(id_col))
-    with_parts = annotated.join(parts, id_col)
-    cw = class_weights(with_parts.filter(F.col("part") == "train")).first()
+    """Token 0/1 tagger on all expert documents and all their tokens, split by
+    document, class-weighted by the training part's class weights; one candidate
+    per "epoch", best by token F1 on validation (save-last fallback)."""
+    masks = materialize(masks, "masks")
+    parts = train_val_split(masks.select(id_col).distinct())
+    cw = class_weights(masks.join(parts.filter(F.col("part") == "train"), id_col, "left_semi")).first()
     w_neg, w_pos = float(cw["weight_negative"]), float(cw["weight_positive"])
-    rows = token_rows(with_parts.join(texts, id_col), mask="rationale_mask").join(parts, id_col)
-    rows = rows.withColumn("w", F.when(F.col("label") == 1, w_pos).otherwise(w_neg))
-    train = rows.filter(F.col("part") == "train").persist()
-    val = rows.filter(F.col("part") == "validation").persist()
+    docs = texts.join(whole_labels(masks, id_col), id_col).join(parts, id_col)
+    rows = token_rows(docs, labels="labels", id_col=id_col, keep=("part",))
+    rows = materialize(rows.withColumn("w", F.when(F.col("label") == 1, w_pos).otherwise(w_neg)).select(
+        "part", "feats", "label", "w"), "tagger-rows")
+    train, val = (rows.filter(F.col("part") == x) for x in ("train", "validation"))
     models, met = {}, None
     for epoch, iters in enumerate(EPOCH_ITERATIONS, 1):
         m = tagger_pipeline(iters).fit(train)
@@ -176,79 +180,79 @@ def train_rationale(masks: DataFrame, texts: DataFrame, id_col: str = "doc_id"):
             F.lit("rationale").alias("run"), F.lit(epoch).cast("bigint").alias("epoch"),
             F.col("prediction").cast("int").alias("pred"), F.col("label").cast("int").alias("label")))
         met = e if met is None else met.unionByName(e)
-    met = met.persist()
-    best = M.best_epoch(met).first()
-    best_epoch = int(best["best_epoch"])
-    train.unpersist()
+    met = materialize(met, "tagger-metrics")
+    best_epoch = int(M.best_epoch(met).first()["best_epoch"])
     return met.withColumn("selected", F.col("epoch") == best_epoch), models[best_epoch], (w_neg, w_pos)
 
 
+def folds(labelled: DataFrame, id_col: str = "doc_id", k: int = N_FOLDS) -> DataFrame:
+    """Adds ``fold``: the md5 bucket of the id mod k."""
+    return labelled.withColumn("fold", (hex8(F.concat(F.lit("fold:"), F.col(id_col).cast("string"))) % k).cast("bigint"))
+
+
 def kfold_metrics(labelled: DataFrame, id_col: str = "doc_id", k: int = N_FOLDS, max_iter: int = 10) -> DataFrame:
     """fold = md5 bucket of the id mod k; fit on the other folds; per-fold
     metrics plus mean and sample standard deviation rows."""
-    data = labelled.withColumn("fold", (hex8(F.concat(F.lit("fold:"), F.col(id_col).cast("string"))) % k)
-                               .cast("bigint")).persist()
+    data = materialize(folds(labelled, id_col, k), "folds")
     per = None
     for f in range(k):
         m = outcome_pipeline(max_iter).fit(data.filter(F.col("fold") != f))
         e = M.binary_metrics(_scored(m, data.filter(F.col("fold") == f)).select(
             F.lit("kfold").alias("run"), F.lit(f).cast("bigint").alias("epoch"), "pred", "label"))
         per = e if per is None else per.unionByName(e)
-    per = per.withColumnRenamed("epoch", "fold").select("fold", "n", "accuracy", "precision", "recall", "f1")
+    per = materialize(per.withColumnRenamed("epoch", "fold").select(
+        "fold", "n", "accuracy", "precision", "recall", "f1"), "fold-metrics")
     stats = per.agg(*[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in ("accuracy", "f1")],
                     *[F.round(F.stddev_samp(c), 6).alias(f"std_{c}") for c in ("accuracy", "f1")])
-    data.unpersist()
     return per, stats
 
 
 def predict_cases(cases: DataFrame, classifier: PipelineModel, tagger: PipelineModel | None,
                   keys=("case_id",), text: str = "text") -> DataFrame:
-    """Outcome + rendered rationale per case.  Blank or null texts are not scored.
+    """A row per case: outcome and rendered rationale over the whole text.
+
+    Blank or null texts keep their row with null results and ``blank`` true.
+    Rows are told apart by their place, so null or repeated keys stay as they are.
 
     Rationale: the token tagger when present; otherwise the classifier's own
-    evidence — tokens whose hashed-feature weight magnitude is above the
-    window's mean (strict), the linear-model counterpart of the attention
-    fallback.
+    evidence: tokens whose feature weight magnitude is above the text's mean
+    (strict), looked up through the classifier's fitted hasher.
     """
+    if classifier is None:
+        raise ValueError("no classifier: nothing can be scored")
     keys = list(keys)
-    live = cases.filter(F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) > 0)
-    scored = _scored(classifier, live.select(*keys, text))
-    outcome = scored.select(*keys, F.round("p_allowed", 6).alias("p_allowed"),
-                            decode_outcome(F.col("pred")).alias("outcome"))
-    toks = live.select(*keys, F.slice(tokens(F.col(text)), 1, WINDOW_TOKENS).alias("toks"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = materialize(cases.select(
+        F.monotonically_increasing_id().alias("_row"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+        body.alias("_text"), (F.length(trim_ws(body)) == 0).alias("blank")), "cases")
+    live = rows.filter(~F.col("blank"))
+    scored = _scored(classifier, live.select("_row", F.col("_text").alias("text"))).select(
+        "_row", F.round("p_allowed", 6).alias("p_allowed"), decode_outcome(F.col("pred")).alias("outcome"))
     if tagger is not None:
-        rows = token_rows(live.withColumn("_k", F.concat_ws(":", *[F.col(c).cast("string") for c in keys])),
-                          mask=None, id_col="_k", text=text)
-        tagged = tagger.transform(rows).select("_k", "pos", F.col("prediction").cast("int").alias("m"))
-        folded = tagged.groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("pm"))
-        masks = folded.select("_k", F.concat(F.array(F.lit(0)), F.transform("pm", lambda x: x["m"])).alias("mask"))
-        toks = toks.withColumn("_k", F.concat_ws(":", *[F.col(c).cast("string") for c in keys]))
-        rend = toks.join(masks, "_k", "left").select(
-            *keys, render_highlight("toks", F.coalesce("mask", F.array().cast("array<int>"))).alias("rationale_text"))
+        tagged = tagger.transform(token_rows(live, None, "_row", "_text")).select(
+            "_row", "pos", F.col("prediction").cast("int").alias("m"))
     else:
-        # Weights are looked up by Spark SQL's murmur3 bucket of the token; the
-        # ML hasher uses a variant of the same hash, so a few tokens may read a
-        # neighbouring bucket's weight (the fallback is a heuristic highlight).
-        lr = classifier.stages[-1]
-        n = classifier.stages[1].getNumFeatures()
-        coef = F.array(*[F.lit(float(abs(c))) for c in lr.coefficients.toArray()])  # bounded: numFeatures
-        weights = F.transform("toks", lambda t: F.element_at(coef, F.pmod(F.hash(t), F.lit(n)) + 1))
-        mask = let(weights, lambda ws: let(
-            F.aggregate(ws, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(ws), F.lit(1)),
-            lambda mean: F.transform(ws, lambda w: F.when(w > mean, 1).otherwise(0))))
-        rend = toks.select(*keys, render_highlight("toks", F.concat(F.array(F.lit(0)), mask)).alias("rationale_text"))
-    return outcome.join(rend, keys)
-
-
-def model_path(spark, name: str) -> str:
-    return scratch_path(spark, f"models/{name}")
-
-
-def load_first(paths) -> PipelineModel | None:
-    """First readable model of an ordered list of locations (rationale → classifier → …)."""
-    for p in paths:
-        try:
-            return PipelineModel.load(p)
-        except Exception:  # noqa: BLE001 - an unreadable location falls through to the next
-            continue
-    return None
+        tagged = _evidence(live, classifier)
+    masks = tagged.groupBy("_row").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"]).alias("mask"))
+    shown = F.when(~F.col("blank"), render_highlight(
+        tokens("_text"), F.concat(F.array(F.lit(0)), F.coalesce("mask", F.array().cast("array<int>")))))
+    return rows.join(scored, "_row", "left").join(masks, "_row", "left").select(
+        *[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], "blank", "p_allowed", "outcome",
+        shown.alias("rationale_text"))
+
+
+def _evidence(live: DataFrame, classifier: PipelineModel) -> DataFrame:
+    """(_row, pos, m): 1 where a token's weight magnitude is above the mean of its text."""
+    hasher, layer = classifier.stages[1], classifier.stages[-1]
+    toks = live.select("_row", F.posexplode(tokens("_text")).alias("pos", "token"))
+    types = materialize(toks.select("token").distinct(), "case-types")
+    # One token per "document": the only index of its vector is the token's bucket.
+    one = types.withColumn("_one", F.array("token"))
+    bucket = HashingTF(inputCol="_one", outputCol="_v", numFeatures=hasher.getNumFeatures()).transform(one).select(
+        "token", F.array_position(vector_to_array("_v"), F.lit(1.0)).cast("int").alias("b"))
+    weights = F.array(*[F.lit(float(abs(c))) for c in layer.coefficients.toArray()])   # as many as the hasher's buckets
+    known = bucket.select("token", F.element_at(weights, F.col("b")).alias("w"))
+    each = toks.join(known, "token").select("_row", "pos", "w")
+    mean = each.groupBy("_row").agg(F.avg("w").alias("mean"))
+    return each.join(mean, "_row").select("_row", "pos", (F.col("w") > F.col("mean")).cast("int").alias("m"))

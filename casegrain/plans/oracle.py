@@ -627,6 +627,29 @@ SELECT query_id, rank::BIGINT AS rank, vec_id, cosine
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM sc
       WHERE cosine IS NOT NULL)
 WHERE rank <= 5
+""",
+    "kfold_assign": f"""
+SELECT d.doc_id, l.quality::BIGINT AS label, ({_hex8("'fold:' || d.doc_id")} % 5)::BIGINT AS fold
+FROM documents d JOIN labels l USING (doc_id)
+""",
+    "predict_rows": f"""
+SELECT conv_id, turn, length({_trim("coalesce(text, '')")}) = 0 AS blank, true AS consistent,
+       CASE WHEN length({_trim("coalesce(text, '')")}) > 0 THEN md5(regexp_replace(regexp_replace(array_to_string(list_transform(
+         regexp_extract_all(text, '{TOK}'), lambda x: lower(x)), ''), '\\[|\\]', '', 'g'), '[\t\n\x0B\f\r ]+', '', 'g')) END AS text_md5
+FROM conversations
+""",
+    "similarity_lsh": f"""
+WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '{TOK}'), lambda x: lower(x)) AS w FROM documents),
+sh AS (SELECT doc_id, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS g FROM t WHERE len(w) > 0),
+sig AS (SELECT doc_id, g, array_to_string(list_sort(g), chr(1)) AS s FROM sh),
+rep AS (SELECT s, min(doc_id) AS rep FROM sig GROUP BY s),
+m AS (SELECT sig.doc_id, g, rep FROM sig JOIN rep USING (s)),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM m WHERE doc_id = rep),
+p AS (SELECT a.doc_id AS id_a, b.doc_id AS id_b, count(*) AS c, a.n + b.n - count(*) AS u
+      FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n)
+SELECT rep AS id_a, doc_id AS id_b, 1.0::DOUBLE AS jaccard, 'exact' AS kind FROM m WHERE doc_id <> rep
+UNION ALL SELECT id_a, id_b, round(c::DOUBLE / u, 9), 'near' FROM p WHERE c >= 0.8::DOUBLE * u - 1e-9
 """,
     "rouge_n": "WITH " + SUMMARY_PAIRS + "," + _overlap_cte(1) + "," + _overlap_cte(2) + f"""
 SELECT pair, n, overlap, cand_grams, ref_grams, {_prf_sql('overlap', 'cand_grams', 'ref_grams')}
