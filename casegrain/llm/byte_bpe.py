@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from casegrain.llm.chunks import ChunkEncoder
+from casegrain.llm.tables import arrow
 from casegrain.llm.words import column, column_bytes, slices
 
 
@@ -139,7 +140,7 @@ def encode(df: DataFrame, path: str, pattern: str, keep: list[str], text: str =
                 yield pa.RecordBatch.from_arrays(
                     [part.column(i) for i in range(len(keep))]
                     + [_lists(ids, pa.int32()), _lists(starts, pa.int32())], names=[*keep, "ids", "starts"])
-    return df.select(*keep, df[text].alias("__text")).mapInArrow(run, schema)
+    return arrow(df.select(*keep, df[text].alias("__text")), run, schema)
 
 
 def decode(df: DataFrame, path: str, keep: list[str], ids: str = "ids") -> DataFrame:
@@ -157,4 +158,4 @@ def decode(df: DataFrame, path: str, keep: list[str], ids: str = "ids") -> DataF
                 yield pa.RecordBatch.from_arrays(
                     [part.column(i) for i in range(len(keep))] + [pa.array(out, pa.binary())],
                     names=[*keep, "decoded"])
-    return df.select(*keep, df[ids].alias("__ids")).mapInArrow(run, schema)
+    return arrow(df.select(*keep, df[ids].alias("__ids")), run, schema)

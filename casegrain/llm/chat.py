@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casegrain.llm.tables import arrow
 from casegrain.llm.words import column
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -155,7 +156,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
                     "conv_id": column(batch, "conv_id")[i].as_py(), "n_turns": len(rows),
                     "formatted": "".join(f.out), "loss_spans": f.spans, "attachments": f.attachments,
                     "attachment_tokens": sum(a["tokens"] for a in f.attachments)}], FORMATTED_ARROW)
-    return chats.mapInArrow(run, FORMATTED)
+    return arrow(chats, run, FORMATTED)
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:
@@ -172,4 +173,4 @@ def read_chats(formatted: DataFrame) -> DataFrame:
                              "formatted_chars": len(s),
                              "attachment_tokens": column(batch, "attachment_tokens")[i].as_py()})
             yield pa.RecordBatch.from_pylist(rows, READ_ARROW)
-    return formatted.select("conv_id", "formatted", "loss_spans", "attachment_tokens").mapInArrow(run, READ)
+    return arrow(formatted.select("conv_id", "formatted", "loss_spans", "attachment_tokens"), run, READ)

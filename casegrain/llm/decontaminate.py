@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casegrain.llm import words as W
-from casegrain.llm.tables import written
+from casegrain.llm.tables import arrow, written
 
 WIDTH = 10
 SLOP = 3                  # words, for proximity matches
@@ -114,7 +114,7 @@ def index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
                                W.column(batch, "doc_id").slice(lo, hi - lo), name)
                 name += 1
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return written(rows.mapInArrow(run, INDEX), "positional-index")
+    return written(arrow(rows, run, INDEX), "positional-index")
 
 
 class Queries:
@@ -245,7 +245,7 @@ def item_words(benchmark: DataFrame) -> DataFrame:
                 [W.column(batch, "item_id"), pa.array([found[a:b] for a, b in zip(first[:-1], first[1:])],
                                                       pa.list_(pa.string()))], names=["item_id", "words"])
     rows = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    return rows.mapInArrow(run, "item_id long, words array<string>").where("size(words) > 0").distinct()
+    return arrow(rows, run, "item_id long, words array<string>").where("size(words) > 0").distinct()
 
 
 def search(idx: DataFrame, items: DataFrame, width: int = WIDTH, slop: int = SLOP,
@@ -278,8 +278,8 @@ def _frequency(idx: DataFrame, q: Queries) -> np.ndarray:
                 total[terms] += np.frombuffer(row["counts"], np.uint32)[place]
         have = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(have, pa.int64()), pa.array(total[have])], names=["term", "n"])
-    rows = (idx.select("hashes", "spelling", "spelling_ends", "counts").mapInArrow(run, "term long, n long")
-            .groupBy("term").agg(F.sum("n").alias("n")).collect())  # one row per term of the chunk, at most
+    found = arrow(idx.select("hashes", "spelling", "spelling_ends", "counts"), run, "term long, n long")
+    rows = (found.groupBy("term").agg(F.sum("n").alias("n")).collect())  # one row per term of the chunk, at most
     out = np.zeros(len(q.spelling), np.int64)
     for term, n in rows:
         out[term] = n
@@ -292,7 +292,7 @@ def _run(idx: DataFrame, sent, slop: int) -> DataFrame:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 yield pa.RecordBatch.from_pylist(_search_segment(row, sent.value, slop), MATCHES_ARROW)
-    return idx.mapInArrow(run, MATCHES)
+    return arrow(idx, run, MATCHES)
 
 
 def _merge(results: list[DataFrame]) -> DataFrame:

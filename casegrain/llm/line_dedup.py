@@ -6,7 +6,8 @@ first occurrences: each line is split into ``edits`` + 1 segments of almost equa
 within that many edits must hold one of them unchanged, at a place that the two lengths allow.
 Segments are indexed by length, number and content; every line probes the indexes of its own
 length and of up to ``edits`` less with the substrings at the allowed places only
-(multi-match-aware). Candidates are verified by an exact banded, bit-parallel edit distance.
+(multi-match-aware). A pair is a candidate only if the counts of ten letters in both lines allow that many edits.
+Candidates are verified by an exact banded, bit-parallel edit distance.
 
 Texts are split into a table of lines once. What is joined by content is hashes; texts move only
 for lines that a bounded bitmap of hashes marks as possibly needed (a mark too many costs time, not
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 
 from casegrain.llm.tables import bind, membership_bits, with_membership, written
 
+LETTERS = "etaonirhsl"   # counted in the low 40 bits of a line's place, 4 bits each
+KEY_WORDS = 1 << 19      # words of the bitmap of index keys: at most that many rows are sent to every task
 EDITS = 2            # at most 4: the verification packs (edits + 1) * (2 * edits + 1) bits in 64
 LEAST_CHARS = 20
 NEAR_CHARS = 40      # at least (edits + 1) * (edits + 1)
@@ -39,8 +42,29 @@ def lines_of(docs: DataFrame, least_chars: int) -> DataFrame:
     trimmed = split.select("doc_id", "line_no", F.btrim("raw", F.lit(WS)).alias("line"))
     sized = trimmed.withColumn("length", F.char_length("line")).where(F.col("length") >= least_chars)
     return sized.select("doc_id", "line_no", "line", "length", F.xxhash64("line").alias("h1"),
-                        F.xxhash64(F.lit(1), "line").alias("h2"),
-                        F.xxhash64("doc_id", "line_no").alias("place"))
+                        F.xxhash64(F.lit(1), "line").alias("h2"), _place().alias("place"))
+
+
+def _place() -> Column:
+    """Name of a line in the joins: 24 bits of its place's hash, and the counts of ten letters modulo 16.
+
+    Lines that share a name are compared with each other too, so the short hash loses nothing.
+    """
+    out = F.call_function("shiftleft", F.xxhash64("doc_id", "line_no"), F.lit(4 * len(LETTERS)))
+    for k, c in enumerate(LETTERS):
+        n = F.length("line") - F.length(F.replace(F.col("line"), F.lit(c), F.lit("")))
+        out = out.bitwiseOR(F.call_function("shiftleft", n.cast("long").bitwiseAND(F.lit(15)), F.lit(4 * k)))
+    return out
+
+
+def _counts_allow(r: Column, s: Column, edits: int) -> Column:
+    """Whether the letter counts in two names allow that many edits: each edit moves at most two counts by one."""
+    total = F.lit(0).cast("long")
+    for k in range(len(LETTERS)):
+        lane = lambda x: F.call_function("shiftright", x, F.lit(4 * k)).bitwiseAND(F.lit(15))  # noqa: B023, E731
+        d = F.abs(lane(r) - lane(s))
+        total = total + F.least(d, F.lit(16) - d)
+    return total <= 2 * edits
 
 
 def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
@@ -134,16 +158,24 @@ def near_lines(firsts: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     """doc_id, line_no of each of ``firsts`` that has an earlier one within ``edits`` edits."""
     index = firsts.select(F.explode(index_keys(edits)).alias("key"), F.col("place").alias("r"))
     probes = firsts.select(F.explode(probe_keys(edits)).alias("key"), F.col("place").alias("s"))
-    pairs = index.join(probes, "key").where("r <> s").select(
+    # Probes whose key is surely in no index stay out of the shuffle.
+    bits = membership_bits(index, "key", KEY_WORDS)
+    probes = with_membership(probes, "key", bits, "indexed", KEY_WORDS).where("indexed").select("key", "s")
+    allowed = (F.col("r") != F.col("s")) & _counts_allow(F.col("r"), F.col("s"), edits)
+    pairs = index.join(probes, "key").where(allowed).select(
         F.least("r", "s").alias("r"), F.greatest("r", "s").alias("s")).distinct()
-    pairs = written(pairs, "line-pairs")
+    twins = firsts.groupBy("place").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
+        F.col("place").alias("r"), F.col("place").alias("s"))
+    pairs = written(pairs.unionByName(twins), "line-pairs")
     both = pairs.select(F.explode(F.array("r", "s")).alias("place"))
-    marked = with_membership(lines, "place", membership_bits(both, "place"), "needed").where("needed")
-    marked = marked.select("place", "doc_id", "line_no", "line", "h1", "h2")
+    bits = membership_bits(both.select(F.xxhash64("place").alias("h")), "h")
+    marked = with_membership(lines.withColumn("h", F.xxhash64("place")), "h", bits, "needed").where("needed")
+    marked = marked.select("place", "doc_id", "line_no", "line")
     wanted = marked.join(both.distinct(), "place", "left_semi")
     a = wanted.select(F.col("place").alias("r"), F.struct("doc_id", "line_no", "line").alias("x"))
     b = wanted.select(F.col("place").alias("s"), F.struct("doc_id", "line_no", "line").alias("y"))
     joined = pairs.join(a, "r").join(b, "s")
+    joined = joined.where(_before("x", "y") | _before("y", "x"))     # a line isn't its own pair
     close = joined.where(within_edits(F.col("x.line"), F.col("y.line"), edits))
     later = F.when(_before("x", "y"), F.col("y")).otherwise(F.col("x"))
     return close.select(later.alias("z")).select("z.doc_id", "z.line_no").distinct()

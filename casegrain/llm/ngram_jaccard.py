@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from casegrain.llm import words as W
 from casegrain.llm.components import components
-from casegrain.llm.tables import membership_bits, with_membership, written
+from casegrain.llm.tables import arrow, membership_bits, with_membership, written
 
 N = 5
 SIMILAR = (80, 100)
@@ -172,7 +172,7 @@ def _scan(docs: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [W.column(batch, "doc_id"), *[pa.array([x[k] for x in told], pa.int64()) for k in range(3)], none, none],
                 names=names)
-    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    return arrow(docs.select("doc_id", "text"), run, ", ".join(f"{x} long" for x in names))
 
 
 class _Block:
@@ -240,7 +240,7 @@ def _entries(docs: DataFrame, n: int, similar: tuple[int, int], frequent: np.nda
                     block = _Block()
         if block.n:
             yield block.rows(bits)
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, ENTRIES)
+    return arrow(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), run, ENTRIES)
 
 
 def _buckets(entries: DataFrame, parts: int) -> DataFrame:
@@ -269,8 +269,8 @@ def _buckets(entries: DataFrame, parts: int) -> DataFrame:
                 rows.append(r)
         if rows:
             yield tree(bucket, rows)
-    return entries.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(
-        run, "key long, head long, member long").distinct()
+    ordered = entries.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    return arrow(ordered, run, "key long, head long, member long").distinct()
 
 
 def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -304,8 +304,7 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int = N) -> DataFrame:
     ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(tb, "b").join(ta, "a").sortWithinPartitions("a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(
-        run, "a long, b long, size_a long, size_b long, common long")
+    return arrow(both.select("a", "b", "text_a", "text_b"), run, "a long, b long, size_a long, size_b long, common long")
 
 
 def _linked(verified: DataFrame, similar: tuple[int, int]) -> DataFrame:
@@ -324,7 +323,7 @@ def _histograms(docs: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [W.column(batch, "doc_id"), pa.array(size, pa.int64()), pa.array(bins, pa.binary())],
                 names=["doc_id", "size", "bins"])
-    return docs.mapInArrow(run, "doc_id long, size long, bins binary")
+    return arrow(docs, run, "doc_id long, size long, bins binary")
 
 
 def _across(shared: DataFrame, labels: DataFrame) -> DataFrame:
@@ -383,7 +382,7 @@ def _remaining(buckets: DataFrame, labels: DataFrame, docs: DataFrame, n: int,
                     yield pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1])], names=["a", "b"])
 
     rows = chosen.join(known, "doc_id").repartition(parts, "key").sortWithinPartitions("key", "doc_id")
-    return rows.select("key", "doc_id", "component", "size", "bins").mapInArrow(run, "a long, b long").distinct()
+    return arrow(rows.select("key", "doc_id", "component", "size", "bins"), run, "a long, b long").distinct()
 
 
 def join(docs: DataFrame, n: int = N, similar: tuple[int, int] = SIMILAR) -> DataFrame:

@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from casegrain.session import scratch_path
 
 
+BATCH_BYTES = "8m"
+
+
+def arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` with Arrow batches of at most ``BATCH_BYTES`` (a session setting), which bounds a task's memory."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -35,15 +44,15 @@ def bind(value, body):
 WORDS = 1 << 17
 
 
-def membership_bits(keys: DataFrame, key: str) -> DataFrame:
-    """A bitmap of 64-bit hashes as at most ``WORDS`` rows (word, bits): safe to broadcast at any input size."""
-    return keys.groupBy((F.shiftright(F.col(key), 6).bitwiseAND(F.lit(WORDS - 1))).alias("__word")).agg(
+def membership_bits(keys: DataFrame, key: str, words: int = WORDS) -> DataFrame:
+    """A bitmap of 64-bit hashes as at most ``words`` rows (word, bits): safe to broadcast at any input size."""
+    return keys.groupBy((F.shiftright(F.col(key), 6).bitwiseAND(F.lit(words - 1))).alias("__word")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col(key).bitwiseAND(F.lit(63)).cast("int"))).alias("__bits"))
 
 
-def with_membership(df: DataFrame, key: str, bits: DataFrame, out: str) -> DataFrame:
+def with_membership(df: DataFrame, key: str, bits: DataFrame, out: str, words: int = WORDS) -> DataFrame:
     """``df`` with ``out``: false if ``key`` is surely not among the bitmap's keys, true if it may be."""
-    word = F.shiftright(F.col(key), 6).bitwiseAND(F.lit(WORDS - 1))
+    word = F.shiftright(F.col(key), 6).bitwiseAND(F.lit(words - 1))
     bit = F.call_function("shiftright", F.col("__bits"), F.col(key).bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1))
     joined = df.withColumn("__w", word).join(F.broadcast(bits), F.col("__w") == F.col("__word"), "left")
     return joined.withColumn(out, F.coalesce(bit == 1, F.lit(False))).drop("__w", "__word", "__bits")

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casegrain.llm.chunks import ChunkEncoder
+from casegrain.llm.tables import arrow
 from casegrain.llm.wavelet import WaveletMatrix, from_bytes, to_bytes
 from casegrain.llm.words import column, column_bytes, slices
 
@@ -94,8 +95,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    (rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-     .mapInArrow(run, SHARD_SCHEMA)
+    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    (arrow(ordered, run, SHARD_SCHEMA)
      .write.option("maxRecordsPerFile", 1).option("compression", "zstd").parquet(path))
 
 
@@ -128,8 +129,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                         [pa.array(docs[lo:hi], mask=null[lo:hi]), pa.array(base + starts[lo:hi]),
                          pa.array(np.diff(starts[lo:hi + 1])), tokens],
                         names=["doc_id", "start", "n_tokens", "tokens"])
-    return shards(spark, path).select("start", "payload").mapInArrow(
-        run, "doc_id long, start long, n_tokens long, tokens binary")
+    return arrow(shards(spark, path).select("start", "payload"), run, "doc_id long, start long, n_tokens long, tokens binary")
 
 
 def count_token(spark: SparkSession, path: str, token: int) -> DataFrame:
@@ -139,7 +139,7 @@ def count_token(spark: SparkSession, path: str, token: int) -> DataFrame:
             n = [from_bytes(x.as_buffer().to_pybytes())[0].count(token) for x in column(batch, "payload")]
             yield pa.RecordBatch.from_arrays([column(batch, "first_doc"), pa.array(n, pa.int64())],
                                              names=["first_doc", "n"])
-    return shards(spark, path).select("first_doc", "payload").mapInArrow(run, "first_doc long, n long")
+    return arrow(shards(spark, path).select("first_doc", "payload"), run, "first_doc long, n long")
 
 
 def find_token(spark: SparkSession, path: str, token: int) -> DataFrame:
@@ -152,4 +152,4 @@ def find_token(spark: SparkSession, path: str, token: int) -> DataFrame:
                 d = np.searchsorted(starts, at, "right") - 1
                 yield pa.RecordBatch.from_arrays([pa.array(docs[d], mask=null[d]), pa.array(at - starts[d])],
                                                  names=["doc_id", "offset"])
-    return shards(spark, path).select("payload").mapInArrow(run, "doc_id long, offset long")
+    return arrow(shards(spark, path).select("payload"), run, "doc_id long, offset long")

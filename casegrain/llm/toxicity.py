@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casegrain.llm import words as W
+from casegrain.llm.tables import arrow
 
 SAMPLE = 20_000
 MOST_FEATURES = 4_096
@@ -129,7 +130,7 @@ def _feature_counts(sample: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(f.view(np.int64)), pa.array(np.full(len(f), kind)), pa.array(n.astype(np.int64))],
                         names=["feature", "toxic", "n"])
-    return sample.select("doc_id", "toxic", "text").mapInArrow(run, "feature long, toxic boolean, n long")
+    return arrow(sample.select("doc_id", "toxic", "text"), run, "feature long, toxic boolean, n long")
 
 
 def _select(sample: DataFrame) -> np.ndarray:
@@ -164,8 +165,9 @@ def _vectors(sample: DataFrame, features: np.ndarray) -> tuple[np.ndarray, ...]:
                 yield pa.RecordBatch.from_arrays(
                     [W.column(part, "doc_id"), W.column(part, "toxic"), W.column(part, "held"), lists(f), lists(n)],
                     names=["doc_id", "toxic", "held", "f", "n"])
-    got = sample.select("doc_id", "toxic", "held", "text").mapInArrow(
-        run, "doc_id long, toxic boolean, held boolean, f array<int>, n array<int>").orderBy("doc_id", "f", "n").collect()
+    rows = arrow(sample.select("doc_id", "toxic", "held", "text"), run,
+                 "doc_id long, toxic boolean, held boolean, f array<int>, n array<int>")
+    got = rows.orderBy("doc_id", "f", "n").collect()
     sizes = [len(r["f"]) for r in got]
     flat = lambda name: np.array([x for r in got for x in r[name]], np.int64)
     flag = lambda name: np.array([r[name] for r in got], bool)
@@ -249,10 +251,14 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         T.StructField("expected_severity", T.DoubleType()), T.StructField("grade", T.IntegerType()),
         T.StructField("rejected", T.BooleanType())])
 
+    # The text goes over once, whether it is kept or not.
+    columns = keep if "text" in keep else [*keep, "text"]
+    text_at = columns.index("text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, bits = sent.value
         for batch in batches:
-            data, offs = W.column_bytes(W.column(batch, "__text"))
+            data, offs = W.column_bytes(batch.column(text_at))
             for lo, hi in W.slices(offs):
                 row, f, n = _known_counts(data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo], m.features, bits)
                 lin = np.bincount(row, (1 + np.log(n)) * m.weights[f], minlength=hi - lo)
@@ -263,7 +269,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                     + [pa.array(severity), pa.array(m.probabilities(lin).argmax(axis=1).astype(np.int32)),
                        pa.array(severity >= m.cutoff)],
                     names=[*keep, "expected_severity", "grade", "rejected"])
-    return docs.select(*keep, docs["text"].alias("__text")).mapInArrow(run, schema)
+    return arrow(docs.select(*columns), run, schema)
 
 
 def judge(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 # Words [^\x20\x09-\x0D]+
 NOT_SPACE = np.ones(256, bool)
