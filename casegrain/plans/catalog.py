@@ -488,16 +488,30 @@ def q_kfold_cv(spark, d):
     return per.select("*", *[F.lit(st[c]).alias(c) for c in stats.columns])
 
 
+_CHAINS: dict = {}
+
+
 def _trained(spark, d):
-    """The chain distilled → classifier → rationale, each saved and loaded by the next, as a scoring job would."""
+    """The chain distilled → classifier → rationale, each saved and loaded by the next, as a scoring job would.
+
+    Trained once per application and data folder; the saved places are what is remembered.
+    """
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _CHAINS:
+        _CHAINS[key] = _train_chain(spark, d)
+    base = _CHAINS[key]
+    return (load_first(spark, [f"{base}/classifier", f"{base}/distilled"], required=True),
+            load_first(spark, [f"{base}/rationale"]))
+
+
+def _train_chain(spark, d):
     base = scratch_path(spark, "models")
     corpus = materialize(_corpus(spark, d).select("split", "doc_id", "text", "label"), "corpus")
     MD.train_distilled(corpus, save_to=f"{base}/distilled")
     MD.train_classifier(corpus, save_to=f"{base}/classifier", start=load_first(spark, [f"{base}/distilled"], required=True))
     _, tagger, _ = _rationale(spark, d)
     save_model(tagger, f"{base}/rationale")
-    return (load_first(spark, [f"{base}/classifier", f"{base}/distilled"], required=True),
-            load_first(spark, [f"{base}/rationale"]))
+    return base
 
 
 def _cases(spark, d):

@@ -24,11 +24,11 @@ def _df(spark, text=TEXT, ann=ANN):
         ["doc_id long", "text string"] + [f"{c} string" for c in ann]))
 
 
-def brute_mask(text, chosen):
+def brute_mask(text, chosen, limit=510):
     """The reference algorithm: token offsets, all literal occurrences, overlap test."""
-    toks = [(m.start(), m.end()) for m in regex.finditer(TOKEN_PATTERN, text)][:510]
+    toks = [(m.start(), m.end()) for m in regex.finditer(TOKEN_PATTERN, text)][:limit]
     offsets = [(0, 0)] + toks + [(0, 0)]
-    mask = [0] * 512
+    mask = [0] * (limit + 2)
     sents = [s.strip() for s in re.findall(r"[^.!?\n]+[.!?]*", text)]
     for s in sents:
         if s and s in chosen:
@@ -66,13 +66,38 @@ def test_mask_matches_reference_algorithm(spark):
     assert m["n_positive"] == sum(m["rationale_mask"]) <= m["n_active"] - 2
 
 
-def test_mask_beyond_window_and_straddle(spark):
-    filler = " ".join(f"w{i}" for i in range(600))
-    text = "Start here. " + filler + ". Late sentence."
-    ann = {"expert_1": '{"rank1": ["Start here.", "Late sentence."]}'}
-    m = A.rationale_masks(_df(spark, text, ann)).first()
-    assert m["rationale_mask"] == brute_mask(text, {"Start here.", "Late sentence."})
-    assert m["rationale_mask"][1:4] == [1, 1, 1] and sum(m["rationale_mask"]) == 3
+def test_whole_text_in_windows(spark):
+    """2,000 tokens marked at both ends and over a window border: every token is in one window."""
+    filler = " ".join(f"w{i}" for i in range(500))
+    text = "Start here. " + filler + ". Over the border it goes. " + " ".join(f"x{i}" for i in range(1500)) + ". Late sentence."
+    ann = {"expert_1": '{"rank1": ["Start here.", "Late sentence.", "Over the border it goes."]}'}
+    rows = A.rationale_masks(_df(spark, text, ann)).orderBy("window_no").collect()
+    n = len(regex.findall(TOKEN_PATTERN, text))
+    assert [r["window_no"] for r in rows] == list(range(-(-n // 510)))
+    assert sum(r["n_active"] - 2 for r in rows) == n
+    whole = [x for r in rows for x in r["rationale_mask"][1:r["n_active"] - 1]]
+    assert whole == brute_mask(text, {"Start here.", "Late sentence.", "Over the border it goes."}, n)[1:-1]
+    assert sum(whole) == sum(r["n_positive"] for r in rows) == 3 + 6 + 3
+    assert rows[0]["n_positive"] > 3 and rows[-1]["rationale_mask"][rows[-1]["n_active"] - 2] == 1
+
+
+def test_quoted_none_stays(spark):
+    text = "None of the parties appeared. Nothing else."
+    ann = {"expert_1": "{'rank1': ['None of the parties appeared.', None]}", "expert_2": '{"rank2": "[\'Nothing else.\', None]"}'}
+    got = A.with_rationale_sentences(_df(spark, text, ann)).first()["rationale_sentences"]
+    assert set(got) == {"None of the parties appeared.", "Nothing else."}
+
+
+def test_foreign_sentences_do_not_match(spark):
+    ann = {"expert_1": '{"rank1": ["Alpha beta.", "A sentence of another document."]}'}
+    m = A.with_matched_sentences(A.with_rationale_sentences(_df(spark, ann=ann))).first()
+    assert m["matched_sentences"] == ["Alpha beta."] and len(m["rationale_sentences"]) == 2
+
+
+def test_abbreviations_end_no_sentence(spark):
+    from casegrain.functions.text import sentences
+    df = spark.createDataFrame([("State v. Sharma was cited. Under the I.P.C. it fails! Mr. Rao left.",)], "t string")
+    assert df.select(sentences("t")).first()[0] == ["State v. Sharma was cited.", "Under the I.P.C. it fails!", "Mr. Rao left."]
 
 
 def test_no_annotations_zero_mask(spark):
@@ -93,4 +118,4 @@ def test_class_weights_edge_cases(spark):
     assert w["weight_negative"] == 1.0 and w["weight_positive"] == 0.5
     empty = spark.createDataFrame([], "n_positive long, n_active long")
     c = A.coverage(empty).first()
-    assert c["coverage_padded"] == 0.0 and c["n_docs"] == 0
+    assert c["coverage_padded"] == 0.0 and c["n_windows"] == 0

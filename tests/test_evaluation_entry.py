@@ -49,6 +49,6 @@ def test_span_prf(spark):
 def test_entry_and_contract(spark):
     df = E.entry(spark)
     r = df.collect()
-    assert len(r) == 1 and r[0].n_docs == 200 and 0.0 <= r[0].coverage_padded <= r[0].coverage_active <= 1.0
+    assert len(r) == 1 and r[0].n_windows >= 200 and 0.0 <= r[0].coverage_padded <= r[0].coverage_active <= 1.0
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 50

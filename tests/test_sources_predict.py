@@ -36,5 +36,41 @@ def test_prediction_without_tagger_uses_classifier_evidence(spark):
     clf = outcome_pipeline(10).fit(train)
     cases = spark.createDataFrame([(1, "appeal allowed, bail granted."), (2, "  ")], "case_id long, text string")
     out = predict_cases(cases, clf, None).collect()
-    assert len(out) == 1 and out[0].outcome in ("ALLOWED", "DISMISSED")
-    assert "[" in out[0].rationale_text and out[0].rationale_text.replace("[", "").replace("]", "").startswith("appeal")
+    one, blank = sorted(out, key=lambda r: r.case_id)
+    assert one.outcome in ("ALLOWED", "DISMISSED") and not one.blank
+    assert "[" in one.rationale_text and one.rationale_text.replace("[", "").replace("]", "").startswith("appeal")
+    assert blank.blank and blank.outcome is None and blank.rationale_text is None
+
+
+def test_evidence_reads_the_fitted_hashers_weights(spark):
+    """The marked tokens are those whose own weight, by the classifier's vectors, is above the mean."""
+    words = ["guilty", "appeal", "dismissed", "bail", "granted", "allowed", "ab", "x", "longerword"]
+    rows = [(i, " ".join(words[(i + k) % 9] for k in range(5)), i % 2) for i in range(40)]
+    clf = outcome_pipeline(10).fit(spark.createDataFrame(rows, "doc_id long, text string, label int"))
+    out = predict_cases(spark.createDataFrame([(1, " ".join(words))], "case_id long, text string"), clf, None).first()
+    weights = {}
+    for w in words:
+        v = clf.stages[1].transform(spark.createDataFrame([([w],)], "words array<string>")).first()["tf"]
+        weights[w] = abs(clf.stages[-1].coefficients[int(v.indices[0])])
+    mean = sum(weights.values()) / len(weights)
+    marked = {x[1:-1] for x in out.rationale_text.split() if x.startswith("[")}
+    assert marked == {w for w in words if weights[w] > mean}
+
+
+def test_prediction_without_classifier_and_with_odd_keys(spark, tmp_path):
+    import pytest
+    from casegrain.sources.model_store import load_first, save_model
+    cases = spark.createDataFrame([(None, "some text"), (1, "some text"), (1, "other"), (2, "\t\n")], "case_id long, text string")
+    with pytest.raises(ValueError):
+        predict_cases(cases, None, None)
+    with pytest.raises(FileNotFoundError):
+        load_first(spark, [str(tmp_path / "a"), str(tmp_path / "b")], required=True)
+    clf = outcome_pipeline(5).fit(spark.createDataFrame([(1, "a b", 1), (2, "c", 0)], "doc_id long, text string, label int"))
+    save_model(clf, str(tmp_path / "b"))
+    loaded = load_first(spark, [str(tmp_path / "a"), str(tmp_path / "b")], required=True)
+    out = predict_cases(cases, loaded, None).collect()
+    assert sorted((r.case_id is None, r.case_id, r.blank) for r in out if r.case_id is not None) == [
+        (False, 1, False), (False, 1, False), (False, 2, True)] and len(out) == 4
+    (tmp_path / "broken").mkdir()
+    with pytest.raises(Exception):       # there, but not a model: an error, not the next one
+        load_first(spark, [str(tmp_path / "broken"), str(tmp_path / "b")])

@@ -32,7 +32,10 @@ def test_window_encoding(spark):
     vocab = TK.build_vocab(docs.filter("doc_id = 1"))
     v = {r.token: r.token_id for r in vocab.collect()}
     assert v == {"b": 1000, "a": 1001, "c": 1002}
-    enc = {r.doc_id: r for r in TK.encode_window(docs, vocab).collect()}
+    rows = TK.encode_window(docs, vocab, offsets=True).collect()
+    assert sorted((r.doc_id, r.window_no, r.n_tokens) for r in rows) == [(1, 0, 510), (1, 1, 510), (1, 2, 180), (2, 0, 0), (3, 0, 2)]
+    assert [x.start for r in sorted(rows, key=lambda r: r.window_no) if r.doc_id == 1 for x in r.offset_mapping] == list(range(0, 2400, 2))
+    enc = {r.doc_id: r for r in rows if r.window_no == 0}
     assert len(enc[1].input_ids) == 512 and enc[1].input_ids[0] == 101 and enc[1].input_ids[511] == 102
     assert sum(enc[1].attention_mask) == 512
     assert enc[2].input_ids[:3] == [101, 102, 0] and sum(enc[2].attention_mask) == 2
@@ -57,6 +60,23 @@ def test_exact_ordinal_and_running_total(spark):
     assert got[100] == (100, 5050.0) and got[10] == (10, 55.0)
 
 
+def test_ordinals_and_split_with_payload(spark):
+    """Payload columns don't change the numbers: one written table feeds counts and rows."""
+    df = spark.range(0, 120_000, 1, 8).withColumn("k", F.md5(F.col("id").cast("string"))).withColumn("text", F.repeat(F.lit("x"), 40))
+    r = exact_ordinal(df, ["k", "id"], out="rn", num_partitions=8)
+    assert r.agg(F.countDistinct("rn"), F.min("rn"), F.max("rn")).first()[:] == (120_000, 1, 120_000)
+    parts = train_val_split(df.withColumnRenamed("id", "doc_id")).groupBy("part").count().collect()
+    assert {x.part: x["count"] for x in parts} == {"validation": 24_000, "train": 96_000}
+
+
+def test_prefix_sums(spark):
+    from casegrain.functions.arrays import prefix_sums
+    data = [[], [5], [1, 2, 3], list(range(1000))]
+    rows = spark.createDataFrame([(x,) for x in data], "a array<int>").select("a", prefix_sums("a").alias("p")).collect()
+    for r in rows:
+        assert r.p == [sum(r.a[:i]) for i in range(len(r.a))]
+
+
 def test_split_sizes_batches_and_mask_determinism(spark):
     df = spark.range(0, 101).withColumnRenamed("id", "doc_id")
     parts = train_val_split(df).groupBy("part").count().collect()
