@@ -6,7 +6,7 @@ first occurrences: each line is split into ``edits`` + 1 segments of almost equa
 within that many edits must hold one of them unchanged, at a place that the two lengths allow.
 Segments are indexed by length, number and content; every line probes the indexes of its own
 length and of up to ``edits`` less with the substrings at the allowed places only
-(multi-match-aware). A pair is a candidate only if the counts of ten letters in both lines allow that many edits.
+(multi-match-aware). A pair is a candidate only if the counts of 13 letters in both lines allow that many edits.
 Candidates are verified by an exact banded, bit-parallel edit distance.
 
 Texts are split into a table of lines once. What is joined by content is hashes; texts move only
@@ -28,8 +28,7 @@ from pyspark.sql import functions as F
 
 from casegrain.llm.tables import bind, membership_bits, with_membership, written
 
-LETTERS = "etaonirhsl"   # counted in the low 40 bits of a line's place, 4 bits each
-KEY_WORDS = 1 << 19      # words of the bitmap of index keys: at most that many rows are sent to every task
+LETTERS = "etaonirhsldug"   # counted in the low 52 bits of a line's name, 4 bits each
 EDITS = 2            # at most 4: the verification packs (edits + 1) * (2 * edits + 1) bits in 64
 LEAST_CHARS = 20
 NEAR_CHARS = 40      # at least (edits + 1) * (edits + 1)
@@ -46,7 +45,7 @@ def lines_of(docs: DataFrame, least_chars: int) -> DataFrame:
 
 
 def _place() -> Column:
-    """Name of a line in the joins: 24 bits of its place's hash, and the counts of ten letters modulo 16.
+    """Name of a line in the joins: 12 bits of its place's hash, and the counts of 13 letters modulo 16.
 
     Lines that share a name are compared with each other too, so the short hash loses nothing.
     """
@@ -90,7 +89,10 @@ def index_keys(edits: int) -> Column:
 
 
 def probe_keys(edits: int) -> Column:
-    """Keys of all places where a line that is shorter by 0 to ``edits`` can hold one of its segments."""
+    """Keys of all places where a line that is shorter by 0 to ``edits`` can hold one of its segments.
+
+    The places of the line's own segments are left out: their keys are its index keys.
+    """
     line, out = F.col("line"), []
     for less in range(edits + 1):
         length = F.col("length") - less
@@ -98,6 +100,8 @@ def probe_keys(edits: int) -> Column:
             start, size = _segment(length, i, edits)
             after = edits + 1 - i
             for shift in range(max(-(i - 1), less - after), min(i - 1, less + after) + 1):
+                if less == shift == 0:
+                    continue
                 out.append(_key(length, i, F.substring(line, start + shift, size)))
     return F.array(*out)
 
@@ -158,12 +162,12 @@ def near_lines(firsts: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     """doc_id, line_no of each of ``firsts`` that has an earlier one within ``edits`` edits."""
     index = firsts.select(F.explode(index_keys(edits)).alias("key"), F.col("place").alias("r"))
     probes = firsts.select(F.explode(probe_keys(edits)).alias("key"), F.col("place").alias("s"))
-    # Probes whose key is surely in no index stay out of the shuffle.
-    bits = membership_bits(index, "key", KEY_WORDS)
-    probes = with_membership(probes, "key", bits, "indexed", KEY_WORDS).where("indexed").select("key", "s")
-    allowed = (F.col("r") != F.col("s")) & _counts_allow(F.col("r"), F.col("s"), edits)
-    pairs = index.join(probes, "key").where(allowed).select(
-        F.least("r", "s").alias("r"), F.greatest("r", "s").alias("s")).distinct()
+    allowed = _counts_allow(F.col("r"), F.col("s"), edits)
+    # Segments at the same place of lines of one length: the index against itself, from one exchange.
+    same = index.join(index.withColumnRenamed("r", "s"), "key").where((F.col("r") < F.col("s")) & allowed)
+    moved = index.join(probes, "key").where((F.col("r") != F.col("s")) & allowed)
+    pairs = same.select("r", "s").unionByName(moved.select(
+        F.least("r", "s").alias("r"), F.greatest("r", "s").alias("s"))).distinct()
     twins = firsts.groupBy("place").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
         F.col("place").alias("r"), F.col("place").alias("s"))
     pairs = written(pairs.unionByName(twins), "line-pairs")
