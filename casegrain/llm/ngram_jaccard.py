@@ -55,7 +55,7 @@ FREQUENT_SHARE = 0.001    # of all documents
 FREQUENT_LEAST = 64       # documents
 FREQUENT_MOST = 200_000   # n-grams sent to every task; the rest count as infrequent
 
-BLOCK_ENTRIES = 2 << 20   # index entries combined before the shuffle
+BLOCK_ENTRIES = 1 << 20   # index entries combined before the shuffle
 BINS = 256
 
 _C = W.mix(np.arange(101, 101 + 64, dtype=np.uint64)) | np.uint64(1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,11 @@ BATCH_BYTES = "8m"
 def arrow(df: DataFrame, run, schema) -> DataFrame:
     """``df.mapInArrow`` with Arrow batches of at most ``BATCH_BYTES`` (a session setting), which bounds a task's memory."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    return df.mapInArrow(run, schema)
+
+    def freeing(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()   # workers live on: what a task no longer needs goes back
+    return df.mapInArrow(freeing, schema)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
