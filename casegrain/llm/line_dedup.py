@@ -6,7 +6,7 @@ first occurrences: each line is split into ``edits`` + 1 segments of almost equa
 within that many edits must hold one of them unchanged, at a place that the two lengths allow.
 Segments are indexed by length, number and content; every line probes the indexes of its own
 length and of up to ``edits`` less with the substrings at the allowed places only
-(multi-match-aware). A pair is a candidate only if the counts of 13 letters in both lines allow that many edits.
+(multi-match-aware). A pair is a candidate only if the counts of ten letters in both lines allow that many edits.
 Candidates are verified by an exact banded, bit-parallel edit distance.
 
 Texts are split into a table of lines once. What is joined by content is hashes; texts move only
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from casegrain.llm.tables import bind, membership_bits, with_membership, written
 
-LETTERS = "etaonirhsldug"   # counted in the low 52 bits of a line's name, 4 bits each
+LETTERS = "etaonirhsl"   # counted in the low 40 bits of a line's name, 4 bits each
 EDITS = 2            # at most 4: the verification packs (edits + 1) * (2 * edits + 1) bits in 64
 LEAST_CHARS = 20
 NEAR_CHARS = 40      # at least (edits + 1) * (edits + 1)
@@ -45,13 +45,13 @@ def lines_of(docs: DataFrame, least_chars: int) -> DataFrame:
 
 
 def _place() -> Column:
-    """Name of a line in the joins: 12 bits of its place's hash, and the counts of 13 letters modulo 16.
+    """Name of a line in the joins: 24 bits of its place's hash, and the counts of ten letters modulo 16.
 
     Lines that share a name are compared with each other too, so the short hash loses nothing.
     """
     out = F.call_function("shiftleft", F.xxhash64("doc_id", "line_no"), F.lit(4 * len(LETTERS)))
     for k, c in enumerate(LETTERS):
-        n = F.length("line") - F.length(F.replace(F.col("line"), F.lit(c), F.lit("")))
+        n = F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(c), F.lit("")))
         out = out.bitwiseOR(F.call_function("shiftleft", n.cast("long").bitwiseAND(F.lit(15)), F.lit(4 * k)))
     return out
 
@@ -171,11 +171,11 @@ def near_lines(firsts: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     twins = firsts.groupBy("place").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
         F.col("place").alias("r"), F.col("place").alias("s"))
     pairs = written(pairs.unionByName(twins), "line-pairs")
-    both = pairs.select(F.explode(F.array("r", "s")).alias("place"))
+    both = pairs.select(F.col("r").alias("place")).unionByName(pairs.select(F.col("s").alias("place"))).distinct()
     bits = membership_bits(both.select(F.xxhash64("place").alias("h")), "h")
     marked = with_membership(lines.withColumn("h", F.xxhash64("place")), "h", bits, "needed").where("needed")
     marked = marked.select("place", "doc_id", "line_no", "line")
-    wanted = marked.join(both.distinct(), "place", "left_semi")
+    wanted = marked.join(both, "place", "left_semi")
     a = wanted.select(F.col("place").alias("r"), F.struct("doc_id", "line_no", "line").alias("x"))
     b = wanted.select(F.col("place").alias("s"), F.struct("doc_id", "line_no", "line").alias("y"))
     joined = pairs.join(a, "r").join(b, "s")
