@@ -85,7 +85,7 @@ def byte_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @functools.lru_cache(maxsize=2)
 def _encoder(path: str, pattern: str) -> ChunkEncoder:
-    return ChunkEncoder(tokenizer(path, pattern), spaces=True, capacity=1 << 19)
+    return ChunkEncoder(tokenizer(path, pattern), spaces=True, capacity=1 << 18)
 
 
 def encode_texts(texts: list[str], path: str, pattern: str) -> list[np.ndarray]:
