@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casegrain.llm.tables import bind, membership_bits, with_membership, written
+from casegrain.llm.tables import bind, membership_bits, with_membership, without, written
 
 LETTERS = "etaonirhsl"   # counted in the low 40 bits of a line's name, 4 bits each
 EDITS = 2            # at most 4: the verification packs (edits + 1) * (2 * edits + 1) bits in 64
@@ -231,3 +231,26 @@ def deduplicate(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CH
     out = both.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"), "__kept": kept})
     emptied = (F.size("dropped") > 0) & (F.btrim("__kept", F.lit(WS)) == "")
     return out.withColumns({"emptied": emptied, "text": F.col("__kept")}).drop("__kept")
+
+
+def without_leftovers(found: DataFrame, docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """Rows of ``found`` (a result of ``deduplicate`` on ``docs``) without emptied documents and without leftovers.
+
+    A leftover lost lines, and each line left in it is shorter than ``least_chars`` and stands in a document of a
+    smaller id, too: all its lines repeat earlier ones. The first document of a short line is never a leftover, so
+    no line is lost altogether. Rows with one id are judged together, and a null id is the smallest.
+    """
+    columns = found.columns
+    trimmed = F.transform(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(WS)))
+    short = F.filter(trimmed, lambda x: (x != "") & (F.char_length(x) < least_chars))
+    bare = F.forall(trimmed, lambda x: F.char_length(x) < least_chars)
+    kept = written(found.where("NOT emptied").withColumn("__bare", F.coalesce((F.size("dropped") > 0) & bare, F.lit(False))),
+                   "line-kept", "zstd")
+    hashed = lambda df: df.select("doc_id", F.explode(short).alias("line")).select(
+        "doc_id", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    own = written(hashed(kept.where("__bare")).distinct(), "bare-lines")
+    told = with_membership(hashed(docs.where("text IS NOT NULL")), "h1", membership_bits(own, "h1"), "maybe")
+    firsts = told.where("maybe").groupBy("h1", "h2").agg(F.min(F.struct("doc_id")).alias("first"))
+    leftovers = own.join(firsts, ["h1", "h2"]).groupBy("doc_id").agg(
+        F.bool_and(F.col("first") < F.struct("doc_id")).alias("repeats")).where("repeats").select("doc_id")
+    return kept.where("NOT __bare").select(columns).unionByName(without(kept.where("__bare").select(columns), leftovers))

@@ -5,7 +5,8 @@ Parquet in the shared folder and reads it again as the next stage's ``docs``. Al
 stages but the last return the columns of ``documents``.
 
 1. toxicity          documents that the ordinal model rejects go
-2. line_dedup        lines that repeat an earlier line, or nearly, go; so do documents left without a word
+2. line_dedup        lines that repeat an earlier line, or nearly, go; so do documents left without a word or
+                     with nothing but short lines that earlier documents hold, too
 3. near_duplicates   of each component of similar documents the one with the smallest id stays
 4. decontamination   documents that hold a benchmark window go
 5. byte_bpe          byte-level BPE ids, with the digest of what they decode to
@@ -36,7 +37,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = line_dedup.deduplicate(docs.select(COLUMNS)).where("NOT emptied")
+    docs = docs.select(COLUMNS)
+    kept = line_dedup.without_leftovers(line_dedup.deduplicate(docs), docs)
     changed = F.size("dropped") > 0
     return kept.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
                            ).select(COLUMNS)

@@ -72,3 +72,18 @@ def test_run_and_empty_table(spark, planted, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{path}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert C.run(spark, str(tmp_path)).count() == 0
+
+
+def test_exact_copies_with_short_lines_leave_no_stub(spark):
+    """A copy goes whole, though lines under 20 characters stay in texts; the first document keeps its short lines."""
+    long = [f"a long line of the document with number {c}{c}{c}{c}{c}{c}" for c in "qvz"]
+    docs = [(1, f"Menu\n{long[0]}\n\nHome"), (2, f"Menu\n{long[0]}\n\nHome"), (3, f"Menu\n{long[0]}\nOnly here"),
+            (4, f"Menu\n{long[1]}"), (5, "Menu"), (6, f"{long[1]}\nMenu\nMenu"), (7, f"{long[2]}\n é "), (8, f"{long[2]}\né"),
+            (9, f"{long[2]}\nMenu"), (9, f"{long[2]}\nHome"), (10, f"{long[2]}\nMenu"), (10, f"{long[2]}\nnew one"),
+            (11, f"{long[0]}\nTwice\nTwice"), (12, f"{long[0]}\nTwice"), (None, f"{long[0]}\nMenu"), (13, None), (14, "")]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in docs],
+                               "doc_id long, text string, lang string, source string, n_chars long")
+    out = [(r["doc_id"], r["text"]) for r in C.drop_lines(spark, df, "").collect()]
+    assert sorted(out, key=str) == sorted([
+        (1, "Menu\n\nHome"), (3, "Menu\nOnly here"), (4, f"Menu\n{long[1]}"), (5, "Menu"), (7, f"{long[2]}\n é "),
+        (10, "Menu"), (10, "new one"), (11, "Twice\nTwice"), (None, f"{long[0]}\nMenu"), (13, None), (14, "")], key=str)
