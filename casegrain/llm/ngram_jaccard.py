@@ -287,7 +287,7 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int = N) -> DataFrame:
         for batch in batches:
             a, b = W.column(batch, "a"), W.column(batch, "b")
             ta, tb = W.column(batch, "text_a"), W.column(batch, "text_b")
-            names = a.to_numpy()
+            names = list(zip(a.to_numpy().tolist(), W.column(batch, "digest").to_numpy().tolist()))
             out = []
             for i, other in text_sets(tb, n):
                 if names[i] != held:
@@ -299,12 +299,12 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int = N) -> DataFrame:
                 [a, b, *[pa.array([x[k] for x in out], pa.int64()) for k in range(3)]],
                 names=["a", "b", "size_a", "size_b", "common"])
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    # Rows that share an id are all compared.
+    # Rows that share an id are all compared: the digest tells the texts of one id apart.
     texts = written(_marked(docs, ids), "ngram-texts", "zstd")
-    ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"), F.xxhash64("text").alias("digest"))
     tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(tb, "b").join(ta, "a").sortWithinPartitions("a")
-    return arrow(both.select("a", "b", "text_a", "text_b"), run, "a long, b long, size_a long, size_b long, common long")
+    both = pairs.join(tb, "b").join(ta, "a").sortWithinPartitions("a", "digest")
+    return arrow(both.select("a", "digest", "b", "text_a", "text_b"), run, "a long, b long, size_a long, size_b long, common long")
 
 
 def _linked(verified: DataFrame, similar: tuple[int, int]) -> DataFrame:

@@ -70,6 +70,19 @@ def test_exact_boundary_and_repeated_ids(spark):
     assert len(rows) == len(docs) and got == {(1, 1), (2, 1), (3, 1), (4, 4), (9, 1)}
 
 
+def test_every_text_of_a_repeated_smaller_id_is_compared(spark):
+    docs = []
+    for k in range(12):                                  # the matching text of the smaller id first, then last
+        w = [f"w{k}x{i}" for i in range(12)]
+        own = [(2 * k, " ".join(w)), (2 * k, " ".join(f"o{k}x{i}" for i in range(12)))]
+        docs += own[::1 if k % 2 else -1] + [(2 * k + 1, " ".join(w + ["z"]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    pairs = spark.createDataFrame([(2 * k, 2 * k + 1) for k in range(12)], "a long, b long")
+    assert sorted(r["common"] for r in ngram_jaccard.verify(pairs, df).collect()) == [0] * 12 + [8] * 12
+    got = {(r["doc_id"], r["component_id"]) for r in ngram_jaccard.join(df).collect()}
+    assert got == {(2 * k + i, 2 * k) for k in range(12) for i in (0, 1)}
+
+
 def test_join_of_nothing(spark):
     assert ngram_jaccard.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
