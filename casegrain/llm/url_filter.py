@@ -14,8 +14,8 @@ bad pages is at least ``PURITY``.
 
 Defined results: a null URL or one without ``://`` has an empty host and path and no rule; labels with a null
 id or value are ignored, repeated ones of one id count once (the worst); without labels nothing is
-rejected; repeated rows count as pages each; an empty table gives an empty result; levels below
-``DEPTH`` form one segment; further columns are ignored.
+rejected; repeated rows count as pages each; an empty table gives an empty result; every segment of a
+path is a level of its own, so the deepest path sets the number of rounds; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-DEPTH = 4
+DEPTH = 4                 # levels that the SQL spells out; the tree has a level for every segment
 MANY_CHILDREN = 12        # distinct children from which on a node may be variable
 LITERAL_SHARE = 0.05      # of a variable node's pages: children above stay literal
 Z = 2.576
@@ -65,18 +65,20 @@ def masked(path: Column) -> Column:
     return F.regexp_replace(hexed, r"[0-9]+", "{n}")
 
 
-def _templates(paths: DataFrame, depth: int) -> DataFrame:
-    """``paths`` (host, masked, n, labelled, bad) with ``nodes``: the template of each level's node."""
-    segments = F.slice(F.split("masked", "/"), 2, 1 << 30)
-    head = F.slice(segments, 1, depth - 1)
-    tail = F.slice(segments, depth, 1 << 30)
-    rows = paths.withColumn("segments", F.when(F.size(segments) < depth, segments).otherwise(
-        F.concat(head, F.array(F.array_join(tail, "/"))))).withColumns(
-        {"node": F.lit(""), "nodes": F.array().cast("array<string>")})
-    for level in range(depth):
-        at = F.get("segments", F.lit(level))
-        here = rows.withColumn("child", at)
-        children = here.where("child IS NOT NULL").groupBy("host", "node", "child").agg(F.sum("n").alias("__n"))
+def _templates(paths: DataFrame) -> DataFrame:
+    """``paths`` (host, masked, n, labelled, bad) with ``nodes``: the template of each level's node.
+
+    One round per level, over the paths that reach it, down to the deepest segment.
+    """
+    rows = paths.withColumns({"segments": F.slice(F.split("masked", "/"), 2, (1 << 31) - 1),
+                              "node": F.lit(""), "nodes": F.array().cast("array<string>")})
+    columns = ["host", "masked", "n", "labelled", "bad", "segments", "node", "nodes"]
+    deepest = rows.agg(F.max(F.size("segments"))).first()[0] or 0
+    done = []
+    for level in range(deepest):
+        done.append(rows.where(F.size("segments") <= level).select(columns))
+        here = rows.where(F.size("segments") > level).withColumn("child", F.get("segments", F.lit(level)))
+        children = here.groupBy("host", "node", "child").agg(F.sum("n").alias("__n"))
         nodes = children.groupBy("host", "node").agg(
             F.count(F.lit(1)).alias("__kinds"), F.sum("__n").alias("__all"))
         # One row per node and literal child: everything else of a variable node is the wildcard.
@@ -85,9 +87,10 @@ def _templates(paths: DataFrame, depth: int) -> DataFrame:
             "host", "node", "child", F.lit(True).alias("__literal"))
         step = here.join(literal, ["host", "node", "child"], "left")
         name = F.concat("node", F.lit("/"), F.when(F.col("__literal"), F.col("child")).otherwise(F.lit("*")))
-        rows = step.withColumn("node", F.when(F.col("child").isNotNull(), name).otherwise(F.col("node"))).withColumn(
-            "nodes", F.when(F.col("child").isNotNull(), F.concat("nodes", F.array("node"))).otherwise(F.col("nodes")))
-        rows = written(rows.select("host", "masked", "n", "labelled", "bad", "segments", "node", "nodes"), "url-level")
+        rows = step.withColumn("node", name).withColumn("nodes", F.concat("nodes", F.array("node")))
+        rows = written(rows.select(columns), "url-level")
+    for part in done:
+        rows = rows.unionByName(part)
     return rows
 
 
@@ -98,7 +101,7 @@ def _different(n: Column, bad: Column, n2: Column, bad2: Column) -> Column:
     return (spread > 0) & (F.abs(F.try_divide(bad, n) - F.try_divide(bad2, n2)) >= Z * spread)
 
 
-def tree(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
+def tree(pages: DataFrame) -> DataFrame:
     """host, masked, template and smoothed ``purity`` (share of bad pages) of every masked path.
 
     ``pages``: host, path, ``bad`` (null without a label).
@@ -106,11 +109,10 @@ def tree(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
     paths = written(pages.groupBy("host", masked(F.col("path")).alias("masked")).agg(
         F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"),
         F.sum(F.coalesce(F.col("bad").cast("long"), F.lit(0).cast("long"))).alias("bad")), "url-paths")
-    rows = written(_templates(paths, depth).select("host", "masked", "labelled", "bad", F.concat(
+    rows = written(_templates(paths).select("host", "masked", "labelled", "bad", F.concat(
         F.array(F.struct(F.lit(0).alias("level"), F.lit("").alias("node"))),
         F.transform("nodes", lambda x, i: F.struct((i + 1).alias("level"), x.alias("node")))).alias("chain")),
         "url-templates")
-    # The last level's segment may hold slashes itself: its parent is the node one level up in the chain.
     each = rows.select("host", "masked", "labelled", "bad", F.posexplode("chain").alias("i", "c"), "chain").select(
         "host", "masked", "labelled", "bad", F.col("c.level").alias("level"), F.col("c.node").alias("node"),
         F.when(F.col("i") > 0, F.get("chain", F.col("i") - 1)["node"]).alias("parent"))
@@ -134,7 +136,7 @@ def tree(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
         F.coalesce("best.purity", "overall").alias("purity"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules=RULES, depth: int = DEPTH, purity: float = PURITY) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules=RULES, purity: float = PURITY) -> DataFrame:
     """page_id, host, path, rule, verdict and template of every row of ``pages`` (page_id, url).
 
     ``labels``: page_id and ``bad`` boolean.
@@ -145,7 +147,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, depth: int = DEPTH,
     rows = written(rows.select("page_id", "host", "path", "bad"), "url-pages")
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     told = rows.withColumns({"masked": masked(F.col("path")), "rule": name, "ruled": verdict})
-    by_tree = tree(rows, depth)
+    by_tree = tree(rows)
     out = told.join(by_tree, ["host", "masked"], "left")
     method = F.when(F.col("purity") >= purity, F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"),

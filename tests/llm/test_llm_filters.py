@@ -164,6 +164,17 @@ def test_url_tree_rejects_bad_templates(spark):
     assert all(out[5000 + i]["verdict"] == "allow" for i in range(20))
 
 
+def test_url_tree_has_every_level(spark):
+    """A bad branch below the fourth segment, under names that are all different."""
+    rows = [(i, f"http://deep.org/a/b/c/slug{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}x/{'spam' if i % 2 else 'ok'}/p/q")
+            for i in range(1300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, bool(i % 2)) for i in range(0, 1300, 3)], "page_id long, bad boolean")
+    out = {x["page_id"]: x for x in url_filter.judge(pages, labels).collect()}
+    assert all(out[i]["verdict"] == ("block" if i % 2 else "allow") for i in range(1300))
+    assert out[1]["template"].startswith("/a/b/c/*/spam") and out[0]["template"].startswith("/a/b/c/*/ok")
+
+
 def test_native_plans(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "en")], "doc_id long, text string, lang string")
     pages = spark.createDataFrame([(1, "http://a.org/x")], "page_id long, url string")
