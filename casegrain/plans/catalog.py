@@ -348,6 +348,12 @@ def q_similarity_topk(spark, d):
     return SIM.top_k_similar(emb, cen, k=5, exclude_self=False)
 
 
+def q_similarity_rows(spark, d):
+    emb = _emb(spark, d)
+    own = emb.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    return SIM.top_k_similar(emb, own, k=5, exclude_self=True)
+
+
 def q_similarity_lsh(spark, d):
     docs = _docs(spark, d).select("doc_id", tokens_of(F.coalesce(F.col("text"), F.lit(""))).alias("toks"))
     return SIM.near_duplicates(docs)
@@ -588,6 +594,7 @@ QUERIES = {
     "riskiest_clauses": q_riskiest_clauses,
     "precedent_score": q_precedent_score,
     "similarity_topk": q_similarity_topk,
+    "similarity_rows": q_similarity_rows,
     "similarity_lsh": q_similarity_lsh,
     "clustering": q_clustering,
     "rouge_n": q_rouge_n,

@@ -627,6 +627,19 @@ SELECT query_id, rank::BIGINT AS rank, vec_id, cosine
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM sc
       WHERE cosine IS NOT NULL)
 WHERE rank <= 5
+""",
+    "similarity_rows": """
+WITH sc AS (
+  SELECT a.vec_id AS query_id, e.vec_id,
+         round(list_sum(list_transform(a.embedding, lambda x, i: x::DOUBLE * e.embedding[i]::DOUBLE))
+               / nullif(sqrt(list_sum(list_transform(a.embedding::DOUBLE[], lambda x: x * x)))
+                        * sqrt(list_sum(list_transform(e.embedding::DOUBLE[], lambda x: x * x))), 0), 9) AS cosine
+  FROM embeddings a JOIN embeddings e ON a.vec_id % 100 = 0 AND a.vec_id <> e.vec_id
+)
+SELECT query_id, rank::BIGINT AS rank, vec_id, cosine
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM sc
+      WHERE cosine IS NOT NULL)
+WHERE rank <= 5
 """,
     "kfold_assign": f"""
 SELECT d.doc_id, l.quality::BIGINT AS label, ({_hex8("'fold:' || d.doc_id")} % 5)::BIGINT AS fold

@@ -105,3 +105,11 @@ def test_top_k_in_query_chunks(spark, monkeypatch):
     whole = sorted(map(tuple, SIM.top_k_similar(base, queries, k=3).collect()))
     monkeypatch.setattr(SIM, "QUERY_CHUNK", 7)
     assert sorted(map(tuple, SIM.top_k_similar(base, queries, k=3).collect())) == whole and len(whole) == 90
+
+
+def test_similarity_rows_searches_every_hundredth_row(spark):
+    import __spark_entry__ as E
+    d = "/root/testdata/sf0.01"
+    due = {r.vec_id for r in spark.read.parquet(f"{d}/embeddings.parquet").filter("vec_id % 100 = 0").select("vec_id").collect()}
+    rows = E.queries()["similarity_rows"](spark, d).collect()
+    assert {r.query_id for r in rows} == due and len(rows) == 5 * len(due) and all(r.vec_id != r.query_id for r in rows)
