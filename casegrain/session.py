@@ -66,8 +66,37 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def _row_groups(spark: SparkSession, files: list[str]) -> int:
+    """Row groups of a few Parquet files, from their footers."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    n = 0
+    for f in files:
+        path = jvm.org.apache.hadoop.fs.Path(f)
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(
+            jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(path, conf))
+        try:
+            n += reader.getRowGroups().size()
+        finally:
+            reader.close()
+    return n
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a Parquet scan over all cores, where its row groups alone would leave cores idle.
+
+    A row group is read by one task, however many byte ranges Spark cuts the file into. A
+    scan with a file per core is left as it is, without looking at a footer; so is one
+    with a row group per core. Neither case shuffles, so big inputs never do; and no row changes.
+    """
+    spark, cores = df.sparkSession, df.sparkSession.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) >= cores or _row_groups(spark, files) >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
