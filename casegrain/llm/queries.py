@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegrain.llm import byte_bpe, chat, decontaminate, line_dedup, ngram_jaccard, quality, sharding, token_shards, toxicity, url_filter
+from casegrain.llm import byte_bpe, chat, decontaminate, line_dedup, ngram_jaccard, periodic_runs, quality, sharding, token_shards, toxicity, url_filter
 from casegrain.llm.sql import ORACLE as ORACLE
-from casegrain.llm.tables import read
+from casegrain.llm.tables import bind, read
 from casegrain.session import scratch_path
 
 
@@ -90,6 +90,38 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read(spark, sf_dir, "documents"))
 
 
+def tiled_tails(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where the contract's law repeats a stretch of a tenth of the documents to their end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0)
+
+    def tail(x):
+        step = lambda i: F.get(x["w"], (x["a"] + (i - x["a"]) % x["p"]).cast("int"))
+        return F.array_join(F.concat(F.slice(x["w"], F.lit(1), x["a"].cast("int")),
+                                     F.transform(F.sequence(x["a"], F.size(x["w"]).cast("long") - 1), step)), " ")
+
+    def placed(w):
+        a = g % F.size(w)
+        return bind(F.struct(w.alias("w"), a.alias("a"), (1 + F.floor((F.size(w) - a) / (3 + g % 8))).alias("p")), tail)
+    told = bind(words, lambda w: F.when(F.size(w) > 0, placed(w)).otherwise(F.lit("")))
+    return docs.select("doc_id", F.when((h % 10 == 0) & F.col("text").isNotNull(), told).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(tiled_tails(read(spark, sf_dir, "documents")))
+    # Greatest length / period, compared as a fraction; the runs are in order of start and period.
+    none = F.lit(None).cast("struct<start:long,length:long,period:long>")
+    best = F.aggregate("runs", none, lambda a, r: F.when(
+        a.isNull() | (r["length"] * a["period"] > a["length"] * r["period"]), r).otherwise(a))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(
+        r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    return found.select("doc_id", "n_words", F.size("runs").cast("long").alias("n_runs"), best.alias("best"),
+                        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256", "n_words")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_byte_bpe": op2_byte_bpe,
@@ -101,4 +133,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
+    "op12_periodic_runs": op12_periodic_runs,
 }
\ No newline at end of file
