@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegrain.llm import byte_bpe, chat, decontaminate, line_dedup, ngram_jaccard, periodic_runs, quality, sharding, token_shards, toxicity, url_filter
+from casegrain.llm import byte_bpe, chat, decontaminate, line_dedup, ngram_jaccard, periodic_runs, prefix_trie, quality, sharding, token_shards, toxicity, url_filter
 from casegrain.llm.sql import ORACLE as ORACLE
 from casegrain.llm.tables import bind, read
 from casegrain.session import scratch_path
@@ -90,6 +90,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read(spark, sf_dir, "documents"))
 
 
+def rebuilt_conversations(turns: DataFrame) -> DataFrame:
+    """conv_id and steps, each conversation c beginning with the first crc32(c) % 6 turns of conversation c - c % 100."""
+    own = prefix_trie.turn_sequences(turns)
+    heads = own.where("conv_id % 100 = 0").select(F.col("conv_id").alias("base"), F.slice("steps", 1, 5).alias("head"))
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6).cast("int")
+    empty = F.array().cast("array<struct<key:string,weight:long>>")
+    return own.join(heads, F.col("conv_id") - F.col("conv_id") % 100 == F.col("base"), "left").select(
+        "conv_id", F.concat(F.slice(F.coalesce("head", empty), F.lit(1), h), F.slice("steps", h + 1, F.size("steps"))).alias("steps"))
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, chunks = prefix_trie.prefix_trie(rebuilt_conversations(read(spark, sf_dir, "conversations")))
+    return prefix_trie.members_digest(nodes, chunks)
+
+
 def tiled_tails(docs: DataFrame) -> DataFrame:
     """doc_id and text, where the contract's law repeats a stretch of a tenth of the documents to their end."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -133,5 +148,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_periodic_runs": op12_periodic_runs,
 }
\ No newline at end of file

@@ -202,6 +202,29 @@ SELECT page_id, host, path,
 FROM pg JOIN best USING (host, masked)
 """
 
+# Unsigned CRC-32 of a short string of ASCII characters, bit by bit.
+_CRC32 = ("xor(list_reduce([4294967295] || list_transform(string_split({0}, ''), lambda x: CAST(ord(x) AS BIGINT)), lambda a, b: "
+          "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295)")
+PREFIX_TRIE = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT conv_id, turn, role, md5(md5(role) || md5(text)) AS k, CAST(length(text) AS BIGINT) AS n FROM t),
+o AS (SELECT conv_id, list(struct_pack(k := k, n := n) ORDER BY turn NULLS FIRST, role, k) AS w,
+      CAST({_CRC32.format("CAST(conv_id AS VARCHAR)")} % 6 AS BIGINT) AS h FROM k GROUP BY conv_id),
+r AS (SELECT a.conv_id, list_concat(coalesce(b.w[1:a.h], []), a.w[a.h + 1:]) AS w
+      FROM o a LEFT JOIN o b ON b.conv_id = a.conv_id - a.conv_id % 100),
+p AS (SELECT conv_id, CAST(d AS BIGINT) AS d, len(w) AS last, array_to_string(list_transform(w[1:d], lambda x: x.k), '') AS path,
+      CASE WHEN d > 0 THEN w[d].n ELSE 0 END AS n FROM (SELECT conv_id, w, unnest(range(0, len(w) + 1)) AS d FROM r)),
+v AS (SELECT path, d, left(path, 32 * (d - 1)) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(n) AS own,
+      sha256(coalesce(string_agg(CASE WHEN last = d THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256
+      FROM p GROUP BY path, d),
+c AS (SELECT up AS path, count(*) AS n FROM v WHERE d > 0 GROUP BY up),
+s AS (SELECT left(path, 32 * e) AS path, sum(own) AS saved, count(*) FILTER (WHERE leaf) AS leaves
+      FROM (SELECT v.path, v.own, c.n IS NULL AS leaf, unnest(range(0, v.d + 1)) AS e FROM v LEFT JOIN c USING (path)) GROUP BY 1)
+SELECT v.conv_id, v.d AS depth, u.conv_id AS parent_conv_id, v.n_convs, coalesce(c.n, 0) AS n_children, s.leaves AS n_leaves,
+       CAST(s.saved AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM v JOIN s USING (path) LEFT JOIN c USING (path) LEFT JOIN v u ON u.path = v.up AND v.d > 0
+"""
+
 ORACLE: dict[str, str] = {
     "op3_ngram_jaccard": NGRAM_JACCARD,
     "op5_decontaminate": DECONTAMINATE,
@@ -209,4 +232,5 @@ ORACLE: dict[str, str] = {
     "op7_line_dedup": LINE_DEDUP,
     "op8_url_filter": URL_FILTER,
     "op9_quality_rules": QUALITY_RULES,
+    "op11_prefix_trie": PREFIX_TRIE,
 }
