@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegrain.llm import byte_bpe, chat, decontaminate, line_dedup, ngram_jaccard, periodic_runs, prefix_trie, quality, sharding, token_shards, toxicity, url_filter
+from casegrain.llm import byte_bpe, chat, decontaminate, html_content, line_dedup, ngram_jaccard, periodic_runs, prefix_trie, quality, sharding, token_shards, toxicity, url_filter
 from casegrain.llm.sql import ORACLE as ORACLE
 from casegrain.llm.tables import bind, read
 from casegrain.session import scratch_path
@@ -137,6 +137,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256", "n_words")
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return html_content.extract(pages, html_content.fit(pages)).select(
+        "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), F.size("blocks").cast("long").alias("n_blocks"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_byte_bpe": op2_byte_bpe,
@@ -150,4 +156,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_html_extraction": op13_html_extraction,
 }
\ No newline at end of file
