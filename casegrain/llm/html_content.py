@@ -68,13 +68,27 @@ N_EDGE = 5 + len(HINTS)
 
 
 class Pages(NamedTuple):
-    """Some pages' nodes, one after another: features, parents (-1 for roots), edge features and levels of the tree."""
+    """Some pages' nodes, level by level of their trees: features, parents (-1 for roots), edge features.
+
+    ``bounds`` cuts the levels; children of one parent stand together, in the order of the parents, and begin at
+    ``starts``. ``back`` gives the place of each node in page order.
+    """
 
     x: np.ndarray
     parent: np.ndarray
     e: np.ndarray
-    levels: list[np.ndarray]
-    groups: list[tuple[np.ndarray, np.ndarray]]     # of each level: its parents, and where each one's children begin
+    bounds: list[tuple[int, int]]
+    starts: list[np.ndarray]
+    back: np.ndarray
+
+    def upward(self):
+        """(children's slice, their parents, where each parent's children begin), deepest level first."""
+        for (lo, hi), at in zip(self.bounds[:0:-1], self.starts[:0:-1]):
+            yield slice(lo, hi), self.parent[lo + at], at
+
+    def downward(self):
+        for lo, hi in self.bounds[1:]:
+            yield slice(lo, hi), self.parent[lo:hi]
 
 
 def _flags(t: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,40 +127,44 @@ def pages(trees: list[Tree]) -> Pages:
     own, e = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     c = np.concatenate([p[2] for p in parts])
     n = len(parent)
-    # Levels: children of the level before.
+    # Levels: children of the level before, in its order.
     order = np.argsort(parent, kind="stable")
-    bounds = np.searchsorted(parent[order], np.arange(-1, n + 1))
-    levels, now = [], order[:bounds[1]]
+    begin = np.searchsorted(parent[order], np.arange(-1, n + 1))
+    levels, now = [], order[:begin[1]]
     while len(now):
         levels.append(now)
-        lo, hi = bounds[now + 1], bounds[now + 2]
-        total = int((hi - lo).sum())
-        if not total:
-            break
-        at = np.repeat(lo - np.concatenate(([0], np.cumsum(hi - lo)[:-1])), hi - lo) + np.arange(total)
-        now = order[at]
-    groups = [np.unique(parent[level], return_index=True) for level in levels]
+        lo, hi = begin[now + 1], begin[now + 2]
+        size = hi - lo
+        now = order[np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(int(size.sum()))]
+    by_level = np.concatenate(levels)
+    back = np.empty(n, np.int64)
+    back[by_level] = np.arange(n)
+    edges = np.cumsum([0] + [len(level) for level in levels])
+    up = np.where(parent[by_level] >= 0, back[parent[by_level]], -1)
+    bounds = [(int(lo), int(hi)) for lo, hi in zip(edges[:-1], edges[1:])]
+    starts = [np.flatnonzero(np.diff(up[lo:hi], prepend=-2)) for lo, hi in bounds]
+    own, e, c = own[by_level], e[by_level], c[by_level]
+    page = np.repeat(np.arange(len(trees)), sizes)[by_level]
+    p = Pages(own, up, e, bounds, starts, back)
     sums = np.concatenate([c, (c[:, :1] > 0), (c[:, :1] > 80)], axis=1)
     longest = c[:, 0].copy()
-    for level, (q, at) in zip(levels[:0:-1], groups[:0:-1]):
+    # Pages with a landmark: what lies outside of all of them, and does not hold one.
+    inside = (e[:, 2] > 0) & ~(e[:, 5:] > 0).any(axis=1)
+    holds = inside.copy()
+    for level, q, at in p.upward():
         sums[q] += np.add.reduceat(sums[level], at)
         longest[q] = np.maximum(longest[q], np.maximum.reduceat(longest[level], at))
-    page = np.repeat(np.arange(len(trees)), sizes)
-    whole = np.maximum(sums[first[:-1], 0], 1)[page]
-    chars, words = np.maximum(sums[:, 0], 1), np.maximum(sums[:, 2], 1)
-    # Pages with a landmark: what lies outside of all of them, and does not hold one.
-    land = (e[:, 2] > 0) & ~(e[:, 5:] > 0).any(axis=1)
-    inside, holds = land.copy(), land.copy()
-    for level in levels[1:]:
-        inside[level] |= inside[parent[level]]
-    for level, (q, at) in zip(levels[:0:-1], groups[:0:-1]):
         holds[q] |= np.logical_or.reduceat(holds[level], at)
-    outside = holds[first[:-1]][page] & ~inside & ~holds
-    place = (np.arange(n) - first[page]) / np.maximum(sizes[page] - 1, 1)
+    for level, q in p.downward():
+        inside[level] |= inside[q]
+    root = back[first[:-1]]
+    outside = holds[root][page] & ~inside & ~holds
+    chars, words = np.maximum(sums[:, 0], 1), np.maximum(sums[:, 2], 1)
+    place = (by_level - first[page]) / np.maximum(sizes[page] - 1, 1)
     rest = np.stack([np.log1p(sums[:, 0]) / 6, np.log1p(longest) / 6, sums[:, 1] / chars, np.minimum(sums[:, 3] / words, 1),
-                     sums[:, 4] > 0, c[:, 5], sums[:, 0] / whole, np.log1p(sums[:, 6]) / 3, sums[:, 7] / np.maximum(sums[:, 6], 1),
-                     place, place > .9, np.minimum(chars / words, 20) / 10, outside, inside], axis=1)
-    return Pages(np.concatenate([own, rest], axis=1).astype(np.float64), parent, e.astype(np.float64), levels, groups)
+                     sums[:, 4] > 0, c[:, 5], sums[:, 0] / np.maximum(sums[root, 0], 1)[page], np.log1p(sums[:, 6]) / 3,
+                     sums[:, 7] / np.maximum(sums[:, 6], 1), place, place > .9, np.minimum(chars / words, 20) / 10, outside, inside], axis=1)
+    return p._replace(x=np.concatenate([own, rest], axis=1).astype(np.float64), e=e.astype(np.float64))
 
 
 class Model(NamedTuple):
@@ -163,27 +181,27 @@ def messages(p: Pages, m: Model) -> tuple[np.ndarray, np.ndarray, float]:
     below[:, 1] = p.x @ m.node
     pair = (p.e @ m.edge.reshape(4, -1).T).reshape(n, 2, 2)
     up, above = np.zeros((n, 2)), np.zeros((n, 2))
-    for level, (q, at) in zip(p.levels[:0:-1], p.groups[:0:-1]):
+    for level, q, at in p.upward():
         cells = pair[level] + below[level][:, None, :]
         up[level] = np.logaddexp(cells[:, :, 0], cells[:, :, 1])
         below[q] += np.add.reduceat(up[level], at)
     joint = np.zeros((n, 2, 2))
-    for level in p.levels[1:]:
-        q = p.parent[level]
+    for level, q in p.downward():
         cells = pair[level] + (above[q] + below[q] - up[level])[:, :, None]
         above[level] = np.logaddexp(cells[:, 0], cells[:, 1])
         cells += below[level][:, None, :]
         joint[level] = np.exp(cells - cells.max(axis=(1, 2), keepdims=True))
     joint /= np.maximum(joint.sum(axis=(1, 2), keepdims=True), 1e-300)
     both = above + below
-    root = below[p.levels[0]] if p.levels else np.zeros((0, 2))
+    root = below[slice(*p.bounds[0])] if p.bounds else np.zeros((0, 2))
     return 1 / (1 + np.exp(np.clip(both[:, 0] - both[:, 1], -700, 700))), joint, float(np.logaddexp(root[:, 0], root[:, 1]).sum())
 
 
 def fit_trees(trees: list[Tree]) -> Model:
     """Weights of greatest (penalised) likelihood of labelled trees."""
     p = pages(trees)
-    y = np.concatenate([np.array(t.label) for t in trees])
+    y = np.zeros(len(p.parent), np.int64)
+    y[p.back] = np.concatenate([np.array(t.label) for t in trees])
     child = p.parent >= 0
     seen_node = p.x.T @ y
     seen_edge = np.zeros((2, 2, N_EDGE))
@@ -224,8 +242,8 @@ def main_blocks(trees: list[Tree], model: Model) -> list[list[dict]]:
     """Text runs of the main text of each page: text, tag of the block, probability."""
     out = []
     for lo, hi in _groups(trees):
-        one, _, _ = messages(pages(trees[lo:hi]), model)
-        at = 0
+        p = pages(trees[lo:hi])
+        one, at = messages(p, model)[0][p.back], 0
         for t in trees[lo:hi]:
             own = one[at:at + len(t.tag)]
             out.append([{"text": t.text[i], "tag": t.tag[t.parent[i]], "probability": float(own[i])}

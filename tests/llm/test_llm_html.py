@@ -51,7 +51,7 @@ def test_links_are_counted_and_long_pages_stay_linear():
     t = parse("<p>ab <a href=x>cd e</a> f</p><p><a>g</p><p>h</p>")
     assert [(t.text[i], t.linked[i]) for i in range(len(t.tag)) if not t.tag[i]] == [("ab cd e f", 4), ("g", 1), ("h", 0)]
     deep = "<div>" * 20_000 + "x" + "</div>" * 20_000
-    assert len(C.pages([parse(deep)]).levels) == 20_002
+    assert len(C.pages([parse(deep)]).bounds) == 20_002
     assert len(runs("<p>word " * 50_000)) == 50_000
     assert runs("<b>" * 30_000 + "x") == [("html", "x")]
 
@@ -62,14 +62,15 @@ def test_messages_give_exact_marginals():
     p = C.pages(trees)
     m = C.Model(rng.normal(size=C.N_FEATURES), rng.normal(size=(2, 2, C.N_EDGE)))
     one, joint, z = C.messages(p, m)
+    one, joint, x, e = one[p.back], joint[p.back], p.x[p.back], p.e[p.back]
     first = 0
     total = 0.0
     for t in trees:
         n = len(t.tag)
         score = {}
         for y in itertools.product((0, 1), repeat=n):
-            s = sum(y[i] * (p.x[first + i] @ m.node) for i in range(n))
-            s += sum(m.edge[y[t.parent[i]], y[i]] @ p.e[first + i] for i in range(1, n))
+            s = sum(y[i] * (x[first + i] @ m.node) for i in range(n))
+            s += sum(m.edge[y[t.parent[i]], y[i]] @ e[first + i] for i in range(1, n))
             score[y] = np.exp(s)
         norm = sum(score.values())
         total += np.log(norm)
