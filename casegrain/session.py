@@ -7,6 +7,7 @@ Only when that setting is absent (local tests) do we pick one ourselves.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -99,8 +100,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
+FREES_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def freed_shuffles(spark: SparkSession):
+    """Queries begun inside delete their shuffle files when they end: for writes, whose result is complete by then."""
+    before = spark.conf.get(FREES_SHUFFLES, "false")
+    spark.conf.set(FREES_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREES_SHUFFLES, before)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a written intermediate table, in whatever store it lies."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: computed once, safe from lost executors."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with freed_shuffles(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
