@@ -65,6 +65,25 @@ class _Table:
             left, at = left[~placed], (at[~placed] + np.uint64(1)) & self.mask
 
 
+class _Column:
+    """A numpy array that grows at its end by doubling."""
+
+    def __init__(self, kind):
+        self.room, self.n = np.zeros(1 << 12, kind), 0
+
+    def add(self, x: np.ndarray) -> None:
+        while self.n + len(x) > len(self.room):
+            self.room = np.concatenate((self.room, np.zeros_like(self.room)))
+        self.room[self.n:self.n + len(x)] = x
+        self.n += len(x)
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return self.room[at]
+
+
 class ChunkEncoder:
     def __init__(self, tokenizer, spaces: bool, capacity: int = CAPACITY):
         self.tokenizer, self.spaces, self.capacity = tokenizer, spaces, capacity
@@ -80,10 +99,7 @@ class ChunkEncoder:
 
     def _empty(self) -> None:
         self.table = _Table(self.capacity)
-        self.ids = np.zeros(0, np.int32)
-        self.starts = np.zeros(0, np.int64)
-        self.lengths = np.zeros(0, np.int64)
-        self.sizes = np.zeros(0, np.int64)
+        self.ids, self.starts, self.lengths, self.sizes = (_Column(t) for t in (np.int32, np.int64, np.int64, np.int64))
 
     def _plainly(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -125,10 +141,10 @@ class ChunkEncoder:
 
     def _remember(self, h: np.ndarray, ids: np.ndarray, own: np.ndarray, sizes: np.ndarray) -> None:
         self.table.add(h, np.arange(len(self.lengths), len(self.lengths) + len(h)))
-        self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(own) - own))
-        self.ids = np.concatenate((self.ids, ids))
-        self.lengths = np.concatenate((self.lengths, own))
-        self.sizes = np.concatenate((self.sizes, sizes))
+        self.starts.add(len(self.ids) + np.cumsum(own) - own)
+        self.ids.add(ids)
+        self.lengths.add(own)
+        self.sizes.add(sizes)
 
     def _spans(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the chunks of all rows; they never reach over a row's end."""

@@ -54,18 +54,18 @@ class _Shard:
     def __init__(self):
         self.ids, self.docs, self.null, self.lengths, self.n = [], [], [], [], 0
 
-    def add(self, doc, ids: np.ndarray) -> None:
+    def add(self, docs: list, ids: np.ndarray, lengths: np.ndarray) -> None:
         self.ids.append(ids)
-        self.docs.append(0 if doc is None else doc)
-        self.null.append(doc is None)
-        self.lengths.append(len(ids))
+        self.docs += [0 if d is None else d for d in docs]
+        self.null += [d is None for d in docs]
+        self.lengths.append(lengths)
         self.n += len(ids)
 
     def row(self, part: int, seq: int, bits: int) -> pa.RecordBatch:
         ids = np.concatenate(self.ids)
         bits = max(bits, int(ids.max()).bit_length())
         payload = to_bytes(WaveletMatrix.of(ids, bits), np.array(self.docs, np.int64), np.array(self.null),
-                           np.concatenate(([0], np.cumsum(self.lengths))))
+                           np.concatenate(([0], np.cumsum(np.concatenate(self.lengths)))))
         first = None if self.null[0] else self.docs[0]
         return pa.RecordBatch.from_arrays(
             [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([first], pa.int64()),
@@ -84,12 +84,18 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
             (data, offs), keys = column_bytes(column(batch, "text")), column(batch, "doc_id").to_pylist()
             for lo, hi in slices(offs, 4 << 20):
                 ids, first = encoder.encode(data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo])
-                for j in range(hi - lo):
-                    own = np.append(ids[first[j]:first[j + 1]], np.int32(end_id))
-                    if shard.n and shard.n + len(own) > shard_tokens:
+                # The end id of each document goes in at once; then as many documents as fit go to the shard.
+                ids, first = np.insert(ids, first[1:], end_id), first + np.arange(hi - lo + 1)
+                j = 0
+                while j < hi - lo:
+                    k = int(np.searchsorted(first, first[j] + shard_tokens - shard.n, "right")) - 1
+                    if k <= j and shard.n:
                         yield shard.row(part, seq, bits)
                         seq, shard = seq + 1, _Shard()
-                    shard.add(keys[lo + j], own)
+                        continue
+                    k = min(max(k, j + 1), hi - lo)
+                    shard.add(keys[lo + j:lo + k], ids[first[j]:first[k]], np.diff(first[j:k + 1]))
+                    j = k
         if shard.n:
             yield shard.row(part, seq, bits)
 
