@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casegrain.llm.tables import written
+from casegrain.llm.tables import free, written
 
 
 def _large(e: DataFrame) -> DataFrame:
@@ -31,18 +31,23 @@ def _state(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def components(links: DataFrame, a: str, b: str) -> DataFrame:
-    """``node`` and ``component`` (smallest node reachable) of every node of a link between two nodes."""
+def components(links: DataFrame, a: str, b: str, scratch: list[DataFrame] | None = None) -> DataFrame:
+    """A written table of ``node`` and ``component`` (smallest node reachable) of every node of a link between two nodes."""
     e = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(
         F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    e = written(e, "links")
+    rounds: list[DataFrame] = []
+    e = written(e, "links", scratch=rounds)
     state = _state(e)
     while True:
-        e = written(_small(_large(e)), "stars")
+        last, rounds = rounds, []
+        e = written(_small(_large(e)), "stars", scratch=rounds)
+        free(last)
         now = _state(e)
         if now == state:
             break
         state = now
     # Stars: every node but the centre has one edge, to the centre.
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = written(e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+        e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components", scratch=scratch)
+    free(rounds)
+    return out

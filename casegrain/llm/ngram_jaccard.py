@@ -46,7 +46,8 @@ from pyspark.sql import functions as F
 
 from casegrain.llm import words as W
 from casegrain.llm.components import components
-from casegrain.llm.tables import arrow, membership_bits, with_membership, written
+from casegrain.llm.tables import arrow, free, membership_bits, with_membership, written
+from casegrain.session import freed_shuffles
 
 N = 5
 SIMILAR = (80, 100)
@@ -280,8 +281,8 @@ def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return told.where("maybe").select("doc_id", "text").join(ids, "doc_id", "left_semi")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, n: int = N) -> DataFrame:
-    """``pairs`` (a, b) with the exact counts: size_a, size_b, common."""
+def verify(pairs: DataFrame, docs: DataFrame, n: int = N, scratch: list[DataFrame] | None = None) -> DataFrame:
+    """A written table of ``pairs`` (a, b) with the exact counts: size_a, size_b, common."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, s = None, np.zeros(0, np.uint64)
         for batch in batches:
@@ -300,11 +301,15 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int = N) -> DataFrame:
                 names=["a", "b", "size_a", "size_b", "common"])
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     # Rows that share an id are all compared: the digest tells the texts of one id apart.
-    texts = written(_marked(docs, ids), "ngram-texts", "zstd")
+    own: list[DataFrame] = []
+    texts = written(_marked(docs, ids), "ngram-texts", "zstd", own)
     ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"), F.xxhash64("text").alias("digest"))
     tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(tb, "b").join(ta, "a").sortWithinPartitions("a", "digest")
-    return arrow(both.select("a", "digest", "b", "text_a", "text_b"), run, "a long, b long, size_a long, size_b long, common long")
+    schema = "a long, b long, size_a long, size_b long, common long"
+    out = written(arrow(both.select("a", "digest", "b", "text_a", "text_b"), run, schema), "ngram-verified", scratch=scratch)
+    free(own)
+    return out
 
 
 def _linked(verified: DataFrame, similar: tuple[int, int]) -> DataFrame:
@@ -335,14 +340,14 @@ def _across(shared: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _remaining(buckets: DataFrame, labels: DataFrame, docs: DataFrame, n: int,
-               similar: tuple[int, int], parts: int) -> DataFrame:
+               similar: tuple[int, int], parts: int, scratch: list[DataFrame]) -> DataFrame:
     """Pairs (a, b) of bucket members in different components that may still be similar."""
     named = labels.withColumnRenamed("node", "doc_id")
     nodes = buckets.select("key", F.explode(F.array("head", "member")).alias("doc_id")).join(
         named, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     # A bucket of a single component is done.
     open_keys = nodes.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    chosen = written(nodes.join(open_keys, "key", "left_semi").distinct(), "ngram-open")
+    chosen = written(nodes.join(open_keys, "key", "left_semi").distinct(), "ngram-open", scratch=scratch)
     known = _histograms(_marked(docs, chosen.select("doc_id").distinct()), n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,13 +396,17 @@ def join(docs: DataFrame, n: int = N, similar: tuple[int, int] = SIMILAR) -> Dat
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = min(16, max(4, (4 * parts).bit_length()))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scan = written(_scan(docs, n), "ngram-scan")
-    sizes = scan.where("size IS NOT NULL").select("doc_id", "size", "d1", "d2")
+    # Tables that a later step alone reads go as soon as it is written.
+    first: list[DataFrame] = []
+    scan = written(_scan(docs, n), "ngram-scan", scratch=first)
+    sizes = written(scan.where("size IS NOT NULL").select("doc_id", "size", "d1", "d2"), "ngram-sizes")
     least = max(FREQUENT_LEAST, int(sizes.count() * FREQUENT_SHARE))
     often = scan.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("count").alias("n")).where(F.col("n") >= least)
     # At most FREQUENT_MOST hashes reach the driver and the tasks.
-    frequent = np.sort(np.array([r[0] for r in often.orderBy(F.desc("n"), "shingle").limit(FREQUENT_MOST)
-                                 .select("shingle").collect()], np.int64).view(np.uint64))
+    with freed_shuffles(spark):
+        frequent = np.sort(np.array([r[0] for r in often.orderBy(F.desc("n"), "shingle").limit(FREQUENT_MOST)
+                                     .select("shingle").collect()], np.int64).view(np.uint64))
+    free(first)
     equal = sizes.where("doc_id IS NOT NULL AND size > 0").groupBy("size", "d1", "d2").agg(
         F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     # An id on several rows may have several sets: it is indexed as it stands.
@@ -408,19 +417,26 @@ def join(docs: DataFrame, n: int = N, similar: tuple[int, int] = SIMILAR) -> Dat
                            membership_bits(copies.select(F.xxhash64("doc_id").alias("__h")), "__h"), "__maybe")
     single = told.where("NOT __maybe").select("doc_id", "text").unionByName(
         told.where("__maybe").select("doc_id", "text").join(copies, "doc_id", "left_anti"))
-    buckets = written(_buckets(_entries(single, n, similar, frequent, bits), parts), "ngram-buckets")
+    index: list[DataFrame] = []
+    checked: list[DataFrame] = []
+    buckets = written(_buckets(_entries(single, n, similar, frequent, bits), parts), "ngram-buckets", scratch=index)
     shared = written(buckets.groupBy(F.col("head").alias("a"), F.col("member").alias("b")).agg(F.count(F.lit(1)).alias("n")),
-                     "ngram-shared")
+                     "ngram-shared", scratch=index)
     # First each document against the head it shares most keys with, then against heads of other components, last the rest.
     best = shared.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
-    verified = written(verify(best, docs, n), "ngram-verified")
-    labels = written(components(_linked(verified, similar), "a", "b"), "ngram-labels")
-    for step in (lambda: _across(shared, labels), lambda: _remaining(buckets, labels, docs, n, similar, parts)):
-        pairs = written(step().join(verified.select("a", "b"), ["a", "b"], "left_anti"), "ngram-pairs")
-        more = written(verify(pairs, docs, n), "ngram-verified")
+    verified = verify(best, docs, n, checked)
+    labels = components(_linked(verified, similar), "a", "b")
+    steps = (lambda own: _across(shared, labels), lambda own: _remaining(buckets, labels, docs, n, similar, parts, own))
+    for step in steps:
+        own: list[DataFrame] = []
+        pairs = written(step(own).join(verified.select("a", "b"), ["a", "b"], "left_anti"), "ngram-pairs", scratch=own)
+        more = verify(pairs, docs, n, checked)
+        free(own)
         verified = verified.unionByName(more)
         if not _linked(more, similar).isEmpty():
-            labels = written(components(_linked(verified, similar), "a", "b"), "ngram-labels")
+            labels = components(_linked(verified, similar), "a", "b")
+    free(index)
+    free(checked)
     rows = sizes.join(copies, "doc_id", "left").withColumn("node", F.coalesce("first", "doc_id"))
     return rows.join(labels, "node", "left").select(
         "doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))

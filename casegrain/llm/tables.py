@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casegrain.session import scratch_path
+from casegrain.session import drop_path, freed_shuffles, scratch_path
+from casegrain.session import table as read  # noqa: F401
 
 
 BATCH_BYTES = "8m"
@@ -22,19 +23,28 @@ def arrow(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(freeing, schema)
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy", scratch: list[DataFrame] | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
 
-    The files survive lost executors, so nothing above them is computed again.
+    The files survive lost executors, so nothing above them is computed again: the shuffle files of this
+    write go when it is complete. A table added to ``scratch`` is for its owner to ``free``.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with freed_shuffles(spark):
+        df.write.option("compression", compression).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if scratch is not None:
+        out.scratch_path = path
+        scratch.append(out)
+    return out
+
+
+def free(scratch: list[DataFrame]) -> None:
+    """Delete written tables that no table still to be computed reads; the list is empty then."""
+    while scratch:
+        table = scratch.pop()
+        drop_path(table.sparkSession, table.scratch_path)
 
 
 def bind(value, body):
