@@ -1,28 +1,28 @@
 """Expert annotations → sentence sets → spans → token-level rationale masks.
 
 An expert-split row carries its text and up to five annotation columns, so
-the whole chain runs inside the row with higher-order functions: no join,
-no shuffle, one narrow stage.  Rows are only exploded for the long-format
-outputs (annotation rows, spans), and every explode is bounded by the
-row's own annotation / occurrence count.
-
-Token positions come from the token counts of the pieces between span
-borders, added up once: the tokens overlapping the span [s, e) are those
-starting before e and ending after s.  Masks cover whole texts in
-consecutive model windows of 510 tokens; every token is in one window.
+the whole chain runs inside the row: no join, no shuffle, one narrow stage.
+Parsing and the sentence sets are higher-order functions; spans and masks take one pass
+over the text in Arrow batches, linear in its length and in the number of sentences: one automaton finds all
+occurrences, a binary search finds the tokens of a span, and a running sum over span borders gives the mask.
+
+The tokens overlapping the span [s, e) are those starting before e and ending after s. Masks cover
+whole texts in consecutive model windows of 510 tokens; every token is in one window.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casegrain.functions.arrays import prefix_sums
-from casegrain.functions.text import (
-    ALNUM_CHAR, MAX_LEN, WINDOW_TOKENS, col_of, let, quote_literal, raw_tokens,
-    sentences, token_count, trim_ws, window_count,
-)
+from casegrain.functions.batches import over_batches, token_bounds, with_array
+from casegrain.functions.text import MAX_LEN, WINDOW_TOKENS, col_of, sentences, trim_ws
 
 # ---- fixed values -----------------------------------------------------------
 EXPERT_COLUMNS = ["expert_1", "expert_2", "expert_3", "expert_4", "expert_5"]
@@ -34,6 +34,7 @@ SPAN = T.StructType([
     T.StructField("start", T.IntegerType()),
     T.StructField("end", T.IntegerType()),
 ])
+_SPAN_ARROW = pa.struct([("sentence", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
 
 def _parsed_map(annotation) -> Column:
@@ -124,95 +125,115 @@ def with_matched_sentences(df: DataFrame, text: str = "text",
     return df.withColumn(out, F.array_intersect(doc_sents, F.col(chosen)))
 
 
-def _occurrences(text: Column, s: Column) -> Column:
-    """All non-overlapping literal occurrences of s in text → array<struct>."""
-    slen = F.length(s)
+def occurrences(text: str | None, sentences: list[str] | None) -> list[tuple[str, int, int]]:
+    """(sentence, start, end) of all literal occurrences, those of one sentence not overlapping each other.
 
-    def build(parts):
-        # Element i: the end of the i-th occurrence.
-        ends = prefix_sums(F.transform(parts, lambda p: F.length(p) + slen))
-        return F.transform(F.slice(ends, 2, F.size(parts)), lambda e: F.struct(
-            s.alias("sentence"), (e - slen).cast("int").alias("start"), e.cast("int").alias("end")))
-    return let(F.split(text, quote_literal(s), -1), build)
+    One automaton of all sentences reads the text once, however many they are.
+    """
+    automaton = ahocorasick.Automaton()
+    for s in dict.fromkeys(sentences or []):
+        if s:
+            automaton.add_word(s, s)
+    if not text or not len(automaton):
+        return []
+    automaton.make_automaton()
+    out, free = [], {}
+    for last, s in automaton.iter(text):
+        start = last + 1 - len(s)
+        if start >= free.get(s, 0):
+            out.append((s, start, last + 1))
+            free[s] = last + 1
+    return out
 
 
 def with_spans(df: DataFrame, text: str = "text", matched: str = "matched_sentences",
                out: str = "spans") -> DataFrame:
     """Character spans [start, end) of every occurrence of every matched sentence."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    return df.withColumn(out, F.flatten(F.transform(F.col(matched), lambda s: _occurrences(t, s))))
+    def spans(t, sentences):
+        return [{"sentence": s, "start": a, "end": b} for s, a, b in occurrences(t, sentences)]
+    return with_array(df, out, T.ArrayType(SPAN), pa.list_(_SPAN_ARROW), [text, matched], spans)
+
+
+def _positions(starts: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last token (from 1) that overlap each span [a, b): a token [s, e) does iff s < b and e > a."""
+    return np.searchsorted(ends, a, "right") + 1, np.searchsorted(starts, b, "left")
 
 
 def with_span_positions(df: DataFrame, text: str = "text", spans: str = "spans",
                         out: str = "span_positions") -> DataFrame:
-    """Token positions [lo, hi] (from 1) each span overlaps, over the whole text.
+    """Token positions [lo, hi] (from 1) each span overlaps, over the whole text; spans without a token are left out."""
+    def positions(t, found):
+        if not found:
+            return []
+        lo, hi = _positions(*token_bounds(t), np.array([x["start"] for x in found]), np.array([x["end"] for x in found]))
+        return [{**x, "lo": a, "hi": b} for x, a, b in zip(found, lo.tolist(), hi.tolist()) if a <= b]
+    kind = T.StructType([*SPAN.fields, T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())])
+    arrow_kind = pa.struct([*_SPAN_ARROW, ("lo", pa.int32()), ("hi", pa.int32())])
+    return with_array(df, out, T.ArrayType(kind), pa.list_(arrow_kind), [text, spans], positions)
 
-    A token [a, b) overlaps [s, e) iff a < e and b > s.  The text is cut at
-    all span borders; the tokens before a border are the tokens of the pieces
-    before it, less one for every earlier border that cuts a token in two.
-    """
-    t = F.coalesce(F.col(text), F.lit(""))
 
-    def cut(border):
-        return ((border > 0) & t.substr(border, F.lit(1)).rlike(ALNUM_CHAR)
-                & t.substr(border + 1, F.lit(1)).rlike(ALNUM_CHAR)).cast("int")
+def marked_tokens(text: str | None, sentences: list[str] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token starts and ends of a text, and whether an occurrence of a sentence overlaps the token.
 
-    def per_row(b):
-        counts = F.transform(b, lambda x, i: F.size(raw_tokens(
-            t.substr(x + 1, F.coalesce(F.get(b, i + 1), F.length(t)) - x))))
-        return let(F.struct(b.alias("b"), prefix_sums(counts).alias("n"), F.transform(b, cut).alias("c"),
-                            prefix_sums(F.transform(b, cut)).alias("cuts")), locate)
+    A running sum over the borders of the spans: linear in tokens and spans.
+    """
+    starts, ends = token_bounds(text or "")
+    found = occurrences(text, sentences)
+    edge = np.zeros(len(starts) + 1, np.int64)
+    if found:
+        lo, hi = _positions(starts, ends, np.array([x[1] for x in found]), np.array([x[2] for x in found]))
+        some = lo <= hi
+        np.add.at(edge, lo[some] - 1, 1)
+        np.add.at(edge, hi[some], -1)
+    return starts, ends, np.cumsum(edge[:-1]) > 0
 
-    def locate(k):
-        def before(border):
-            return let(F.array_position(k["b"], border), lambda i: F.struct(
-                (F.element_at(k["n"], i.cast("int")) - F.element_at(k["cuts"], i.cast("int"))).alias("n"),
-                F.element_at(k["c"], i.cast("int")).alias("c")))
 
-        def pos(sp):
-            return F.struct(sp["sentence"].alias("sentence"), sp["start"].alias("start"), sp["end"].alias("end"),
-                            let(before(sp["start"]), lambda x: (x["n"] - x["c"] + 1).cast("int")).alias("lo"),
-                            before(sp["end"])["n"].cast("int").alias("hi"))
-        return F.filter(F.transform(F.col(spans), pos), lambda x: x["lo"] <= x["hi"])
+def window_rows(sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, window number and positions inside of each model window of texts with that many positions (one for none)."""
+    sizes = np.array(sizes, np.int64)
+    count = np.maximum(1, -(-sizes // WINDOW_TOKENS))
+    row = np.repeat(np.arange(len(sizes)), count)
+    no = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    return row, no, np.minimum(sizes[row] - no * WINDOW_TOKENS, WINDOW_TOKENS)
 
-    borders = F.array_sort(F.array_distinct(F.concat(
-        F.array(F.lit(0)), F.transform(spans, lambda sp: sp["start"]), F.transform(spans, lambda sp: sp["end"]))))
-    return df.withColumn(out, F.when(F.size(spans) > 0, let(borders, per_row)).otherwise(
-        F.array().cast("array<struct<sentence:string,start:int,end:int,lo:int,hi:int>>")))
 
+def windowed(values: list[np.ndarray], inside: np.ndarray, first: int = 0, after: int = 0) -> np.ndarray:
+    """Values of all texts as rows of 512: ``first``, up to 510 values, ``after``, zeros."""
+    out = np.zeros((len(inside), MAX_LEN), np.int32)
+    out[:, 0] = first
+    place = np.arange(MAX_LEN)
+    out[(place > 0) & (place <= inside[:, None])] = np.concatenate(values) if values else []
+    out[np.arange(len(inside)), inside + 1] = after
+    return out
 
-def window_masks(positions, n_tokens) -> Column:
-    """One struct (window_no, n_active, n_positive, rationale_mask[512]) per model window of a text.
 
-    ``positions``: token positions [lo, hi] from 1.  Position p of the text is
-    position (p - 1) % 510 + 1 of window (p - 1) // 510; 0 is the start id.
-    """
-    def windows(packed):
-        def one(w):
-            first = w * WINDOW_TOKENS
-            inside = F.filter(packed["p"], lambda x: (x["hi"] > first) & (x["lo"] <= first + WINDOW_TOKENS))
-            mask = let(inside, lambda sp: F.transform(F.sequence(F.lit(0), F.lit(MAX_LEN - 1)), lambda q: F.when(
-                (q > 0) & (q <= WINDOW_TOKENS) & F.exists(sp, lambda x: (x["lo"] <= first + q) & (x["hi"] >= first + q)),
-                1).otherwise(0)))
-            active = F.least(F.greatest(packed["n"] - first, F.lit(0)), F.lit(WINDOW_TOKENS)) + 2
-            return let(mask, lambda m: F.struct(
-                w.cast("bigint").alias("window_no"), active.cast("bigint").alias("n_active"),
-                F.aggregate(m, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_positive"),
-                m.alias("rationale_mask")))
-        return F.transform(F.sequence(F.lit(0), window_count(packed["n"]) - 1), one)
-    spans = F.transform(F.coalesce(col_of(positions), F.array()), lambda x: F.struct(x["lo"].alias("lo"), x["hi"].alias("hi")))
-    # Spans of equal sentences repeat; distinct ones keep the inner loops short.
-    return let(F.struct(F.array_distinct(spans).alias("p"), col_of(n_tokens).alias("n")), windows)
+def lists_of(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix as a list column."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * MAX_LEN), pa.array(rows.ravel()))
 
 
 def rationale_masks(experts: DataFrame, text: str = "text", keep=("doc_id",)) -> DataFrame:
-    """Expert split → (keep…, window_no, n_active, n_positive, rationale_mask), a row per window, in one narrow stage."""
-    df = with_rationale_sentences(experts)
-    df = with_matched_sentences(df, text)
-    df = with_spans(df, text)
-    df = with_span_positions(df, text)
-    rows = df.select(*keep, F.explode_outer(window_masks("span_positions", token_count(text))).alias("_m"))
-    return rows.select(*keep, "_m.window_no", "_m.n_active", "_m.n_positive", "_m.rationale_mask")
+    """Expert split → (keep…, window_no, n_active, n_positive, rationale_mask[512]), a row per model window, in one narrow stage.
+
+    Position p (from 1) of a text is position (p - 1) % 510 + 1 of window (p - 1) // 510; 0 is the start id.
+    """
+    df = with_matched_sentences(with_rationale_sentences(experts), text)
+    keep = list(keep)
+    rows = df.select(*keep, F.col(text).alias("_text"), "matched_sentences")
+    schema = T.StructType([*[rows.schema[c] for c in keep], T.StructField("window_no", T.LongType()),
+                           T.StructField("n_active", T.LongType()), T.StructField("n_positive", T.LongType()),
+                           T.StructField("rationale_mask", T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = [marked_tokens(t, s)[2] for t, s in zip(batch.column("_text").to_pylist(),
+                                                            batch.column("matched_sentences").to_pylist())]
+            row, no, inside = window_rows([len(m) for m in marks])
+            masks = windowed(marks, inside)
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c).take(pa.array(row)) for c in keep], pa.array(no), pa.array(inside + 2),
+                 pa.array(masks.sum(axis=1, dtype=np.int64)), lists_of(masks)], names=schema.names)
+    return over_batches(rows, run, schema)
 
 
 def coverage(masks: DataFrame) -> DataFrame:

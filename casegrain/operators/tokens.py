@@ -5,24 +5,30 @@ Design:
 * offsets are a running sum of tile lengths inside the row;
 * the vocabulary is a ``groupBy(token).count()`` with partial aggregation,
   ranked by the exact distributed ordinal;
-* ids are attached by a join on the distinct tokens of each window (Spark
-  broadcasts the vocabulary if its size allows, else AQE splits hot tokens)
-  and put in order inside the row.
+* ids are looked up in the row: a vocabulary has a bounded size, so every task holds it; words that
+  it lacks are cut into the longest entries (no tokenizer is trained: pieces are entries of the counted vocabulary).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casegrain.functions.arrays import prefix_sums
+from casegrain.functions.batches import over_batches, token_texts
 from casegrain.functions.ordinal import exact_ordinal
 from casegrain.functions.text import (
-    CLS_ID, FIRST_WORD_ID, MAX_LEN, PAD_ID, SEP_ID, UNK_ID, WINDOW_TOKENS,
-    col_of, let, raw_sentences, tiles, tokens, trim_ws, window_count, window_slice,
+    CLS_ID, FIRST_WORD_ID, MAX_LEN, SEP_ID, UNK_ID, col_of, let, raw_sentences, tiles, tokens, trim_ws,
 )
+from casegrain.operators import annotations as A
 
 MIN_COUNT = 2
+MAX_WORDS = 1 << 20     # size of a vocabulary, which every task holds
 
 
 def sentence_rows(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -60,44 +66,134 @@ def token_offsets(df: DataFrame, text: str = "text", id_col: str = "doc_id") ->
             .select(id_col, F.col("pos").cast("bigint").alias("pos"), "t.token", "t.start", "t.end"))
 
 
-def build_vocab(train_docs: DataFrame, text: str = "text", min_count: int = MIN_COUNT) -> DataFrame:
-    """(token, token_id, freq): ids from 1000 by (count desc, token asc), count >= min_count."""
+def build_vocab(train_docs: DataFrame, text: str = "text", min_count: int = MIN_COUNT, max_words: int = MAX_WORDS) -> DataFrame:
+    """(token, token_id, freq): ids from 1000 by (count desc, token asc), count >= min_count, the first ``max_words``."""
     counts = (train_docs.select(F.explode_outer(tokens(F.coalesce(F.col(text), F.lit("")))).alias("token"))
               .filter(F.col("token").isNotNull())
               .groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
               .filter(F.col("freq") >= min_count))
     ranked = exact_ordinal(counts, [F.col("freq").desc(), F.col("token").asc()], out="_rn")
-    return ranked.select("token", (F.col("_rn") + FIRST_WORD_ID - 1).cast("bigint").alias("token_id"),
+    return ranked.where(F.col("_rn") <= max_words).select("token", (F.col("_rn") + FIRST_WORD_ID - 1).cast("bigint").alias("token_id"),
                          F.col("freq").cast("bigint").alias("freq"))
 
 
+def with_alphabet(vocab: DataFrame, train_docs: DataFrame, text: str = "text") -> DataFrame:
+    """``vocab`` plus every character of the training tokens that is no entry, numbered after the words by character.
+
+    With it, each word of the training alphabet has pieces. The alphabet is bounded by Unicode, so one window numbers it.
+    """
+    types = train_docs.select(F.explode_outer(tokens(F.coalesce(F.col(text), F.lit("")))).alias("t")).where("t IS NOT NULL").distinct()
+    letters = types.select(F.explode_outer(F.split("t", "")).alias("token")).where("token <> ''").groupBy("token").agg(
+        F.count(F.lit(1)).alias("freq"))
+    new = letters.join(vocab.select("token"), "token", "left_anti")
+    last = vocab.agg(F.coalesce(F.max("token_id"), F.lit(FIRST_WORD_ID - 1)).alias("last"))
+    numbered = new.withColumn("rn", F.row_number().over(Window.orderBy("token"))).join(F.broadcast(last))
+    return vocab.select("token", "token_id", "freq").unionByName(
+        numbered.select("token", (F.col("last") + F.col("rn")).cast("bigint").alias("token_id"), "freq"))
+
+
+class Pieces:
+    """Longest-match segmentation by vocabulary entries.
+
+    An entry stands for itself at the start of a word and, as ``##entry``, inside of one: the id of the second is
+    that of the first plus the number of entries. Entries are found by their first two characters and lengths, so the walk
+    tries only lengths that some entry has. A character that is no entry is a piece with the unknown id.
+    """
+
+    def __init__(self, entries: dict[str, int]):
+        self.ids, self.inner = entries, len(entries)
+        lengths: dict[str, set] = {}
+        for e in entries:
+            lengths.setdefault(e[:2], set()).add(len(e))
+        self.lengths = {k: sorted(v, reverse=True) for k, v in lengths.items()}
+        self.known: dict[str, tuple[list[int], list[int]]] = {}
+
+    def cut(self, word: str) -> list[int]:
+        """Where the pieces of a word begin."""
+        out, at = [], 0
+        while at < len(word):
+            out.append(at)
+            step = next((n for n in self.lengths.get(word[at:at + 2], ()) if n <= len(word) - at and word[at:at + n] in self.ids), 1)
+            at += step
+        return out
+
+    def encode(self, word: str) -> tuple[list[int], list[int]]:
+        """Ids and starts of the pieces of a word that is no entry."""
+        got = self.known.get(word)
+        if got is None:
+            if len(self.known) > 1 << 16:
+                self.known.clear()
+            at = self.cut(word)
+            pieces = [word[a:b] for a, b in zip(at, [*at[1:], len(word)])]
+            got = self.known[word] = ([UNK_ID if p not in self.ids else self.ids[p] + (self.inner if a else 0)
+                                       for p, a in zip(pieces, at)], at)
+        return got
+
+
+def _entries(vocab: DataFrame):
+    """The vocabulary for every task: at most ``MAX_WORDS`` words and an alphabet, so of bounded size."""
+    rows = vocab.select("token", "token_id").toPandas()
+    return vocab.sparkSession.sparkContext.broadcast(dict(zip(rows["token"], rows["token_id"].astype(int))))
+
+
 def encode_window(df: DataFrame, vocab: DataFrame, text: str = "text", id_col: str = "doc_id",
-                  offsets: bool = False) -> DataFrame:
-    """(id, window_no, input_ids[512], attention_mask[512], n_tokens[, offset_mapping]): a row per window.
+                  offsets: bool = False, marked: str | None = None) -> DataFrame:
+    """(id, window_no, input_ids[512], attention_mask[512], n_tokens[, offset_mapping][, rationale_mask[512]]): a row per window.
 
-    Each window holds the start id, its 510 tokens' ids, the end id and padding;
-    unknown tokens map to the unknown id.  Ids are joined to the distinct
-    tokens of a window, so a common word is one row per window, not per use.
+    Each window holds the start id, 510 ids, the end id and padding. A token of the vocabulary is one id,
+    any other the ids of its pieces (:class:`Pieces`), each with its own offsets. ``marked`` names a
+    column of sentences: every piece of a token that an occurrence overlaps is 1 in ``rationale_mask``.
+    One pass in the row: nothing is shuffled, however common a word is.
     """
-    toks = offset_array(text)
-    wins = let(toks, lambda t: F.transform(F.sequence(F.lit(0), window_count(F.size(t)) - 1), lambda w: F.struct(
-        w.cast("bigint").alias("window_no"), window_slice(t, w).alias("toks"))))
-    rows = df.select(id_col, F.explode_outer(wins).alias("w")).select(id_col, "w.window_no", "w.toks")
-    types = rows.select(id_col, "window_no", F.explode_outer(F.array_distinct(F.transform("toks", lambda x: x["token"])))
-                        .alias("token"))
-    known = types.join(vocab.select("token", "token_id"), "token").groupBy(id_col, "window_no").agg(
-        F.map_from_entries(F.collect_list(F.struct("token", F.col("token_id").cast("int")))).alias("_ids"))
-    joined = rows.join(known, [id_col, "window_no"], "left")
-    ids = let(F.coalesce("_ids", F.create_map().cast("map<string,int>")), lambda m: F.transform(
-        "toks", lambda x: F.coalesce(F.element_at(m, x["token"]), F.lit(UNK_ID))))
-    n = F.size("toks")
-    out = joined.select(
-        id_col, "window_no", n.cast("bigint").alias("n_tokens"),
-        F.concat(F.array(F.lit(CLS_ID)), ids, F.array(F.lit(SEP_ID)),
-                 F.array_repeat(F.lit(PAD_ID), WINDOW_TOKENS - n)).alias("input_ids"),
-        F.concat(F.array_repeat(F.lit(1), n + 2), F.array_repeat(F.lit(0), WINDOW_TOKENS - n)).alias("attention_mask"),
-        F.transform("toks", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("offset_mapping"))
-    return out if offsets else out.drop("offset_mapping")
+    sent = _entries(vocab)
+    spark_type = df.schema[id_col]
+    schema = T.StructType([spark_type, T.StructField("window_no", T.LongType()), T.StructField("n_tokens", T.LongType()),
+                           T.StructField("input_ids", T.ArrayType(T.IntegerType())),
+                           T.StructField("attention_mask", T.ArrayType(T.IntegerType())),
+                           T.StructField("offset_mapping", T.ArrayType(T.StructType([
+                               T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
+                           T.StructField("rationale_mask", T.ArrayType(T.IntegerType()))])
+    cols = [F.col(id_col), F.col(text).alias("_text"),
+            (F.col(marked) if marked else F.lit(None).cast("array<string>")).alias("_marked")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = Pieces(sent.value)
+        for batch in batches:
+            ids, begin, end, marks = [], [], [], []
+            for t, sentences in zip(batch.column("_text").to_pylist(), batch.column("_marked").to_pylist()):
+                starts, ends, mark = A.marked_tokens(t, sentences)
+                found = _encoded(token_texts(t or "", starts, ends), starts, ends, pieces)
+                for column, value in zip((ids, begin, end, marks), (*found[:3], mark[found[3]])):
+                    column.append(value)
+            row, no, inside = A.window_rows([len(x) for x in ids])
+            places = pa.StructArray.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (begin, end)],
+                                                names=["start", "end"])
+            edges = pa.array(np.concatenate(([0], np.cumsum(inside))).astype(np.int32))
+            attention = (np.arange(MAX_LEN) < inside[:, None] + 2).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(id_col).take(pa.array(row)), pa.array(no), pa.array(inside), A.lists_of(A.windowed(ids, inside, CLS_ID, SEP_ID)),
+                 A.lists_of(attention), pa.ListArray.from_arrays(edges, places), A.lists_of(A.windowed(marks, inside))], names=schema.names)
+    out = over_batches(df.select(cols), run, schema)
+    return out.drop(*[c for c, wanted in (("offset_mapping", offsets), ("rationale_mask", marked)) if not wanted])
+
+
+def _encoded(words: list[str], starts: np.ndarray, ends: np.ndarray, pieces: Pieces):
+    """Ids, starts and ends of all pieces, and the token that each belongs to."""
+    get = pieces.ids.get
+    first = np.array([get(w, -1) for w in words], np.int64)
+    rare = np.flatnonzero(first < 0)
+    found = [pieces.encode(words[i]) for i in rare.tolist()]
+    count = np.ones(len(words), np.int64)
+    count[rare] = [len(f[0]) for f in found]
+    owner = np.repeat(np.arange(len(words)), count)
+    ids, begin, end = first[owner], starts[owner], ends[owner]
+    if found:
+        at = np.flatnonzero(first[owner] < 0)
+        ids[at] = np.concatenate([f[0] for f in found])
+        begin[at] = np.minimum(begin[at] + np.concatenate([f[1] for f in found]), end[at])
+        inner = at[:-1][owner[at[:-1]] == owner[at[1:]]]         # pieces with another of their token after them
+        end[inner] = begin[inner + 1]
+    return ids.astype(np.int32), begin, end, owner
 
 
 def pad_or_truncate(mask_col, length: int = MAX_LEN):
@@ -107,40 +203,18 @@ def pad_or_truncate(mask_col, length: int = MAX_LEN):
 
 
 def segment_rare(types: DataFrame, vocab: DataFrame, token: str = "token") -> DataFrame:
-    """Greedy longest-prefix segmentation of word types into vocabulary pieces.
+    """(token, pieces) of distinct word types: greedy longest vocabulary entries, continuation pieces carry ``##``.
 
-    From each position the longest substring that is a vocabulary token is
-    taken (one character when none is), continuation pieces carry ``##``.
-    Work is per distinct type, never per token occurrence: every candidate
-    substring (of a length that the vocabulary has) is matched by one join
-    with the vocabulary, then the greedy walk runs inside the row.
+    From each position the longest entry is taken, one character where none fits.
     """
-    v = vocab.select(F.col("token").alias("piece"))
-    # Lengths that occur in the vocabulary: a bounded set, so long words give few candidates.
-    lengths = v.agg(F.array_sort(F.collect_set(F.length("piece"))).alias("x")).first()["x"] or [1]
-    sizes = F.array(*[F.lit(x) for x in lengths])
-    t = types.select(F.col(token).alias("token")).distinct()
-    # All (start, length) candidates of those lengths.
-    cand = t.select("token", F.posexplode(F.sequence(F.lit(0), F.length("token") - 1)).alias("_x", "i")).select(
-        "token", "i", F.explode(F.filter(sizes, lambda x: x <= F.length("token") - F.col("i"))).alias("len"))
-    cand = cand.withColumn("piece", F.substring("token", F.col("i") + 1, F.col("len")))
-    hits = cand.join(v, "piece", "left_semi")
-    best = hits.groupBy("token", "i").agg(F.max("len").alias("len"))
-    per_type = t.join(best.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("i", "len"))).alias("m")),
-                      "token", "left")
-
-    def walk(tok, m):
-        init = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("pieces"))
-
-        def step(acc, k):
-            take = F.coalesce(F.element_at(m, k), F.lit(1))
-            piece = F.substring(tok, k + 1, take)
-            return F.when(acc["at"] == k, F.struct(
-                (k + take).alias("at"),
-                F.concat(acc["pieces"], F.array(F.when(k == 0, piece).otherwise(F.concat(F.lit("##"), piece))))
-                .alias("pieces"))).otherwise(acc)
-
-        return F.aggregate(F.sequence(F.lit(0), F.length(tok) - 1), init, step, lambda acc: acc["pieces"])
-
-    m = F.coalesce(F.col("m"), F.create_map().cast("map<int,int>"))
-    return per_type.select("token", walk(F.col("token"), m).alias("pieces"))
+    sent = _entries(vocab)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Pieces(sent.value)
+        for batch in batches:
+            words = batch.column("token").to_pylist()
+            cuts = [known.cut(w) for w in words]
+            out = [[("##" if a else "") + w[a:b] for a, b in zip(at, [*at[1:], len(w)])] for w, at in zip(words, cuts)]
+            yield pa.RecordBatch.from_arrays([batch.column("token"), pa.array(out, pa.list_(pa.string()))], names=["token", "pieces"])
+    return over_batches(types.select(F.col(token).alias("token")).where("token IS NOT NULL").distinct(), run,
+                        "token string, pieces array<string>")

@@ -43,7 +43,11 @@ def _labels(spark, d):
 
 
 def _experts(spark, d):
-    return SI.expert_split(_docs(spark, d))
+    return SI.expert_split(_docs(spark, d), table(spark, d, "benchmark"))
+
+
+def _corpus(spark, d):
+    return SI.corpus_splits(_docs(spark, d), _labels(spark, d), _experts(spark, d))
 
 
 def _masks(spark, d):
@@ -51,7 +55,7 @@ def _masks(spark, d):
 
 
 def _train_docs(spark, d):
-    c = SI.corpus_splits(_docs(spark, d), _labels(spark, d))
+    c = _corpus(spark, d)
     return c.filter(F.col("split") == "train").select("doc_id", "text")
 
 
@@ -60,14 +64,18 @@ def _vocab(spark, d):
     return materialize(TK.build_vocab(_train_docs(spark, d)), "vocabulary")
 
 
+def _entries(spark, d):
+    return materialize(TK.with_alphabet(_vocab(spark, d), _train_docs(spark, d)), "entries")
+
+
 def _encoded(spark, d):
-    return TK.encode_window(_docs(spark, d), _vocab(spark, d))
+    return TK.encode_window(_docs(spark, d), _entries(spark, d))
 
 
 # ---- sources --------------------------------------------------------------
 
 def q_corpus_union(spark, d):
-    c = SI.corpus_splits(_docs(spark, d), _labels(spark, d))
+    c = _corpus(spark, d)
     n_exp = sum((F.when(F.col(f"expert_{k}").isNotNull(), 1).otherwise(0) for k in range(1, 6)), F.lit(0))
     return c.select("split", "doc_id", "label",
                     F.length("raw_text").cast("bigint").alias("raw_len"),
@@ -409,7 +417,12 @@ CORPUS_CSV_SCHEMA = T.StructType([
 
 
 def q_csv_roundtrip(spark, d):
-    c = SI.corpus_splits(_docs(spark, d), _labels(spark, d)).select(
+    # Expert rows carry the computed mask of their whole text, window after window; the others the reference's zeros.
+    whole = _masks(spark, d).groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(
+        F.struct("window_no", "rationale_mask"))), lambda x: x["rationale_mask"])).alias("whole"))
+    c = _corpus(spark, d)
+    expert = c.where("split = 'expert'").join(whole, "doc_id", "left").withColumn("rationale_mask", F.col("whole")).drop("whole")
+    c = c.where("split <> 'expert'").unionByName(expert).select(
         "split", "doc_id", "label", "text", "rationale_mask", *[f"expert_{k}" for k in range(1, 6)])
     path = scratch_path(spark, "csv/corpus")
     csv_io.write_csv(c, path, array_cols=("rationale_mask",))
@@ -423,18 +436,24 @@ def q_csv_roundtrip(spark, d):
 
 
 def q_token_store(spark, d):
-    corpus = SI.corpus_splits(_docs(spark, d), _labels(spark, d)).select("doc_id", "split")
-    enc = TK.encode_window(_docs(spark, d), _vocab(spark, d), offsets=True)
-    # Offsets are kept for all splits but train.
-    enc = enc.join(corpus, "doc_id").withColumn(
-        "offset_mapping", F.when(F.col("split") != "train", F.col("offset_mapping")))
+    docs = A.with_rationale_sentences(_experts(spark, d))
+    docs = A.with_matched_sentences(docs).select("doc_id", "text", "matched_sentences")
+    enc = TK.encode_window(docs, _entries(spark, d), offsets=True, marked="matched_sentences")
+    splits = SI.labelled_splits(_labels(spark, d)).unionByName(
+        docs.select("doc_id", F.lit("expert").alias("split")))
+    # Offsets are kept for all splits but train, masks for the expert split.
+    enc = enc.join(splits, "doc_id").withColumns({
+        "offset_mapping": F.when(F.col("split") != "train", F.col("offset_mapping")),
+        "rationale_mask": F.when(F.col("split") == "expert", F.col("rationale_mask"))})
     path = scratch_path(spark, "tokens")
     token_store.write_tokens(enc, path)
-    back = token_store.read_tokens(spark, path)
+    back = token_store.read_tokens(spark, path, columns=(
+        "doc_id", "window_no", "input_ids", "attention_mask", "offset_mapping", "rationale_mask"))
     places = F.array_join(F.transform("offset_mapping", lambda x: F.concat_ws("-", x["start"], x["end"])), " ")
     return back.select("split", "doc_id", "window_no",
                        F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_attention"),
-                       F.md5(F.array_join("input_ids", " ")).alias("ids_md5"), F.md5(places).alias("offsets_md5"))
+                       F.md5(F.array_join("input_ids", " ")).alias("ids_md5"), F.md5(places).alias("offsets_md5"),
+                       F.md5(F.array_join("rationale_mask", "")).alias("mask_md5"))
 
 
 def q_subword_segment(spark, d):
@@ -449,8 +468,6 @@ def q_subword_segment(spark, d):
 
 # ---- models (rows-checked: model quality is not SQL) --------------------------
 
-def _corpus(spark, d):
-    return SI.corpus_splits(_docs(spark, d), _labels(spark, d))
 
 
 def q_classifier_train(spark, d):

@@ -49,9 +49,17 @@ tagged AS (
          {_hex8("'expert:' || k.k || ':' || s.doc_id || ':' || s.p")} AS h
   FROM sents s, (VALUES (1), (2), (3), (4), (5)) k(k)
 ),
+elsewhere AS (
+  SELECT item_id, list_filter(list_transform({_sentences("coalesce(text, '')")}, lambda x: {_trim('x')}), lambda x: length(x) > 0)[1] AS sentence
+  FROM benchmark
+),
 picks AS (
   SELECT doc_id, expert::BIGINT AS expert, 'rank' || ((h // 100) % 5 + 1) AS rank, p, sentence
   FROM tagged WHERE h % 100 < 8
+  UNION ALL
+  SELECT d.doc_id, 1, 'rank5', NULL, e.sentence
+  FROM documents d JOIN elsewhere e ON e.item_id = {_hex8("'item:' || d.doc_id")} % 40
+  WHERE {_hex8("'foreign:' || d.doc_id")} % 3 = 0 AND e.sentence IS NOT NULL
 ),
 chosen AS (SELECT DISTINCT doc_id, sentence FROM picks),
 matched AS (
@@ -118,25 +126,67 @@ vocab AS (
   FROM (SELECT token, count(*) AS freq FROM (
           SELECT unnest(list_transform(regexp_extract_all(coalesce(text, ''), '{TOK}'), lambda t: lower(t))) AS token
           FROM train_docs) GROUP BY token HAVING count(*) >= 2)
+  QUALIFY row_number() OVER (ORDER BY freq DESC, token) <= 1048576
 )"""
 
+# Words of the vocabulary and the letters of the training words; other words are cut into the longest of them.
+# Pieces: (doc_id, q, id, start, stop, word), q and word from 0. Needs WITH RECURSIVE.
 WINDOW_IDS = VOCAB + f""",
-whole AS (
-  SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '{TOK}'), lambda t: lower(t)) AS toks FROM documents
+letters AS (
+  SELECT DISTINCT substr(token, i::BIGINT, 1) AS token FROM (
+    SELECT token, unnest(range(1, length(token) + 1)) AS i FROM (
+      SELECT DISTINCT unnest(list_transform(regexp_extract_all(coalesce(text, ''), '{TOK}'), lambda t: lower(t))) AS token FROM train_docs))
+),
+entries AS MATERIALIZED (
+  SELECT token, token_id FROM vocab UNION ALL
+  SELECT token, (SELECT coalesce(max(token_id), 999) FROM vocab) + row_number() OVER (ORDER BY token) AS token_id
+  FROM letters WHERE token NOT IN (SELECT token FROM vocab)
+),
+tiles AS (
+  SELECT doc_id, unnest(l) AS tile, unnest(range(len(l))) AS k
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{TILE}') AS l FROM documents)
 ),
-win AS (
-  SELECT doc_id, window_no, list_slice(toks, window_no * 510 + 1, window_no * 510 + 510) AS toks
-  FROM (SELECT doc_id, toks, unnest(range(greatest(1, (len(toks) + 509) // 510))) AS window_no FROM whole)
+placed AS (
+  SELECT doc_id, tile, k, coalesce(sum(length(tile)) OVER (PARTITION BY doc_id ORDER BY k
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM tiles
 ),
-win_tok AS (SELECT doc_id, window_no, unnest(toks) AS token, unnest(range(len(toks))) AS pos FROM win),
+word AS MATERIALIZED (
+  SELECT doc_id, lower(tile) AS token, start, start + length(tile) AS stop, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS word
+  FROM placed WHERE NOT regexp_matches(tile, '^[\\t\\n\\x0B\\f\\r ]')
+),
+rare AS (SELECT DISTINCT token FROM word WHERE token NOT IN (SELECT token FROM entries)),
+c1 AS (SELECT token, unnest(range(0, length(token))) AS i FROM rare),
+c2 AS (SELECT token, i, unnest(range(1, least((SELECT max(length(token)) FROM entries), length(token) - i) + 1)) AS l FROM c1),
+hits AS (SELECT token, i, max(l) AS l FROM c2 WHERE substr(token, i + 1, l) IN (SELECT token FROM entries) GROUP BY token, i),
+steps AS MATERIALIZED (SELECT c1.token, c1.i, coalesce(h.l, 1) AS l FROM c1 LEFT JOIN hits h USING (token, i)),
+walk AS (
+  SELECT s.token, s.i, s.l FROM steps s WHERE i = 0
+  UNION ALL
+  SELECT s.token, s.i, s.l FROM walk w JOIN steps s ON s.token = w.token AND s.i = w.i + w.l
+),
+type_pieces AS MATERIALIZED (
+  SELECT w.token, w.i, w.l, CASE WHEN e.token_id IS NULL THEN 100 WHEN w.i = 0 THEN e.token_id
+         ELSE e.token_id + (SELECT count(*) FROM entries) END AS id
+  FROM walk w LEFT JOIN entries e ON e.token = substr(w.token, w.i + 1, w.l)
+  UNION ALL SELECT token, 0, length(token), token_id FROM entries
+),
+piece AS (
+  SELECT w.doc_id, w.word, t.id, least(w.start + t.i, w.stop) AS start,
+         CASE WHEN t.i + t.l = length(w.token) THEN w.stop ELSE least(w.start + t.i + t.l, w.stop) END AS stop,
+         row_number() OVER (PARTITION BY w.doc_id ORDER BY w.word, t.i) - 1 AS q
+  FROM word w JOIN type_pieces t USING (token)
+),
+n_pieces AS (SELECT doc_id, count(p.q) AS n FROM documents LEFT JOIN piece p USING (doc_id) GROUP BY doc_id),
+win AS (SELECT doc_id, unnest(range(greatest(1, (n + 509) // 510))) AS window_no FROM n_pieces),
 win_ids AS (
-  SELECT w.doc_id, w.window_no,
-         coalesce(list(coalesce(v.token_id, 100) ORDER BY t.pos) FILTER (WHERE t.pos IS NOT NULL), []) AS ids
-  FROM win w LEFT JOIN win_tok t ON w.doc_id = t.doc_id AND w.window_no = t.window_no LEFT JOIN vocab v ON t.token = v.token
+  SELECT w.doc_id, w.window_no, coalesce(list(p.id ORDER BY p.q) FILTER (WHERE p.q IS NOT NULL), []) AS ids,
+         coalesce(string_agg(p.start || '-' || p.stop, ' ' ORDER BY p.q), '') AS places
+  FROM win w LEFT JOIN piece p ON w.doc_id = p.doc_id AND p.q // 510 = w.window_no
   GROUP BY w.doc_id, w.window_no
 ),
 encoded AS (
-  SELECT doc_id, window_no::BIGINT AS window_no, len(ids)::BIGINT AS n_tokens,
+  SELECT doc_id, window_no::BIGINT AS window_no, len(ids)::BIGINT AS n_tokens, places,
          list_concat([101], ids, [102], list_transform(range(510 - len(ids)), lambda z: 0)) AS input_ids
   FROM win_ids
 )"""
@@ -187,7 +237,7 @@ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY tile_pos) - 1)::
 FROM st WHERE NOT regexp_matches(tile, '^[\\t\\n\\x0B\\f\\r ]')
 """,
     "vocab_encode": "WITH " + VOCAB + "\nSELECT token, token_id, freq FROM vocab\n",
-    "pad_truncate": "WITH " + WINDOW_IDS + """
+    "pad_truncate": "WITH RECURSIVE " + WINDOW_IDS + """
 SELECT doc_id, n_tokens, (n_tokens + 2)::BIGINT AS n_attention, array_to_string(input_ids, ' ') AS ids_text
 FROM encoded WHERE window_no = 0
 """,
@@ -218,7 +268,7 @@ SELECT total_tokens, positive_tokens, active_tokens,
        round(CASE WHEN positive_tokens = 0 THEN 1.0 ELSE coalesce(active_tokens / nullif(2.0 * positive_tokens, 0), 1.0) END, 9)::DOUBLE AS weight_positive_active
 FROM agg
 """,
-    "mlm_mask": "WITH " + WINDOW_IDS + """,
+    "mlm_mask": "WITH RECURSIVE " + WINDOW_IDS + """,
 pos AS (SELECT doc_id, window_no, unnest(input_ids) AS id, unnest(range(512)) AS i FROM encoded),
 flag AS (
   SELECT doc_id, window_no, i, id NOT IN (0, 101, 102) AS cand,
@@ -733,37 +783,31 @@ lsplit AS (
 )"""
 
 ORACLE.update({
-    "csv_roundtrip": "WITH " + PICKS + "," + LABELLED_SPLITS + """,
+    "csv_roundtrip": "WITH " + SPANS + "," + LABELLED_SPLITS + """,
+whole AS (SELECT doc_id, 512 * count(*) AS mask_len, sum(n_positive) AS mask_sum FROM masks GROUP BY doc_id),
 nexp AS (SELECT doc_id, count(DISTINCT expert)::BIGINT AS n_experts FROM picks GROUP BY doc_id)
 SELECT split, doc_id, label, md5(text) AS text_md5,
        CASE WHEN split = 'test' THEN NULL ELSE 512 END::BIGINT AS mask_len,
        CASE WHEN split = 'test' THEN NULL ELSE 0 END::BIGINT AS mask_sum, 0::BIGINT AS n_experts
 FROM lsplit
 UNION ALL
-SELECT 'expert' AS split, d.doc_id, l.quality AS label, md5(d.text) AS text_md5, 512::BIGINT AS mask_len,
-       0::BIGINT AS mask_sum, coalesce(n.n_experts, 0)::BIGINT AS n_experts
-FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN nexp n USING (doc_id)
+SELECT 'expert' AS split, d.doc_id, l.quality AS label, md5(d.text) AS text_md5, w.mask_len::BIGINT AS mask_len,
+       w.mask_sum::BIGINT AS mask_sum, coalesce(n.n_experts, 0)::BIGINT AS n_experts
+FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN nexp n USING (doc_id) LEFT JOIN whole w USING (doc_id)
 """,
-    "token_store": "WITH " + WINDOW_IDS + "," + LABELLED_SPLITS + f""",
-tl AS (
-  SELECT doc_id, unnest(l) AS tile, unnest(range(len(l))) AS k
-  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{TILE}') AS l FROM documents)
-),
-st AS (
-  SELECT doc_id, tile, k, coalesce(sum(length(tile)) OVER (PARTITION BY doc_id ORDER BY k
-         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM tl
-),
-tk AS (
-  SELECT doc_id, start, start + length(tile) AS stop, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS pos
-  FROM st WHERE NOT regexp_matches(tile, '^[\\t\\n\\x0B\\f\\r ]')
+    "token_store": "WITH RECURSIVE " + SPANS + "," + WINDOW_IDS + "," + LABELLED_SPLITS + """,
+marked AS (SELECT DISTINCT doc_id, unnest(range(lo - 1, hi)) AS word FROM span_ok),
+piece_mask AS (
+  SELECT p.doc_id, p.q // 510 AS window_no, list(p.q % 510 + 1) AS ps
+  FROM piece p JOIN marked m ON m.doc_id = p.doc_id AND m.word = p.word GROUP BY ALL
 ),
-off AS (SELECT doc_id, pos // 510 AS window_no, string_agg(start || '-' || stop, ' ' ORDER BY pos) AS o FROM tk GROUP BY ALL),
 sp AS (SELECT doc_id, split FROM lsplit UNION ALL SELECT doc_id, 'expert' FROM documents)
 SELECT s.split, e.doc_id, e.window_no, (e.n_tokens + 2)::BIGINT AS n_attention,
        md5(array_to_string(e.input_ids, ' ')) AS ids_md5,
-       CASE WHEN s.split <> 'train' THEN md5(coalesce(off.o, '')) END AS offsets_md5
-FROM encoded e JOIN sp s USING (doc_id) LEFT JOIN off ON off.doc_id = e.doc_id AND off.window_no = e.window_no
+       CASE WHEN s.split <> 'train' THEN md5(e.places) END AS offsets_md5,
+       CASE WHEN s.split = 'expert' THEN md5(array_to_string(list_transform(range(512),
+            lambda q: CASE WHEN list_contains(coalesce(pm.ps, []), q) THEN '1' ELSE '0' END), '')) END AS mask_md5
+FROM encoded e JOIN sp s USING (doc_id) LEFT JOIN piece_mask pm ON pm.doc_id = e.doc_id AND pm.window_no = e.window_no
 """,
     "subword_segment": "WITH RECURSIVE " + VOCAB + f""",
 mp AS (SELECT max(length(token)) AS mx FROM vocab),

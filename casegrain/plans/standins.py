@@ -24,6 +24,8 @@ N_EXPERTS = 5
 PICK_PERCENT = 8          # an expert picks a sentence when hash % 100 < 8
 SPLIT_SEED = "split"      # bucket = hex8(md5('split:' || doc_id)) % 10
 TRAIN_BUCKETS = 8         # buckets 0-7 train, 8 dev, 9 test
+FOREIGN_ONE_IN = 3        # a third of the documents have a foreign sentence,
+FOREIGN_ITEMS = 40        # of benchmark item hash % 40
 # -----------------------------------------------------------------------------
 
 
@@ -31,34 +33,50 @@ def split_bucket(doc_id="doc_id"):
     return hex8(F.concat(F.lit(f"{SPLIT_SEED}:"), F.col(doc_id).cast("string"))) % 10
 
 
-def _expert_json(k: int, sents, doc_id: str = "doc_id"):
-    """JSON annotation of expert k over the row's trimmed sentences, or null."""
+def _expert_json(k: int, sents, doc_id: str = "doc_id", foreign=None):
+    """JSON annotation of expert k over the row's trimmed sentences and the foreign ones of rank 5, or null."""
     tagged = F.transform(sents, lambda s, p: F.struct(
         s.alias("sentence"),
         hex8(F.concat(F.lit(f"expert:{k}:"), F.col(doc_id).cast("string"), F.lit(":"), p.cast("string"))).alias("h"),
     ))
 
     def build(picks):
+        own = lambda r: F.transform(F.filter(picks, lambda x: (F.floor(x["h"] / 100) % 5) + 1 == r),
+                                    lambda x: x["sentence"])
+        value = lambda r: own(r) if foreign is None else F.when(r == 5, F.concat(own(r), foreign)).otherwise(own(r))
         by_rank = F.transform(F.sequence(F.lit(1), F.lit(5)), lambda r: F.struct(
-            F.concat(F.lit("rank"), r.cast("string")).alias("key"),
-            F.transform(F.filter(picks, lambda x: (F.floor(x["h"] / 100) % 5) + 1 == r),
-                        lambda x: x["sentence"]).alias("value"),
-        ))
+            F.concat(F.lit("rank"), r.cast("string")).alias("key"), value(r).alias("value")))
         nonempty = F.filter(by_rank, lambda e: F.size(e["value"]) > 0)
-        return F.when(F.size(picks) > 0, F.to_json(F.map_from_entries(nonempty)))
+        chosen = F.size(picks) > 0 if foreign is None else (F.size(picks) > 0) | (F.size(foreign) > 0)
+        return F.when(chosen, F.to_json(F.map_from_entries(nonempty)))
 
     picks = F.filter(tagged, lambda x: (F.length(x["sentence"]) > 0) & (x["h"] % 100 < PICK_PERCENT))
     return let(picks, build)
 
 
-def expert_split(documents: DataFrame) -> DataFrame:
-    """(doc_id, text, expert_1..expert_5) for every document (one pass per row)."""
+def expert_split(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, text, expert_1..expert_5) for every document.
+
+    The first expert of some documents also names a sentence that he read elsewhere: the first one of a benchmark text.
+    """
+    seeded = lambda name: hex8(F.concat(F.lit(f"{name}:"), F.col("doc_id").cast("string")))
+    elsewhere = benchmark.select(F.col("item_id").alias("_item"), F.slice(F.filter(
+        sentences("text"), lambda x: F.length(x) > 0), 1, 1).alias("_foreign"))
+    item = F.when(seeded("foreign") % FOREIGN_ONE_IN == 0, seeded("item") % FOREIGN_ITEMS)
+    rows = documents.select("doc_id", "text", item.alias("_item")).join(elsewhere, "_item", "left")
+    foreign = F.coalesce("_foreign", F.array().cast("array<string>"))
     experts = let(sentences("text"), lambda ss: F.struct(
-        *[_expert_json(k, ss).alias(f"expert_{k}") for k in range(1, N_EXPERTS + 1)]))
-    return documents.select("doc_id", "text", experts.alias("_e")).select("doc_id", "text", "_e.*")
+        *[_expert_json(k, ss, foreign=foreign if k == 1 else None).alias(f"expert_{k}") for k in range(1, N_EXPERTS + 1)]))
+    return rows.select("doc_id", "text", experts.alias("_e")).select("doc_id", "text", "_e.*")
+
+
+def labelled_splits(labels: DataFrame) -> DataFrame:
+    """(doc_id, split) of the labelled documents."""
+    b = split_bucket()
+    return labels.select("doc_id", F.when(b < TRAIN_BUCKETS, "train").when(b == TRAIN_BUCKETS, "dev").otherwise("test").alias("split"))
 
 
-def corpus_splits(documents: DataFrame, labels: DataFrame) -> DataFrame:
+def corpus_splits(documents: DataFrame, labels: DataFrame, experts: DataFrame) -> DataFrame:
     """All splits in one table: (split, doc_id, text, raw_text, label, rationale_mask, expert_1..5).
 
     train/dev/test hold the labelled documents; expert holds all documents
@@ -70,7 +88,7 @@ def corpus_splits(documents: DataFrame, labels: DataFrame) -> DataFrame:
     b = split_bucket()
     labelled = lab.withColumn(
         "split", F.when(b < TRAIN_BUCKETS, "train").when(b == TRAIN_BUCKETS, "dev").otherwise("test"))
-    experts = expert_split(documents).join(
+    experts = experts.join(
         labels.select("doc_id", F.col("quality").cast("int").alias("label")), "doc_id", "left"
     ).withColumn("split", F.lit("expert"))
     allsplits = labelled.unionByName(experts, allowMissingColumns=True)

@@ -1,5 +1,7 @@
 """Tokens, offsets, windows, vocabulary, sub-words, ordinals."""
 
+import random
+
 import regex
 from pyspark.sql import functions as F
 
@@ -50,6 +52,48 @@ def test_subword_segmentation(spark):
     assert got == {"contract": ["contra", "##c", "##t"], "xyz": ["x", "##y", "##z"], "tractx": ["tract", "##x"]}
 
 
+def brute_pieces(word, entries):
+    out, at = [], 0
+    while at < len(word):
+        n = next((n for n in range(len(word) - at, 0, -1) if word[at:at + n] in entries), 1)
+        out.append((at, at + n))
+        at += n
+    return out
+
+
+def test_pieces_equal_brute_force():
+    r = random.Random(2)
+    entries = {"".join(r.choices("abcé", k=r.randrange(1, 6))): 1000 + i for i in range(60)}
+    entries = {e: 1000 + i for i, e in enumerate(entries)}
+    known = TK.Pieces(entries)
+    for _ in range(500):
+        w = "".join(r.choices("abcéz", k=r.randrange(1, 15)))
+        want = brute_pieces(w, entries)
+        ids, at = known.encode(w)
+        assert at == [a for a, _ in want]
+        assert ids == [entries[w[a:b]] + (len(entries) if a else 0) if w[a:b] in entries else 100 for a, b in want]
+    assert known.encode("z" * 20_000)[0] == [100] * 20_000
+
+
+def test_pieces_are_the_ids(spark):
+    """Words outside the vocabulary become pieces of its entries and letters; the pieces of a marked word are marked."""
+    docs = spark.createDataFrame([(1, "con con tract tract xy"), (2, "Contract tracts, İx. yx q"), (3, "tract " * 300 + "contract " * 200)],
+                                 "doc_id long, text string")
+    train = docs.filter("doc_id = 1")
+    vocab = TK.with_alphabet(TK.build_vocab(train), train)
+    v = {r.token: r.token_id for r in vocab.collect()}
+    assert v == {"con": 1000, "tract": 1001, "a": 1002, "c": 1003, "n": 1004, "o": 1005, "r": 1006, "t": 1007, "x": 1008, "y": 1009}
+    rows = TK.encode_window(docs.withColumn("m", F.array(F.lit("Contract tracts,"))), vocab, offsets=True, marked="m").collect()
+    two = next(r for r in rows if r.doc_id == 2)
+    n = len(v)
+    # contract: con + ##tract; tracts: tract + unknown s; the unknown comma; i, its dot above, x; full stop; y + ##x; q
+    assert two.input_ids[1:1 + two.n_tokens] == [1000, 1001 + n, 1001, 100, 100, 100, 100, 1008 + n, 100, 1009, 1008 + n, 100]
+    assert [(x.start, x.end) for x in two.offset_mapping] == [
+        (0, 3), (3, 8), (9, 14), (14, 15), (15, 16), (17, 18), (18, 19), (19, 19), (19, 20), (21, 22), (22, 23), (24, 25)]
+    assert two.rationale_mask[:8] == [0, 1, 1, 1, 1, 1, 0, 0] and sum(two.rationale_mask) == 5
+    assert sorted((r.window_no, r.n_tokens) for r in rows if r.doc_id == 3) == [(0, 510), (1, 190)]
+
+
 def test_exact_ordinal_and_running_total(spark):
     df = spark.range(0, 1000).withColumn("k", (F.col("id") * 7919) % 1000)
     r = exact_ordinal(df, ["k", "id"], out="rn", total_out="n", num_partitions=5)
