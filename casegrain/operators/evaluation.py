@@ -119,27 +119,28 @@ def span_prf(pred: DataFrame, gold: DataFrame, keys=("doc_id", "type", "start",
     return per.select("type", "tp", "fp", "fn", *_prf(tp, tp + fp, tp + fn))
 
 
-def _lcs_len(a, b) -> int:
-    """Length of the longest common subsequence (row DP, numpy-vectorised per row)."""
-    if len(a) == 0 or len(b) == 0:
-        return 0
-    vocab = {}
-    ia = np.array([vocab.setdefault(x, len(vocab)) for x in a])
-    ib = np.array([vocab.setdefault(x, len(vocab)) for x in b])
-    prev = np.zeros(len(ib) + 1, dtype=np.int32)
-    for x in ia:
-        eq = (ib == x)
-        cur = np.zeros_like(prev)
-        # cur[j] = prev[j-1] + 1 if equal else max(prev[j], cur[j-1]); the max-scan is a cumulative max.
-        cand = np.where(eq, prev[:-1] + 1, prev[1:])
-        cur[1:] = np.maximum.accumulate(np.maximum(cand, 0))
-        prev = cur
-    return int(prev[-1])
+def lcs_of(a, b) -> int:
+    """Length of the longest common subsequence, a bit per token of the shorter side.
+
+    Zero bits of the state mark where the length grows; one addition of whole integers carries a row of the table.
+    """
+    if len(a) > len(b):
+        a, b = b, a
+    places: dict = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    state = full
+    for x in b:
+        hit = state & places.get(x, 0)
+        if hit:
+            state = ((state + hit) | (state - hit)) & full
+    return len(a) - state.bit_count()
 
 
 @F.pandas_udf(T.LongType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_lcs_len(list(x) if x is not None else [], list(y) if y is not None else [])
+    return pd.Series([lcs_of(list(x) if x is not None else [], list(y) if y is not None else [])
                       for x, y in zip(a, b)], dtype="int64")
 
 

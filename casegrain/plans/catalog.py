@@ -26,6 +26,7 @@ from casegrain.operators import legal as LG
 from casegrain.operators import summarize as SU
 from casegrain.operators import evaluation as EV
 from casegrain.operators import similarity as SIM
+from casegrain.operators import vectors as VE
 from casegrain.plans import models as MD
 from casegrain.sources import csv_io, token_store
 from casegrain.sources.model_store import load_first, save_model
@@ -363,8 +364,13 @@ def q_similarity_rows(spark, d):
 
 
 def q_similarity_lsh(spark, d):
-    docs = _docs(spark, d).select("doc_id", tokens_of(F.coalesce(F.col("text"), F.lit(""))).alias("toks"))
-    return SIM.near_duplicates(docs)
+    return SIM.near_duplicates(_docs(spark, d).select("doc_id", "text"))
+
+
+def q_similarity_cells(spark, d):
+    emb = _emb(spark, d)
+    own = emb.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    return VE.search(VE.build_index(emb), own, k=5)
 
 
 def q_clustering(spark, d):
@@ -613,6 +619,7 @@ QUERIES = {
     "similarity_topk": q_similarity_topk,
     "similarity_rows": q_similarity_rows,
     "similarity_lsh": q_similarity_lsh,
+    "similarity_cells": q_similarity_cells,
     "clustering": q_clustering,
     "rouge_n": q_rouge_n,
     "bleu": q_bleu,

@@ -718,15 +718,18 @@ UNION ALL SELECT id_a, id_b, round(c::DOUBLE / u, 9), 'near' FROM p WHERE c >= 0
 SELECT pair, n, overlap, cand_grams, ref_grams, {_prf_sql('overlap', 'cand_grams', 'ref_grams')}
 FROM (SELECT * FROM ov1 UNION ALL SELECT * FROM ov2)
 """,
-    "rouge_l": "WITH RECURSIVE " + SUMMARY_PAIRS + f""",
-lcs(pair, cand, ref, i, d) AS (
-  SELECT pair, cand, ref, 0, list_transform(range(len(ref) + 1), lambda z: 0::BIGINT) FROM pairs
-  UNION ALL
-  SELECT pair, cand, ref, i + 1, list_reduce(range(1, len(ref) + 1), lambda acc, j: list_append(acc,
-           CASE WHEN cand[i + 1] = ref[j] THEN d[j] + 1 ELSE greatest(d[j + 1], acc[len(acc)]) END), [0::BIGINT])
-  FROM lcs WHERE i < len(cand)
-),
-done AS (SELECT pair, d[len(d)] AS lcs, len(cand)::BIGINT AS cand_len, len(ref)::BIGINT AS ref_len FROM lcs WHERE i = len(cand))
+    # Hunt and Szymanski: the places of equal tokens, taken in order of the candidate and backwards in the
+    # reference, each replace the first threshold that is not smaller; the thresholds left are as many as the LCS is long.
+    "rouge_l": "WITH " + SUMMARY_PAIRS + f""",
+ct AS (SELECT pair, unnest(cand) AS w, unnest(range(len(cand))) AS i FROM pairs WHERE cand <> ref),
+rt AS (SELECT pair, unnest(ref) AS w, unnest(range(len(ref))) AS j FROM pairs WHERE cand <> ref),
+mt AS (SELECT pair, list([j] ORDER BY i, j DESC) AS m FROM ct JOIN rt USING (pair, w) GROUP BY pair),
+done AS (
+  SELECT p.pair, len(p.cand)::BIGINT AS cand_len, len(p.ref)::BIGINT AS ref_len,
+         CASE WHEN cand = ref THEN len(cand) WHEN m IS NULL THEN 0 ELSE len(list_reduce(list_concat([[]::BIGINT[]], m), lambda t, x: list_concat(
+           list_filter(t, lambda y: y < x[1]), x, list_slice(t, len(list_filter(t, lambda y: y < x[1])) + 2, len(t))))) END::BIGINT AS lcs
+  FROM pairs p LEFT JOIN mt USING (pair)
+)
 SELECT pair, lcs, cand_len, ref_len, {_prf_sql('lcs', 'cand_len', 'ref_len')} FROM done
 """,
     "bleu": "WITH " + SUMMARY_PAIRS + "," + ",".join(_overlap_cte(n) for n in (1, 2, 3, 4)) + """,

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from casegrain.operators import cleaning as CL
 from casegrain.operators import legal as LG
+from casegrain.operators import evaluation as EV
 from casegrain.operators import similarity as SIM
+from casegrain.operators import vectors as VE
 from casegrain.operators import summarize as SU
 
 
@@ -85,7 +87,7 @@ def test_near_duplicates_find_short_copies_and_the_threshold(spark):
         docs.append((i, t))
     t = [f"x{i}" for i in range(12)]
     docs += [(100, t), (101, t + ["y", "z"]), (102, []), (103, ["a", "b"]), (104, ["a", "b"])]    # 8 of 10 shingles: exactly 0.8
-    df = spark.createDataFrame(docs, "doc_id long, toks array<string>")
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id long, text string")
     for most in (64, 3):
         rows = SIM.near_duplicates(df, most=most).collect()
         sets, want = brute_pairs(docs)
@@ -113,3 +115,74 @@ def test_similarity_rows_searches_every_hundredth_row(spark):
     due = {r.vec_id for r in spark.read.parquet(f"{d}/embeddings.parquet").filter("vec_id % 100 = 0").select("vec_id").collect()}
     rows = E.queries()["similarity_rows"](spark, d).collect()
     assert {r.query_id for r in rows} == due and len(rows) == 5 * len(due) and all(r.vec_id != r.query_id for r in rows)
+
+
+def test_min_hashes_find_pairs_in_crowded_buckets(spark):
+    """Hundreds of near copies of one text: buckets are split again and again, and no pair at the threshold is lost."""
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    docs = []
+    for i in range(240):
+        t = list(base)
+        for _ in range(r.randrange(1, 3)):
+            t[r.randrange(len(t))] = f"x{r.randrange(9)}"
+        docs.append((i, t))
+    sets, want = brute_pairs(docs)
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id long, text string")
+    rows = SIM.near_duplicates(df, most=16).collect()
+    rep = {x.id_b for x in rows if x.kind == "exact"}
+    want = {(a, b) for a, b in want if a not in rep and b not in rep}
+    got = {(x.id_a, x.id_b) for x in rows if x.kind == "near"}
+    assert got <= want and len(got) >= 0.999 * len(want) > 500
+
+
+def test_lcs_equals_brute_force():
+    r = random.Random(1)
+    for _ in range(200):
+        a, b = r.choices("abcd", k=r.randrange(15)), r.choices("abcd", k=r.randrange(15))
+        d = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                d[i + 1][j + 1] = d[i][j] + 1 if x == y else max(d[i][j + 1], d[i + 1][j])
+        assert EV.lcs_of(a, b) == d[-1][-1]
+
+
+def test_best_of_breaks_ties_by_id():
+    import numpy as np
+    r = np.random.default_rng(3)
+    score = r.integers(0, 4, (50, 40)) / 4
+    score[0] = -np.inf
+    ids = np.stack([r.permutation(40) for _ in range(50)])
+    best, names = SIM.best_of(score, ids, 5)
+    for i in range(1, 50):
+        want = sorted(zip(-score[i], ids[i]))[:5]
+        assert [(-s, n) for s, n in zip(best[i], names[i])] == want
+
+
+def test_cells_find_nine_of_ten_neighbours(spark):
+    import __spark_entry__ as E
+    d, q = "/root/testdata/sf0.1", E.queries()
+    exact = {(x.query_id, x.vec_id) for x in q["similarity_rows"](spark, d).collect()}
+    rows = q["similarity_cells"](spark, d).collect()
+    found = {(x.query_id, x.vec_id) for x in rows}
+    assert len(found & exact) >= 0.9 * len(exact) and len(rows) == len(exact)
+
+
+def test_cells_with_odd_rows_and_parts(spark):
+    r = random.Random(2)
+    rows = [(i, [r.gauss(0, 1) for _ in range(6)]) for i in range(200)] + [(900, None), (901, [0.0] * 6), (7, [1.0] * 6), (None, [1.0] * 6)]
+    base = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = base.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")).where("vec_id < 20 OR vec_id >= 900")
+    index = VE.build_index(base, cells=VE.learn_cells(base, cells=4), chunk=10)
+    got = VE.search(index, queries, k=4, probes=4, chunk=10).collect()       # all cells: exact
+    norm = lambda v: [x / sum(y * y for y in v) ** 0.5 for x in v]
+    unit = [(i, norm(v)) for i, v in rows if v and any(v) and i is not None]
+    seen = {}
+    for x in got:
+        seen.setdefault(x.query_id, []).append((x.cosine, x.vec_id))
+    assert set(seen) == set(range(20))
+    for i, v in unit[:20]:
+        if i != 7:
+            want = sorted(((-round(sum(a * b for a, b in zip(v, w)), 9), j) for j, w in unit if j != i))[:4]
+            assert [(round(-s, 6), j) for s, j in want] == [(round(s, 6), j) for s, j in sorted(seen[i], reverse=True)]
+    assert VE.search(VE.build_index(base.limit(0)), queries).count() == 0
