@@ -27,6 +27,7 @@ from casegrain.operators import summarize as SU
 from casegrain.operators import evaluation as EV
 from casegrain.operators import similarity as SIM
 from casegrain.operators import vectors as VE
+from casegrain.plans import epochs as EP
 from casegrain.plans import models as MD
 from casegrain.sources import csv_io, token_store
 from casegrain.sources.model_store import load_first, save_model
@@ -492,6 +493,22 @@ def q_distill_train(spark, d):
                      F.lit(s["agreement"]).alias("agreement"), F.lit(s["kl_teacher_student"]).alias("kl_teacher_student"))
 
 
+def q_distill_epochs(spark, d):
+    """Losses of the student's real outputs per mini-batch of every epoch."""
+    out = EP.distill(_corpus(spark, d))["losses"]
+    return out.select("epoch", "batch", "n_rows", *[F.round(c, 6).alias(c) for c in (
+        "kl_loss", "label_loss", "cosine_loss", "combined_loss", "running_mean")])
+
+
+def q_epoch_training(spark, d):
+    """Mean of the mini-batch losses while training, and the dev metrics, of every epoch of teacher and student."""
+    out = EP.distill(_corpus(spark, d))
+    loss = M.batch_mean(out["train"], "loss", keys=("run", "epoch"))
+    return out["metrics"].join(loss, ["run", "epoch"]).select(
+        "run", "epoch", "n", "accuracy", "precision", "recall", "f1", "n_batches",
+        F.round("mean_of_batch_means", 6).alias("train_loss"), "selected")
+
+
 def _rationale(spark, d):
     return MD.train_rationale(_masks(spark, d), _docs(spark, d).select("doc_id", "text"))
 
@@ -630,6 +647,8 @@ QUERIES = {
     "subword_segment": q_subword_segment,
     "classifier_train": q_classifier_train,
     "distill_train": q_distill_train,
+    "distill_epochs": q_distill_epochs,
+    "epoch_training": q_epoch_training,
     "rationale_train": q_rationale_train,
     "kfold_assign": q_kfold_assign,
     "kfold_cv": q_kfold_cv,
