@@ -1,18 +1,24 @@
 """Extractive summaries: top sentences by mean TF-IDF of their tokens.
 
-tf per (document, token) and df per token are ``groupBy`` counts with
-map-side partial aggregation (a hot token such as "the" is combined before
-the shuffle).  Sentence tokens meet them in two joins: tf on (doc, token)
-and df on token (Spark broadcasts the df table if its size allows).
+The text is cut into distinct tokens once; df is a count of those rows with map-side
+combination, and the idf of a document's tokens comes back to it as one row. tf and sentence scores are then
+computed inside the row, so no token occurrence is ever shuffled.
 The top-k per document is a window over one document's sentences.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from casegrain.functions.text import sentences, tokens, trim_ws
+from casegrain.functions.batches import over_batches, token_bounds, token_texts, with_array
+from casegrain.functions.text import sentences
+from casegrain.session import materialize
 
 # ---- fixed values -----------------------------------------------------------
 TOP_K = 3
@@ -23,23 +29,35 @@ SCORE_DIGITS = 9
 
 def sentence_scores(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, sent_pos, sentence, n_tokens, score) for sentences with >= 3 tokens."""
-    d = docs.select(id_col, F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    doc_tokens = d.select(id_col, F.explode_outer(tokens("_t")).alias("token")).filter(F.col("token").isNotNull())
-    tf = doc_tokens.groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf"))
+    d = docs.select(F.col(id_col), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    words_of = lambda t: token_texts(t, *token_bounds(t))
+    types = with_array(d, "_w", T.ArrayType(T.StringType()), pa.list_(pa.string()), ["_t"], lambda t: list(dict.fromkeys(words_of(t))))
+    types = types.select(id_col, F.explode_outer("_w").alias("token")).filter(F.col("token").isNotNull())
+    # Rows that share an id are one document.
+    types = materialize(types.distinct(), "summary-types")
     n_docs = d.count()
-    dfreq = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    idf = dfreq.select("token", F.log((F.lit(n_docs) + 1) / (F.col("df") + 1)).alias("idf"))
-    sents = d.select(id_col, F.posexplode_outer(sentences("_t")).alias("sent_pos", "sentence")) \
-        .filter(F.col("sentence").isNotNull())
-    sents = sents.withColumn("_toks", tokens("sentence")).filter(F.size("_toks") >= MIN_SENTENCE_TOKENS)
-    st = sents.select(id_col, "sent_pos", F.explode("_toks").alias("token"))
-    scored = (st.join(tf, [id_col, "token"])
-              .join(idf, "token")
-              .groupBy(id_col, "sent_pos").agg(F.avg(F.col("tf") * F.col("idf")).alias("score"),
-                                               F.count(F.lit(1)).alias("n_tokens")))
-    return scored.join(sents.select(id_col, "sent_pos", "sentence"), [id_col, "sent_pos"]).select(
-        id_col, F.col("sent_pos").cast("bigint").alias("sent_pos"), "sentence",
-        F.col("n_tokens").cast("bigint").alias("n_tokens"), F.round("score", SCORE_DIGITS).alias("score"))
+    idf = types.groupBy("token").agg(F.log((F.lit(n_docs) + 1) / (F.count(F.lit(1)) + 1)).alias("idf"))
+    known = types.join(idf, "token").groupBy(id_col).agg(F.collect_list(F.struct("token", "idf")).alias("_idf"))
+    rows = d.groupBy(id_col).agg(F.collect_list(F.struct("_t", sentences("_t").alias("s"))).alias("_d")).join(known, id_col)
+    kind = dict(d.dtypes)[id_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for key, own, weights in zip(*[batch.column(c).to_pylist() for c in (id_col, "_d", "_idf")]):
+                tf = Counter(w for x in own for w in words_of(x["_t"]))
+                score = {x["token"]: tf[x["token"]] * x["idf"] for x in weights}
+                for x in own:
+                    for pos, sentence in enumerate(x["s"]):
+                        found = words_of(sentence)
+                        if len(found) >= MIN_SENTENCE_TOKENS:
+                            out.append((key, pos, sentence, len(found), sum(score[w] for w in found) / len(found)))
+            kinds = [batch.schema.field(id_col).type, pa.int64(), pa.string(), pa.int64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)],
+                                             names=[id_col, "sent_pos", "sentence", "n_tokens", "score"])
+    scored = over_batches(rows.select(id_col, "_d", "_idf"), run,
+                          f"{id_col} {kind}, sent_pos long, sentence string, n_tokens long, score double")
+    return scored.withColumn("score", F.round("score", SCORE_DIGITS))
 
 
 def top_sentences(scores: DataFrame, k: int = TOP_K, id_col: str = "doc_id") -> DataFrame:
