@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegrain.operators import annotations as A
+from casegrain.operators import intervals as IV
 from casegrain.operators import sampling as S
 from casegrain.operators import tokens as TK
 from casegrain.plans import standins as SI
@@ -157,6 +158,14 @@ def q_rationale_mask(spark, d):
                     F.array_join(F.transform("rationale_mask", lambda x: x.cast("string")), "").alias("mask_bits"))
 
 
+def q_interval_mask(spark, d):
+    """The masks again, from annotations in a table of their own."""
+    experts = _experts(spark, d)
+    m = IV.interval_masks(experts.select("doc_id", "text"), A.annotation_rows(experts))
+    return m.select("doc_id", "window_no", "n_active", "n_positive",
+                    F.array_join(F.transform("rationale_mask", lambda x: x.cast("string")), "").alias("mask_bits"))
+
+
 def q_rationale_coverage(spark, d):
     return A.coverage(_masks(spark, d))
 
@@ -607,6 +616,7 @@ QUERIES = {
     "span_occurrences": q_span_occurrences,
     "token_span_overlap": q_token_span_overlap,
     "rationale_mask": q_rationale_mask,
+    "interval_mask": q_interval_mask,
     "rationale_coverage": q_rationale_coverage,
     "train_val_split": q_train_val_split,
     "class_weights": q_class_weights,

@@ -247,6 +247,7 @@ FROM encoded WHERE window_no = 0
     "span_occurrences": "WITH " + SPANS + "\nSELECT doc_id, sentence, start, \"end\" FROM spans\n",
     "token_span_overlap": "WITH " + SPANS + "\nSELECT doc_id, start, \"end\", lo, hi FROM span_ok\n",
     "rationale_mask": "WITH " + SPANS + "\nSELECT doc_id, window_no, n_active, n_positive, mask_bits FROM masks\n",
+    "interval_mask": "WITH " + SPANS + "\nSELECT doc_id, window_no, n_active, n_positive, mask_bits FROM masks\n",
     "rationale_coverage": "WITH " + SPANS + """
 SELECT count(*)::BIGINT AS n_windows, sum(n_positive)::BIGINT AS positive_tokens,
        (count(*) * 512)::BIGINT AS padded_tokens, sum(n_active)::BIGINT AS active_tokens,
