@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casegrain.llm import words as W
-from casegrain.llm.tables import arrow, written
+from casegrain.llm.tables import arrow, free, written
 
 WIDTH = 10
 SLOP = 3                  # words, for proximity matches
@@ -101,7 +101,7 @@ def _segment(data: np.ndarray, offs: np.ndarray, ids: pa.Array, name: int) -> pa
         names=["segment", "doc_ids", "word_counts", "hashes", "spelling", "spelling_ends", "counts", "postings"])
 
 
-def index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+def index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES, scratch: list[DataFrame] | None = None) -> DataFrame:
     """The positional index of ``docs`` (doc_id, text), one row per segment, written to the shared folder."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -114,7 +114,7 @@ def index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
                                W.column(batch, "doc_id").slice(lo, hi - lo), name)
                 name += 1
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return written(arrow(rows, run, INDEX), "positional-index")
+    return written(arrow(rows, run, INDEX), "positional-index", scratch=scratch)
 
 
 class Queries:
@@ -315,4 +315,7 @@ def _merge(results: list[DataFrame]) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop: int = SLOP,
                   chunk_words: int = CHUNK_WORDS) -> DataFrame:
-    return search(index(docs), item_words(benchmark), width, slop, chunk_words)
+    scratch: list[DataFrame] = []
+    found = search(index(docs, scratch=scratch), item_words(benchmark), width, slop, chunk_words)
+    free(scratch)       # the matches are written: the index has done its work
+    return found

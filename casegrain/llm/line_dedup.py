@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casegrain.llm.tables import bind, membership_bits, with_membership, without, written
+from casegrain.llm.tables import bind, free, membership_bits, with_membership, without, written
 
 LETTERS = "etaonirhsl"   # counted in the low 40 bits of a line's name, 4 bits each
 EDITS = 2            # at most 4: the verification packs (edits + 1) * (2 * edits + 1) bits in 64
@@ -158,7 +158,7 @@ def _before(a: str, b: str) -> Column:
     return F.struct(f"{a}.doc_id", f"{a}.line_no") < F.struct(f"{b}.doc_id", f"{b}.line_no")
 
 
-def near_lines(firsts: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+def near_lines(firsts: DataFrame, lines: DataFrame, edits: int, scratch: list[DataFrame] | None = None) -> DataFrame:
     """doc_id, line_no of each of ``firsts`` that has an earlier one within ``edits`` edits."""
     index = firsts.select(F.explode(index_keys(edits)).alias("key"), F.col("place").alias("r"))
     probes = firsts.select(F.explode(probe_keys(edits)).alias("key"), F.col("place").alias("s"))
@@ -170,7 +170,7 @@ def near_lines(firsts: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
         F.least("r", "s").alias("r"), F.greatest("r", "s").alias("s"))).distinct()
     twins = firsts.groupBy("place").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
         F.col("place").alias("r"), F.col("place").alias("s"))
-    pairs = written(pairs.unionByName(twins), "line-pairs")
+    pairs = written(pairs.unionByName(twins), "line-pairs", scratch=scratch)
     both = pairs.select(F.col("r").alias("place")).unionByName(pairs.select(F.col("s").alias("place"))).distinct()
     bits = membership_bits(both.select(F.xxhash64("place").alias("h")), "h")
     marked = with_membership(lines.withColumn("h", F.xxhash64("place")), "h", bits, "needed").where("needed")
@@ -187,11 +187,12 @@ def near_lines(firsts: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
 
 def dropped_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS,
                   near_chars: int = NEAR_CHARS) -> DataFrame:
-    """doc_id, line_no and ``near`` of every line to drop."""
-    lines = written(lines_of(docs.select("doc_id", "text"), least_chars), "lines", "zstd")
+    """A written table of doc_id, line_no and ``near`` of every line to drop."""
+    scratch: list[DataFrame] = []
+    lines = written(lines_of(docs.select("doc_id", "text"), least_chars), "lines", "zstd", scratch)
     copies = written(
         lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "line_no")).alias("first"))
-        .where("n > 1").select("h1", "h2", "first"), "line-copies")
+        .where("n > 1").select("h1", "h2", "first"), "line-copies", scratch=scratch)
     told = with_membership(lines, "h1", membership_bits(copies, "h1"), "maybe")
     place = F.struct(F.col("l.doc_id"), F.col("l.line_no"))
     maybe = told.where("maybe").alias("l").join(copies.alias("c"), ["h1", "h2"], "left")
@@ -199,8 +200,10 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_
     known = maybe.where(F.col("c.first").isNull() | (place == F.col("c.first"))).where(F.col("length") >= near_chars)
     firsts = told.where("NOT maybe").where(F.col("length") >= near_chars).select("line", "length", "place").unionByName(
         known.select("line", "length", "place"))
-    near = near_lines(firsts, lines, edits)
-    return exact.distinct().withColumn("near", F.lit(False)).unionByName(near.withColumn("near", F.lit(True)))
+    near = near_lines(firsts, lines, edits, scratch)
+    out = written(exact.distinct().withColumn("near", F.lit(False)).unionByName(near.withColumn("near", F.lit(True))), "dropped-lines")
+    free(scratch)
+    return out
 
 
 def deduplicate(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS,
@@ -210,7 +213,7 @@ def deduplicate(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CH
     Adds n_lines, n_exact, n_near, dropped (line numbers) and emptied (nothing but white
     space is left of a text that had a word).
     """
-    rows = written(dropped_lines(docs, edits, least_chars, near_chars), "dropped-lines")
+    rows = dropped_lines(docs, edits, least_chars, near_chars)
     per_doc = rows.groupBy(F.col("doc_id").alias("__id")).agg(
         F.sort_array(F.collect_set("line_no")).alias("dropped"),
         F.count_if(~F.col("near")).alias("n_exact"), F.count_if("near").alias("n_near")).withColumn(
@@ -248,9 +251,11 @@ def without_leftovers(found: DataFrame, docs: DataFrame, least_chars: int = LEAS
                    "line-kept", "zstd")
     hashed = lambda df: df.select("doc_id", F.explode(short).alias("line")).select(
         "doc_id", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
-    own = written(hashed(kept.where("__bare")).distinct(), "bare-lines")
+    scratch: list[DataFrame] = []
+    own = written(hashed(kept.where("__bare")).distinct(), "bare-lines", scratch=scratch)
     told = with_membership(hashed(docs.where("text IS NOT NULL")), "h1", membership_bits(own, "h1"), "maybe")
     firsts = told.where("maybe").groupBy("h1", "h2").agg(F.min(F.struct("doc_id")).alias("first"))
-    leftovers = own.join(firsts, ["h1", "h2"]).groupBy("doc_id").agg(
-        F.bool_and(F.col("first") < F.struct("doc_id")).alias("repeats")).where("repeats").select("doc_id")
+    leftovers = written(own.join(firsts, ["h1", "h2"]).groupBy("doc_id").agg(
+        F.bool_and(F.col("first") < F.struct("doc_id")).alias("repeats")).where("repeats").select("doc_id"), "leftovers")
+    free(scratch)
     return kept.where("NOT __bare").select(columns).unionByName(without(kept.where("__bare").select(columns), leftovers))

@@ -5,6 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline as C
+from casegrain.llm import pipeline
 
 
 @pytest.fixture(scope="module")
@@ -83,7 +84,7 @@ def test_exact_copies_with_short_lines_leave_no_stub(spark):
             (11, f"{long[0]}\nTwice\nTwice"), (12, f"{long[0]}\nTwice"), (None, f"{long[0]}\nMenu"), (13, None), (14, "")]
     df = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in docs],
                                "doc_id long, text string, lang string, source string, n_chars long")
-    out = [(r["doc_id"], r["text"]) for r in C.drop_lines(spark, df, "").collect()]
+    out = [(r["doc_id"], r["text"]) for r in pipeline.drop_lines(spark, df, "").collect()]
     assert sorted(out, key=str) == sorted([
         (1, "Menu\n\nHome"), (3, "Menu\nOnly here"), (4, f"Menu\n{long[1]}"), (5, "Menu"), (7, f"{long[2]}\n é "),
         (10, "Menu"), (10, "new one"), (11, "Twice\nTwice"), (None, f"{long[0]}\nMenu"), (13, None), (14, "")], key=str)
