@@ -220,8 +220,11 @@ def fit_trees(trees: list[Tree]) -> Model:
 
 def fit(given: DataFrame) -> Model:
     """The model of the labelled ones among ``given`` (page_id, html) and of their blocks in other layouts."""
-    sample = (given.where("instr(lower(html), '<article') > 0").where(F.char_length("html") <= PAGE_CHARS)
-              .select("html", F.xxhash64(F.lit(SEED), F.col("page_id").cast("long"), F.col("html")).alias("h")).orderBy("h", "html").limit(SAMPLE))
+    labelled = (given.where("instr(lower(html), '<article') > 0").where(F.char_length("html") <= PAGE_CHARS)
+                .select("html", F.xxhash64(F.lit(SEED), F.col("page_id").cast("long"), F.col("html")).alias("h")))
+    # The hashes are ranked first, so no task sends its own best pages: only the chosen ones reach the driver.
+    most = labelled.select("h").orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+    sample = labelled.where(F.col("h") <= F.lit(most).cast("long")).orderBy("h", "html").limit(SAMPLE)
     own = [t for t in (parse(r["html"]) for r in sample.collect()) if own_labels(t)]
     r, parts = random.Random(SEED), Parts(own)
     return fit_trees(own + [parse(Layout(r, parts).page()) for _ in range(LAYOUTS)])
