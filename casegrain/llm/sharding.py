@@ -6,13 +6,15 @@ one sequence in which every stretch holds the sources in their overall
 proportions; cutting it into equal stretches gives shards that match the
 mixture, with row counts at most one apart (law ``rows``).
 
-No source is sorted as one group. A seeded 64-bit hash deals each source into
-buckets of about ``bucket_rows`` rows; the small table of bucket counts gives
-each bucket its first rank, and rows are ranked inside their bucket only. The
-global position is found the same way from buckets of the fractional rank.
-The text itself never enters a shuffle: size and checksum are computed in the
+No source is sorted as one group. Rows are range-partitioned by source and seeded 64-bit hash, numbered in
+their partition, and get the counts of the partitions before; a row's rank in its source is its number less
+the source's first one. The global position is found the same way from the fractional rank and a hash, so neither a big source nor
+many sources of one row land in one task. The text itself never enters a shuffle: size and checksum are computed in the
 scan.
 
+Equal texts are not kept together: under the law ``rows`` a shard is a stretch of the interleaving, and copies
+are rows like any other. Rows with equal fractions follow each other by a seeded hash, then by source.
+
 Defined results: a null source is a stratum of its own; null and empty text
 have size 1 and the checksum of no bytes (0); repeated rows are separate rows;
 rows equal in every used column are interchangeable; an empty table gives an
@@ -21,79 +23,38 @@ empty result; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casegrain.llm.tables import written
+from casegrain.functions.ordinal import exact_ordinal
+from casegrain.llm.tables import free, written
 
 N_SHARDS = 8
 SEED = 20240607
-BUCKET_ROWS = 2_000
-
-
-def _bucket_starts(counts: DataFrame, keys: list[str], bucket: str, out: str) -> DataFrame:
-    """Rows before each bucket of its ``keys`` group; ``counts`` has a row per bucket."""
-    w = Window.partitionBy(*keys, "__block").orderBy(bucket)
-    blocks = counts.withColumn("__block", F.floor(F.col(bucket) / 1024))
-    inner = blocks.withColumn("__in", F.sum("__n").over(w) - F.col("__n"))
-    totals = blocks.groupBy(*keys, "__block").agg(F.sum("__n").alias("__bn"))
-    # One row per 1,024 buckets: the only window over a whole group.
-    w2 = Window.partitionBy(*keys).orderBy("__block")
-    before = totals.withColumn("__before", F.sum("__bn").over(w2) - F.col("__bn"))
-    joined = inner.alias("i").join(
-        before.alias("b"),
-        [F.col(f"i.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-        + [F.col("i.__block") == F.col("b.__block")])
-    return joined.select(*[F.col(f"i.{k}") for k in keys], F.col(f"i.{bucket}").alias(bucket),
-                         (F.col("i.__in") + F.col("b.__before")).alias(out))
-
-
-def interleave(rows: DataFrame, stratum: str, tie: list[str], seed: int = SEED,
-               bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+
+
+def interleave(rows: DataFrame, stratum: str, tie: list[str], seed: int = SEED) -> DataFrame:
     """``rows`` plus ``position``: 0-based place in the proportional interleaving.
 
     ``tie`` names the columns that order the rows of a stratum beside the seeded
     hash of the first of them.
     """
-    hashed = rows.withColumn("__h", F.xxhash64(F.lit(seed), tie[0]))
-    # The stratum sizes are a partial aggregate; one row per stratum.
-    sizes = hashed.groupBy(stratum).agg(F.count(F.lit(1)).alias("__size"))
-    sizes = sizes.withColumn("__buckets", F.ceil(F.col("__size") / bucket_rows))
-    sized = hashed.alias("r").join(
-        sizes.alias("s"), F.col(f"r.{stratum}").eqNullSafe(F.col(f"s.{stratum}")),
-    ).select("r.*", "s.__size", "s.__buckets")
-    # Ordered buckets: the hash as a fraction of its range, times the bucket count.
-    unit = F.col("__h").cast("double") / F.lit(2.0 ** 64) + F.lit(0.5)
-    dealt = sized.withColumn("__b", F.least(F.floor(unit * F.col("__buckets")), F.col("__buckets") - 1))
-    counts = dealt.groupBy(stratum, "__b").agg(F.count(F.lit(1)).alias("__n"))
-    starts = _bucket_starts(counts, [stratum], "__b", "__start")
-    w = Window.partitionBy(stratum, "__b").orderBy("__h", *tie)
-    ranked = dealt.withColumn("__rn", F.row_number().over(w)).alias("d").join(
-        starts.alias("t"),
-        F.col(f"d.{stratum}").eqNullSafe(F.col(f"t.{stratum}")) & (F.col("d.__b") == F.col("t.__b")),
-    ).select("d.*", F.col("t.__start"))
-    fraction = (2 * (F.col("__start") + F.col("__rn")) - 1).cast("double") / (2 * F.col("__size")).cast("double")
-    placed = written(ranked.withColumn("__f", fraction), "shard-ranks")
-    return _by_fraction(placed, sizes, stratum, tie, bucket_rows).drop(
-        "__h", "__size", "__buckets", "__b", "__rn", "__start", "__f")
-
-
-def _by_fraction(placed: DataFrame, sizes: DataFrame, stratum: str, tie: list[str],
-                 bucket_rows: int) -> DataFrame:
-    """Global position by (fraction, stratum): equal-width buckets of the fraction hold equal shares."""
-    total = sizes.agg(F.ceil(F.sum("__size") / bucket_rows).alias("__parts"))
-    # One row, at most: safe to send to every task.
-    cut = placed.join(F.broadcast(total)).withColumn(
-        "__p", F.least(F.floor(F.col("__f") * F.col("__parts")), F.col("__parts") - 1))
-    counts = cut.groupBy("__p").agg(F.count(F.lit(1)).alias("__n")).withColumn("__all", F.lit(0))
-    starts = _bucket_starts(counts, ["__all"], "__p", "__pstart").drop("__all")
-    w = Window.partitionBy("__p").orderBy("__f", stratum, "__h", *tie)
-    return cut.withColumn("__prn", F.row_number().over(w)).join(starts, "__p").withColumn(
-        "position", F.col("__pstart") + F.col("__prn") - 1).drop("__p", "__parts", "__prn", "__pstart")
-
-
-def assign_shards(docs: DataFrame, shards: int = N_SHARDS, seed: int = SEED,
-                  bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    order = [stratum, "__h", *tie, "__row"]
+    # Rows equal in every column are told apart by their place, so that even they spread over partitions.
+    hashed = rows.withColumn("__h", F.xxhash64(F.lit(seed), tie[0])).withColumn("__row", F.monotonically_increasing_id())
+    ranked = exact_ordinal(hashed, order, out="__place")
+    # The stratum sizes are a partial aggregate; one row per stratum. Its rows follow each other in the first order.
+    sizes = ranked.groupBy(stratum).agg(F.count(F.lit(1)).alias("__size"), F.min("__place").alias("__first"))
+    sized = ranked.alias("r").join(
+        sizes.alias("s"), F.col(f"r.{stratum}").eqNullSafe(F.col(f"s.{stratum}"))).select("r.*", "s.__size", "s.__first")
+    fraction = (2 * (F.col("__place") - F.col("__first")) + 1).cast("double") / (2 * F.col("__size")).cast("double")
+    # Strata of one row, or of one size, share their fractions: the hash of stratum and row splits them.
+    mixed = sized.withColumns({"__f": fraction, "__g": F.xxhash64(stratum, "__h")})
+    placed = exact_ordinal(mixed, ["__f", "__g", *order], out="__at")
+    return placed.withColumn("position", F.col("__at") - 1).drop("__h", "__row", "__place", "__size", "__first", "__f", "__g", "__at")
+
+
+def assign_shards(docs: DataFrame, shards: int = N_SHARDS, seed: int = SEED) -> DataFrame:
     """Shard assignment of ``docs`` (doc_id, text, source): one row per input row.
 
     Returns doc_id, source, size, text_crc32, law, shard, slot, grown_shard.
@@ -104,7 +65,7 @@ def assign_shards(docs: DataFrame, shards: int = N_SHARDS, seed: int = SEED,
                        F.crc32(raw).alias("text_crc32"))
     # Written once: the text is scanned a single time, and only these narrow rows are shuffled.
     rows = written(rows, "shard-rows")
-    placed = interleave(rows, "source", ["doc_id", "text_crc32", "size"], seed, bucket_rows)
+    placed = interleave(rows, "source", ["doc_id", "text_crc32", "size"], seed)
     total = rows.agg(F.count(F.lit(1)).alias("__total"))
     whole = placed.join(F.broadcast(total))
     shard = F.expr(f"position * {int(shards)}L div __total")
@@ -118,7 +79,12 @@ def assign_shards(docs: DataFrame, shards: int = N_SHARDS, seed: int = SEED,
 def write_shards(docs: DataFrame, path: str, shards: int = N_SHARDS, seed: int = SEED) -> None:
     """Write ``docs`` under ``path``, one folder per shard; ``slot`` gives the order.
 
-    The assignment is joined back to the texts by document id, so ids must be unique here.
+    Every row is written once, also rows with null or repeated ids: they are told apart by their place in a
+    written copy, which takes the part of the document id in the seeded order. Columns named shard and slot are replaced.
     """
-    a = assign_shards(docs, shards, seed).select("doc_id", "shard", "slot")
-    docs.join(a, "doc_id").write.partitionBy("shard").parquet(path)
+    scratch: list[DataFrame] = []
+    rows = written(docs.drop("shard", "slot").withColumn("__row_id", F.monotonically_increasing_id()), "shard-texts", scratch=scratch)
+    a = assign_shards(rows.select(F.col("__row_id").alias("doc_id"), "text", "source"), shards, seed).select(
+        F.col("doc_id").alias("__row_id"), "shard", "slot")
+    rows.join(a, "__row_id").drop("__row_id").write.partitionBy("shard").parquet(path)
+    free(scratch)

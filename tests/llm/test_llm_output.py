@@ -56,13 +56,14 @@ def test_typed_parts(spark):
     assert chat.format_chats(spark.createDataFrame([], schema)).count() == 0
 
 
-@pytest.mark.parametrize("n,bucket", [(0, 50), (1, 50), (7, 2), (1003, 40)])
-def test_shards(spark, n, bucket):
+@pytest.mark.parametrize("n,parts", [(0, 4), (1, 4), (7, 2), (1003, 13)])
+def test_shards(spark, n, parts):
     r = random.Random(n)
     rows = [(i if i % 50 else None, r.choice(["x" * r.randrange(30), "", None, "é\n"]), r.choice(["hot", "hot", "hot", "a", "b", None]), "s") for i in range(n)]
     rows += rows[:1] * 2
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, shard string")
-    out = sharding.assign_shards(df, bucket_rows=bucket).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    out = sharding.assign_shards(df).collect()
     raw = lambda t: (t or "").encode()
     assert Counter((x["doc_id"], x["size"], x["text_crc32"]) for x in out) == Counter(
         (d, len(raw(t)) + 1, zlib.crc32(raw(t))) for d, t, _, _ in rows)
@@ -73,11 +74,33 @@ def test_shards(spark, n, bucket):
         for source in {x["source"] for x in out}:      # every shard holds its share of every source
             own = Counter(x["shard"] for x in out if x["source"] == source)
             assert max(own[s] for s in range(8)) - min(own[s] for s in range(8)) <= 2
-    again = sharding.assign_shards(df.repartition(3), bucket_rows=bucket).select("doc_id", "shard", "slot", "text_crc32").collect()
-    assert sorted(map(str, again)) == sorted(str(x) for x in sharding.assign_shards(df, bucket_rows=7).select(
+    again = sharding.assign_shards(df.repartition(3)).select("doc_id", "shard", "slot", "text_crc32").collect()
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sorted(map(str, again)) == sorted(str(x) for x in sharding.assign_shards(df).select(
         "doc_id", "shard", "slot", "text_crc32").collect())
 
 
+def test_order_equals_brute_force(spark):
+    """Rows sorted by fractional rank of their seeded order: every stretch holds the sources in proportion."""
+    r = random.Random(12)
+    rows = [(i, f"t{i}", s) for i, s in enumerate(r.choices(["a", "b", None, "c"], weights=[60, 20, 15, 5], k=300))]
+    rows += [(1000 + i, "x", f"one{i}") for i in range(200)]                  # many sources of one row
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    h = {x.doc_id: x.h for x in df.select("doc_id", F.xxhash64(F.lit(sharding.SEED), "doc_id").alias("h")).collect()}
+    g = {x.doc_id: x.g for x in df.select("doc_id", F.xxhash64("source", F.xxhash64(F.lit(sharding.SEED), "doc_id")).alias("g")).collect()}
+    by = {}
+    for d, _, s in rows:
+        by.setdefault(s, []).append(d)
+    keyed = []
+    for own in by.values():
+        for k, d in enumerate(sorted(own, key=lambda d: h[d])):
+            keyed.append(((2 * k + 1) / (2 * len(own)), g[d], d))
+    want = [d for _, _, d in sorted(keyed)]
+    out = sorted(sharding.assign_shards(df).collect(), key=lambda x: x["position"])
+    assert [x["doc_id"] for x in out] == want and [x["position"] for x in out] == list(range(500))
+    assert [x["shard"] for x in out] == [i * 8 // 500 for i in range(500)]
+
+
 def test_written_shards(spark, tmp_path):
     df = spark.createDataFrame([(i, f"t{i}", "a" if i % 3 else "b") for i in range(50)], "doc_id long, text string, source string")
     sharding.write_shards(df, str(tmp_path / "s"), shards=4)
@@ -86,6 +109,16 @@ def test_written_shards(spark, tmp_path):
     assert sorted(Counter(x["shard"] for x in back).values()) == [12, 12, 13, 13]
 
 
+def test_written_shards_with_null_and_repeated_ids(spark, tmp_path):
+    rows = [(None, "a", "s", 1), (None, "b", "s", 2), (5, "c", "s", 3), (5, "c", "s", 4), (5, "d", None, 5), (6, None, "t", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, shard int")
+    sharding.write_shards(df.withColumn("extra", F.col("shard")), str(tmp_path / "s"), shards=2)
+    back = spark.read.parquet(str(tmp_path / "s")).collect()
+    assert sorted(str((x["doc_id"], x["text"], x["source"], x["extra"])) for x in back) == sorted(map(str, rows))
+    assert sorted(Counter(x["shard"] for x in back).values()) == [3, 3]
+    assert sorted((x["shard"], x["slot"]) for x in back) == [(s, i) for s in (0, 1) for i in range(3)]
+
+
 def low_words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
