@@ -33,7 +33,7 @@ from casegrain.llm.words import column, column_bytes, slices
 
 SHARD_TOKENS = 4 << 20
 END_ID = 2
-SHARD_SCHEMA = "part int, seq int, first_doc long, n_docs long, n_tokens long, payload binary"
+SHARD_SCHEMA = "part int, seq int, before long, first_doc long, n_docs long, n_tokens long, payload binary"
 
 
 @functools.lru_cache(maxsize=2)
@@ -61,17 +61,17 @@ class _Shard:
         self.lengths.append(lengths)
         self.n += len(ids)
 
-    def row(self, part: int, seq: int, bits: int) -> pa.RecordBatch:
+    def row(self, part: int, seq: int, before: int, bits: int) -> pa.RecordBatch:
         ids = np.concatenate(self.ids)
         bits = max(bits, int(ids.max()).bit_length())
         payload = to_bytes(WaveletMatrix.of(ids, bits), np.array(self.docs, np.int64), np.array(self.null),
                            np.concatenate(([0], np.cumsum(np.concatenate(self.lengths)))))
         first = None if self.null[0] else self.docs[0]
         return pa.RecordBatch.from_arrays(
-            [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([first], pa.int64()),
+            [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([first], pa.int64()),
              pa.array([len(self.docs)], pa.int64()), pa.array([len(ids)], pa.int64()),
              pa.array([payload], pa.binary())],
-            names=["part", "seq", "first_doc", "n_docs", "n_tokens", "payload"])
+            names=["part", "seq", "before", "first_doc", "n_docs", "n_tokens", "payload"])
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
@@ -79,7 +79,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
     """Encode ``docs`` (doc_id, text) and write the shards under ``path``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, bits = _encoder(tokenizer)
-        part, seq, shard = TaskContext.get().partitionId(), 0, _Shard()
+        part, seq, before, shard = TaskContext.get().partitionId(), 0, 0, _Shard()
         for batch in batches:
             (data, offs), keys = column_bytes(column(batch, "text")), column(batch, "doc_id").to_pylist()
             for lo, hi in slices(offs, 4 << 20):
@@ -90,14 +90,14 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
                 while j < hi - lo:
                     k = int(np.searchsorted(first, first[j] + shard_tokens - shard.n, "right")) - 1
                     if k <= j and shard.n:
-                        yield shard.row(part, seq, bits)
-                        seq, shard = seq + 1, _Shard()
+                        yield shard.row(part, seq, before, bits)
+                        seq, before, shard = seq + 1, before + shard.n, _Shard()
                         continue
                     k = min(max(k, j + 1), hi - lo)
                     shard.add(keys[lo + j:lo + k], ids[first[j]:first[k]], np.diff(first[j:k + 1]))
                     j = k
         if shard.n:
-            yield shard.row(part, seq, bits)
+            yield shard.row(part, seq, before, bits)
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -107,15 +107,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
 
 
 def shards(spark: SparkSession, path: str) -> DataFrame:
-    """The shards with ``start``: ids in all shards before."""
+    """The shards with ``start``: ids in all shards before, those of the same task counted when it wrote them."""
     all_shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
-    own = all_shards.select("part", "seq", "n_tokens").withColumn(
-        "__in", F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_tokens"))
     # One row per partition of the write.
-    parts = own.groupBy("part").agg(F.sum("n_tokens").alias("__n"))
+    parts = all_shards.groupBy("part").agg(F.sum("n_tokens").alias("__n"))
     parts = parts.select("part", (F.sum("__n").over(Window.orderBy("part")) - F.col("__n")).alias("__before"))
-    starts = own.join(parts, "part").select("part", "seq", (F.col("__in") + F.col("__before")).alias("start"))
-    return all_shards.join(F.broadcast(starts), ["part", "seq"])
+    return all_shards.join(F.broadcast(parts), "part").withColumn("start", F.col("before") + F.col("__before")).drop("__before")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

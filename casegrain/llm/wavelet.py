@@ -18,6 +18,7 @@ import numpy as np
 
 MAGIC = b"WAVEMTX1"
 BLOCK = 512
+SELECTED = 1 << 16    # places found at once
 
 
 class Plane:
@@ -57,11 +58,20 @@ class Plane:
         """Position of the k-th (from 0) one or zero."""
         ends = np.arange(len(self.before), dtype=np.int64) * BLOCK
         before = self.before.astype(np.int64) if bit else ends - self.before.astype(np.int64)
-        block = np.searchsorted(before, k, "right") - 1
         out = np.empty(len(k), np.int64)
-        for j, (b, want) in enumerate(zip(block, k - before[block])):
-            here = np.unpackbits(self.packed[b * 64:(b + 1) * 64], bitorder="little")
-            out[j] = b * BLOCK + np.flatnonzero(here == bit)[want]
+        for lo in range(0, len(k), SELECTED):
+            want = k[lo:lo + SELECTED]
+            block = np.searchsorted(before, want, "right") - 1
+            left = want - before[block]
+            words = self.words[np.minimum(block[:, None] * (BLOCK // 64) + np.arange(BLOCK // 64), len(self.words) - 1)]
+            words = words if bit else ~words
+            upto = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
+            at = (upto <= left[:, None]).sum(axis=1)            # the word that holds it
+            row = np.arange(len(want))
+            left = left - np.where(at > 0, upto[row, at - 1], 0)
+            bits = np.unpackbits(words[row, at].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            inside = (np.cumsum(bits, axis=1) <= left[:, None]).sum(axis=1)
+            out[lo:lo + SELECTED] = block * BLOCK + at * 64 + inside
         return out
 
 
