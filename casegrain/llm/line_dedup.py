@@ -18,7 +18,8 @@ Defined results: lines are compared without white space at their ends; lines of
 ``least_chars`` code points and blank lines are never dropped; near lines are looked for from
 ``near_chars`` on; null text stays null and has no lines; rows with one document id are one document,
 so equal lines at one place of them are one line; null ids count as the smallest id;
-an empty table gives an empty result; further columns are kept by ``deduplicate``.
+an empty table gives an empty result; further columns are kept by ``deduplicate``, but for those
+that are named like one it adds.
 """
 
 from __future__ import annotations
@@ -213,6 +214,7 @@ def deduplicate(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CH
     Adds n_lines, n_exact, n_near, dropped (line numbers) and emptied (nothing but white
     space is left of a text that had a word).
     """
+    docs = docs.drop("n_lines", "n_exact", "n_near", "dropped", "emptied")
     rows = dropped_lines(docs, edits, least_chars, near_chars)
     per_doc = rows.groupBy(F.col("doc_id").alias("__id")).agg(
         F.sort_array(F.collect_set("line_no")).alias("dropped"),

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from casegrain.llm import line_dedup, ngram_jaccard
 from casegrain.llm.components import components
@@ -204,3 +205,12 @@ def test_native_plans(spark):
     df = spark.createDataFrame([(1, "x" * 50), (2, "x" * 50)], "doc_id long, text string")
     plan = line_dedup.deduplicate(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_deduplicate_replaces_columns_of_its_own_names(spark):
+    long = "a line that is long enough to be kept once"
+    df = spark.createDataFrame([(1, long, "x", 7), (2, long + "\nshort", "y", 8)], "doc_id long, text string, dropped string, n_exact int")
+    df = df.withColumns({"n_near": F.lit("z"), "emptied": F.lit(1), "n_lines": F.lit("q")})
+    out = {r["doc_id"]: r for r in line_dedup.deduplicate(df).collect()}
+    assert out[1]["dropped"] == [] and out[2]["dropped"] == [0] and out[2]["n_exact"] == 1 and out[2]["text"] == "short"
+    assert out[2]["n_lines"] == 2 and out[2]["emptied"] is False
