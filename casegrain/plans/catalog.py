@@ -30,6 +30,7 @@ from casegrain.operators import similarity as SIM
 from casegrain.operators import vectors as VE
 from casegrain.plans import epochs as EP
 from casegrain.plans import models as MD
+from casegrain.plans import span_tagger as ST
 from casegrain.sources import csv_io, token_store
 from casegrain.sources.model_store import load_first, save_model
 from casegrain.streaming import predict_stream as PS
@@ -522,6 +523,17 @@ def _rationale(spark, d):
     return MD.train_rationale(_masks(spark, d), _docs(spark, d).select("doc_id", "text"))
 
 
+def q_span_training(spark, d):
+    """Loss and held-out token metrics of the linear chain in every epoch."""
+    return ST.train_spans(_experts(spark, d))[0]
+
+
+def q_rationale_spans(spark, d):
+    """Spans that the best chain marks in every document."""
+    _, weights = ST.train_spans(_experts(spark, d), epochs=2)
+    return ST.rationale_spans(_docs(spark, d), weights)
+
+
 def q_rationale_train(spark, d):
     met, _, _ = _rationale(spark, d)
     return met
@@ -660,6 +672,8 @@ QUERIES = {
     "distill_epochs": q_distill_epochs,
     "epoch_training": q_epoch_training,
     "rationale_train": q_rationale_train,
+    "span_training": q_span_training,
+    "rationale_spans": q_rationale_spans,
     "kfold_assign": q_kfold_assign,
     "kfold_cv": q_kfold_cv,
     "predict_batch": q_predict_batch,
