@@ -9,7 +9,6 @@ Arrow-batched pandas UDF over whole token lists (numpy row DP).
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F

@@ -90,8 +90,8 @@ def spread(df: DataFrame) -> DataFrame:
     with a row group per core. Neither case shuffles, so big inputs never do; and no row changes.
     """
     spark, cores = df.sparkSession, df.sparkSession.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if not files or len(files) >= cores or _row_groups(spark, files) >= cores:
+    files = df._jdf.inputFiles()        # stays in the JVM: only a few names come over
+    if not len(files) or len(files) >= cores or _row_groups(spark, list(files)) >= cores:
         return df
     return df.repartition(cores)
 
