@@ -1,11 +1,13 @@
 """Summary metrics against brute force; the driver contract."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from casegrain.operators import evaluation as EV
+from casegrain.operators import summarize as SU
 
 
 def lcs(a, b):
@@ -52,3 +54,37 @@ def test_entry_and_contract(spark):
     assert len(r) == 1 and r[0].n_windows >= 200 and 0.0 <= r[0].coverage_padded <= r[0].coverage_active <= 1.0
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 50
+
+
+def test_overlaps_are_counted_in_the_row_and_shared_keys_together(spark):
+    rows = [("a", ["x", "y", "x"], ["x", "x", "z"]), ("b", ["p"], ["q"]), ("b", ["q"], ["p"]), (None, ["x"], ["x"]),
+            ("c", None, ["x"]), ("d", ["x", None, "y"], ["x", None, "y"])]
+    pairs = spark.createDataFrame(rows, "pair string, c array<string>, r array<string>")
+    got = EV.clipped_overlap(pairs, "pair", "c", "r", (1, 2))
+    found = sorted(((r["pair"] or "", r["n"], r["overlap"], r["cand_grams"], r["ref_grams"]) for r in got.collect()))
+    want = sorted(((r["pair"] or "", r["n"], r["overlap"], r["cand_grams"], r["ref_grams"]) for r in _by_join(pairs).collect()))
+    assert found == want
+    assert ("a", 1, 2, 3, 3) in found and ("b", 1, 2, 1, 1) in found
+    # No gram of a pair with a key of its own is exploded: the only generators are those of shared keys and of the sizes.
+    own = EV._row_overlap(pairs.where("pair = 'a'"), "pair", "c", "r", (1, 2))
+    assert "Generate" not in own._jdf.queryExecution().executedPlan().toString()
+
+
+def _by_join(pairs):
+    sizes = pairs.select("pair", F.explode(F.array(*[F.struct(
+        F.lit(n).cast("bigint").alias("n"), F.greatest(F.size("c") - n + 1, F.lit(0)).cast("bigint").alias("cand_grams"),
+        F.greatest(F.size("r") - n + 1, F.lit(0)).cast("bigint").alias("ref_grams")) for n in (1, 2)])).alias("s")).select("pair", "s.*")
+    return sizes.join(EV._joined_overlap(pairs, "pair", "c", "r", (1, 2)), ["pair", "n"], "left").fillna(0, ["overlap"])
+
+
+def test_sentence_scores_with_rare_tokens_joined_equal_those_with_all_held(spark):
+    rows = [(1, "One two three. Two three four!"), (1, "Three ΣΑΣ five. İx two six"), (2, "two six six. ab"), (None, "two nine ten. two"),
+            (None, "nine"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = {tuple(r) for r in SU.sentence_scores(docs).collect()}
+    assert held == {tuple(r) for r in SU.sentence_scores(docs, frequent=2).collect()}
+    # df counts documents: both rows of id 1 are one, those without an id one.
+    idf = lambda df: math.log((len(rows) + 1) / (df + 1))
+    score = (idf(3) + 2 * (2 * idf(2)) + idf(3)) / 4
+    assert (2, 0, "two six six.", 4, round(score, 9)) in held
+    assert {r[0] for r in held} == {1, 2}
