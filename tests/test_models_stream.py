@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from casegrain.operators.sampling import train_val_split
 from casegrain.plans import catalog as C
+from casegrain.plans import models as MD
+from casegrain.session import materialize
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,3 +32,22 @@ def test_classifier_metrics_in_range(spark):
     assert any(r.selected for r in met)
     for r in met:
         assert 0.0 <= r.accuracy <= 1.0 and 0.0 <= r.f1 <= 1.0
+
+
+def test_tagger_rows_are_hashed_once(spark, monkeypatch):
+    written = {}
+
+    def kept(df, name):
+        written[name] = materialize(df, name)
+        return written[name]
+    monkeypatch.setattr(MD, "materialize", kept)
+    rows = [(i, f"alpha beta gamma{i % 7}. plain words stand here") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = docs.select("doc_id", F.lit(0).cast("long").alias("window_no"), F.lit(10).cast("long").alias("n_active"),
+                        F.lit(4).cast("long").alias("n_positive"), F.array(*[F.lit(int(0 < i < 5)) for i in range(512)]).alias("rationale_mask"))
+    met, tagger, _ = MD.train_rationale(sizes, docs)
+    assert {r.epoch for r in met.collect()} == {1, 2, 3} and max(r.f1 for r in met.collect()) > 0.9
+    # Candidates read vectors, not the names of features; the saved chain still starts from names.
+    assert written["tagger-rows"].columns == ["part", "features", "label", "w"]
+    marked = tagger.transform(MD.token_rows(docs.limit(1))).orderBy("pos").select("prediction").collect()
+    assert [int(r[0]) for r in marked] == [1, 1, 1, 1, 0, 0, 0, 0]
