@@ -34,6 +34,7 @@ KINDS = 5               # features of a token
 PAIRS = 4               # label pairs, row by row: 00, 01, 10, 11
 EPOCHS, STEPS = 4, 6
 RATE, DECAY = 0.1, 1e-5
+HELD_WINDOWS = 1 << 10  # windows decoded at once, and the last text's
 WINDOWS = "doc_id long, window_no long, idx array<int>, labels array<int>"
 SPANS = "doc_id long, start long, end long, first_token long, n_tokens long"
 
@@ -56,9 +57,10 @@ def token_features(words: list[str], cache: dict[str, int]) -> np.ndarray:
     return out
 
 
-def window_features(docs: DataFrame, text: str = "text", id_col: str = "doc_id", chosen: str | None = None) -> DataFrame:
-    """``WINDOWS`` rows of every text; labels from the occurrences of the sentences in ``chosen``, if given."""
-    cols = [F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("_t"),
+def window_features(docs: DataFrame, text: str = "text", id_col: str = "doc_id", chosen: str | None = None, keep=()) -> DataFrame:
+    """``WINDOWS`` rows of every text, and the string columns ``keep``; labels from the occurrences of the sentences in ``chosen``, if given."""
+    keep = list(keep)
+    cols = [*keep, F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("_t"),
             (F.col(chosen) if chosen else F.lit(None).cast("array<string>")).alias("_s")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,8 +77,9 @@ def window_features(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
             labels = np.concatenate(marks).astype(np.int32) if marks else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(row)), pa.array(no), pa.ListArray.from_arrays(pa.array(edges * KINDS), pa.array(flat)),
-                 pa.ListArray.from_arrays(pa.array(edges), pa.array(labels))], names=["doc_id", "window_no", "idx", "labels"])
-    return over_batches(docs.select(cols), run, WINDOWS)
+                 pa.ListArray.from_arrays(pa.array(edges), pa.array(labels)), *[batch.column(c).take(pa.array(row)) for c in keep]],
+                names=["doc_id", "window_no", "idx", "labels", *keep])
+    return over_batches(docs.select(cols), run, ", ".join([WINDOWS, *[f"{c} string" for c in keep]]))
 
 
 def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -218,9 +221,11 @@ def scored(decoded: DataFrame, run: str, epoch: int) -> DataFrame:
 def train_spans(experts: DataFrame, epochs: int = EPOCHS, chain: bool = True) -> tuple[DataFrame, np.ndarray]:
     """Per-epoch loss and validation metrics (documents split by seed), and the weights of the best epoch."""
     df = A.with_matched_sentences(A.with_rationale_sentences(experts)).select("doc_id", "text", "matched_sentences")
-    rows = materialize(window_features(df, chosen="matched_sentences"), "span-windows")
-    parts = materialize(train_val_split(rows.select("doc_id").distinct()).select("doc_id", "part"), "span-parts")
-    both = materialize(rows.join(parts, "doc_id"), "span-rows")
+    parts = materialize(train_val_split(experts.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()).select("doc_id", "part"),
+                        "span-parts")
+    # The part joins the text, not the features, which are several times as large.
+    df = df.withColumn("doc_id", F.col("doc_id").cast("long")).join(parts, "doc_id")
+    both = materialize(window_features(df, chosen="matched_sentences", keep=("part",)), "span-rows")
     states = train(both.where("part = 'train'"), epochs, chain=chain)
     held, name, met = both.where("part = 'validation'"), "chain" if chain else "independent", None
     for epoch, (state, loss) in enumerate(states, 1):
@@ -235,22 +240,39 @@ def rationale_spans(docs: DataFrame, weights: np.ndarray, text: str = "text", id
     """``SPANS`` rows: the runs of marked tokens of every text, as [start, end) of its characters."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
+    def marked(keys: list, bounds: list, feats: list) -> pa.RecordBatch:
+        """Spans of some texts, none without tokens: all their windows are decoded at once."""
+        w = sent.value
+        n = [len(f) for f in feats]
+        _, _, size = A.window_rows(n)
+        if not keys:
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 5, names=["doc_id", "start", "end", "first_token", "n_tokens"])
+        place = np.arange(sum(n)) - np.repeat(np.cumsum(n) - n, n)
+        at = np.stack([np.repeat(np.arange(len(size)), size), place % WINDOW_TOKENS])
+        label = viterbi(_emissions(size, np.concatenate(feats), at, w), size, w[FEATURES + 1:].reshape(2, 2))[at[0], at[1]]
+        opens = at[1] == 0                              # so the entry before it ends its window
+        first = np.flatnonzero((label == 1) & ((np.concatenate(([0], label[:-1])) == 0) | opens))
+        last = np.flatnonzero((label == 1) & ((np.concatenate((label[1:], [0])) == 0) | np.concatenate((opens[1:], [True]))))
+        starts, ends = (np.concatenate([b[i] for b in bounds]).astype(np.int64) for i in (0, 1))
+        owner = np.repeat(np.arange(len(n)), n)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(keys, pa.int64()).take(pa.array(owner[first])), pa.array(starts[first]), pa.array(ends[last]),
+             pa.array(place[first]), pa.array(last - first + 1)], names=["doc_id", "start", "end", "first_token", "n_tokens"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, cache = sent.value, {}
-        pair = w[FEATURES + 1:].reshape(2, 2)
+        cache: dict[str, int] = {}
+        keys, bounds, feats, held = [], [], [], 0
         for batch in batches:
-            out = []
             for key, t in zip(batch.column("doc_id").to_pylist(), batch.column("_t").to_pylist()):
-                starts, ends = token_bounds(t or "")
-                if not len(starts):
+                found = token_bounds(t or "")
+                if not len(found[0]):
                     continue
-                idx = token_features(token_texts(t, starts, ends), cache)
-                _, _, size = A.window_rows([len(starts)])
-                at = np.stack([np.arange(len(starts)) // WINDOW_TOKENS, np.arange(len(starts)) % WINDOW_TOKENS])
-                label = viterbi(_emissions(size, idx, at, w), size, pair)[at[0], at[1]]
-                first = np.flatnonzero((label == 1) & ((np.concatenate(([0], label[:-1])) == 0) | (at[1] == 0)))
-                last = np.flatnonzero((label == 1) & ((np.concatenate((label[1:], [0])) == 0) | (at[1] == WINDOW_TOKENS - 1)))
-                out += [(key, int(starts[a]), int(ends[b]), int(a), int(b - a + 1)) for a, b in zip(first, last)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(5)],
-                                             names=["doc_id", "start", "end", "first_token", "n_tokens"])
+                keys.append(key)
+                bounds.append(found)
+                feats.append(token_features(token_texts(t, *found), cache))
+                held += -(-len(found[0]) // WINDOW_TOKENS)
+                if held >= HELD_WINDOWS:
+                    yield marked(keys, bounds, feats)
+                    keys, bounds, feats, held = [], [], [], 0
+        yield marked(keys, bounds, feats)
     return over_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("_t")), run, SPANS)

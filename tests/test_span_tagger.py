@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 
+from casegrain.functions.batches import token_bounds, token_texts
 from casegrain.plans import catalog as C
 from casegrain.plans import span_tagger as ST
 
@@ -108,3 +109,27 @@ def test_registered_spans(spark):
     rows = C.q_span_training(spark, "/root/testdata/sf0.001").collect()
     assert {(x.run, x.epoch) for x in rows} == {("chain", e) for e in range(1, 5)}
     assert sum(x.selected for x in rows) == 1 and rows[0].train_loss > 0
+
+
+def test_spans_of_many_texts_are_decoded_together(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["aa", "bb", "cc", "!"]) for _ in range(rng.choice([0, 1, 5, 509, 510, 511, 1300]))) for _ in range(40)]
+    w = np.random.default_rng(5).normal(0, 1.5, ST.FEATURES + 1 + ST.PAIRS)
+    pair, want = w[ST.FEATURES + 1:].reshape(2, 2), []
+    for key, t in enumerate(texts):
+        starts, ends = token_bounds(t)
+        idx = ST.token_features(token_texts(t, starts, ends), {})
+        for lo in range(0, len(starts), 510):
+            emit = (w[idx[lo:lo + 510]].sum(axis=1) + w[ST.FEATURES])[None, :]
+            label = [0, *ST.viterbi(emit, np.array([emit.shape[1]]), pair)[0], 0]
+            first = [i for i in range(1, len(label)) if label[i] and not label[i - 1]]
+            last = [i for i in range(1, len(label) - 1) if label[i] and not label[i + 1]]
+            want += [(key, int(starts[lo + a - 1]), int(ends[lo + b - 1]), lo + a - 1, b - a + 1) for a, b in zip(first, last)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert sorted(tuple(r) for r in ST.rationale_spans(docs, w).collect()) == sorted(want) and want
+    # 40 texts in one task: one call of the decoder for all of them.
+    calls = spark.sparkContext.accumulator(0)
+    plain = ST.viterbi
+    monkeypatch.setattr(ST, "viterbi", lambda *a: (calls.add(1), plain(*a))[1])
+    ST.rationale_spans(docs, w).collect()
+    assert calls.value == 1
