@@ -29,6 +29,7 @@ from casegrain.operators import annotations as A
 
 MIN_COUNT = 2
 MAX_WORDS = 1 << 20     # size of a vocabulary, which every task holds
+HELD_PIECES = 1 << 16   # pieces of texts that a task puts into windows at once, and the last text's
 
 
 def sentence_rows(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -147,34 +148,43 @@ def encode_window(df: DataFrame, vocab: DataFrame, text: str = "text", id_col: s
     """
     sent = _entries(vocab)
     spark_type = df.schema[id_col]
+    wanted = [("input_ids", T.ArrayType(T.IntegerType())), ("attention_mask", T.ArrayType(T.IntegerType()))]
+    if offsets:
+        wanted.append(("offset_mapping", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))))
+    if marked:
+        wanted.append(("rationale_mask", T.ArrayType(T.IntegerType())))
     schema = T.StructType([spark_type, T.StructField("window_no", T.LongType()), T.StructField("n_tokens", T.LongType()),
-                           T.StructField("input_ids", T.ArrayType(T.IntegerType())),
-                           T.StructField("attention_mask", T.ArrayType(T.IntegerType())),
-                           T.StructField("offset_mapping", T.ArrayType(T.StructType([
-                               T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
-                           T.StructField("rationale_mask", T.ArrayType(T.IntegerType()))])
+                           *[T.StructField(*w) for w in wanted]])
     cols = [F.col(id_col), F.col(text).alias("_text"),
             (F.col(marked) if marked else F.lit(None).cast("array<string>")).alias("_marked")]
 
+    def windows(keys: pa.Array, texts: list) -> pa.RecordBatch:
+        """The rows of some texts, each (ids, starts, ends, marks)."""
+        row, no, inside = A.window_rows([len(x[0]) for x in texts])
+        out = [keys.take(pa.array(row)), pa.array(no), pa.array(inside), A.lists_of(A.windowed([x[0] for x in texts], inside, CLS_ID, SEP_ID)),
+               A.lists_of((np.arange(MAX_LEN) < inside[:, None] + 2).astype(np.int32))]
+        if offsets:
+            places = pa.StructArray.from_arrays([pa.array(np.concatenate([x[i] for x in texts])) for i in (1, 2)], names=["start", "end"])
+            out.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(inside))).astype(np.int32)), places))
+        if marked:
+            out.append(A.lists_of(A.windowed([x[3] for x in texts], inside)))
+        return pa.RecordBatch.from_arrays(out, names=schema.names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(sent.value)
         for batch in batches:
-            ids, begin, end, marks = [], [], [], []
-            for t, sentences in zip(batch.column("_text").to_pylist(), batch.column("_marked").to_pylist()):
-                starts, ends, mark = A.marked_tokens(t, sentences)
+            first, held, texts = 0, 0, []
+            for at, (t, sentences) in enumerate(zip(batch.column("_text"), batch.column("_marked"))):
+                t = t.as_py()
+                starts, ends, mark = A.marked_tokens(t, sentences.as_py())
                 found = _encoded(token_texts(t or "", starts, ends), starts, ends, pieces)
-                for column, value in zip((ids, begin, end, marks), (*found[:3], mark[found[3]])):
-                    column.append(value)
-            row, no, inside = A.window_rows([len(x) for x in ids])
-            places = pa.StructArray.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (begin, end)],
-                                                names=["start", "end"])
-            edges = pa.array(np.concatenate(([0], np.cumsum(inside))).astype(np.int32))
-            attention = (np.arange(MAX_LEN) < inside[:, None] + 2).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(id_col).take(pa.array(row)), pa.array(no), pa.array(inside), A.lists_of(A.windowed(ids, inside, CLS_ID, SEP_ID)),
-                 A.lists_of(attention), pa.ListArray.from_arrays(edges, places), A.lists_of(A.windowed(marks, inside))], names=schema.names)
-    out = over_batches(df.select(cols), run, schema)
-    return out.drop(*[c for c, wanted in (("offset_mapping", offsets), ("rationale_mask", marked)) if not wanted])
+                texts.append((*found[:3], mark[found[3]]))
+                held += len(found[0])
+                # A batch of texts becomes several of windows, so what a task holds doesn't grow with the batch.
+                if held >= HELD_PIECES or at + 1 == batch.num_rows:
+                    yield windows(batch.column(id_col).slice(first, at + 1 - first), texts)
+                    first, held, texts = at + 1, 0, []
+    return over_batches(df.select(cols), run, schema)
 
 
 def _encoded(words: list[str], starts: np.ndarray, ends: np.ndarray, pieces: Pieces):

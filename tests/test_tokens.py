@@ -134,3 +134,14 @@ def test_split_sizes_batches_and_mask_determinism(spark):
     assert a == b2 and a[0] == 101 and a[511] == 102
     share = sum(1 for x in a if x == 103) / 510
     assert 0.10 < share < 0.20
+
+
+def test_windows_are_yielded_in_bounded_batches(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i + j) % 9}" for j in range([0, 3, 510, 511, 40][i % 5]))) for i in range(60)] + [(None, None), (5, "w1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("m", F.array(F.lit("w1"))).coalesce(1)
+    vocab = spark.createDataFrame([(f"w{k}", 1000 + k) for k in range(8)] + [("w", 2000)], "token string, token_id long")
+    whole = sorted(map(str, TK.encode_window(df, vocab, offsets=True, marked="m").collect()))
+    monkeypatch.setattr(TK, "HELD_PIECES", 600)
+    assert sorted(map(str, TK.encode_window(df, vocab, offsets=True, marked="m").collect())) == whole
+    plain = TK.encode_window(df, vocab)
+    assert plain.columns == ["doc_id", "window_no", "n_tokens", "input_ids", "attention_mask"] and plain.count() == len(whole)
