@@ -11,6 +11,7 @@ from casegrain.operators import evaluation as EV
 from casegrain.operators import similarity as SIM
 from casegrain.operators import vectors as VE
 from casegrain.operators import summarize as SU
+from casegrain.session import materialize
 
 
 def test_long_rows_stay_linear(spark):
@@ -186,3 +187,35 @@ def test_cells_with_odd_rows_and_parts(spark):
             want = sorted(((-round(sum(a * b for a, b in zip(v, w)), 9), j) for j, w in unit if j != i))[:4]
             assert [(round(-s, 6), j) for s, j in want] == [(round(s, 6), j) for s, j in sorted(seen[i], reverse=True)]
     assert VE.search(VE.build_index(base.limit(0)), queries).count() == 0
+
+
+def test_bucket_rows_carry_no_signatures(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, [rng.randint(0, 3) for _ in range(6)]) for i in range(40)]
+    rows += [(3, [9] * 6), (4, [9] * 6), (5, rows[5][1]), (6, rows[6][1])]          # ids with two signatures, rows found twice
+    signed = spark.createDataFrame(rows, "doc_id long, sig array<long>")
+    written = {}
+
+    def kept(df, name):
+        written.setdefault(name, []).append(df.columns)
+        return materialize(df, name)
+    monkeypatch.setattr(SIM, "materialize", kept)
+    for most in (2, 8, 64):
+        got = {tuple(r) for r in SIM._bucket_pairs(signed, "doc_id", 6, most).collect()}
+        assert got == _bucket_pairs_of(rows, most)
+    assert all("sig" not in c for c in written["bucket-members"])
+
+
+def _bucket_pairs_of(rows, most, rounds=3):
+    found, held = set(), [(i, tuple(sig), b, (k,)) for i, sig in rows for b, k in enumerate(sig)]
+    for turn in range(1, rounds + 1):
+        buckets, after = {}, []
+        for r in held:
+            buckets.setdefault(r[2:], []).append(r)
+        for own in buckets.values():
+            if len(own) <= most or turn == rounds:
+                found |= {(a[0], b[0]) for a in own for b in own if a[0] < b[0]}
+            if len(own) > most:
+                after += [(i, sig, band, (*key, b2, k2)) for i, sig, band, key in own for b2, k2 in enumerate(sig) if b2 != band]
+        held = after
+    return found
