@@ -68,7 +68,7 @@ def span_rows(docs: DataFrame, matched: DataFrame, text: str = "text", id_col: s
 
 
 def _bins_of(text: str | None, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Number, first token and tokens of each bin, and starts and ends of the tokens from their bin's start on."""
+    """Number, first token and tokens of each bin, and gaps and lengths of the tokens."""
     starts, ends = token_bounds(text or "")
     if not len(starts):
         return np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64), starts, ends
@@ -76,18 +76,23 @@ def _bins_of(text: str | None, size: int) -> tuple[np.ndarray, np.ndarray, np.nd
     token = np.repeat(np.arange(len(starts)), touched)
     no = starts[token] // size + np.arange(len(token)) - np.repeat(np.cumsum(touched) - touched, touched)
     at = np.flatnonzero(np.diff(no, prepend=-1))
-    return no[at], token[at], np.diff(at, append=len(no)), starts[token] - no * size, ends[token] - no * size
+    gaps = np.diff(ends[token], prepend=0)
+    length = (ends - starts)[token]
+    gaps -= length
+    gaps[at] = starts[token[at]] - no[at] * size
+    return no[at], token[at], np.diff(at, append=len(no)), gaps, length
 
 
 def token_bins(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size: int = BIN) -> DataFrame:
-    """(id, bin, first, start[], end[]): a row per bin, with the tokens that touch it.
+    """(id, bin, first, gap[], length[]): a row per bin, with the tokens that touch it.
 
-    ``first`` is the position of the first of them, the others follow it. Starts and ends count from the start of the bin; a token that
-    touches several bins is in each. A text without tokens has a row without any.
+    ``first`` is the position of the first of them, the others follow it. A gap counts from the end of the token before, the first one from the
+    start of the bin (negative if the token starts before it): small numbers, which shuffles compress well. A token that touches
+    several bins is in each. A text without tokens has a row without any.
     """
     rows = docs.select(id_col, F.col(text).alias("_t"))
     numbers = T.ArrayType(T.IntegerType())
-    schema = _schema(rows, id_col, bin=T.LongType(), first=T.LongType(), start=numbers, end=numbers)
+    schema = _schema(rows, id_col, bin=T.LongType(), first=T.LongType(), gap=numbers, length=numbers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,18 +100,23 @@ def token_bins(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size
                 continue
             found = [_bins_of(t, size) for t in batch.column("_t").to_pylist()]
             row = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
-            no, first, sizes, starts, ends = (np.concatenate(x) for x in zip(*found))
-            yield pa.RecordBatch.from_arrays([batch.column(id_col).take(pa.array(row)), pa.array(no), pa.array(first), _lists(starts, sizes),
-                                              _lists(ends, sizes)], names=schema.names)
+            no, first, sizes, gaps, lengths = (np.concatenate(x) for x in zip(*found))
+            yield pa.RecordBatch.from_arrays([batch.column(id_col).take(pa.array(row)), pa.array(no), pa.array(first), _lists(gaps, sizes),
+                                              _lists(lengths, sizes)], names=schema.names)
     return over_batches(rows, run, schema)
 
 
 def token_places(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, pos, start, end) of every token, pos from 0."""
-    rows = token_bins(docs, text, id_col).select(id_col, "bin", "first", F.posexplode_outer(F.arrays_zip("start", "end")).alias("i", "o"))
-    base = F.col("bin") * BIN
-    return rows.where("o.start >= 0").select(id_col, (F.col("first") + F.col("i")).alias("pos"), (base + F.col("o.start")).alias("start"),
-                                             (base + F.col("o.end")).alias("end"))
+    rows = docs.select(id_col, F.col(text).alias("_t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, t in enumerate(batch.column("_t").to_pylist()):
+                starts, ends = token_bounds(t or "")
+                yield pa.RecordBatch.from_arrays([batch.column(id_col).take(pa.array(np.full(len(starts), i))), pa.array(np.arange(len(starts))),
+                                                  pa.array(starts), pa.array(ends)], names=[id_col, "pos", "start", "end"])
+    return over_batches(rows, run, _schema(rows, id_col, pos=T.LongType(), start=T.LongType(), end=T.LongType()))
 
 
 def _binned(rows: DataFrame, size: int) -> DataFrame:
@@ -130,19 +140,23 @@ def window_marks(bins: DataFrame, id_col: str = "doc_id", size: int = BIN) -> Da
     ``n`` counts the tokens that start in the bin, the words mark those that a span overlaps: a token [a, b) is
     overlapped by as many spans as start before b, less those that end up to a.
     """
-    rows = bins.select(id_col, "first", "start", "end", "lo", "hi")
+    rows = bins.select(id_col, "first", "gap", "length", "lo", "hi")
     schema = _schema(rows, id_col, window_no=T.LongType(), n=T.LongType(), **dict.fromkeys(WORDS, T.LongType()))
     step = size + 1     # the bins of a batch lie apart from each other on one line
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            start, row = _flat(batch.column("start"))
-            start, end = start.to_numpy(), batch.column("end").flatten().to_numpy()
+            gap, row = _flat(batch.column("gap"))
+            length = batch.column("length").flatten().to_numpy()
+            held = np.bincount(row, minlength=batch.num_rows)
+            begin = np.cumsum(held) - held
+            run_on = np.concatenate([[0], np.cumsum(gap.to_numpy() + length.astype(np.int64))])
+            end = run_on[1:] - run_on[begin[row]]
+            start = end - length
             lo, span_row = _flat(batch.column("lo"))
             lo, hi = np.sort(span_row * step + lo.to_numpy()), np.sort(span_row * step + batch.column("hi").flatten().to_numpy())
             hit = np.searchsorted(lo, row * step + np.minimum(end, size), "left") > np.searchsorted(hi, row * step + np.maximum(start, 0), "right")
-            held = np.bincount(row, minlength=batch.num_rows)
-            pos = batch.column("first").to_numpy()[row] + np.arange(len(row)) - (np.cumsum(held) - held)[row]
+            pos = batch.column("first").to_numpy()[row] + np.arange(len(row)) - begin[row]
             window = pos // WINDOW_TOKENS
             new = np.ones(len(row), bool)
             new[1:] = (row[1:] != row[:-1]) | (window[1:] != window[:-1])
@@ -164,7 +178,7 @@ def interval_masks(docs: DataFrame, annotations: DataFrame, text: str = "text",
     spans = span_bins(span_rows(known, matched_sentences(known, annotations, text, id_col), text, id_col), id_col, size)
     # A null id joins with nothing; its texts go around the join, which would bring them all to one task.
     none = F.lit(None).cast("array<int>")
-    alone = token_bins(unknown, text, id_col, size).where(F.size("start") > 0).withColumns({"lo": none, "hi": none})
+    alone = token_bins(unknown, text, id_col, size).where(F.size("gap") > 0).withColumns({"lo": none, "hi": none})
     bins = token_bins(known, text, id_col, size).join(spans, [id_col, "bin"], "left").unionByName(alone)
     rows = window_marks(bins, id_col, size).groupBy(id_col, "window_no").agg(F.sum("n").alias("n"), *[F.bit_or(w).alias(w) for w in WORDS])
     zero = F.lit(0).cast("bigint")
