@@ -16,11 +16,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.common import _py2java
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casegrain.functions.batches import over_batches, token_bounds, token_texts
 from casegrain.functions.text import WINDOW_TOKENS
@@ -388,3 +390,24 @@ def confusion(rows: DataFrame, models: list[tuple[np.ndarray, float]], part: str
         yield pa.RecordBatch.from_arrays([pa.array(e + 1, pa.int64()), pa.array(cell // 2, pa.int32()), pa.array(cell % 2, pa.int32()), pa.array(seen[e, cell])],
                                          names=["epoch", "pred", "label", "rows"])
     return over_batches(rows.filter(F.col("part") == part).select("features", "label", "w"), run, "epoch long, pred int, label int, rows long")
+
+
+def with_marks(df: DataFrame, tokens: str, model: tuple[np.ndarray, float], out: str) -> DataFrame:
+    """``df`` plus ``out``: 0 or 1 for each of the row's (lower-cased) tokens, as the model (coefficients, intercept) has it; null tokens have none."""
+    sent = df.sparkSession.sparkContext.broadcast((np.append(model[0], 0.0), model[1]))
+    schema = T.StructType([*(f for f in df.schema.fields if f.name != out), T.StructField(out, T.ArrayType(T.IntegerType()))])
+    names = schema.names[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coefficients, intercept = sent.value
+        held = TokenBuckets(len(coefficients) - 1)
+        for batch in batches:
+            own = batch.column(tokens)
+            size = pc.fill_null(pc.list_value_length(own), 0).to_numpy().astype(np.int64)
+            ends = np.cumsum([0, *size.tolist()])
+            all_rows = held.bounded().rows(own.flatten().to_pylist())
+            idx = held.of([all_rows[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())])
+            marks = margins(list(idx.T), coefficients, intercept) > 0
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(marks.astype(np.int32)))],
+                                             names=schema.names)
+    return over_batches(df, run, schema)
