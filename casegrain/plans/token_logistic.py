@@ -28,7 +28,7 @@ from casegrain.functions.batches import over_batches, token_bounds, token_texts
 from casegrain.functions.text import WINDOW_TOKENS
 
 # ---- fixed values -----------------------------------------------------------
-KINDS = 5                       # features of a token: itself, its neighbours, its place in the window, its length
+KINDS = 5                       # features of a token: itself, its neighbours, its length, its place in the window
 HELD_WORDS = 1 << 18            # words whose buckets a task keeps
 AT_ONCE = 1 << 13               # tokens that are scored together
 MEMORY, LINE_STEPS = 10, 10     # Breeze's LBFGS as Spark ML sets it up
@@ -68,14 +68,17 @@ def hashing_tf_buckets(names: list[str], n_features: int) -> np.ndarray:
 
 
 class TokenBuckets(dict):
-    """Word → row of ``table``: the buckets of the word, of it as a left and as a right neighbour, and of its length."""
+    """Word → row of ``table``: the buckets of the word, of it as a left and as a right neighbour, and of its length.
 
-    def __init__(self, n_features: int):
-        self.n, self.fresh = n_features, []
+    ``hashed`` gives buckets of names; ``once`` leaves out a bucket that came before in its token.
+    """
+
+    def __init__(self, n_features: int, hashed: Callable[[list[str], int], np.ndarray] = hashing_tf_buckets, once: bool = True):
+        self.n, self.hashed, self.once, self.fresh = n_features, hashed, once, []
         self.table = np.empty((1024, 4), np.int32)
-        self.tenths = hashing_tf_buckets([f"d={i}" for i in range(10)], n_features)
-        self.lengths = hashing_tf_buckets([f"l={i}" for i in range(13)], n_features)
-        self.edges = hashing_tf_buckets(["p=<s>", "n=</s>"], n_features)
+        self.tenths = hashed([f"d={i}" for i in range(10)], n_features)
+        self.lengths = hashed([f"l={i}" for i in range(13)], n_features)
+        self.edges = hashed(["p=<s>", "n=</s>"], n_features)
 
     def __missing__(self, word: str) -> int:
         own = self[word] = len(self)
@@ -87,13 +90,13 @@ class TokenBuckets(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
     def of(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Buckets (tokens × ``KINDS``) of all tokens of texts given as ``rows``; ``n`` where a bucket came before in its token."""
+        """Buckets (tokens × ``KINDS``: itself, left and right neighbour, length, tenth of the window) of all tokens of texts given as ``rows``; ``n`` if left out."""
         if self.fresh:
             while len(self.table) < len(self):
                 self.table = np.concatenate([self.table, np.empty_like(self.table)])
             new = self.table[len(self) - len(self.fresh):len(self)]
             for k, kind in enumerate(("t=", "p=", "n=")):
-                new[:, k] = hashing_tf_buckets([kind + w for w in self.fresh], self.n)
+                new[:, k] = self.hashed([kind + w for w in self.fresh], self.n)
             new[:, 3] = self.lengths[[min(len(w), 12) for w in self.fresh]]
             self.fresh = []
         size = np.array([len(x) for x in texts], np.int64)
@@ -101,10 +104,12 @@ class TokenBuckets(dict):
         some = size > 0
         own = self.table[np.concatenate(texts)] if texts else np.empty((0, 4), np.int32)
         out = np.empty((len(own), KINDS), np.int32)
-        out[:, 0], out[:, 4] = own[:, 0], own[:, 3]
+        out[:, 0], out[:, 3] = own[:, 0], own[:, 3]
         out[1:, 1], out[:-1, 2] = own[:-1, 1], own[1:, 2]
         out[(ends - size)[some], 1], out[ends[some] - 1, 2] = self.edges
-        out[:, 3] = self.tenths[(np.arange(len(own)) - np.repeat(ends - size, size)) % WINDOW_TOKENS * 10 // WINDOW_TOKENS]
+        out[:, 4] = self.tenths[(np.arange(len(own)) - np.repeat(ends - size, size)) % WINDOW_TOKENS * 10 // WINDOW_TOKENS]
+        if not self.once:
+            return out
         again = [(k, np.logical_or.reduce([out[:, j] == out[:, k] for j in range(k)])) for k in range(1, KINDS)]
         for k, seen in again:
             out[seen, k] = self.n
@@ -154,7 +159,7 @@ def packed_rows(docs: DataFrame, weights: tuple[float, float], n_features: int,
     return over_batches(docs.select(F.col(part).alias("_p"), F.col(text).alias("_t"), F.col(labels).alias("_y")), run, PACKED)
 
 
-def _bytes_of(column: pa.Array) -> np.ndarray:
+def bytes_of(column: pa.Array) -> np.ndarray:
     """The bytes of all values of a binary column, one after the other, without a copy."""
     _, offsets, data = column.buffers()
     ends = np.frombuffer(offsets, np.int32)[column.offset:column.offset + len(column) + 1]
@@ -164,7 +169,7 @@ def _bytes_of(column: pa.Array) -> np.ndarray:
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
     """Buckets by kind, labels and weights of tokens, ``AT_ONCE`` at a time, which stay in the processor's cache."""
     for batch in batches:
-        x, y = _bytes_of(batch.column("features")).view("<u2").reshape(-1, KINDS), _bytes_of(batch.column("label"))
+        x, y = bytes_of(batch.column("features")).view("<u2").reshape(-1, KINDS), bytes_of(batch.column("label"))
         w = batch.column("w").flatten().to_numpy()[:2]      # the same in all rows
         for lo in range(0, len(y), AT_ONCE):
             own = y[lo:lo + AT_ONCE]

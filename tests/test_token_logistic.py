@@ -92,3 +92,34 @@ def test_counted_pairs_have_the_same_metrics(spark):
         F.lit("x").alias("run"), F.lit(1).alias("epoch"), "pred", "label")
     counted = pairs.groupBy("run", "epoch", "pred", "label").agg(F.count("*").alias("k"))
     assert M.binary_metrics(pairs).collect() == M.binary_metrics(counted, count="k").collect()
+
+
+def test_windows_in_shares_equal_windows_in_logs():
+    """Products of shares instead of logarithms, place by place for the windows that are long enough: the same marginals and labels."""
+    from casegrain.plans import span_tagger as ST
+    rng = np.random.default_rng(8)
+    size = np.array([0, 1, 510, 7, 510, 2, 300, 0])
+    emit = rng.normal(size=(8, 510)) * 3
+    emit[np.arange(510) >= size[:, None]] = 0
+    for pair in (np.zeros((2, 2)), rng.normal(size=(2, 2)) * 4, np.array([[40.0, -40], [-60, 9]])):
+        got, want = ST.marginals(emit, size, pair), ST.marginals_in_logs(emit, size, pair)
+        some = np.arange(510) < size[:, None]
+        assert np.allclose(got[0][some], want[0][some], atol=1e-9) and np.allclose(got[1], want[1], rtol=1e-7, atol=1e-7)
+        assert np.allclose(got[2][size > 0], want[2][size > 0])
+        best = ST.viterbi(emit, size, pair)
+        for k in range(8):
+            alone = ST.viterbi(emit[k:k + 1, :max(1, size[k])], size[k:k + 1], pair)[0]
+            assert np.array_equal(best[k, :size[k]], alone[:size[k]]) and not best[k, size[k]:].any()
+    huge = emit * 1000
+    assert np.isfinite(ST.marginals(huge, size, np.ones((2, 2)))[2]).all()
+
+
+def test_chain_buckets_are_names_hashed_one_by_one():
+    import xxhash
+
+    from casegrain.plans import span_tagger as ST
+    for text in TEXTS:
+        words = TL.token_texts(text, *TL.token_bounds(text))
+        names = [[f"t={w}", f"p={([chr(60) + 's>'] + words)[i]}", f"n={(words + ['</s>'])[i + 1]}", f"l={min(len(w), 12)}", f"d={i % 510 * 10 // 510}"] for i, w in enumerate(words)]
+        want = [[xxhash.xxh64_intdigest(x) % ST.FEATURES for x in row] for row in names]
+        assert ST.token_features(words, {}).tolist() == want
