@@ -24,12 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casegrain.functions.batches import over_batches, token_bounds, token_texts
+from casegrain.functions.batches import WordRows, over_batches, token_bounds, token_texts
 from casegrain.functions.text import WINDOW_TOKENS
 
 # ---- fixed values -----------------------------------------------------------
 KINDS = 5                       # features of a token: itself, its neighbours, its length, its place in the window
-HELD_WORDS = 1 << 18            # words whose buckets a task keeps
 AT_ONCE = 1 << 13               # tokens that are scored together
 MEMORY, LINE_STEPS = 10, 10     # Breeze's LBFGS as Spark ML sets it up
 ENOUGH, CURVED = 1e-4, 0.9      # its line search
@@ -67,42 +66,26 @@ def hashing_tf_buckets(names: list[str], n_features: int) -> np.ndarray:
     return out
 
 
-class TokenBuckets(dict):
-    """Word → row of ``table``: the buckets of the word, of it as a left and as a right neighbour, and of its length.
+class TokenBuckets(WordRows):
+    """Word → the buckets of the word, of it as a left and as a right neighbour, and of its length.
 
     ``hashed`` gives buckets of names; ``once`` leaves out a bucket that came before in its token.
     """
 
     def __init__(self, n_features: int, hashed: Callable[[list[str], int], np.ndarray] = hashing_tf_buckets, once: bool = True):
-        self.n, self.hashed, self.once, self.fresh = n_features, hashed, once, []
-        self.table = np.empty((1024, 4), np.int32)
+        self.n, self.once = n_features, once
         self.tenths = hashed([f"d={i}" for i in range(10)], n_features)
-        self.lengths = hashed([f"l={i}" for i in range(13)], n_features)
         self.edges = hashed(["p=<s>", "n=</s>"], n_features)
-
-    def __missing__(self, word: str) -> int:
-        own = self[word] = len(self)
-        self.fresh.append(word)
-        return own
-
-    def rows(self, words: list[str]) -> np.ndarray:
-        """Rows of ``table`` of a text's tokens; it gets the new ones when ``of`` is asked for them."""
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        lengths = hashed([f"l={i}" for i in range(13)], n_features)
+        super().__init__(lambda words: np.stack([*(hashed([kind + w for w in words], n_features) for kind in ("t=", "p=", "n=")),
+                                                 lengths[np.array([min(len(w), 12) for w in words], np.int64)]], axis=1))
 
     def of(self, texts: list[np.ndarray]) -> np.ndarray:
         """Buckets (tokens × ``KINDS``: itself, left and right neighbour, length, tenth of the window) of all tokens of texts given as ``rows``; ``n`` if left out."""
-        if self.fresh:
-            while len(self.table) < len(self):
-                self.table = np.concatenate([self.table, np.empty_like(self.table)])
-            new = self.table[len(self) - len(self.fresh):len(self)]
-            for k, kind in enumerate(("t=", "p=", "n=")):
-                new[:, k] = self.hashed([kind + w for w in self.fresh], self.n)
-            new[:, 3] = self.lengths[[min(len(w), 12) for w in self.fresh]]
-            self.fresh = []
         size = np.array([len(x) for x in texts], np.int64)
         ends = np.cumsum(size)
         some = size > 0
-        own = self.table[np.concatenate(texts)] if texts else np.empty((0, 4), np.int32)
+        own = self.whole()[np.concatenate(texts)] if texts else np.empty((0, 4), np.int32)
         out = np.empty((len(own), KINDS), np.int32)
         out[:, 0], out[:, 3] = own[:, 0], own[:, 3]
         out[1:, 1], out[:-1, 2] = own[:-1, 1], own[1:, 2]
@@ -115,12 +98,6 @@ class TokenBuckets(dict):
             out[seen, k] = self.n
         return out
 
-    def bounded(self) -> TokenBuckets:
-        """Itself, without words if they have become too many; not between ``rows`` and ``of``."""
-        if len(self) > HELD_WORDS:
-            self.clear()
-        return self
-
 
 PACKED = "part string, features binary, label binary, w array<double>"
 
